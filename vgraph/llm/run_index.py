@@ -36,7 +36,7 @@ from vgraph.llm.arrays import BYTE_VALUE, U64, blob, chunks, ids, mix, powers, r
 from vgraph.plans.workspace import materialize
 
 #: Text bytes a block holds, and those of which a shard gets the repeated part.
-BLOCK_BYTES, SHARD_BYTES, HASH_BYTES = 4 << 20, 16 << 20, 24 << 20
+BLOCK_BYTES, SHARD_BYTES, HASH_BYTES = 2 << 20, 5 << 20, 8 << 20
 _NONE = np.iinfo(np.int64).max
 
 
