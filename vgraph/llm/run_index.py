@@ -32,11 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vgraph.llm.arrays import BYTE_VALUE, U64, blob, chunks, ids, mix, powers, row_of, spans, unblob, utf8
+from vgraph.llm.arrays import BYTE_VALUE, U64, blob, chunks, ids, mix, powers, spans, unblob, utf8
 from vgraph.plans.workspace import materialize
 
-#: Text bytes a block holds, and those of which a shard gets the repeated part.
-BLOCK_BYTES, SHARD_BYTES, HASH_BYTES = 2 << 20, 5 << 20, 8 << 20
+#: Text bytes in a block; bytes of packed documents to a bucket of hashes and to a shard; bytes in
+#: an index and in a piece of text that is hashed at a time (at most 2**18 - 1000).
+BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES, INDEX_BYTES, STEP = 4 << 20, 8 << 20, 3 << 20, 300_000, 1 << 17
 _NONE = np.iinfo(np.int64).max
 
 
@@ -44,7 +45,7 @@ def _pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
 
 
 def _unpack(data: bytes) -> pa.RecordBatch:
@@ -53,151 +54,168 @@ def _unpack(data: bytes) -> pa.RecordBatch:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, number of windows) of each anchor; windows never cross a row.
+    """(hash of 46 bits, first window, number of windows) of each anchor; windows never cross a row.
 
     The anchor of a window is its leftmost k-gram of smallest hash, with k about
-    half the window, so that it depends on the window's bytes alone.
+    half the window, so that it depends on the window's bytes alone. The bytes
+    are worked on in pieces that stay in a processor's cache.
     """
     k = least // 2 + 1
-    span = least - k + 1
-    n = len(data) - least + 1
-    if n <= 0:
+    found = [np.zeros((3, 0), U64)]
+    for a in range(0, len(data) - least + 1, STEP):
+        h = mix(_grams(data[a : a + STEP + least - 1], k))
+        # the place in the low bits: the leftmost of equal hashes is the smallest
+        low = (h >> U64(18) << U64(18)) | np.arange(len(h), dtype=U64)
+        width, span = 1, least - k + 1
+        while width < span:
+            step = min(width, span - width)
+            low = np.minimum(low[step:], low[: len(low) - step])
+            width += step
+        first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        found.append(np.stack([(low[first] & U64((1 << 18) - 1)) + U64(a), first.astype(U64) + U64(a), low[first] >> U64(18)]))
+    place, first, h = np.concatenate(found, 1)
+    if not len(place):
         none = np.zeros(0, np.int64)
         return np.zeros(0, U64), none, none
-    h = BYTE_VALUE[data]
-    got, got_len, size, rest = None, 0, 1, k
-    power = powers(k + 1)
-    while rest:
-        if rest & 1:
-            got = h if got is None else _join(got, got_len, h, size, power)
-            got_len += size
-        rest >>= 1
-        if rest:
-            h = h[:-size] * power[size] + h[size:]
-            size *= 2
-    h = mix(got)
-    low, at, width = h, np.arange(len(h), dtype=np.int32), 1
-    while width < span:
-        step = min(width, span - width)
-        right = low[step:] < low[: len(low) - step]
-        at = np.where(right, at[step:], at[: len(at) - step])
-        low = np.where(right, low[step:], low[: len(low) - step])
-        width += step
-    # at[i]: the anchor of the window that starts at i
-    at = at[:n]
-    last = np.repeat(offsets[1:] - least, np.diff(offsets))[:n]
-    valid = np.arange(n) <= last
-    new = np.ones(n, bool)
-    new[1:] = (at[1:] != at[:-1]) | ~valid[:-1]
-    first = np.flatnonzero(new & valid)
-    inside = np.cumsum(valid)
-    ends = np.append(first[1:], n)
-    count = inside[ends - 1] - inside[first] + 1
+    new = np.append(True, place[1:] != place[:-1])
+    place, first, h = place[new].astype(np.int64), first[new].astype(np.int64), h[new]
+    end = np.append(first[1:], len(data) - least + 1)
+    row = np.searchsorted(offsets, place, "right") - 1
+    first, end = np.maximum(first, offsets[row]), np.minimum(end, offsets[row + 1] - least + 1)
+    full = end > first
     # window minima crowd at small values: mixed again, they deal out evenly
-    return mix(h[at[first]] ^ U64(0x9E3779B97F4A7C15)), first, count
+    return mix(h[full] ^ U64(0x9E3779B97F4A7C15)) >> U64(18), first[full], (end - first)[full]
 
 
-def _join(left: np.ndarray, left_len: int, right: np.ndarray, right_len: int, power: np.ndarray) -> np.ndarray:
-    """The hashes of strings of left_len + right_len bytes."""
-    n = len(right) - left_len
-    return left[:n] * power[right_len] + right[left_len:]
+def _grams(data: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k bytes, joined from those of powers of two."""
+    power, h, size = powers(k + 1), BYTE_VALUE[data], 1
+    got, got_len = None, 0
+    while True:
+        if k & size:
+            got = h if got is None else got[: len(h) - got_len] * power[size] + h[got_len:]
+            got_len += size
+        if 2 * size > k:
+            return got
+        h = h[:-size] * power[size] + h[size:]
+        size *= 2
 
 
-def _blocks(least: int):
+def _blocks():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
-        for batch in chunks(batches, most=BLOCK_BYTES):
-            data, offsets = utf8(batch.column("text"))
-            hashes, first, _ = anchors(data, offsets, least)
-            doc = ids(batch.column("doc_id"))[np.searchsorted(offsets, first, "right") - 1]
-            # the lowest bit tells that the block itself has the hash in two documents
-            order = np.argsort(hashes)
-            hashes, doc = hashes[order] & ~U64(1), doc[order]
-            starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-            if len(starts):
-                several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-                hashes = hashes[starts] | several.astype(U64)
+        for batch in chunks(batches, most=BLOCK_BYTES, rows=20000):
             n += 1
-            yield pa.RecordBatch.from_pydict({"block": pa.array([(task << 24) + n], pa.int64()), "docs": pa.array([_pack(batch)], pa.binary()), "hashes": pa.array([blob(hashes)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([(task << 24) + n], pa.int64()), "docs": pa.array([_pack(batch)], pa.binary())})
 
     return run
 
 
-def _split(buckets: int):
-    """Deal a block's sorted hashes out by their leading bits."""
+def _pack_hashes(h: np.ndarray) -> bytes:
+    """Sorted hashes of 46 bits: 32 each, and the numbers of those with the same leading 14."""
+    heads = np.bincount((h >> U64(32)).astype(np.int64), minlength=1 << 14).astype(np.int32)
+    return zstandard.ZstdCompressor(level=1).compress(blob(heads, h.astype(np.uint32)))
+
+
+def _unpack_hashes(data: bytes) -> np.ndarray:
+    heads, low = unblob(zstandard.ZstdDecompressor().decompress(data))
+    return (np.repeat(np.arange(1 << 14, dtype=U64), heads) << U64(32)) | low
+
+
+def _deal(h: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n even parts of the sorted hashes begins."""
+    return np.searchsorted((h >> U64(16)).astype(np.int64) * n >> 30, np.arange(n + 1))
+
+
+def _requests(least: int, buckets: int):
+    """The distinct anchor hashes of each block, twice if the block has one in two documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
-                (hashes,) = unblob(data)
-                owner = (hashes >> U64(40)).astype(np.int64) * buckets >> 24
-                cut = np.searchsorted(owner, np.arange(buckets + 1))
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
+                docs = _unpack(packed)
+                data, offsets = utf8(docs.column("text"))
+                h, first, _ = anchors(data, offsets, least)
+                doc = ids(docs.column("doc_id"))[np.searchsorted(offsets, first, "right") - 1]
+                order = np.argsort(h)
+                h, doc = h[order], doc[order]
+                starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+                if not len(starts):
+                    continue
+                several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
+                h = np.repeat(h[starts], 1 + several)
+                cut = _deal(h, buckets)
                 full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int64()), "block": pa.array(np.full(len(full), block), pa.int64()), "hashes": pa.array([blob(hashes[cut[b] : cut[b + 1]]) for b in full], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int64()), "block": pa.array(np.full(len(full), block), pa.int64()), "hashes": pa.array([_pack_hashes(h[cut[b] : cut[b + 1]]) for b in full], pa.binary())})
 
     return run
 
 
 def _repeated(table: pa.Table) -> pa.Table:
     """For each block of a bucket those of its hashes that two documents have."""
-    blocks = table.column("block").to_numpy()
-    parts = [unblob(x)[0] for x in table.column("hashes").to_pylist()]
+    parts = [_unpack_hashes(x) for x in table.column("hashes").to_pylist()]
     every = np.sort(np.concatenate(parts))
-    plain = every & ~U64(1)
-    twice = np.zeros(len(every), bool)
-    twice[1:] = plain[1:] == plain[:-1]
-    wanted = np.unique(plain[twice | (every & U64(1)).astype(bool)])
+    wanted = np.unique(every[1:][every[1:] == every[:-1]])
     out_block, out = [], []
-    for block, part in zip(blocks, parts, strict=True):
-        part = part & ~U64(1)
+    for block, part in zip(table.column("block").to_pylist(), parts, strict=True):
+        part = np.unique(part)
         at = np.minimum(np.searchsorted(wanted, part), max(len(wanted) - 1, 0))
         if len(wanted) and len(hit := part[wanted[at] == part]):
             out_block.append(block)
-            out.append(blob(hit))
+            out.append(_pack_hashes(hit))
     return pa.table({"block": pa.array(out_block, pa.int64()), "hashes": pa.array(out, pa.binary())})
 
 
-def _contexts(least: int, shards: int):
-    """The distinct contexts of a block's repeated anchors, dealt by anchor, and where they occur."""
+class Contexts:
+    """The contexts of a block's repeated anchors: where each occurs, and the distinct ones by anchor."""
+
+    def __init__(self, docs: pa.RecordBatch, wanted: list[bytes], least: int):
+        self.data, self.offsets = utf8(docs.column("text"))
+        self.doc = ids(docs.column("doc_id"))
+        h, first, count = anchors(self.data, self.offsets, least)
+        want = np.sort(np.concatenate([_unpack_hashes(x) for x in wanted]))
+        hit = want[np.minimum(np.searchsorted(want, h), len(want) - 1)] == h
+        h, self.first, self.count = h[hit], first[hit], count[hit]
+        length = self.count + least - 1
+        where = spans(self.first, length)
+        begin = np.cumsum(length) - length
+        value = BYTE_VALUE[self.data[where]] * powers(2 * least)[np.arange(len(where)) - np.repeat(begin, length)]
+        key = mix(np.add.reduceat(value, begin) ^ length.astype(U64)) if len(begin) else np.zeros(0, U64)
+        self.row = np.searchsorted(self.offsets, self.first, "right") - 1
+        doc = self.doc[self.row]
+        order = np.lexsort((doc, key, h))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (key[order][1:] != key[order][:-1])
+        self.context = np.empty(len(order), np.int64)
+        self.context[order] = np.cumsum(new) - 1
+        lead = order[new]  # of each distinct context the occurrence in the smallest document
+        self.hash, self.key, self.low, self.start, self.length = h[lead], key[lead], doc[lead], self.first[lead], length[lead]
+
 
+def _contexts(least: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, packed, wanted in zip(*(batch.column(x).to_pylist() for x in ("block", "docs", "wanted")), strict=True):
-                docs = _unpack(packed)
-                data, offsets = utf8(docs.column("text"))
-                hashes, first, count = anchors(data, offsets, least)
-                hashes &= ~U64(1)
-                want = np.sort(np.concatenate([unblob(x)[0] for x in wanted]))
-                at = np.minimum(np.searchsorted(want, hashes), len(want) - 1)
-                hit = want[at] == hashes
-                hashes, first, count = hashes[hit], first[hit], count[hit]
-                row = np.searchsorted(offsets, first, "right") - 1
-                doc = ids(docs.column("doc_id"))[row]
-                length = count + least - 1
-                where = spans(first, length)
-                begin = np.cumsum(length) - length
-                value = BYTE_VALUE[data[where]] * powers(2 * least)[np.arange(len(where)) - np.repeat(begin, length)]
-                key = mix(np.add.reduceat(value, begin) ^ length.astype(U64)) if len(begin) else np.zeros(0, U64)
-                order = np.lexsort((doc, key, hashes))
-                new = np.ones(len(order), bool)
-                new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (key[order][1:] != key[order][:-1])
-                own = np.cumsum(new) - 1
-                context = np.empty(len(order), np.int32)
-                context[order] = own
-                lead = order[new]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([-1], pa.int64()), "block": pa.array([block], pa.int64()), "data": pa.array([blob(first, count.astype(np.int32), context)], pa.binary())})
-                owner = (hashes[lead] >> U64(40)).astype(np.int64) * shards >> 24
-                cut = np.searchsorted(owner, np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(cut)):
-                    part = lead[cut[s] : cut[s + 1]]
-                    raw = data[spans(first[part], length[part])]
-                    text = np.frombuffer(zstandard.ZstdCompressor(level=1).compress(raw.tobytes()), np.uint8)
-                    body = blob(np.arange(cut[s], cut[s + 1], dtype=np.int32), hashes[part], key[part], doc[part], length[part].astype(np.int32), text)
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int64()), "block": pa.array([block], pa.int64()), "data": pa.array([body], pa.binary())})
+                c = Contexts(_unpack(packed), wanted, least)
+                cut = _deal(c.hash, shards)
+                full = np.flatnonzero(np.diff(cut))
+                out = []
+                for s in full:
+                    a, b = cut[s], cut[s + 1]
+                    text = c.data[spans(c.start[a:b], c.length[a:b])]
+                    # the anchor's last byte parts a shard into smaller indexes
+                    sub = c.hash[a:b].astype(np.uint8)
+                    out.append(zstandard.ZstdCompressor(level=3).compress(blob(text, c.length[a:b].astype(np.uint16), _small(c.low[a:b]), sub, c.key[a:b])))
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(full, pa.int64()), "block": pa.array(np.full(len(full), block), pa.int64()), "data": pa.array(out, pa.binary())})
 
     return run
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """In 32 bits if all fit."""
+    return x.astype(np.uint32) if len(x) and x.min() >= 0 and x.max() < 1 << 32 else x
+
+
 def _dense(key: np.ndarray) -> np.ndarray:
     """The rank of each key among the distinct keys."""
     order = np.argsort(key)
@@ -247,6 +265,7 @@ class RunIndex:
         change = np.ones(n, bool)
         change[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
         self.starts = np.flatnonzero(change)
+        self.run = np.cumsum(change, dtype=np.int32) - 1
         self.chars = before[self.starts]
         sizes = np.diff(np.append(self.starts, n))
         by_char = np.argsort(self.chars, kind="stable")
@@ -269,10 +288,11 @@ class RunIndex:
         elif whole.any():
             raise ValueError("least must be 7 bytes or more")
         self.classes = np.flatnonzero(~same)
+        self.of_class = np.cumsum(~same, dtype=np.int32) - 1
 
     def back(self, rank: np.ndarray) -> np.ndarray:
         """The rank of the suffix that is one byte longer."""
-        run = np.searchsorted(self.starts, rank, "right") - 1
+        run = self.run[rank]
         return self.target[run] + rank - self.starts[run]
 
     def stream(self, texts: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -285,86 +305,90 @@ class RunIndex:
             live = int(np.searchsorted(-left, -done, "right"))
             rank = self.back(rank[:live])
             if done >= least:
-                yield done, texts[:live], np.searchsorted(self.classes, rank, "right") - 1
+                yield done, texts[:live], self.of_class[rank]
 
 
 def _answers(least: int):
     def run(table: pa.Table) -> pa.Table:
-        blocks = table.column("block").to_numpy()
-        raw = [unblob(x) for x in table.column("data").to_pylist()]
-        own, anchor, key, doc, length = (np.concatenate([x[i] for x in raw]) for i in range(5))
         undo = zstandard.ZstdDecompressor()
-        text = np.frombuffer(b"".join(undo.decompress(x[5].tobytes()) for x in raw), np.uint8)
-        cut = np.append(0, np.cumsum([len(x[0]) for x in raw]))
-        start = np.cumsum(length, dtype=np.int64) - length
-        order = np.lexsort((doc, key, anchor))
+        raw = [unblob(undo.decompress(x)) for x in table.column("data").to_pylist()]
+        text, length, doc, sub, key = (np.concatenate([x[i] for x in raw]) for i in range(5))
+        length, doc = length.astype(np.int64), doc.astype(np.int64)
+        cut = np.append(0, np.cumsum([len(x[1]) for x in raw]))
+        start = np.cumsum(length) - length
+        order = np.lexsort((doc, key, sub))
         new = np.ones(len(order), bool)
-        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (key[order][1:] != key[order][:-1])
+        new[1:] = (sub[order][1:] != sub[order][:-1]) | (key[order][1:] != key[order][:-1])
         one = np.empty(len(order), np.int64)
         one[order] = np.cumsum(new) - 1
         lead = order[new]  # of each distinct context the row with the smallest document
-        low, size = doc[lead], length[lead].astype(np.int64)
-        index = RunIndex(text[spans(start[lead], size)], size, least)
-        first = np.full(len(index.classes), _NONE)
-        for _, texts, found in index.stream(np.arange(len(lead)), least):
-            np.minimum.at(first, found, low[texts])
-        # bit j: the window j of the context also starts in a smaller document
-        earlier = np.zeros(len(lead), np.uint64)
-        wide = [np.zeros(len(lead), np.uint64) for _ in range(int((size.max(initial=0) - least) // 64) + 1)]
-        for done, texts, found in index.stream(np.arange(len(lead)), least):
-            at = size[texts] - done
-            hit = first[found] < low[texts]
-            for w, bits in enumerate(wide):
-                here = hit & (at >> 6 == w)
-                bits[texts[here]] |= U64(1) << (at[here] & 63).astype(U64)
-        earlier = np.stack(wide, 1)
-        out = []
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            mine = one[a:b]
-            out.append(blob(own[a:b], low[mine], np.array([earlier.shape[1]]), earlier[mine].ravel()))
-        return pa.table({"block": pa.array(blocks, pa.int64()), "data": pa.array(out, pa.binary())})
+        low, size, begin, sub = doc[lead], length[lead], start[lead], sub[lead]
+        words = int((size.max(initial=least) - least) // 64) + 1
+        earlier = np.zeros((len(lead), words), U64)
+        part = np.cumsum(size) // INDEX_BYTES
+        # whole anchors go to an index: cut only where the anchor's last byte changes
+        part = part[np.searchsorted(sub, sub)]
+        for a, b in zip(*_bounds(part), strict=True):
+            earlier[a:b] = _earlier(text[spans(begin[a:b], size[a:b])], size[a:b], low[a:b], least, words)
+        out = [zstandard.ZstdCompressor(level=1).compress(blob(_small(low[one[a:b]]), np.array([words]), earlier[one[a:b]].ravel())) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        shard = table.column("shard").to_pylist()
+        return pa.table({"block": table.column("block").cast(pa.int64()), "shard": pa.array(shard, pa.int64()), "data": pa.array(out, pa.binary())})
 
     return run
 
 
+def _bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values begin and end."""
+    begin = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return begin, np.append(begin[1:], len(x)) if len(x) else begin
+
+
+def _earlier(text: np.ndarray, size: np.ndarray, low: np.ndarray, least: int, words: int) -> np.ndarray:
+    """Bits by context: window j also starts in a context of a smaller document."""
+    index = RunIndex(text, size, least)
+    seen = list(index.stream(np.arange(len(size)), least))
+    first = np.full(len(index.classes), _NONE)
+    for _, texts, found in seen:
+        np.minimum.at(first, found, low[texts])
+    bits = np.zeros((len(size), words), U64)
+    for done, texts, found in seen:
+        at = size[texts] - done
+        hit = first[found] < low[texts]
+        texts, at = texts[hit], at[hit]
+        bits[texts, at >> 6] |= U64(1) << (at & 63).astype(U64)
+    return bits
+
+
 def _cut(least: int, schema: pa.Schema, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed, places, answers in zip(*(batch.column(x).to_pylist() for x in ("docs", "places", "answers")), strict=True):
+            for packed, wanted, answers in zip(*(batch.column(x).to_pylist() for x in ("docs", "wanted", "answers")), strict=True):
                 docs = _unpack(packed)
                 data, offsets = utf8(docs.column("text"))
-                gone = removed(data, offsets, ids(docs.column("doc_id")), places, answers, least)
+                gone = removed(docs, wanted, answers, least) if wanted else np.zeros(len(data), bool)
                 yield _result(docs, data, offsets, gone, schema, texts)
 
     return run
 
 
-def removed(data, offsets, doc, places, answers, least) -> np.ndarray:
+def removed(docs: pa.RecordBatch, wanted: list[bytes], answers: list[dict], least: int) -> np.ndarray:
     """Which bytes of a block go."""
-    starts = np.zeros(len(data) + 1, bool)
-    if places:
-        first, count, context = unblob(places[0])
-        total = int(context.max(initial=-1)) + 1
-        low, bits = np.full(total, _NONE), np.zeros((total, 1), np.uint64)
-        for x in answers or []:
-            own, small, width, mask = unblob(x)
-            mask = mask.reshape(-1, int(width[0]))
-            if mask.shape[1] > bits.shape[1]:
-                bits = np.pad(bits, ((0, 0), (0, mask.shape[1] - bits.shape[1])))
-            low[own] = small
-            bits[own, : mask.shape[1]] = mask
-        row = np.searchsorted(offsets, first, "right") - 1
-        later = doc[row] > low[context]
-        count = count.astype(np.int64)
-        at = spans(np.zeros(len(first), np.int64), count)
-        of = np.repeat(np.arange(len(first)), count)
-        mark = later[of] | (bits[context[of], at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool)
-        starts[spans(first, count)[mark]] = True
+    c = Contexts(docs, wanted, least)
+    undo = zstandard.ZstdDecompressor()
+    parts = [unblob(undo.decompress(x["data"])) for x in sorted(answers, key=lambda x: x["shard"])]
+    low = np.concatenate([p[0].astype(np.int64) for p in parts])
+    words = max(int(p[1][0]) for p in parts)
+    bits = np.concatenate([np.pad(m := p[2].reshape(len(p[0]), -1), ((0, 0), (0, words - m.shape[1]))) for p in parts])
+    later = c.doc[c.row] > low[c.context]
+    at = spans(np.zeros(len(c.first), np.int64), c.count)
+    of = np.repeat(np.arange(len(c.first)), c.count)
+    mark = later[of] | ((bits[c.context[of], at >> 6] >> (at & 63).astype(U64)) & U64(1)).astype(bool)
+    starts = np.zeros(len(c.data), np.int64)
+    starts[spans(c.first, c.count)[mark]] = 1
     # a byte goes if a marked window starts at it or at most least - 1 bytes before it
-    total = np.cumsum(starts[:-1])
-    earlier = np.zeros_like(total)
-    earlier[least:] = total[:-least] if least < len(total) else earlier[least:]
-    return total > earlier
+    total = np.cumsum(starts)
+    total[least:] -= total[:-least].copy()
+    return total > 0
 
 
 def _result(docs, data, offsets, gone, schema, texts) -> pa.RecordBatch:
@@ -417,18 +441,15 @@ def remove_repeats(docs: DataFrame, least: int = 50, texts: bool = True) -> Data
     new = StructType.fromDDL(added)
     docs = docs.select([docs[c] for c in docs.columns if c not in new.names]).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     schema = StructType([*docs.schema, *new])
-    blocks = materialize(docs.mapInArrow(_blocks(least), "block long, docs binary, hashes binary"), "blocks")
-    row = blocks.agg(F.count("*"), F.coalesce(F.sum(F.length("hashes")), F.lit(0))).first()
-    n_blocks, hash_bytes = max(int(row[0]), 1), int(row[1])
-    size = n_blocks * BLOCK_BYTES
-    buckets, shards = hash_bytes // HASH_BYTES + 1, size // SHARD_BYTES + 1
-    requests = blocks.select("block", "hashes").mapInArrow(_split(buckets), "bucket long, block long, hashes binary")
+    blocks = materialize(docs.mapInArrow(_blocks(), "block long, docs binary"), "blocks")
+    size = int(blocks.agg(F.coalesce(F.sum(F.length("docs")), F.lit(0))).first()[0])
+    buckets, shards = size // BUCKET_BYTES + 1, size // SHARD_BYTES + 1
+    requests = blocks.mapInArrow(_requests(least, buckets), "bucket long, block long, hashes binary")
     found = requests.groupBy("bucket").applyInArrow(_repeated, "block long, hashes binary")
     wanted = materialize(found.groupBy("block").agg(F.collect_list("hashes").alias("wanted")), "wanted")
-    asked = blocks.select("block", "docs").join(wanted, "block")
-    contexts = materialize(asked.mapInArrow(_contexts(least, shards), "shard long, block long, data binary"), "contexts")
-    answers = contexts.where("shard >= 0").groupBy("shard").applyInArrow(_answers(least), "block long, data binary")
-    answers = answers.groupBy("block").agg(F.collect_list("data").alias("answers"))
-    places = contexts.where("shard < 0").groupBy("block").agg(F.collect_list("data").alias("places"))
-    final = blocks.select("block", "docs").join(places.join(answers, "block", "left"), "block", "left")
+    asked = blocks.join(wanted, "block")
+    contexts = asked.mapInArrow(_contexts(least, shards), "shard long, block long, data binary")
+    answers = contexts.groupBy("shard").applyInArrow(_answers(least), "block long, shard long, data binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("answers"))
+    final = blocks.join(wanted.join(answers, "block"), "block", "left")
     return final.mapInArrow(_cut(least, to_arrow_schema(schema), texts), schema)
