@@ -158,3 +158,26 @@ def unblob(data: bytes) -> list[np.ndarray]:
 def ids(column: pa.Array, null: int = np.iinfo(np.int64).max) -> np.ndarray:
     """A whole-number column as int64; nulls become the largest value, so they come last."""
     return pc.fill_null(column.cast(pa.int64()), null).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of a sorted partition in pieces that hold whole groups."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        new = np.zeros(table.num_rows, bool)
+        for k in keys:
+            x = table.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        edge = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if edge:
+            yield table.slice(0, edge).combine_chunks()
+        rest = table.slice(edge)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()
+
+
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
