@@ -3,18 +3,79 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vgraph.llm import mixing, packing, vbyte, webp
+from vgraph.llm.kneser_ney import quality
+from vgraph.llm.licenses import scan_licenses
+from vgraph.llm.odd_sketch import near_duplicates
+from vgraph.llm.rp_forest import near_vectors
 from vgraph.llm.run_index import remove_repeats
+from vgraph.llm.url_rules import filter_urls
+
+#: (verdict, host, path)
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of documents that are labelled good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+
+
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs with the label of the document that their path's number names: blocked if bad or toxic."""
+    pages = table(spark, sf_dir, "pages").select("url", F.regexp_extract("url", r"://[^/?#]*/[a-z]+/(\d+)", 1).try_cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    return pages.join(labels, "doc_id").select("url", "block")
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labelled_urls(spark, sf_dir), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.read(webp.store(table(spark, sf_dir, "documents")), pixels=False)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op6_vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = vbyte.write_ids(table(spark, sf_dir, "documents"), vbyte.new_folder(spark))
+    return vbyte.read_ids(spark, folder, ids=False)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("rate")
+
+
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality(docs, trusted(spark, sf_dir), quantile=0.995).drop("text")
+
+
+def op9_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
 def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, least=50, texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op10_run_index,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_licenses, op3_url_rules, op4_webp, op5_packing, op6_vbyte, op7_mixing, op8_kneser_ney, op9_odd_sketch, op10_run_index)}
+
+ORACLES = {"op7_mixing": mixing.ORACLE}
