@@ -12,7 +12,7 @@ from vgraph.llm.tokens import Encoder, default_vocabulary
 from vgraph.llm.vbyte import decode, encode, new_folder, read_ids, write_ids
 
 LIBRARY = Tokenizer.from_file(default_vocabulary())
-ODD = ["", None, " \t\r\n\x0b\x0c ", "á b c d ́x", "<|endoftext|> it's <|endoftext|>x don't'LL", "x" * 5000, "é\x85ü \x1c\x1d y", "​ ﻿ 漢字かな\U0001f600 12ab34 ...--- \x00 z", "word " * 30000]
+ODD = ["", None, " \t\r\n\x0b\x0c ", "á b c d ́x", "<|endoftext|> it's <|endoftext|>x don't'LL", "x" * 5000, "é\x85ü \x1c\x1d y", "​ ﻿ 漢字かな\U0001f600 12ab34 ...--- \x00 z", "word " * 30000, "İstanbul ΑΣ. ΑΣ.α ǅa ﬁx Σ Ça, ÇA! é, a's. B.C.", "((x)) x) ..y. it's, 'tis A--B"]
 
 
 def real(text):

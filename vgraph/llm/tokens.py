@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,14 @@ from pyspark.sql import functions as F
 from vgraph.llm.arrays import chunks, spans, utf8, words
 
 #: Distinct words that a task remembers, and the id that ends a document.
-WORDS, END = 200_000, 2
+WORDS, END = 1_000_000, 2
+#: ASCII signs other than the apostrophe, and the last letter of the Latin blocks.
+SIGNS, LATIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\u024f"
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    """The array, or one of at least n places that begins with it."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
 
 class Encoder:
@@ -26,27 +34,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.words: dict[bytes, int] = {}
+        self.core, self.tail = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.pieces: dict[str, int] = {"": 0}
         self.first, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        """The ids of strings without white space; those of letters only are encoded many at a time."""
+        out: list = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+        groups = [plain[k : k + 400] for k in range(0, len(plain), 400)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = found.ids
+            ends = [k + 1 for k, x in enumerate(ids) if x in self.ends]
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                for i, x, y in zip(group, [0, *ends], ends, strict=False):
+                    out[i] = ids[x:y]
+            else:  # a letter that lower-casing takes apart
+                rest += group
+        for i, found in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = found.ids
+        return out
+
     def _learn(self, new: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)
-        lists = [x.ids for x in found]
-        size = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([i for x in lists for i in x], np.uint32)
-        n, at = len(self.place), self.used
-        while n + len(new) > len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
-        while at + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.first[n : n + len(new)] = at + np.cumsum(size) - size
-        self.size[n : n + len(new)] = size
+        # the tokenizer parts letters from signs that follow, and doesn't tell A-Z from a-z
+        cores, tails = [], []
+        for w in map(bytes.decode, new):
+            core = w.rstrip(SIGNS)
+            if not core or not core.isalpha() or max(core) > LATIN:
+                cores.append(w)
+                tails.append("")
+            else:
+                cores.append(core.lower() if core.isascii() else core)
+                tails.append(w[len(core) :])
+        unknown = [*{*cores, *tails} - self.pieces.keys()]
+        lists = self._library(unknown)
+        n, at = len(self.pieces), self.used
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
+        self.first, self.size, self.ids = _grown(self.first, n + len(lists)), _grown(self.size, n + len(lists)), _grown(self.ids, at + len(flat))
+        self.first[n : n + len(lists)] = at + np.cumsum(size) - size
+        self.size[n : n + len(lists)] = size
         self.ids[at : at + len(flat)] = flat
         self.used += len(flat)
-        self.place.update(zip(new, range(n, n + len(new)), strict=True))
+        self.pieces.update(zip(unknown, range(n, n + len(unknown)), strict=True))
+        k = len(self.words)
+        self.core, self.tail = _grown(self.core, k + len(new)), _grown(self.tail, k + len(new))
+        self.core[k : k + len(new)] = list(map(self.pieces.__getitem__, cores))
+        self.tail[k : k + len(new)] = list(map(self.pieces.__getitem__, tails))
+        self.words.update(zip(new, range(k, k + len(new)), strict=True))
 
     def encode(self, column: pa.Array, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, each with the end id."""
@@ -58,12 +99,14 @@ class Encoder:
             parts += raw[a:b].split()
         if len(parts) != len(start):
             raise AssertionError("white space is told in two ways")
-        if len(self.place) > WORDS:
+        if len(self.words) > WORDS:
             self.clear()
-        if new := list(set(parts) - self.place.keys()):
+        if new := list(set(parts) - self.words.keys()):
             self._learn(new)
-        which = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
-        size = self.size[which]
+        which = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
+        both = np.stack([self.core[which], self.tail[which]], 1).ravel()
+        sizes = self.size[both]
+        size = sizes[::2] + sizes[1::2]
         n = len(offsets) - 1
         per_row = np.bincount(row, size, n).astype(np.int64)
         tail = 0 if end is None else 1
@@ -71,7 +114,7 @@ class Encoder:
         out = np.empty(out_offsets[-1], np.uint32)
         if tail:
             out[out_offsets[1:] - 1] = end
-        out[spans(out_offsets[:-1], per_row)] = self.ids[spans(self.first[which], size)]
+        out[spans(out_offsets[:-1], per_row)] = self.ids[spans(self.first[both], sizes)]
         return out, out_offsets
 
 
