@@ -25,6 +25,8 @@ ORDER = 4
 START, END, WIDE = 1, 2, 0xFFFD
 #: Scored grams up to which the table of scores is sent to all tasks; beyond, documents' grams are joined with it.
 SENT = 2_000_000
+#: Languages up to which their discounts are sent to all tasks.
+LANGUAGES = 10_000
 _GRAMS = "lang string, gram long, trusted long, hits long"
 
 
@@ -136,14 +138,16 @@ def model(counts: DataFrame) -> DataFrame:
         levels[k] = levels[k + 1].groupBy("lang", ends.alias("gram")).agg(F.count("*").alias("c"))
         levels[k] = materialize(levels[k], "level")
     units = levels[1].groupBy("lang").agg((F.count("*") + 1).alias("units"))
-    asked = counts.select("lang", "gram").join(units, "lang", "left").withColumn("p", 1 / F.coalesce("units", F.lit(1 << 16))).drop("units")
+    # a row for each language: sent to all tasks unless there are very many
+    sent = F.broadcast if units.count() <= LANGUAGES else lambda df: df
+    asked = counts.select("lang", "gram").join(sent(units), "lang", "left").withColumn("p", 1 / F.coalesce("units", F.lit(1 << 16))).drop("units")
     for k in range(1, ORDER + 1):
         n = [F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.expr("try_divide(n1, n1 + 2 * n2)")
         found = [F.least(F.lit(float(i)), F.greatest(F.lit(0.0), F.coalesce(i - (i + 1) * y * F.expr(f"try_divide(n{i + 1}, n{i})"), F.lit(0.5 * i)))) for i in (1, 2, 3)]
         cuts = levels[k].groupBy("lang").agg(*n).select("lang", *(d.alias(f"d{i + 1}") for i, d in enumerate(found)))
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        level = levels[k].join(cuts, "lang").select("lang", "gram", "c", cut.alias("cut"))
+        level = levels[k].join(sent(cuts), "lang").select("lang", "gram", "c", cut.alias("cut"))
         context = F.shiftrightunsigned("gram", 16).alias("context") if k > 1 else F.lit(0).cast("long").alias("context")
         sums = level.groupBy("lang", context).agg(F.sum("c").alias("all"), F.sum("cut").alias("left"))
         mask = (1 << 16 * k) - 1 if k < 4 else -1
@@ -220,5 +224,6 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99) ->
     limits = scored.where("trusted").select(lang, "perplexity").groupBy("of_lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"))
     limits = materialize(limits, "limits")
     names = [*scored.columns, "threshold"]
+    limits = F.broadcast(limits) if limits.count() <= LANGUAGES else limits
     out = scored.withColumn("of_lang", lang).join(limits, "of_lang", "left").select(names)
     return out.withColumn("kept", F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))))

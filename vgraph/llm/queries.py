@@ -12,6 +12,7 @@ from vgraph.llm.odd_sketch import near_duplicates
 from vgraph.llm.rp_forest import near_vectors
 from vgraph.llm.run_index import remove_repeats
 from vgraph.llm.url_rules import filter_urls
+from vgraph.plans.workspace import materialize
 
 #: (verdict, host, path)
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -46,7 +47,8 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webp.read(webp.store(table(spark, sf_dir, "documents")), pixels=False)
+    media = materialize(webp.store(table(spark, sf_dir, "documents")), "media")
+    return webp.read(media, pixels=False)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
