@@ -22,7 +22,7 @@ def plain_model(texts):
     for k in c:
         n = Counter(c[k].values())
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
-        cuts[k] = [min(i, max(0.0, i - (i + 1) * y * n[i + 1] / n[i])) if y is not None and n[i] else 0.5 * i for i in (1, 2, 3)]
+        cuts[k] = [min(i, max(0.05, i - (i + 1) * y * n[i + 1] / n[i])) if y is not None and n[i] else 0.5 * i for i in (1, 2, 3)]
         all_[k], left[k] = Counter(), defaultdict(float)
         for g, m in c[k].items():
             all_[k][g[:-1]] += m

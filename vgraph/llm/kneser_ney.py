@@ -21,6 +21,8 @@ from vgraph.llm.arrays import chunks, row_of, utf8
 from vgraph.plans.workspace import materialize
 
 ORDER = 4
+#: The least discount; without one a text unlike any would have the probability 0.
+FLOOR = 0.05
 #: Code units that stand for the start and the end of a text and for characters beyond 16 bits.
 START, END, WIDE = 1, 2, 0xFFFD
 #: Scored grams up to which the table of scores is sent to all tasks; beyond, documents' grams are joined with it.
@@ -144,7 +146,7 @@ def model(counts: DataFrame) -> DataFrame:
     for k in range(1, ORDER + 1):
         n = [F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.expr("try_divide(n1, n1 + 2 * n2)")
-        found = [F.least(F.lit(float(i)), F.greatest(F.lit(0.0), F.coalesce(i - (i + 1) * y * F.expr(f"try_divide(n{i + 1}, n{i})"), F.lit(0.5 * i)))) for i in (1, 2, 3)]
+        found = [F.least(F.lit(float(i)), F.greatest(F.lit(FLOOR), F.coalesce(i - (i + 1) * y * F.expr(f"try_divide(n{i + 1}, n{i})"), F.lit(0.5 * i)))) for i in (1, 2, 3)]
         cuts = levels[k].groupBy("lang").agg(*n).select("lang", *(d.alias(f"d{i + 1}") for i, d in enumerate(found)))
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = levels[k].join(sent(cuts), "lang").select("lang", "gram", "c", cut.alias("cut"))
