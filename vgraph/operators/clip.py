@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vgraph.functions.geometry import oriented, per_point, segments, total
 from vgraph.operators.topology import giant_component
+from vgraph.plans.workspace import materialize
 from vgraph.schema import FACES, check_box
 
 
@@ -83,13 +84,16 @@ def cut(vertices: DataFrame, edges: DataFrame, box: dict, legacy: bool = False)
     e = e.withColumn("points", F.when(F.col("turn"), F.reverse("points")).otherwise(F.col("points")))
     if not legacy:
         e = e.withColumn("diameters", F.when(F.col("turn"), F.reverse("diameters")).otherwise(F.col("diameters")))
+    e = materialize(e, "turned")
     whole = e.where("place = 'in'")
     # walk from the inner end
     c = e.where("place = 'across'").withColumn("near", F.when(F.col("src_in"), F.col("src")).otherwise(F.col("dst")))
     c = c.withColumns({n: F.when(F.col("src_in"), F.col(n)).otherwise(F.reverse(n)) for n in ("points", "diameters")})
     mask = F.transform("points", lambda p: inside(p, box))
     c = c.withColumn("out", F.array_position(mask, F.lit(False)).cast("int")).where("out > 1")
-    c = c.withColumn("leave", crossing(F.element_at("points", F.col("out") - 1), F.element_at("points", F.col("out")), box)).where("leave is not null")
+    # written, as the crossing names its two points many times
+    c = materialize(c.withColumn("a", F.element_at("points", F.col("out") - 1)).withColumn("b", F.element_at("points", F.col("out"))), "leaving")
+    c = materialize(c.withColumn("leave", crossing(F.col("a"), F.col("b"), box)).drop("a", "b").where("leave is not null"), "crossings")
     point = F.struct("leave.x", "leave.y", "leave.z")
     kept = F.concat(F.slice("points", F.lit(1), F.col("out") - 1), F.array(point))
     ds = F.when(F.size("diameters") == F.size("points"), F.concat(F.slice("diameters", F.lit(1), F.col("out") - 1), F.array(F.element_at("diameters", F.col("out") - 1))))
@@ -103,6 +107,7 @@ def cut(vertices: DataFrame, edges: DataFrame, box: dict, legacy: bool = False)
     cut_edges = c.withColumn("src", F.col("near")).withColumn("dst", F.col("border"))
     cut_edges = cut_edges.withColumn("lengths2", segments(F.col("points"))).withColumn("length", total(F.col("lengths2"))).withColumn("lengths", per_point(F.col("lengths2")))
     every = whole.select(names).unionByName(cut_edges.select(names))
+    every = materialize(every, "cut")
     old = vertices.drop("is_border", "border_face").where(inside(None, box)).withColumn("is_border", F.lit(0)).withColumn("border_face", F.lit(None).cast("string"))
     v = old.unionByName(new.select(old.columns))
     ends = every.select("graph", F.explode(F.array("src", "dst")).alias("vid")).distinct()

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vgraph.plans.workspace import materialize
 
+#: Edges up to which one task joins them at once; more go through rounds over all tasks.
+SMALL = 200_000
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) of every vertex that has an edge to another vertex.
@@ -20,6 +27,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     pairs = edges.where(a.isNotNull() & b.isNotNull() & (a != b))
     stars = materialize(pairs.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).distinct(), "cc")
     seen = _signature(stars)
+    if seen[0] <= SMALL:
+        return stars.coalesce(1).mapInArrow(_joined, "id long, component long")
     while True:
         stars = materialize(_round(stars), "cc")
         now = _signature(stars)
@@ -30,6 +39,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return stars.select(F.col("v").alias("id"), F.col("m").alias("component")).unionByName(roots)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of a bounded number of edges: roots hook onto smaller roots until none is left to."""
+    parts = [np.stack([b.column(c).to_numpy() for c in ("v", "m")]) for b in batches]
+    if parts:
+        ids, ends = np.unique(np.concatenate(parts, 1), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        root = np.arange(len(ids))
+        while (root[a] != root[b]).any():
+            x, y = root[a], root[b]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "component": pa.array(ids[root])})
+
+
 def _round(stars: DataFrame) -> DataFrame:
     """One large-star step, then one small-star step; edges run from v to a smaller m."""
     both = stars.union(stars.select("m", "v")).toDF("u", "w")
