@@ -234,7 +234,8 @@ def _verified(docs: DataFrame, clusters: DataFrame, n: int, percent: int, parts:
     keys = ["component", "a", "b"]
 
     def run(dealt: DataFrame) -> DataFrame:
-        texts = docs.join(dealt.select("doc_id", *keys, "side"), "doc_id")
+        # texts are dealt by id at any size, so that small and large runs have one plan
+        texts = docs.join(dealt.select("doc_id", *keys, "side").hint("merge"), "doc_id")
         return texts.repartition(parts, *keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(_confirm(n, percent, keys), "src long, dst long")
 
     links = materialize(run(members), "links")
