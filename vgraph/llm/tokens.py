@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vgraph.llm.arrays import chunks, spans, utf8, words
+from vgraph.llm.arrays import chunks, spans, utf8
 
 #: Distinct words that a task remembers, and the id that ends a document.
 WORDS, END = 1_000_000, 2
@@ -66,12 +66,13 @@ class Encoder:
         cores, tails = [], []
         for w in map(bytes.decode, new):
             core = w.rstrip(SIGNS)
-            if not core or not core.isalpha() or max(core) > LATIN:
+            ascii_ = core.isascii()
+            if core.isalpha() and (ascii_ or max(core) <= LATIN):
+                cores.append(core.lower() if ascii_ else core)
+                tails.append(w[len(core) :])
+            else:
                 cores.append(w)
                 tails.append("")
-            else:
-                cores.append(core.lower() if core.isascii() else core)
-                tails.append(w[len(core) :])
         unknown = [*{*cores, *tails} - self.pieces.keys()]
         lists = self._library(unknown)
         n, at = len(self.pieces), self.used
@@ -92,13 +93,10 @@ class Encoder:
     def encode(self, column: pa.Array, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, each with the end id."""
         data, offsets = utf8(column)
-        start, _, row = words(data, offsets)
         raw = data.tobytes()
-        parts: list[bytes] = []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            parts += raw[a:b].split()
-        if len(parts) != len(start):
-            raise AssertionError("white space is told in two ways")
+        by_row = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        row = np.repeat(np.arange(len(by_row)), np.fromiter(map(len, by_row), np.int64, len(by_row)))
+        parts = list(chain.from_iterable(by_row))
         if len(self.words) > WORDS:
             self.clear()
         if new := list(set(parts) - self.words.keys()):
@@ -134,17 +132,23 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def with_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids): each text's ids and the end id as little-endian unsigned 32-bit integers.
+def width(path: str) -> str:
+    """The type in which ids of a vocabulary file are kept: two bytes where all fit, else four."""
+    return "<u2" if max(encoder(path).tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
+
+
+def with_ids(docs: DataFrame, path: str | None = None, kind: str = "<u4") -> DataFrame:
+    """(doc_id, ids): each text's ids and the end id as little-endian unsigned integers of the type ``kind``.
 
     Null text counts as empty; rows that share a doc_id stay apart.
     """
     path = path or default_vocabulary()
+    size = int(kind[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=2 << 20):
             ids, offsets = encoder(path).encode(batch.column("text"))
-            data = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+            data = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((size * offsets).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": data})
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vgraph.llm.tokens import with_ids
+from vgraph.llm.tokens import default_vocabulary, width, with_ids
 from vgraph.plans.workspace import materialize, work_dir
 
 MAGIC = b"FRVB\x01\x00\x00\x00"
@@ -72,14 +72,13 @@ def read_payload(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return docs, known, counts, decode(np.frombuffer(raw, np.uint8, n_control, at), np.frombuffer(raw, np.uint8, n_data, at + n_control), total)
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _histogram(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for x in batch.column("ids").to_pylist():
-            counts = np.bincount(np.frombuffer(x, "<u4"))
-            if len(counts) > len(total):
-                total = np.pad(total, (0, len(counts) - len(total)))
-            total[: len(counts)] += counts
+        counts = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind))
+        if len(counts) > len(total):
+            total = np.pad(total, (0, len(counts) - len(total)))
+        total[: len(counts)] += counts
     found = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"id": pa.array(found), "n": pa.array(total[found])})
 
@@ -90,9 +89,11 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> str:
     Subfolders: blocks (part, block, n_docs, n_tokens, payload) and ranks (rank, id).
     """
     spark = docs.sparkSession
-    tokens = materialize(with_ids(docs, path), "tokens")
+    path = path or default_vocabulary()
+    kind = width(path)
+    tokens = materialize(with_ids(docs, path, kind), "tokens")
     # one row for each id of the vocabulary at most
-    counts = tokens.mapInArrow(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.mapInArrow(lambda batches: _histogram(batches, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     order = np.array([r[0] for r in counts.orderBy(F.desc("n"), "id").collect()], np.int64)
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
@@ -113,7 +114,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> str:
 
         for batch in batches:
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                ids = np.frombuffer(raw, "<u4")
+                ids = np.frombuffer(raw, kind)
                 if held and n + len(ids) > BLOCK:
                     yield out()
                     block, held, n = block + 1, [], 0
