@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,31 @@ def _grown(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
 
+def newest(numbered: dict, known: int) -> list:
+    """The keys that have come after the first ``known``, in order."""
+    return list(islice(reversed(numbered), len(numbered) - known))[::-1]
+
+
+class Lists:
+    """Lists of ids behind each other, by number."""
+
+    def __init__(self) -> None:
+        self.first, self.size, self.ids, self.n, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0, 0
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        n, used = self.n + len(size), self.used + len(ids)
+        self.first, self.size, self.ids = _grown(self.first, n), _grown(self.size, n), _grown(self.ids, used)
+        self.first[self.n : n] = self.used + np.cumsum(size) - size
+        self.size[self.n : n] = size
+        self.ids[self.used : used] = ids
+        self.n, self.used = n, used
+
+    def get(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number for each) of the numbered lists."""
+        size = self.size[which].astype(np.int64)
+        return self.ids[spans(self.first[which], size)], size
+
+
 class Encoder:
     """Encodes texts word by word and remembers words.
 
@@ -34,32 +60,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        names = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(names.values()) + 1, bool)
+        self.is_end[[i for t, i in names.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.core, self.tail = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
-        self.pieces: dict[str, int] = {"": 0}
-        self.first, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        """The ids of strings without white space; those of letters only are encoded many at a time."""
-        out: list = [None] * len(texts)
+        # words and their pieces get numbers as they come; the arrays hold where their ids lie
+        self.words: dict[bytes, int] = defaultdict(count().__next__)
+        self.of_words = Lists()
+        self.pieces: dict[str, int] = defaultdict(count().__next__)
+        self.of_pieces = Lists()
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number for each text) of strings without white space; those of letters only are encoded many at a time."""
+        size, parts, order = np.zeros(len(texts), np.int64), [], []
         plain = [i for i, t in enumerate(texts) if t.isalpha()]
         rest = [i for i, t in enumerate(texts) if not t.isalpha()]
         groups = [plain[k : k + 400] for k in range(0, len(plain), 400)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
-            ids = found.ids
-            ends = [k + 1 for k, x in enumerate(ids) if x in self.ends]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) == len(group) and ends[-1] == len(ids):
-                for i, x, y in zip(group, [0, *ends], ends, strict=False):
-                    out[i] = ids[x:y]
+                size[group] = np.diff(ends, prepend=0)
+                parts.append(ids)
+                order += group
             else:  # a letter that lower-casing takes apart
                 rest += group
         for i, found in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = found.ids
-        return out
+            ids = np.array(found.ids, np.uint32)
+            size[i] = len(ids)
+            parts.append(ids)
+        order = np.array(order + rest, np.int64)
+        first = np.zeros(len(texts), np.int64)
+        first[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([*parts, np.zeros(0, np.uint32)])[spans(first, size)], size
 
     def _learn(self, new: list[bytes]) -> None:
         # the tokenizer parts letters from signs that follow, and doesn't tell A-Z from a-z
@@ -73,46 +108,39 @@ class Encoder:
             else:
                 cores.append(w)
                 tails.append("")
-        unknown = [*{*cores, *tails} - self.pieces.keys()]
-        lists = self._library(unknown)
-        n, at = len(self.pieces), self.used
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
-        self.first, self.size, self.ids = _grown(self.first, n + len(lists)), _grown(self.size, n + len(lists)), _grown(self.ids, at + len(flat))
-        self.first[n : n + len(lists)] = at + np.cumsum(size) - size
-        self.size[n : n + len(lists)] = size
-        self.ids[at : at + len(flat)] = flat
-        self.used += len(flat)
-        self.pieces.update(zip(unknown, range(n, n + len(unknown)), strict=True))
-        k = len(self.words)
-        self.core, self.tail = _grown(self.core, k + len(new)), _grown(self.tail, k + len(new))
-        self.core[k : k + len(new)] = list(map(self.pieces.__getitem__, cores))
-        self.tail[k : k + len(new)] = list(map(self.pieces.__getitem__, tails))
-        self.words.update(zip(new, range(k, k + len(new)), strict=True))
+        known = len(self.pieces)
+        both = np.empty(2 * len(new), np.int64)
+        both[::2] = np.fromiter(map(self.pieces.__getitem__, cores), np.int64, len(new))
+        both[1::2] = np.fromiter(map(self.pieces.__getitem__, tails), np.int64, len(new))
+        self.of_pieces.add(*self._library(newest(self.pieces, known)))
+        ids, size = self.of_pieces.get(both)
+        self.of_words.add(ids, size[::2] + size[1::2])
 
     def encode(self, column: pa.Array, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, each with the end id."""
         data, offsets = utf8(column)
         raw = data.tobytes()
         by_row = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        row = np.repeat(np.arange(len(by_row)), np.fromiter(map(len, by_row), np.int64, len(by_row)))
+        n_words = np.fromiter(map(len, by_row), np.int64, len(by_row))
         parts = list(chain.from_iterable(by_row))
         if len(self.words) > WORDS:
             self.clear()
-        if new := list(set(parts) - self.words.keys()):
-            self._learn(new)
+        known = len(self.words)
         which = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
-        both = np.stack([self.core[which], self.tail[which]], 1).ravel()
-        sizes = self.size[both]
-        size = sizes[::2] + sizes[1::2]
-        n = len(offsets) - 1
-        per_row = np.bincount(row, size, n).astype(np.int64)
+        if len(self.words) > known:
+            self._learn(newest(self.words, known))
+        found, size = self.of_words.get(which)
+        before = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(n_words))]
         tail = 0 if end is None else 1
-        out_offsets = np.append(0, np.cumsum(per_row + tail))
+        out_offsets = before + tail * np.arange(len(before))
         out = np.empty(out_offsets[-1], np.uint32)
         if tail:
-            out[out_offsets[1:] - 1] = end
-        out[spans(out_offsets[:-1], per_row)] = self.ids[spans(self.first[both], sizes)]
+            mine = np.ones(len(out), bool)
+            mine[out_offsets[1:] - 1] = False
+            out[~mine] = end
+            out[mine] = found
+        else:
+            out[:] = found
         return out, out_offsets
 
 
