@@ -35,6 +35,8 @@ TEMPLATES = {
 CUES = r"(?i)licen[sc]|copyright|rights reserved|permission is hereby|redistribut|free software|public domain"
 #: A winner's block must shrink by this share and its wording may differ in this share of the template's words.
 REDUCTION, DIFFERENCE = 0.3, 0.15
+#: Characters of a block whose verdict a task remembers; longer ones are judged each time.
+REMEMBERED = 4000
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -61,9 +63,13 @@ class Scanner:
                 sample = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.known.append((name, text, words_of(text), zstandard.ZstdCompressor(level=3, dict_data=sample, write_content_size=False, write_dict_id=False)))
         self.seen: dict[str, tuple | None] = {}
+        # no wording reaches further from a line than this
+        self.reach = 2 * max((len(text) for _, text, _, _ in self.known), default=0)
 
     def judge(self, block: str) -> tuple[str, float, int] | None:
         """(license, reduction, differing words) of a block, or None."""
+        if len(block) > REMEMBERED:
+            return self._judge(block)
         if block not in self.seen:
             if len(self.seen) > 50_000:
                 self.seen.clear()
@@ -88,7 +94,7 @@ class Scanner:
         """(line, block, license, reduction, differences) of each block of a text, by line.
 
         A block is a line with a cue. Where that is no license, the line is judged with the two before and
-        the three after it, but for lines that are licenses themselves.
+        the three after it, but for lines that are licenses themselves; of those neighbours as much counts as a template could reach.
         """
         lines = text.split("\n")
         cue = [i for i, line in enumerate(lines) if re.search(CUES, line)]
@@ -103,8 +109,10 @@ class Scanner:
             if i in found or i <= done:
                 continue
             run = [j for j in range(max(i - 2, done + 1), min(i + 4, len(lines))) if j not in found]
-            joined = " ".join(lines[j].strip() for j in run)
-            if len(joined) <= 4000 and (x := self.judge(joined)):
+            before = " ".join([lines[j].strip() for j in run if j < i])[-self.reach :]
+            after = " ".join([lines[j].strip() for j in run if j > i])[: self.reach]
+            joined = " ".join([x for x in (before, lines[i].strip(), after) if x])
+            if x := self.judge(joined):
                 found[i], done = [(i, joined, *x)], run[-1]
         for i in sorted(found):
             yield from found[i]
