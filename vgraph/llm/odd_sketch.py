@@ -232,9 +232,10 @@ def _verified(docs: DataFrame, clusters: DataFrame, n: int, percent: int, parts:
     home = F.when(F.col("at") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.floor(F.col("at") / BLOCK)))
     members = materialize(numbered.select(F.col("id").alias("doc_id"), "component", "blocks", "at", F.explode(home).alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("side")), "members")
     keys = ["component", "a", "b"]
+    # all texts are dealt once; from here on those of the clusters are enough
+    docs = materialize(docs.join(clusters.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
 
     def run(dealt: DataFrame) -> DataFrame:
-        # texts are dealt by id at any size, so that small and large runs have one plan
         texts = docs.join(dealt.select("doc_id", *keys, "side").hint("merge"), "doc_id")
         return texts.repartition(parts, *keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(_confirm(n, percent, keys), "src long, dst long")
 
