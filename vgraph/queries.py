@@ -296,7 +296,7 @@ ORACLES["region_vertices"] = "SELECT id, depth, count(c_custkey) AS n FROM (SELE
 
 def skeleton_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes, links, loops, end points and isolated points of the voxels that lattice points round to, every 4 um."""
-    p = lattice.edges(spark, sf_dir).where("graph = 'G0' or src % 7 < 6").select(F.explode("points").alias("p"))
+    p = lattice.edges(spark, sf_dir, every=True).select(F.explode("points").alias("p"))
     parts = skeleton.to_graph(p.select(*((F.round(F.col(f"p.{a}") / 4)).cast("long").alias(a) for a in "xyz")))
     count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
     return count("nodes", parts["nodes"]).unionByName(count("links", parts["links"].where("not is_loop"))).unionByName(count("loops", parts["links"].where("is_loop"))).unionByName(count("endpoints", parts["endpoints"])).unionByName(count("isopoints", parts["isopoints"]))
