@@ -1,9 +1,12 @@
+import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vgraph.llm.mixing import mix_sources
@@ -107,3 +110,22 @@ def test_mixing_reaches_its_targets(spark):
     assert len({(r["doc_id"], r["copy"]) for r in out}) == len(out)
     assert [r["position"] for r in out] == sorted(r["position"] for r in out)
     assert mix_sources(df.limit(0)).count() == 0
+
+
+def test_rare_sources_are_repeated_as_often_as_they_need(spark):
+    def drawn(rate, doc):
+        point, k, c = int(hashlib.md5(f"0:{doc}".encode()).hexdigest()[:13], 16) / 16**13, 0, 0.0
+        while (c := c + math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))) <= point:
+            k += 1
+        return k
+
+    # rates of 0.5, 300, 1,500 and 60,000
+    rows = [(i, "x" * 1000, "big") for i in range(240)] + [(1000 + i, "y" * 40, "rare") for i in range(2)] + [(2000, "z" * 200, "some"), (2001, "z" * 200, "some"), (3000, "w" * 2, None)]
+    weights = spark.createDataFrame([("big", 1.0), ("rare", 1.0), ("some", 1.0), (None, 1.0)], "source string, weight double")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mix_sources(df, weights, total=480_000.0).groupBy("doc_id", "rate").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("m"), F.max("copy").alias("last")).collect()
+    got = {r["doc_id"]: r["n"] for r in out}
+    assert {round(r["rate"], 6) for r in out} == {0.5, 300.0, 1500.0, 60000.0}
+    assert all(r["n"] == r["m"] == r["last"] + 1 for r in out)
+    of = {"big": 0.5, "some": 300.0, "rare": 1500.0, None: 60000.0}
+    assert got == {i: n for i, _, s in rows if (n := drawn(of[s], i))}

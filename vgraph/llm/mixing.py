@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vgraph.plans.workspace import materialize
 
 #: Digits of an MD5 that make a point between 0 and 1: 13 hexadecimal digits are 52 bits.
 DIGITS = 13
-#: Sources up to which their rates are sent to all tasks; beyond, documents are dealt by source.
-MOST_SENT = 50_000
+#: Sources and probabilities up to which their table is sent to all tasks; beyond, documents are dealt by source.
+MOST_SENT, MOST_SUMS = 50_000, 20_000_000
+#: Means up to which exp() gives the probability of 0, with which the table begins; those of larger means begin near the mean.
+FROM_ZERO = 500
+#: Copies of a document that are held at once.
+BLOCK = 10_000
 
 
 def uniform(text: Column) -> Column:
@@ -34,11 +38,30 @@ def poisson_table(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["sums"])
 
 
+def near_mean(rate: Column, k: Column) -> Column:
+    """The probability of k, some hundreds at least, for a mean near it: Stirling's series, and the rest by the share that k differs by."""
+    x = (k - rate) / rate
+    series = 1 / (12 * k) - 1 / (360 * F.pow(k, F.lit(3.0))) + 1 / (1260 * F.pow(k, F.lit(5.0)))
+    return F.exp(-rate * ((1 + x) * F.log1p(x) - x) - series) / F.sqrt(2 * math.pi * k)
+
+
+def tables(rated: DataFrame) -> DataFrame:
+    """(of_source, rate, first, sums): ``sums`` are the cumulative probabilities of first, first + 1, ... copies."""
+    columns = ["of_source", "rate", "first", "sums"]
+    small = rated.where(F.col("rate") <= FROM_ZERO).withColumn("first", F.lit(0).cast("long")).withColumn("sums", poisson_table(F.col("rate")))
+    # a point of 52 bits is never further from the mean than nine deviations and a little
+    reach = F.ceil(9 * F.sqrt("rate") + 40)
+    large = rated.where(F.col("rate") > FROM_ZERO).withColumns({"first": F.floor("rate") - reach, "last": F.floor("rate") + reach})
+    large = large.select("of_source", "rate", "first", F.explode(F.sequence("first", "last")).alias("k"))
+    large = large.withColumn("c", F.sum(near_mean(F.col("rate"), F.col("k").cast("double"))).over(Window.partitionBy("of_source").orderBy("k")))
+    large = large.groupBy("of_source", "rate", "first").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda s: s["c"]).alias("sums"))
+    return small.select(columns).unionByName(large.select(columns))
+
+
 def rates(docs: DataFrame, weights: DataFrame | None, source: str, total: float | None) -> DataFrame:
     """(source, rate): target share of the total over the source's own size in characters.
 
-    A source that holds no characters has the rate 0. Above 500 a rate would leave the range of exp();
-    it stops the run, as do weights that are negative or not finite.
+    A source that holds no characters has the rate 0. Weights that are negative or not finite stop the run.
     """
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     sizes = docs.groupBy(F.col(source).alias("of_source")).agg(F.sum(size).alias("size"))
@@ -53,7 +76,7 @@ def rates(docs: DataFrame, weights: DataFrame | None, source: str, total: float
     rate = F.when((F.col("size") > 0) & F.lit(shares > 0), F.col("weight") / (shares or 1.0) * F.lit(goal) / F.col("size")).otherwise(0.0)
     out = sizes.withColumn("rate", rate)
     worst = out.agg(F.max("rate"), F.min("weight")).first()
-    if worst[0] is not None and not (worst[0] <= 500 and worst[1] >= 0 and math.isfinite(worst[0])):
+    if worst[0] is not None and not (worst[1] >= 0 and math.isfinite(worst[0])):
         raise ValueError(f"a source would be repeated {worst[0]} times, or a weight is {worst[1]}")
     return out.select("of_source", "rate")
 
@@ -70,13 +93,15 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str =
     """
     docs = docs.select([docs[c] for c in docs.columns if c not in ("rate", "copy", "position")])
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    table = rates(docs, weights, source, total).withColumn("sums", poisson_table(F.col("rate")))
+    table = materialize(tables(rates(docs, weights, source, total)), "sums")
     point = uniform(F.concat(F.lit(f"{seed}:"), named))
-    if table.count() <= MOST_SENT:
+    many, long = table.agg(F.count("*"), F.coalesce(F.sum(F.size("sums")), F.lit(0))).first()
+    if many <= MOST_SENT and long <= MOST_SUMS:
         table = F.broadcast(table)
     drawn = docs.join(table, F.col(source).eqNullSafe(F.col("of_source")))
-    drawn = drawn.withColumn("times", F.size(F.filter("sums", lambda c: c <= point)))
-    copies = drawn.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times").cast("long") - 1)))
+    drawn = drawn.withColumn("times", F.col("first") + F.size(F.filter("sums", lambda c: c <= point))).drop("first", "sums")
+    copies = drawn.where("times > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {BLOCK}"))))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.col("block") * BLOCK, F.least("times", (F.col("block") + 1) * BLOCK) - 1)))
     key = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), named, F.col("copy").cast("string"))).alias("position")
     copies = copies.select(*docs.columns, "rate", "copy", key)
     return copies.orderBy("position")
