@@ -35,6 +35,18 @@ def test_whole_table_against_plain_search(spark):
     assert got == sorted(want) and len(got) > 20
 
 
+def test_notices_within_prose_and_beside_each_other(spark):
+    prose = "The river ran past the old mill and nobody in the town minded it much. " * 3
+    own = {"House": ["Take what you like and say whose it was."]}
+    rows = [(k, prose[:n] + " Released under the MIT License. " + prose[: n // 2]) for k, n in enumerate((0, 20, 40, 200))]
+    rows += [(4, f"{prose}we say it is Released under the MIT License. All rights reserved. {prose}Licensed under CC BY-SA 4.0."), (5, "All rights reserved. Released under the MIT License.\nLicensed under\nCC BY 4.0."), (6, prose)]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(k, 0, "MIT") for k in range(5)] + [(4, 0, "all-rights-reserved"), (4, 0, "CC-BY-SA-4.0"), (5, 0, "all-rights-reserved"), (5, 0, "MIT"), (5, 1, "CC-BY-4.0")]
+    assert sorted((r["doc_id"], r["line"], r["license"]) for r in got) == sorted(want)
+    mine = spark.createDataFrame([(1, f"{prose}Take what you like and say whose it was. {prose}"), (2, prose)], "doc_id long, text string")
+    assert [(r["doc_id"], r["license"]) for r in scan_licenses(mine, own).collect()] == [(1, "House")]
+
+
 def plain_rule(url):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")

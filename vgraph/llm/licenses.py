@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
-Lines that hold a cue word and their neighbours form candidate blocks. Each block is
-compressed with every template as a raw zstandard dictionary; the template that shrinks it
-most, against no dictionary, is confirmed by the exact differences of its wording.
+Words that no wording of a template can do without mark where to look; the stretches around them whose
+wording is near a template's are candidate blocks. Each block is compressed with every template as a
+raw zstandard dictionary; of those that shrink it enough, against no dictionary, the one whose wording differs least is confirmed.
 """
 
 from __future__ import annotations
@@ -31,12 +31,13 @@ TEMPLATES = {
     "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0."],
     "all-rights-reserved": ["All rights reserved."],
 }
-#: A line with one of these may be part of a license; each template has one.
+#: Words by which a notice is known best; its line is that of the first of these.
 CUES = r"(?i)licen[sc]|copyright|rights reserved|permission is hereby|redistribut|free software|public domain"
 #: A winner's block must shrink by this share and its wording may differ in this share of the template's words.
 REDUCTION, DIFFERENCE = 0.3, 0.15
 #: Characters of a block whose verdict a task remembers; longer ones are judged each time.
 REMEMBERED = 4000
+_MARKS_BEFORE, _MARKS_AFTER = re.compile(r"[^\w\s]*$"), re.compile(r"[^\w\s]*")
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -54,6 +55,30 @@ def differences(template: list[str], block: list[str]) -> int:
     return min(row)
 
 
+def stretches(template: list[str], block: list[str], most: int) -> Iterator[tuple[int, int, int]]:
+    """(differences, start, end) of the stretches of the block that at most ``most`` changes turn into the template, one for each end."""
+    row = [(0, j) for j in range(len(block) + 1)]
+    for i, t in enumerate(template, 1):
+        last, row[0] = row[0], (i, 0)
+        for j, b in enumerate(block, 1):
+            # of equal costs the later start, so that a stretch is no longer than need be
+            cost, start = min((last[0] + (t != b), -last[1]), (row[j][0] + 1, -row[j][1]), (row[j - 1][0] + 1, -row[j - 1][1]))
+            last, row[j] = row[j], (cost, -start)
+    yield from ((cost, start, end) for end, (cost, start) in enumerate(row) if cost <= most and start < end)
+
+
+def anchors(words: list[str]) -> list[str]:
+    """One distinct word more than may differ: every confirmed wording of the template holds one of these."""
+    return sorted(set(words), key=lambda w: (not re.search(CUES, w), -len(w), w))[: int(DIFFERENCE * len(words)) + 1]
+
+
+def hint(templates: dict[str, list[str]]) -> str:
+    """A pattern that each text with a notice fits."""
+    found = sorted({w for texts in templates.values() for text in texts for w in anchors(words_of(text))})
+    # a word that holds another needs no place of its own
+    return "(?iu)" + "|".join(re.escape(w) for w in found if not any(x != w and x in w for x in found))
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]]):
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
@@ -63,8 +88,10 @@ class Scanner:
                 sample = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.known.append((name, text, words_of(text), zstandard.ZstdCompressor(level=3, dict_data=sample, write_content_size=False, write_dict_id=False)))
         self.seen: dict[str, tuple | None] = {}
-        # no wording reaches further from a line than this
-        self.reach = 2 * max((len(text) for _, text, _, _ in self.known), default=0)
+        self.by_anchor: dict[str, list[int]] = {}
+        for k, (_, _, words, _) in enumerate(self.known):
+            for w in anchors(words):
+                self.by_anchor.setdefault(w, []).append(k)
 
     def judge(self, block: str) -> tuple[str, float, int] | None:
         """(license, reduction, differing words) of a block, or None."""
@@ -91,37 +118,52 @@ class Scanner:
         return best and best[1]
 
     def scan(self, text: str) -> Iterator[tuple[int, str, str, float, int]]:
-        """(line, block, license, reduction, differences) of each block of a text, by line.
+        """(line, block, license, reduction, differences) of each notice of a text, in order.
 
-        A block is a line with a cue. Where that is no license, the line is judged with the two before and
-        the three after it, but for lines that are licenses themselves; of those neighbours as much counts as a template could reach.
+        A block reaches from a notice's first word to its last, with up to three marks that touch them, over as many lines as it takes.
+        Of blocks that share words the one whose wording differs least counts, or else the longest template's.
         """
-        lines = text.split("\n")
-        cue = [i for i, line in enumerate(lines) if re.search(CUES, line)]
-        found: dict[int, list] = {}
-        for i in cue:
-            # a very long line is judged by the sentences that hold a cue
-            parts = [lines[i]] if len(lines[i]) <= 600 else [s for s in re.split(r"(?<=[.!?])\s+", lines[i]) if re.search(CUES, s)]
-            if hits := [(i, p, *x) for p in parts if (x := self.judge(p.strip()))]:
-                found[i] = hits
-        done = -1
-        for i in cue:
-            if i in found or i <= done:
+        spans = [m.span() for m in _WORD.finditer(text)]
+        words = [text[a:b].lower() for a, b in spans]
+        # windows around anchors that hold enough of a template's words
+        windows: dict[int, list[list[int]]] = {}
+        for at, word in enumerate(words):
+            for k in self.by_anchor.get(word, ()):
+                asked = self.known[k][2]
+                most = int(DIFFERENCE * len(asked))
+                low, high = max(at - len(asked) - most, 0), at + len(asked) + most + 1
+                if len(set(asked).difference(words[low:high])) > most:
+                    continue
+                mine = windows.setdefault(k, [])
+                if mine and low <= mine[-1][1]:
+                    mine[-1][1] = high
+                else:
+                    mine.append([low, high])
+        near = []
+        for k, mine in windows.items():
+            asked = self.known[k][2]
+            for low, high in mine:
+                near += [(wrong, -len(asked), abs(end - start - len(asked)), low + start, low + end) for wrong, start, end in stretches(asked, words[low:high], int(DIFFERENCE * len(asked)))]
+        taken: set[int] = set()
+        found = []
+        for *_, start, end in sorted(near):
+            if not taken.isdisjoint(range(start, end)):
                 continue
-            run = [j for j in range(max(i - 2, done + 1), min(i + 4, len(lines))) if j not in found]
-            before = " ".join([lines[j].strip() for j in run if j < i])[-self.reach :]
-            after = " ".join([lines[j].strip() for j in run if j > i])[: self.reach]
-            joined = " ".join([x for x in (before, lines[i].strip(), after) if x])
-            if x := self.judge(joined):
-                found[i], done = [(i, joined, *x)], run[-1]
-        for i in sorted(found):
-            yield from found[i]
+            a, b = spans[start][0], spans[end - 1][1]
+            a -= len(_MARKS_BEFORE.search(text, max(a - 3, 0), a)[0])
+            b += len(_MARKS_AFTER.match(text, b, b + 3)[0])
+            block = " ".join(text[a:b].split())
+            if x := self.judge(block):
+                taken.update(range(start, end))
+                cue = next((i for i in range(start, end) if re.search(CUES, words[i])), start)
+                found.append((start, (text.count("\n", 0, spans[cue][0]), block, *x)))
+        yield from (row for _, row in sorted(found))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, line, license, reduction, differences, block), one row for each license notice in ``docs`` (doc_id, text).
 
-    ``line`` counts from 0. Documents without a cue, null and empty texts give no rows; repeated rows and null doc_ids each give their own.
+    ``line`` counts from 0. Documents without a notice, null and empty texts give no rows; repeated rows and null doc_ids each give their own.
     """
     templates = templates or TEMPLATES
 
@@ -133,5 +175,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(columns[0], pa.int64()), "line": pa.array(columns[1], pa.int64()), "license": pa.array(columns[3], pa.string()), "reduction": pa.array(columns[4], pa.float64()), "differences": pa.array(columns[5], pa.int64()), "block": pa.array(columns[2], pa.string())})
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hinted = docs.where(F.col("text").rlike(CUES))
+    hinted = docs.where(F.col("text").rlike(hint(templates)))
     return hinted.mapInArrow(run, "doc_id long, line long, license string, reduction double, differences long, block string")
