@@ -77,3 +77,11 @@ def test_rules_and_mined_rules(spark):
         for r in (r for r in got if r["url"] == url):
             assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict or ("block" if hit else "allow")), url
     assert mine(train.limit(0)).count() == 0
+
+
+def test_a_rare_host_is_found_in_a_large_table_and_chance_is_not_in_a_small_one(spark):
+    url = "concat('http://', {}, '/', id % 7, '/', id)"
+    large = spark.range(60_000).selectExpr("if(id < 60, " + url.format("'rare-pills.biz'") + ", " + url.format("concat('site', id % 50, '.org')") + ") as url", "id < 60 or id % 10 = 0 as block")
+    assert ["host1:rare-pills"] in [r["items"] for r in mine(large).where("size(items) = 1").collect()] or ["host0:biz"] in [r["items"] for r in mine(large).collect()]
+    small = spark.range(900).selectExpr(url.format("concat('site', id div 3, '.org')") + " as url", "hash(id) % 10 = 0 as block")
+    assert mine(small).count() == 0

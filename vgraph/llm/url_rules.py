@@ -1,7 +1,7 @@
 """URL filtering by association rules, with host and path rules that come first.
 
 Spark's FP-growth mines combinations of URL tokens that go with the label block;
-rules below a support or a confidence are pruned. A rule is filed under its rarest
+rules with few blocked URLs, a low confidence or one that chance explains are pruned. A rule is filed under its rarest
 token; URLs meet it by a join on that token and must hold its other tokens too.
 """
 
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from vgraph.plans.workspace import materialize
 
 BLOCK = "=block"
+#: Blocked URLs that a rule needs, at any size of the table.
+LEAST = 30
+#: Deviations by which a rule's blocked share must be above that of all labelled URLs.
+DEVIATIONS = 3.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: After the first ://, the host, the path, and what follows.
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
@@ -40,20 +44,28 @@ def tokens(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), found).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6) -> DataFrame:
+def mine(labelled: DataFrame, support: float | None = None, confidence: float = 0.6) -> DataFrame:
     """(items, key, confidence, support) of the rules from tokens to the label block.
 
     ``labelled`` has (url, block boolean); rows with a null in either are left out. ``support`` is the share of all labelled URLs that
-    hold the tokens and are blocked; ``confidence`` the blocked share of those that hold them. ``key`` is the rarest token.
+    hold the tokens and are blocked, by default that of ``LEAST`` URLs; ``confidence`` the blocked share of those that hold them, whose
+    lower bound (Wilson's, ``DEVIATIONS`` below) must be above the share of all. ``key`` is the rarest token.
     A rule that holds another's tokens at no higher confidence is dropped.
     """
     rows = labelled.where("url is not null and block is not null").select(tokens(F.col("url")).alias("items"), "block").where(F.size("items") > 0)
     rows = materialize(rows.select(F.when(F.col("block"), F.array_append("items", BLOCK)).otherwise(F.col("items")).alias("items")), "items")
     empty = rows.sparkSession.createDataFrame([], "items array<string>, key string, confidence double, support double")
-    if rows.where(F.array_contains("items", BLOCK)).isEmpty():
+    total, blocked = rows.agg(F.count("*"), F.count_if(F.array_contains("items", BLOCK))).first()
+    if support is None:
+        support = (LEAST - 0.5) / max(total, 1)
+    if not blocked or blocked < support * total:
         return empty
     fitted = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
     rules = fitted.associationRules.where(F.element_at("consequent", 1) == BLOCK).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
+    # how many hold a rule's tokens
+    n, z = F.col("support") * total / F.col("confidence"), DEVIATIONS
+    lower = (F.col("confidence") + z * z / (2 * n) - z * F.sqrt(F.col("confidence") * (1 - F.col("confidence")) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    rules = rules.where(lower > blocked / total)
     single = fitted.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("item"), "freq")
     spread = rules.select("items", "confidence", "support", F.explode("items").alias("item")).join(single, "item")
     keyed = spread.groupBy("items").agg(F.min_by("item", F.struct("freq", "item")).alias("key"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
@@ -82,7 +94,7 @@ def fixed_rule(host_: Column, path_: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
-def filter_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]], support: float = 0.002, confidence: float = 0.6) -> DataFrame:
+def filter_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]], support: float | None = None, confidence: float = 0.6) -> DataFrame:
     """The rows of ``pages`` (page_id, url, more) with host, path, rule, verdict and confidence added.
 
     The longest fitting host and path rule decides, or else whether a mined rule fits: block or allow. A null URL or one
