@@ -48,13 +48,13 @@ def rows_of(rng):
 
 def test_perplexity_is_that_of_a_plain_model(spark, monkeypatch):
     rows = rows_of(random.Random(3))
-    df = spark.createDataFrame([(*r, "more") for r in rows], "doc_id long, text string, lang string, kept string").repartition(4)
+    df = spark.createDataFrame([(*r, "more", "own") for r in rows], "doc_id long, text string, lang string, kept string, of_lang string").repartition(4)
     good = spark.createDataFrame([(i,) for i in (*range(0, 50), *range(100, 130), 204, None)], "doc_id long")
     models = {lang: plain_model([t for i, t, x in rows if (x or "") == lang and i is not None and (i < 50 or 100 <= i < 130 or i == 204)]) for lang in ("x", "y", "")}
     for sent in (kneser_ney.SENT, 10):
         monkeypatch.setattr(kneser_ney, "SENT", sent)
         got = quality(df, good, 0.9).collect()
-        assert len(got) == len(rows)
+        assert len(got) == len(rows) and {r["of_lang"] for r in got} == {"own"}
         for r in got:
             if not r["text"]:
                 assert r["perplexity"] is None and not r["kept"]
@@ -64,9 +64,13 @@ def test_perplexity_is_that_of_a_plain_model(spark, monkeypatch):
                 continue
             u = units(r["text"])
             p = models[r["lang"] or ""]
-            want = math.exp(-sum(math.log(p(tuple(u[i : i + 4]))) for i in range(len(u) - 3)) / (len(u) - 3))
+            each = [math.log(p(tuple(u[i : i + 4]))) for i in range(len(u) - 3)]
+            want = math.exp(-sum(each) / len(each))
             assert abs(r["perplexity"] - want) < 1e-6 * want
-            assert r["kept"] == (r["perplexity"] <= r["threshold"])
+            many = min(len(each), kneser_ney.WINDOW)
+            want = math.exp(-min(sum(each[i : i + many]) / many for i in range(len(each) - many + 1)))
+            assert abs(r["worst_perplexity"] - want) < 1e-6 * want
+            assert r["kept"] == (r["perplexity"] <= r["threshold"] and r["worst_perplexity"] <= r["worst_threshold"])
     assert quality(df.limit(0), good).count() == 0
 
 
@@ -75,7 +79,18 @@ def test_bad_documents_go_and_good_ones_stay(spark):
 
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    out = op8_kneser_ney(spark, d).join(labels, "doc_id").selectExpr("quality", "int(kept) kept").groupBy("quality").avg("kept").collect()
+    # toxic documents of good prose are no clean ones
+    out = op8_kneser_ney(spark, d).join(labels, "doc_id").where("quality = 0 or toxic = 0").selectExpr("quality", "int(kept) kept").groupBy("quality").avg("kept").collect()
     share = {r[0]: r[1] for r in out}
     # the smallest languages have some 40 trusted documents here
     assert share[1] > 0.95 and share[0] < 0.25
+
+
+def test_toxic_words_in_good_prose_show(spark):
+    from vgraph.llm.queries import op8_kneser_ney
+
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    out = op8_kneser_ney(spark, d).join(labels, "doc_id").where("lang = 'en' and quality = 1").selectExpr("toxic", "int(kept) kept").groupBy("toxic").avg("kept").collect()
+    share = {r[0]: r[1] for r in out}
+    assert share[1] < 0.1 and share[0] > 0.98

@@ -3,8 +3,8 @@
 The units are characters and the order is four. Counts of trusted text, and every
 four-gram that any document holds, come out of one pass; discounts, interpolation
 weights and probabilities are joins of count tables dealt by language and gram.
-Documents are then scored, and each language's threshold is a quantile of its
-trusted documents' perplexities.
+Documents are then scored, as a whole and at their worst window of a few characters, in
+which a single bad word shows. Each language's thresholds are quantiles of its trusted documents' scores.
 """
 
 from __future__ import annotations
@@ -17,10 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from vgraph.llm.arrays import chunks, row_of, utf8
+from vgraph.llm.arrays import chunks, row_of, runs, utf8
 from vgraph.plans.workspace import materialize
 
 ORDER = 4
+#: Characters of a window; about a word.
+WINDOW = 8
+#: Bytes of text that a task scores at a time, and places of a table of pairs of pairs.
+CHUNK, PLACES = 512 << 10, 4_000_000
 #: The least discount; without one a text unlike any would have the probability 0.
 FLOOR = 0.05
 #: Code units that stand for the start and the end of a text and for characters beyond 16 bits.
@@ -29,6 +33,8 @@ START, END, WIDE = 1, 2, 0xFFFD
 SENT = 2_000_000
 #: Languages up to which their discounts are sent to all tasks.
 LANGUAGES = 10_000
+_SCORES = ["__kn_mean", "__kn_worst"]
+_ADDED = ["trusted", "perplexity", "threshold", "worst_perplexity", "worst_threshold", "kept"]
 _GRAMS = "lang string, gram long, trusted long, hits long"
 
 
@@ -58,7 +64,7 @@ class Local:
         self.pairs, code = np.unique(np.concatenate([gram >> 32 & 0xFFFFFFFF, gram & 0xFFFFFFFF]), return_inverse=True) if len(gram) < 1000 else _by_table(gram)
         self.n = len(self.pairs)
         self.code = code[: len(gram)].astype(np.int64) * self.n + code[len(gram) :]
-        if self.n**2 <= 40_000_000:
+        if self.n**2 <= PLACES:
             seen = np.zeros(self.n**2, bool)
             seen[self.code] = True
             self.distinct = np.flatnonzero(seen)
@@ -98,7 +104,7 @@ def _languages(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each chunk's distinct grams by language, with their numbers in trusted texts and in all."""
-    for batch in chunks(batches, most=4 << 20):
+    for batch in chunks(batches, most=CHUNK):
         langs, of = _languages(batch)
         trusted = np.asarray(batch.column("trusted").to_numpy(zero_copy_only=False), bool)
         gram, row = grams(batch)
@@ -110,20 +116,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([str(lang)] * len(local.gram), pa.string()), "gram": pa.array(local.gram), "trusted": pa.array(good), "hits": pa.array(hits)})
 
 
+def _sums(score: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, least mean of a window) of the scores of each of n rows; a row shorter than a window is one."""
+    size = np.bincount(row, minlength=n)
+    mean = np.bincount(row, score, n) / np.maximum(size, 1)
+    worst = mean.copy()
+    many = max(len(score) - WINDOW + 1, 0)
+    window = np.zeros(many)
+    for j in range(WINDOW):
+        window += score[j : j + many]
+    inside = np.flatnonzero(row[:many] == row[WINDOW - 1 : WINDOW - 1 + many])
+    if len(inside):
+        first = runs(row[inside])
+        worst[row[inside][first]] = np.minimum.reduceat(window[inside], first) / WINDOW
+    return mean, worst
+
+
 def _score(table: dict[str, tuple[np.ndarray, np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, most=4 << 20):
+        for batch in chunks(batches, most=CHUNK):
             langs, of = _languages(batch)
             gram, row = grams(batch)
-            total = np.zeros(batch.num_rows)
+            score = np.zeros(len(gram))
             for k, lang in enumerate(langs):
                 mine = of[row] == k
                 local = Local(gram[mine])
-                known, score = table[str(lang)]
-                value = score[np.searchsorted(known, local.gram)]
-                total += np.bincount(row[mine], value[local.place], batch.num_rows)
-            size = np.bincount(row, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total / size)], names=[*batch.schema.names, "log_prob"])
+                known, found = table[str(lang)]
+                score[mine] = found[np.searchsorted(known, local.gram)][local.place]
+            mean, worst = _sums(score, row, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mean), pa.array(worst)], names=[*batch.schema.names, *_SCORES])
 
     return run
 
@@ -162,9 +183,9 @@ def model(counts: DataFrame) -> DataFrame:
 
 
 def with_perplexity(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang, more) with ``trusted`` and ``perplexity`` added."""
+    """The rows of ``docs`` (doc_id, text, lang, more) with ``trusted``, ``perplexity`` and ``worst_perplexity`` added."""
     spark = docs.sparkSession
-    docs = docs.select([docs[c] for c in docs.columns if c not in ("trusted", "perplexity", "log_prob", "threshold", "kept")])
+    docs = docs.select([docs[c] for c in docs.columns if c not in _ADDED])
     ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     ids = materialize(ids, "trusted")
     if ids.count() <= SENT:
@@ -185,47 +206,65 @@ def with_perplexity(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
             mine = mine[np.argsort(gram[mine])]
             table[str(x)] = gram[mine], score[mine]
         sent = spark.sparkContext.broadcast(table)
-        scored = docs.mapInArrow(lambda batches: _score(sent.value)(batches), StructType([*docs.schema, StructField("log_prob", DoubleType())]))
+        scored = docs.mapInArrow(lambda batches: _score(sent.value)(batches), StructType([*docs.schema, *(StructField(c, DoubleType()) for c in _SCORES)]))
     else:
         scored = _by_join(docs, scores)
-    return scored.withColumn("perplexity", F.when(F.length("text") > 0, F.exp(-F.col("log_prob")))).drop("log_prob")
+    text = F.length("text") > 0
+    return scored.select(*names, F.when(text, F.exp(-F.col(_SCORES[0]))).alias("perplexity"), F.when(text, F.exp(-F.col(_SCORES[1]))).alias("worst_perplexity"))
 
 
 def _by_join(docs: DataFrame, scores: DataFrame) -> DataFrame:
-    """The log-probability of each row by a join of its distinct grams with the scores."""
-    keys = ["of_lang", "of_text"]
-    docs = docs.withColumn("of_lang", F.coalesce("lang", F.lit(""))).withColumn("of_text", F.sha2(F.coalesce("text", F.lit("")), 256))
+    """The scores of each row by a join of its text's distinct grams with the table; rows of equal texts share one."""
+    keys = ["__kn_lang", "__kn_text"]
+    docs = docs.withColumn(keys[0], F.coalesce("lang", F.lit(""))).withColumn(keys[1], F.sha2(F.coalesce("text", F.lit("")), 256))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, most=1 << 20):
+        for batch in chunks(batches, most=CHUNK):
             gram, row = grams(batch)
+            place = np.arange(len(row)) - np.searchsorted(row, np.arange(batch.num_rows))[row]
             order = np.lexsort((gram, row))
-            gram, row = gram[order], row[order]
+            gram, row, place = gram[order], row[order], place[order].astype(np.int32)
             first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])))
-            n = np.diff(np.append(first, len(gram)))
+            ends = pa.py_buffer((4 * np.append(first, len(gram))).astype(np.int32))
             at = pa.array(row[first])
-            yield pa.RecordBatch.from_pydict({"of_lang": batch.column("of_lang").take(at), "of_text": batch.column("of_text").take(at), "gram": pa.array(gram[first]), "n": pa.array(n)})
+            yield pa.RecordBatch.from_pydict({k: batch.column(k).take(at) for k in keys} | {"gram": pa.array(gram[first]), "places": pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(place)])})
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for found in batch.column("found"):
+                places, score = (found.values.field(k) for k in ("places", "score"))
+                places = [np.frombuffer(x, np.int32) for x in places.to_pylist()]
+                value = np.zeros(sum(map(len, places)))
+                value[np.concatenate(places)] = np.repeat(score.to_numpy(), [len(x) for x in places])
+                sums.append(_sums(value, np.zeros(len(value), np.int64), 1))
+            columns = {k: batch.column(k) for k in keys} | {c: pa.array([float(x[i][0]) for x in sums], pa.float64()) for i, c in enumerate(_SCORES)}
+            yield pa.RecordBatch.from_pydict(columns)
 
     texts = docs.select(*keys, "text").dropDuplicates(keys)
-    split_up = texts.mapInArrow(split, "of_lang string, of_text string, gram long, n long")
-    sums = split_up.join(scores.withColumnRenamed("lang", "of_lang"), ["of_lang", "gram"]).groupBy(keys).agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("log_prob"))
+    split_up = texts.mapInArrow(split, f"{keys[0]} string, {keys[1]} string, gram long, places binary")
+    found = split_up.join(scores.withColumnRenamed("lang", keys[0]), [keys[0], "gram"]).groupBy(keys).agg(F.collect_list(F.struct("places", "score")).alias("found"))
+    sums = found.mapInArrow(gather, f"{keys[0]} string, {keys[1]} string, {_SCORES[0]} double, {_SCORES[1]} double")
     return docs.join(sums, keys, "left").drop(*keys)
 
 
-def quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang, more) with trusted, perplexity, threshold and kept added.
+def quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, worst_quantile: float | None = None) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, more) with trusted, perplexity, worst_perplexity, their thresholds and kept added.
 
-    ``trusted_ids`` has the doc_id of each document whose text the model learns from. A document is
-    kept if its perplexity is at most its language's threshold, the ``quantile`` of the perplexities of
-    the language's trusted documents (within 1/10000 of the rank). Null and empty texts have no perplexity and aren't kept;
+    ``trusted_ids`` has the doc_id of each document whose text the model learns from. ``worst_perplexity`` is
+    that of the text's worst window of ``WINDOW`` characters. A document is kept if both perplexities are at most
+    its language's thresholds, the ``quantile`` and the ``worst_quantile`` (the same, if not given) of the
+    language's trusted documents (within 1/10000 of the rank). Null and empty texts have no perplexity and aren't kept;
     a language without trusted text has no threshold, and its documents are kept. A null
     language is one of its own. Repeated rows are judged alike. Columns of ``docs`` with the added names are replaced.
     """
     scored = with_perplexity(docs, trusted_ids)
-    lang = F.coalesce("lang", F.lit("")).alias("of_lang")
-    limits = scored.where("trusted").select(lang, "perplexity").groupBy("of_lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"))
+    lang = F.coalesce("lang", F.lit("")).alias("__kn_lang")
+    cut = lambda c, q: F.percentile_approx(c, q, 10000)
+    limits = scored.where("trusted").select(lang, "perplexity", "worst_perplexity").groupBy("__kn_lang").agg(cut("perplexity", quantile).alias("threshold"), cut("worst_perplexity", worst_quantile or quantile).alias("worst_threshold"))
     limits = materialize(limits, "limits")
-    names = [*scored.columns, "threshold"]
+    names = [*scored.columns, "threshold", "worst_threshold"]
     limits = F.broadcast(limits) if limits.count() <= LANGUAGES else limits
-    out = scored.withColumn("of_lang", lang).join(limits, "of_lang", "left").select(names)
-    return out.withColumn("kept", F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))))
+    out = scored.withColumn("__kn_lang", lang).join(limits, "__kn_lang", "left").select(names)
+    good = F.col("threshold").isNull() | ((F.col("perplexity") <= F.col("threshold")) & (F.col("worst_perplexity") <= F.col("worst_threshold")))
+    return out.withColumn("kept", F.col("perplexity").isNotNull() & good)
