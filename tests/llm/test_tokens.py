@@ -15,7 +15,7 @@ from vgraph.llm.tokens import Encoder, default_vocabulary
 from vgraph.llm.vbyte import decode, encode, new_folder, read_ids, write_ids
 
 LIBRARY = Tokenizer.from_file(default_vocabulary())
-ODD = ["", None, " \t\r\n\x0b\x0c ", "á b c d ́x", "<|endoftext|> it's <|endoftext|>x don't'LL", "x" * 5000, "é\x85ü \x1c\x1d y", "​ ﻿ 漢字かな\U0001f600 12ab34 ...--- \x00 z", "word " * 30000, "İstanbul ΑΣ. ΑΣ.α ǅa ﬁx Σ Ça, ÇA! é, a's. B.C.", "((x)) x) ..y. it's, 'tis A--B"]
+ODD = ["", None, " \t\r\n\x0b\x0c ", "á b c d ́x", "<|endoftext|> it's <|endoftext|>x don't'LL", "x" * 5000, "é\x85ü \x1c\x1d y", "​ ﻿ 漢字かな\U0001f600 12ab34 ...--- \x00 z", "word " * 30000, "İstanbul ΑΣ. ΑΣ.α ǅa ﬁx Σ Ça, ÇA! é, a's. B.C.", "((x)) x) ..y. it's, 'tis A--B", "TARİHİ. İ. ŞEHRİ, Aİ!"]
 
 
 def real(text):
@@ -31,6 +31,16 @@ def test_words_give_the_ids_of_whole_texts():
         assert ids[offsets[i] : offsets[i + 1]].tolist() == real(t), t
 
 
+def test_random_strings_give_the_ids_of_the_library():
+    rng = random.Random(5)
+    usual = ["a", "B", "z", "s", "t", "re", "VE", "ll", "m", "d", "'", "'s", "'RE", "''", " ", "  ", "\n", "\t", "\x0b\r", "1", "23", ".", ",", "!?", '"', "<", "|>", "é", "É", "ß", "Ÿ", "ǅ", "Ⱥ", "ſ", "_", "-"]
+    other = ["\x1c", "\x7f", "<|", "<|endoftext|>", "İ", "TARİHİ.", "×", "÷", "²", "½", "\u00a0", "\x85", "«", "¿", "ª", "µ", "ɐ", "漢", "\U0001f600", "Σ", "ς", "\u0301", "\u212a", "\u200b", "—", "’s"]
+    texts = ["".join(rng.choice(usual + other if i % 3 == 0 else usual) for _ in range(rng.randint(0, 14))) for i in range(20_000)]
+    ids, offsets = Encoder(default_vocabulary()).encode(pa.array(texts, pa.string()))
+    for i, found in enumerate(LIBRARY.encode_batch(texts, add_special_tokens=False)):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == [*found.ids, 2], texts[i]
+
+
 def test_variable_bytes_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 1001):
@@ -112,6 +122,14 @@ def test_mixing_reaches_its_targets(spark):
     assert mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name_and_adds_repeated_weights(spark):
+    df = spark.createDataFrame([(i, "x" * 10, "ab"[i % 2], i, i, i) for i in range(400)], "doc_id long, text string, source string, sums long, times long, first long")
+    twice = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 1.0)], "source string, weight double")
+    out = mix_sources(df, twice).collect()
+    assert all(r["doc_id"] == r["sums"] == r["times"] == r["first"] for r in out) and {r["rate"] for r in out} == {1.0}
+    assert len({(r["doc_id"], r["copy"]) for r in out}) == len(out) > 300
+
+
 def test_rare_sources_are_repeated_as_often_as_they_need(spark):
     def drawn(rate, doc):
         point, k, c = int(hashlib.md5(f"0:{doc}".encode()).hexdigest()[:13], 16) / 16**13, 0, 0.0

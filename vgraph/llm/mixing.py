@@ -46,15 +46,15 @@ def near_mean(rate: Column, k: Column) -> Column:
 
 
 def tables(rated: DataFrame) -> DataFrame:
-    """(of_source, rate, first, sums): ``sums`` are the cumulative probabilities of first, first + 1, ... copies."""
-    columns = ["of_source", "rate", "first", "sums"]
-    small = rated.where(F.col("rate") <= FROM_ZERO).withColumn("first", F.lit(0).cast("long")).withColumn("sums", poisson_table(F.col("rate")))
+    """(__mix_source, rate, __mix_first, __mix_sums): ``__mix_sums`` are the cumulative probabilities of that first number of copies, one more, ... copies."""
+    columns = ["__mix_source", "rate", "__mix_first", "__mix_sums"]
+    small = rated.where(F.col("rate") <= FROM_ZERO).withColumn("__mix_first", F.lit(0).cast("long")).withColumn("__mix_sums", poisson_table(F.col("rate")))
     # a point of 52 bits is never further from the mean than nine deviations and a little
     reach = F.ceil(9 * F.sqrt("rate") + 40)
-    large = rated.where(F.col("rate") > FROM_ZERO).withColumns({"first": F.floor("rate") - reach, "last": F.floor("rate") + reach})
-    large = large.select("of_source", "rate", "first", F.explode(F.sequence("first", "last")).alias("k"))
-    large = large.withColumn("c", F.sum(near_mean(F.col("rate"), F.col("k").cast("double"))).over(Window.partitionBy("of_source").orderBy("k")))
-    large = large.groupBy("of_source", "rate", "first").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda s: s["c"]).alias("sums"))
+    large = rated.where(F.col("rate") > FROM_ZERO).withColumns({"__mix_first": F.floor("rate") - reach, "last": F.floor("rate") + reach})
+    large = large.select("__mix_source", "rate", "__mix_first", F.explode(F.sequence("__mix_first", "last")).alias("k"))
+    large = large.withColumn("c", F.sum(near_mean(F.col("rate"), F.col("k").cast("double"))).over(Window.partitionBy("__mix_source").orderBy("k")))
+    large = large.groupBy("__mix_source", "rate", "__mix_first").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda s: s["c"]).alias("__mix_sums"))
     return small.select(columns).unionByName(large.select(columns))
 
 
@@ -64,12 +64,13 @@ def rates(docs: DataFrame, weights: DataFrame | None, source: str, total: float
     A source that holds no characters has the rate 0. Weights that are negative or not finite stop the run.
     """
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    sizes = docs.groupBy(F.col(source).alias("of_source")).agg(F.sum(size).alias("size"))
+    sizes = docs.groupBy(F.col(source).alias("__mix_source")).agg(F.sum(size).alias("size"))
     if weights is None:
         sizes = sizes.withColumn("weight", F.when(F.col("size") > 0, 1.0).otherwise(0.0))
     else:
-        sizes = sizes.join(weights.select(F.col("source").alias("named"), F.col("weight").cast("double").alias("weight")), F.col("of_source").eqNullSafe(F.col("named")), "left").drop("named")
-        sizes = sizes.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+        weights = weights.groupBy(F.col("source").alias("named")).agg(F.sum(F.col("weight").cast("double")).alias("weight"), F.min(F.col("weight").cast("double")).alias("least"))
+        sizes = sizes.join(weights, F.col("__mix_source").eqNullSafe(F.col("named")), "left")
+        sizes = sizes.select("__mix_source", "size", F.coalesce(F.when(F.col("least") < 0, F.col("least")).otherwise(F.col("weight")), F.lit(0.0)).alias("weight"))
     sizes = materialize(sizes, "sizes")
     row = sizes.agg(F.sum("size"), F.sum(F.when(F.col("size") > 0, F.col("weight")))).first()
     goal, shares = float(total or row[0] or 0), float(row[1] or 0)
@@ -78,16 +79,16 @@ def rates(docs: DataFrame, weights: DataFrame | None, source: str, total: float
     worst = out.agg(F.max("rate"), F.min("weight")).first()
     if worst[0] is not None and not (worst[1] >= 0 and math.isfinite(worst[0])):
         raise ValueError(f"a source would be repeated {worst[0]} times, or a weight is {worst[1]}")
-    return out.select("of_source", "rate")
+    return out.select("__mix_source", "rate")
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", seed: int = 0, total: float | None = None) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source, more), each as often as drawn, with rate, copy and position added.
 
     ``weights`` (source, weight) holds relative target shares of characters; None gives all sources with text the same share.
-    A source that isn't named has none. ``total`` is the expected number of characters of the result,
-    by default that of ``docs``. ``copy`` counts a document's repetitions from 0; ``position`` is a hash of 128 bits by which the result is
-    sorted, so sources are spread evenly over its files. Rows with the same doc_id, null included, are drawn alike.
+    A source that isn't named has none; the weights of one that is named repeatedly add up. ``total`` is the expected number of characters of the result,
+    by default that of ``docs``. ``copy`` counts a document's repetitions from 0; ``position`` is a hash of 128 bits by which the
+    result is sorted, so sources are spread evenly over its files. Rows with the same doc_id, null included, are drawn alike.
     A null source is a source of its own; documents of null or empty text take their source's rate.
     Columns of ``docs`` with the added names are replaced.
     """
@@ -95,13 +96,13 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str =
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     table = materialize(tables(rates(docs, weights, source, total)), "sums")
     point = uniform(F.concat(F.lit(f"{seed}:"), named))
-    many, long = table.agg(F.count("*"), F.coalesce(F.sum(F.size("sums")), F.lit(0))).first()
+    many, long = table.agg(F.count("*"), F.coalesce(F.sum(F.size("__mix_sums")), F.lit(0))).first()
     if many <= MOST_SENT and long <= MOST_SUMS:
         table = F.broadcast(table)
-    drawn = docs.join(table, F.col(source).eqNullSafe(F.col("of_source")))
-    drawn = drawn.withColumn("times", F.col("first") + F.size(F.filter("sums", lambda c: c <= point))).drop("first", "sums")
-    copies = drawn.where("times > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {BLOCK}"))))
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.col("block") * BLOCK, F.least("times", (F.col("block") + 1) * BLOCK) - 1)))
+    drawn = docs.join(table, F.col(source).eqNullSafe(F.col("__mix_source")))
+    drawn = drawn.withColumn("__mix_times", F.col("__mix_first") + F.size(F.filter("__mix_sums", lambda c: c <= point))).drop("__mix_first", "__mix_sums")
+    copies = drawn.where("__mix_times > 0").withColumn("__mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__mix_times - 1) div {BLOCK}"))))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.col("__mix_block") * BLOCK, F.least("__mix_times", (F.col("__mix_block") + 1) * BLOCK) - 1)))
     key = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), named, F.col("copy").cast("string"))).alias("position")
     copies = copies.select(*docs.columns, "rate", "copy", key)
     return copies.orderBy("position")
@@ -111,7 +112,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str =
 ORACLE = """
 WITH sizes AS (SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS size FROM documents GROUP BY source),
 rated AS (SELECT source, (1.0 / (SELECT count(*) FROM sizes WHERE size > 0)) * (SELECT sum(size) FROM sizes) / size AS rate FROM sizes WHERE size > 0),
-steps AS (SELECT source, rate, unnest(range(0, 200)) AS k FROM rated),
+steps AS (SELECT source, rate, unnest(range(0, (rate + 12 * sqrt(rate) + 60)::BIGINT)) AS k FROM rated),
 parts AS (SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM steps),
 sums AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM parts),
 points AS (SELECT doc_id, source, n_chars, lang, ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),

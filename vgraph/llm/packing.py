@@ -22,8 +22,8 @@ from vgraph.llm.tokens import default_vocabulary, encoder
 from vgraph.plans.workspace import materialize
 
 LENGTH = 4096
-#: Parts in which pieces of one length are ranked.
-PARTS = 64
+#: Pieces of one length that are ranked in a part.
+PART = 200_000
 
 
 def plan(histogram: dict[int, int], most: int = LENGTH) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -82,7 +82,7 @@ def slots(patterns: list, most: int = LENGTH) -> dict[int, np.ndarray]:
 
 def pieces(docs: DataFrame, path: str, most: int, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, most=2 << 20):
+        for batch in chunks(batches, most=4 << 20):
             ids, offsets = encoder(path).encode(batch.column("text"))
             raw = ids.astype("<u4").tobytes()
             total = np.diff(offsets)
@@ -110,16 +110,19 @@ def pack(docs: DataFrame, path: str | None = None, most: int = LENGTH, with_ids:
     counts as empty and gives a piece of one id; rows that share a doc_id, null included, are documents of their own.
     """
     table = materialize(pieces(docs, path or default_vocabulary(), most, with_ids), "pieces")
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(PARTS)).alias("part")
-    counts = materialize(table.groupBy("length", part).count(), "counts")
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}
+    spark = docs.sparkSession
+    histogram = {r[0]: r[1] for r in table.groupBy("length").count().collect()}  # one row a length
     places = slots(plan(histogram, most), most)
+    # pieces of a length are ranked in parts of about PART rows, as many as the length needs
+    dealt = F.broadcast(spark.createDataFrame([(k, n // PART + 1) for k, n in histogram.items()], "length long, parts long"))
+    parted = table.join(dealt, "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "parts")).drop("parts")
+    counts = materialize(parted.groupBy("length", "part").count(), "counts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    # a whole sequence needs no neighbour; other lengths are ranked in parts
-    ranked = table.withColumn("part", part).withColumn("at", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")) - 1)
+    ranked = parted.withColumn("at", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")) - 1)
+    # a few thousand lengths and a row for each PART pieces
     ranked = ranked.join(F.broadcast(base.drop("count")), ["length", "part"]).withColumn("rank", F.col("base") + F.col("at")).drop("part", "at", "base")
-    sent = docs.sparkSession.sparkContext.broadcast(places)
+    sent = spark.sparkContext.broadcast(places)
     names = table.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
