@@ -39,3 +39,10 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "q" * 60, "a", 3), (2, "q" * 60 + "é", "b", 4)], df.schema)
     got = {r["doc_id"]: r for r in remove_repeats(df).collect()}
     assert got[2]["kept_text"] == "é" and got[2]["block"] == 4 and got[2]["n_bytes"] == 62
+
+
+def test_long_texts_of_one_letter(spark):
+    n = 1_000_000
+    df = spark.createDataFrame([(1, "a" * n), (2, "b" + "a" * n), (3, "ab" * n), (4, "ab" * n + "c")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(df, texts=False).collect()}
+    assert got == {1: 0, 2: n, 3: 0, 4: 2 * n}

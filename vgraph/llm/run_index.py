@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vgraph.llm.arrays import BYTE_VALUE, U64, blob, chunks, ids, mix, powers, spans, unblob, utf8
+from vgraph.llm.arrays import BYTE_VALUE, U64, blob, chunks, give_back, ids, lean, mix, powers, spans, unblob, utf8
 from vgraph.plans.workspace import materialize
 
 #: Text bytes in a block; bytes of packed documents to a bucket of hashes and to a shard; bytes in
-#: an index and in a piece of text that is hashed at a time (at most 2**18 - 1000).
-BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES, INDEX_BYTES, STEP = 4 << 20, 8 << 20, 3 << 20, 300_000, 1 << 17
+#: an index and in a piece of text that is hashed at a time; contexts that are hashed at a time.
+BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES, INDEX_BYTES, STEP, SLICE = 4 << 20, 8 << 20, 3 << 20, 300_000, 1 << 17, 1 << 14
 _NONE = np.iinfo(np.int64).max
 
 
@@ -56,35 +56,42 @@ def _unpack(data: bytes) -> pa.RecordBatch:
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of 46 bits, first window, number of windows) of each anchor; windows never cross a row.
 
-    The anchor of a window is its leftmost k-gram of smallest hash, with k about
-    half the window, so that it depends on the window's bytes alone. The bytes
-    are worked on in pieces that stay in a processor's cache.
+    The anchor of a window is the smallest hash of its k-grams, with k about half the
+    window, so that it depends on the window's bytes alone; windows in a row that share
+    it, as many as overlap, are one. The bytes are worked on in pieces that stay in a processor's cache.
     """
     k = least // 2 + 1
-    found = [np.zeros((3, 0), U64)]
-    for a in range(0, len(data) - least + 1, STEP):
-        h = mix(_grams(data[a : a + STEP + least - 1], k))
-        # the place in the low bits: the leftmost of equal hashes is the smallest
-        low = (h >> U64(18) << U64(18)) | np.arange(len(h), dtype=U64)
-        width, span = 1, least - k + 1
+    many = max(len(data) - least + 1, 0)
+    span = least - k + 1
+    found = [np.zeros((2, 0), U64)]
+    for a in range(0, many, STEP):
+        low = mix(_grams(data[a : a + STEP + least - 1], k)) >> U64(18)
+        width = 1
         while width < span:
             step = min(width, span - width)
             low = np.minimum(low[step:], low[: len(low) - step])
             width += step
         first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-        found.append(np.stack([(low[first] & U64((1 << 18) - 1)) + U64(a), first.astype(U64) + U64(a), low[first] >> U64(18)]))
-    place, first, h = np.concatenate(found, 1)
-    if not len(place):
+        found.append(np.stack([first.astype(U64) + U64(a), low[first]]))
+    first, h = np.concatenate(found, 1)
+    if not len(first):
         none = np.zeros(0, np.int64)
         return np.zeros(0, U64), none, none
-    new = np.append(True, place[1:] != place[:-1])
-    place, first, h = place[new].astype(np.int64), first[new].astype(np.int64), h[new]
-    end = np.append(first[1:], len(data) - least + 1)
-    row = np.searchsorted(offsets, place, "right") - 1
-    first, end = np.maximum(first, offsets[row]), np.minimum(end, offsets[row + 1] - least + 1)
-    full = end > first
+    new = np.append(True, h[1:] != h[:-1])
+    first, h = first[new].astype(np.int64), h[new]
+    # runs end with their row, and every ``span`` windows
+    heads = np.setdiff1d(offsets[:-1][(np.diff(offsets) >= least) & (offsets[:-1] < many)], first)
+    order = np.argsort(np.concatenate([first, heads]), kind="stable")
+    h = np.concatenate([h, h[np.searchsorted(first, heads, "right") - 1]])[order]
+    first = np.concatenate([first, heads])[order]
+    row = np.searchsorted(offsets, first, "right") - 1
+    count = np.minimum(np.append(first[1:], many), offsets[row + 1] - least + 1) - first
+    h, first, count = h[count > 0], first[count > 0], count[count > 0]
+    parts = -(-count // span)
+    at = np.repeat(first, parts) + span * spans(np.zeros(len(parts), np.int64), parts)
+    count = np.minimum(np.repeat(first + count, parts) - at, span)
     # window minima crowd at small values: mixed again, they deal out evenly
-    return mix(h[full] ^ U64(0x9E3779B97F4A7C15)) >> U64(18), first[full], (end - first)[full]
+    return mix(np.repeat(h, parts) ^ U64(0x9E3779B97F4A7C15)) >> U64(18), at, count
 
 
 def _grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -102,6 +109,7 @@ def _grams(data: np.ndarray, k: int) -> np.ndarray:
 
 
 def _blocks():
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         for batch in chunks(batches, most=BLOCK_BYTES, rows=20000):
@@ -130,6 +138,7 @@ def _deal(h: np.ndarray, n: int) -> np.ndarray:
 def _requests(least: int, buckets: int):
     """The distinct anchor hashes of each block, twice if the block has one in two documents."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, packed in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
@@ -177,10 +186,12 @@ class Contexts:
         hit = want[np.minimum(np.searchsorted(want, h), len(want) - 1)] == h
         h, self.first, self.count = h[hit], first[hit], count[hit]
         length = self.count + least - 1
-        where = spans(self.first, length)
-        begin = np.cumsum(length) - length
-        value = BYTE_VALUE[self.data[where]] * powers(2 * least)[np.arange(len(where)) - np.repeat(begin, length)]
-        key = mix(np.add.reduceat(value, begin) ^ length.astype(U64)) if len(begin) else np.zeros(0, U64)
+        key = np.zeros(len(length), U64)
+        for a in range(0, len(length), SLICE):
+            mine = slice(a, a + SLICE)
+            begin = np.cumsum(length[mine]) - length[mine]
+            value = BYTE_VALUE[self.data[spans(self.first[mine], length[mine])]] * powers(2 * least)[spans(np.zeros(len(begin), np.int64), length[mine])]
+            key[mine] = mix(np.add.reduceat(value, begin) ^ length[mine].astype(U64))
         self.row = np.searchsorted(self.offsets, self.first, "right") - 1
         doc = self.doc[self.row]
         order = np.lexsort((doc, key, h))
@@ -193,6 +204,7 @@ class Contexts:
 
 
 def _contexts(least: int, shards: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, packed, wanted in zip(*(batch.column(x).to_pylist() for x in ("block", "docs", "wanted")), strict=True):
@@ -332,6 +344,7 @@ def _answers(least: int):
             earlier[a:b] = _earlier(text[spans(begin[a:b], size[a:b])], size[a:b], low[a:b], least, words)
         out = [zstandard.ZstdCompressor(level=1).compress(blob(_small(low[one[a:b]]), np.array([words]), earlier[one[a:b]].ravel())) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         shard = table.column("shard").to_pylist()
+        give_back()
         return pa.table({"block": table.column("block").cast(pa.int64()), "shard": pa.array(shard, pa.int64()), "data": pa.array(out, pa.binary())})
 
     return run
@@ -360,6 +373,7 @@ def _earlier(text: np.ndarray, size: np.ndarray, low: np.ndarray, least: int, wo
 
 
 def _cut(least: int, schema: pa.Schema, texts: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed, wanted, answers in zip(*(batch.column(x).to_pylist() for x in ("docs", "wanted", "answers")), strict=True):
