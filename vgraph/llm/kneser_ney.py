@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from vgraph.llm.arrays import chunks, row_of, runs, utf8
+from vgraph.llm.arrays import chunks, lean, row_of, runs, utf8
 from vgraph.plans.workspace import materialize
 
 ORDER = 4
@@ -102,6 +102,7 @@ def _languages(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
     return np.unique(names.astype(str), return_inverse=True) if len(names) else ([], np.zeros(0, int))
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each chunk's distinct grams by language, with their numbers in trusted texts and in all."""
     for batch in chunks(batches, most=CHUNK):
@@ -133,6 +134,7 @@ def _sums(score: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 
 def _score(table: dict[str, tuple[np.ndarray, np.ndarray]]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=CHUNK):
             langs, of = _languages(batch)
@@ -218,6 +220,7 @@ def _by_join(docs: DataFrame, scores: DataFrame) -> DataFrame:
     keys = ["__kn_lang", "__kn_text"]
     docs = docs.withColumn(keys[0], F.coalesce("lang", F.lit(""))).withColumn(keys[1], F.sha2(F.coalesce("text", F.lit("")), 256))
 
+    @lean
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=CHUNK):
             gram, row = grams(batch)
@@ -229,6 +232,7 @@ def _by_join(docs: DataFrame, scores: DataFrame) -> DataFrame:
             at = pa.array(row[first])
             yield pa.RecordBatch.from_pydict({k: batch.column(k).take(at) for k in keys} | {"gram": pa.array(gram[first]), "places": pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(place)])})
 
+    @lean
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = []

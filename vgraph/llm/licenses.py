@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vgraph.llm.arrays import chunks
+from vgraph.llm.arrays import chunks, lean
 
 #: Common license notices, as their publishers word them or as pages cite them.
 TEMPLATES = {
@@ -167,6 +167,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     """
     templates = templates or TEMPLATES
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         for batch in chunks(batches):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vgraph.llm.arrays import LOWER, U64, chunks, groups, mix, seeds, shingle_hashes, utf8, word_hashes, words
+from vgraph.llm.arrays import LOWER, U64, chunks, groups, lean, mix, seeds, shingle_hashes, utf8, word_hashes, words
 from vgraph.operators.components import connected_components
 from vgraph.plans.workspace import materialize
 
@@ -60,6 +60,7 @@ def signatures(shingles: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _sign(n: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=1 << 20, rows=_ROWS):
             shingles, row = shingle_sets(batch, n)
@@ -100,6 +101,7 @@ class _Union:
         self.up[max(a, b)] = min(a, b)
 
 
+@lean
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each band's documents links that connect all whose sketches are close."""
     for table in groups(batches, ["band"]):
@@ -159,6 +161,7 @@ def _links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
 
 
 def _confirm(n: int, percent: int, keys: list[str]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, keys):
             sets = []

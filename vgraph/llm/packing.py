@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vgraph.llm.arrays import chunks
-from vgraph.llm.tokens import default_vocabulary, encoder
+from vgraph.llm.arrays import chunks, lean
+from vgraph.llm.tokens import default_vocabulary, encoder, forget
 from vgraph.plans.workspace import materialize
 
 LENGTH = 4096
@@ -81,6 +81,7 @@ def slots(patterns: list, most: int = LENGTH) -> dict[int, np.ndarray]:
 
 
 def pieces(docs: DataFrame, path: str, most: int, with_ids: bool) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=4 << 20):
             ids, offsets = encoder(path).encode(batch.column("text"))
@@ -97,6 +98,7 @@ def pieces(docs: DataFrame, path: str, most: int, with_ids: bool) -> DataFrame:
             if with_ids:
                 columns["ids"] = pa.array(parts, pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
+        forget(path)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
@@ -125,6 +127,7 @@ def pack(docs: DataFrame, path: str | None = None, most: int = LENGTH, with_ids:
     sent = spark.sparkContext.broadcast(places)
     names = table.columns
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()

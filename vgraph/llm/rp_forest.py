@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vgraph.llm.arrays import groups, runs
+from vgraph.llm.arrays import groups, lean, runs
 from vgraph.operators.components import connected_components
 from vgraph.plans.workspace import materialize
 
@@ -54,6 +54,7 @@ def _vectors(column: pa.Array) -> list[np.ndarray]:
 def _assign(model: dict, cosine: float):
     """Rows by tree and leaf; each has the leaves of its vector in all trees."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors, dim = _vectors(batch.column("embedding")), batch.column("dim").to_numpy()
@@ -86,6 +87,7 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(cosine: float, keys: list[str]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, keys):
             names = [table.column(k).to_numpy() for k in keys]

@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vgraph.llm.arrays import IS_SPACE, LOWER, chunks, spans, utf8
+from vgraph.llm.arrays import IS_SPACE, LOWER, chunks, lean, spans, utf8
 
-#: Distinct words that a task remembers, and the id that ends a document.
-WORDS, END = 1_000_000, 2
+#: Distinct pieces that a task remembers, and the id that ends a document.
+WORDS, END = 500_000, 2
 #: A normaliser and a splitter under which usual texts, lower-cased, fall into contractions, letters, single digits and runs of signs.
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -211,6 +211,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget(path: str) -> None:
+    """Drop the pieces that this process remembers; a task does so at its end."""
+    encoder(path).clear()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -230,11 +235,13 @@ def with_ids(docs: DataFrame, path: str | None = None, kind: str = "<u4") -> Dat
     path = path or default_vocabulary()
     size = int(kind[-1])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=4 << 20):
             ids, offsets = encoder(path).encode(batch.column("text"))
             data = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((size * offsets).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": data})
+        forget(path)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, ids binary")

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vgraph.llm.arrays import lean
 from vgraph.llm.tokens import default_vocabulary, width, with_ids
 from vgraph.plans.workspace import materialize, work_dir
 
@@ -72,6 +73,7 @@ def read_payload(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return docs, known, counts, decode(np.frombuffer(raw, np.uint8, n_control, at), np.frombuffer(raw, np.uint8, n_data, at + n_control), total)
 
 
+@lean
 def _histogram(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
@@ -102,6 +104,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> str:
     size = int(tokens.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, held, n = TaskContext.get().partitionId(), 0, [], 0
 
@@ -143,6 +146,7 @@ def read_ids(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
     places = blocks.select("part", "block", "n_tokens").withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     places = places.join(spark.createDataFrame(bases, "part long, base long"), "part").select("part", "block", (F.col("base") + F.col("inside")).alias("first"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, raw in zip(batch.column("first").to_pylist(), batch.column("payload").to_pylist(), strict=True):
