@@ -1,11 +1,14 @@
+import heapq
 import random
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
 from vgraph.functions import stats
-from vgraph.operators import clip, components, flow, paths, skeleton
+from vgraph.operators import clip, components, flow, paths, quality, skeleton, topology
 from vgraph.operators.components import connected_components
 from vgraph.schema import EDGES, VERTICES
+from vgraph.sources import bundle, vtp
 
 
 def plain_components(pairs):
@@ -49,9 +52,117 @@ def test_cut_and_path_of_a_chain(spark):
     path = paths.frontier_paths(e).first()
     assert (path["source"], path["target"], path["dist"], path["path"]) == (2, 4, 2.0, [2, 3, 4])
     _, two = network(spark, [(i, 0, 0) for i in range(6)], [(0, 1, 2), (1, 2, 4), (2, 4, 4), (1, 3, 4), (3, 4, 4), (4, 5, 3)])
-    assert flow.min_cut(two).first()["cut_value"] == 1.0 or flow.min_cut(two).first()["n_disjoint"] == 2
+    row = flow.min_cut(two).first()
+    assert (row["cut_value"], row["n_disjoint"], row["cut_edges"]) == (2.0, 2, [1, 3])
     _, none = network(spark, [(0, 0, 0), (1, 0, 0)], [(0, 1, 2)])
-    assert flow.min_cut(none).first()["cut_value"] is None
+    row = flow.min_cut(none).first()
+    assert row["cut_value"] is None and row["n_disjoint"] == 0
+
+
+def test_cut_where_arteries_and_veins_meet(spark):
+    # three arteries lead into vertex 3, one vein leads on: a cut of the vein's edge is the least
+    _, e = network(spark, [(i, 0, 0) for i in range(5)], [(0, 3, 2), (1, 3, 2), (2, 3, 2), (3, 4, 3)])
+    row = flow.min_cut(e).first()
+    assert (row["cut_value"], row["n_cut"], row["n_disjoint"], row["cut_edges"]) == (6.0, 1, 1, [3])
+    rng = random.Random(8)
+    for _ in range(6):
+        links = [(rng.randrange(7), rng.randrange(7), rng.choice((2, 3, 4, 4, 4))) for _ in range(12)]
+        touch = {k: {x for a, b, c in links if c == k for x in (a, b)} for k in (2, 3)}
+        both = touch[2] & touch[3]
+        least = lambda first, last: min(sum((a in side) != (b in side) for a, b, _ in links) for n in range(1 << 7) if first <= (side := {i for i in range(7) if n >> i & 1}) and not side & last)
+        row = flow.min_cut(network(spark, [(i, 0, 0) for i in range(7)], links)[1]).first()
+        if not touch[2] or not touch[3]:
+            assert row["cut_value"] is None and row["n_disjoint"] == 0
+            continue
+        cut = least(touch[2] - both, touch[3] - both)
+        assert (row["cut_value"], row["n_cut"], len(row["cut_edges"])) == (cut + len(both) * (len(links) + 1), cut, cut)
+        assert row["n_disjoint"] == len(row["paths"]) == least(touch[2], touch[3] - both)
+
+
+def plain_paths(edges, arteries, weight):
+    """{source: (distance, edges, target)} by the definition: Dijkstra's distances to veins, then fewest edges, then the smallest target."""
+    touch = {k: {x for e in edges if e["nkind"] == k for x in (e["src"], e["dst"])} for k in (2, 3, 4)}
+    near = {}
+    for e in edges:
+        if arteries or e["nkind"] != 2:
+            near.setdefault(e["src"], []).append((e["dst"], weight(e)))
+            near.setdefault(e["dst"], []).append((e["src"], weight(e)))
+    out = {}
+    for s in touch[2] & touch[4]:
+        best, heap = {}, [(0.0, 0, s)]
+        while heap:
+            d, n, v = heapq.heappop(heap)
+            d = round(d, 6)
+            if v in best:
+                continue
+            best[v] = (d, n)
+            for w, x in near.get(v, ()):
+                heapq.heappush(heap, (round(d + x, 6), n + 1, w))
+        ends = [(*best[v], v) for v in touch[3] if v in best]
+        if ends:
+            out[s] = min(ends)
+    return out
+
+
+def test_paths_to_the_nearest_vein(spark):
+    rng = random.Random(6)
+    places = [(x, y, 0) for y in range(5) for x in range(6)]
+    at = lambda x, y: y * 6 + x
+    links = [(at(x, y), at(x + 1, y), 2 if y == 0 else 3 if y == 4 else 4) for y in range(5) for x in range(5)] + [(at(x, y), at(x, y + 1), 4) for y in range(4) for x in range(6) if rng.random() < 0.8]
+    _, e = network(spark, places, links)
+    e = e.withColumn("length", 1.0 + F.col("eid") % 3)
+    rows = [r.asDict() for r in e.collect()]
+    length = {}
+    for r in rows:
+        key = frozenset((r["src"], r["dst"]))
+        length[key] = min(length.get(key, 1e9), r["length"])
+    for found, arteries, weight in ((paths.frontier_paths(e), False, lambda r: r["length"]), (paths.frontier_paths(paths.with_penalties(e), True, "w_cap_prior"), True, lambda r: r["length"] + (1e5 if r["nkind"] != 4 else 0))):
+        want = plain_paths(rows, arteries, weight)
+        got = {r["source"]: r for r in found.collect()}
+        assert set(got) == set(want)
+        for s, r in got.items():
+            assert (round(r["dist"], 6), len(r["path"]) - 1, r["target"]) == want[s]
+            assert r["path"][0] == s and r["path"][-1] == r["target"]
+            if not arteries:
+                assert abs(sum(length[frozenset(p)] for p in zip(r["path"], r["path"][1:])) - r["dist"]) < 1e-6
+
+
+def test_ids_that_repeat_between_graphs(spark):
+    v = spark.createDataFrame([(g, i) for g in "ab" for i in range(4)], "graph string, vid long")
+    e = spark.createDataFrame([("a", 0, 0, 1), ("b", 0, 1, 2), ("b", 1, 2, 3)], "graph string, eid long, src long, dst long").withColumns({"nkind": F.lit(2), "length": F.lit(1.0), "diameter": F.lit(1.0)})
+    got = {(r["graph"], r["vid"]): r["component"] for r in topology.components(v, e).collect()}
+    assert got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 2, ("a", 3): 3, ("b", 0): 0, ("b", 1): 1, ("b", 2): 1, ("b", 3): 1}
+    gv, ge = topology.giant_component(v, e)
+    assert sorted(map(tuple, gv.collect())) == [("a", 0), ("a", 1), ("b", 1), ("b", 2), ("b", 3)] and ge.count() == 3
+    table, _ = topology.class_components(e, 2)
+    assert sorted((r["graph"], r["component"], r["n_edges"]) for r in table.collect()) == [("a", 0, 1), ("b", 1, 2)]
+
+
+def test_each_vtp_file_is_one_document(spark, tmp_path):
+    v, e = network(spark, [(i, i % 3, 0) for i in range(60)], [(i, i + 1, 4) for i in range(59)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        vtp.write(vtp.lines(v, e).repartition(3), str(tmp_path / "lines"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    n = 0
+    for f in (tmp_path / "lines").glob("part-*"):
+        root = ElementTree.fromstring(f.read_text())
+        pieces = root.findall("./PolyData/Piece")
+        assert len(pieces) > 1
+        n += sum(int(p.get("NumberOfLines")) for p in pieces)
+    assert n == 59
+
+
+def test_ranges_that_break_at_any_edge(spark):
+    r = spark.createDataFrame([(999_998, 0, 2), (999_999, 2, 4), (1_000_000, 5, 6), (1_000_001, 6, 7)], "eid long, start long, end long")
+    assert [tuple(x) for x in quality.ranges_adjoin(r).collect()] == [(1_000_000, 5, 6, 4)]
+
+
+def test_bundle_of_several_files_keeps_its_rows(spark, tmp_path):
+    spark.range(1000).selectExpr("id * 1.5 x", "0.0 y", "id z").repartitionByRange(6, "z").sortWithinPartitions("z").write.csv(str(tmp_path / "coordinates.csv"))
+    got = bundle.rows(spark, str(tmp_path), "coordinates").collect()
+    assert len(got) == 1000 and all(r["z"] == r["row"] and r["x"] == 1.5 * r["row"] for r in got)
 
 
 def test_clip_cuts_at_the_face_and_twice_is_once(spark):
@@ -65,13 +176,20 @@ def test_clip_cuts_at_the_face_and_twice_is_once(spark):
     assert again.count() == cv.count() and ae.count() == ce.count()
 
 
-def test_skeleton_of_a_line_a_branch_a_point_and_a_loop(spark):
-    voxels = [(1, 1, 1), (2, 1, 1), (3, 1, 1), (6, 6, 6), (5, 6, 6), (4, 6, 6), (3, 6, 6), (7, 6, 6), (8, 6, 6), (6, 5, 6), (6, 4, 6), (6, 3, 6), (1, 10, 1), (8, 3, 9), (9, 2, 10), (10, 1, 9), (9, 2, 8)]
-    parts = skeleton.to_graph(spark.createDataFrame(voxels, "x long, y long, z long"))
+def test_skeleton_of_a_bar_a_cross_a_ring_and_points(spark):
+    bar = [(20, y, 3) for y in range(5)]
+    # a cross in a plane: its middle and the four beside it touch each other and are one node, each arm keeps two voxels
+    cross = [(4, 4, 0)] + [(4 + dx * k, 4 + dy * k, 0) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)) for k in (1, 2, 3)]
+    ring = [(30, 0, 0), (31, 1, 0), (30, 2, 0), (29, 1, 0)]
+    points = [(50, 50, 50), (60, 0, 9)]
+    parts = skeleton.to_graph(spark.createDataFrame(bar + cross + ring + points, "x long, y long, z long"))
     links = parts["links"].collect()
-    assert parts["nodes"].count() == 1 and parts["endpoints"].count() == 5 and parts["isopoints"].count() == 1
-    assert sum(not r["is_loop"] for r in links) == 4 and [len(r["voxels"]) for r in links if r["is_loop"]] == [4]
-    assert sum(r["nodes"] == [1] for r in links) == 3
+    assert [len(r["voxels"]) for r in parts["nodes"].collect()] == [5]
+    assert parts["endpoints"].count() == 6 and parts["isopoints"].count() == 2
+    assert [len(r["voxels"]) for r in links if r["is_loop"]] == [4]
+    arms = [r for r in links if r["nodes"] == [1]]
+    assert [len(r["voxels"]) for r in arms] == [1] * 4 and all(len(r["endpoints"]) == 1 for r in arms)
+    assert [len(r["voxels"]) for r in links if len(r["endpoints"]) == 2] == [3]
 
 
 def test_t_probabilities():

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from vgraph.schema import finite
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """The continued fraction of the incomplete beta function, by Lentz's method."""
@@ -47,8 +49,9 @@ def t_probability(t: pd.Series, df: pd.Series) -> pd.Series:
 
 
 def _moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    x = F.col(value).cast("double")
-    return df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"), F.median(x).alias("median"))
+    # nulls are left to the aggregates: a filter would be pushed down and repeat whatever the value is computed by
+    x = df.select(*keys, finite(F.col(value)).alias("__x"))
+    return x.groupBy(*keys).agg(F.count("__x").alias("n"), F.avg("__x").alias("mean"), F.var_samp("__x").alias("var"), F.median("__x").alias("median")).where("n > 0")
 
 
 def welch(df: DataFrame, value: str, group: str, order: list[str], by: list[str] | None = None, p: bool = True) -> DataFrame:
@@ -56,9 +59,11 @@ def welch(df: DataFrame, value: str, group: str, order: list[str], by: list[str]
     by = by or []
     m = _moments(df.where(F.col(group).isin(order)), [*by, group], value)
     place = F.array_position(F.array(*(F.lit(g) for g in order)), F.col(group))
-    m = m.withColumn("place", place)
-    left, right = (m.select(*by, *(F.col(c).alias(f"{c}{i}") for c in (group, "n", "mean", "var", "median", "place"))) for i in (1, 2))
-    j = (left.join(right, by) if by else left.crossJoin(F.broadcast(right))).where("place1 < place2")
+    names = [group, "n", "mean", "var", "median"]
+    # at most one row for each named group meets here
+    rows = m.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), *names))).alias("rows"))
+    j = rows.select(*by, "rows", F.explode("rows").alias("a")).select(*by, "a", F.explode("rows").alias("b")).where("a.place < b.place")
+    j = j.select(*by, *(F.col(f"{side}.{c}").alias(f"{c}{i}") for side, i in (("a", 1), ("b", 2)) for c in names))
     s1, s2 = (F.when((F.col("n1") > 1) & (F.col("n2") > 1), F.col(f"var{i}") / F.col(f"n{i}")) for i in (1, 2))
     t = (F.col("mean1") - F.col("mean2")) / F.nullif(F.sqrt(s1 + s2), F.lit(0.0))
     df_ = F.pow(s1 + s2, F.lit(2.0)) / F.nullif(s1 * s1 / (F.col("n1") - 1) + s2 * s2 / (F.col("n2") - 1), F.lit(0.0))

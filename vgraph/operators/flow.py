@@ -64,14 +64,16 @@ def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
     both = touch[2] & touch[3]
     rows = pdf[pdf.src != pdf.dst].sort_values("eid")
     arcs = rows[["src", "dst"]].values.tolist()
-    row = {"graph": pdf.graph.iloc[0], "cut_value": None, "n_cut": None, "n_artery": None, "n_vein": None, "n_capillary": None, "cut_edges": None, "n_disjoint": None, "paths": None}
+    row = {"graph": pdf.graph.iloc[0], "cut_value": None, "n_cut": None, "n_artery": None, "n_vein": None, "n_capillary": None, "cut_edges": None}
+    # edge-disjoint paths run from artery vertices to vein vertices that touch no artery
+    flow, _ = _flow(arcs, touch[2], touch[3] - both)
+    paths = _split(arcs, flow, touch[2], touch[3] - both)
+    row |= {"n_disjoint": len(paths), "paths": paths}
     if touch[2] and touch[3]:
-        flow, reached = _flow(arcs, touch[2] - both, touch[3] - both) if not both else _flow([a for a in arcs], touch[2] - both, touch[3])
-        paths = _split(arcs, flow, touch[2] - both, touch[3])
-        side = reached | both
+        # a vertex that touches both classes joins the terminals by itself, whose edges count as all edges and one, on either side of the cut
+        _, side = _flow(arcs, touch[2] - both, touch[3] - both)
         cut = rows[[(a in side) != (b in side) for a, b in arcs]] if len(rows) else rows
-        # a vertex that touches both classes joins the terminals by itself, whose edges count as all edges and one
-        row |= {"cut_value": float(len(paths) + len(both) * (len(pdf) + 1)), "n_cut": len(cut) if not both else len(paths), "n_disjoint": len(paths), "paths": paths, "cut_edges": sorted(cut.eid.tolist())}
+        row |= {"cut_value": float(len(cut) + len(both) * (len(pdf) + 1)), "n_cut": len(cut), "cut_edges": sorted(cut.eid.tolist())}
         row |= {f"n_{n}": int((cut.nkind == k).sum()) for k, n in ((2, "artery"), (3, "vein"), (4, "capillary"))}
     return pd.DataFrame([row])
 
@@ -79,8 +81,9 @@ def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
 def min_cut(edges: DataFrame) -> DataFrame:
     """By graph: the minimum cut between artery-touching and vein-touching vertices, its edges by class, and edge-disjoint paths.
 
-    All edges have capacity one. A graph without arteries or veins has NULLs. A vertex that touches both classes adds the
-    terminals' capacity, the number of edges and one, to ``cut_value``.
+    All edges have capacity one. A graph without arteries or veins has no cut (NULL) and no paths (0). A vertex that touches both
+    classes adds the terminals' capacity, the number of edges and one, to ``cut_value``, and may lie on either side;
+    of paths it is a beginning, not an end. Of several minimum cuts the one nearest to the arteries is given.
     """
     slim = edges.select("graph", "eid", "src", "dst", F.coalesce("nkind", F.lit(-1)).alias("nkind"))
     return slim.groupBy("graph").applyInPandas(_cut, CUT)

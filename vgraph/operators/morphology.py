@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from vgraph.functions.geometry import distance
 from vgraph.operators.topology import degrees, incidence, vertex_types
-from vgraph.schema import DEPTH_BINS, FACES, check_box, label
+from vgraph.plans.workspace import materialize
+from vgraph.schema import DEPTH_BINS, FACES, LABELS, check_box, label
 
 
 def length_by_class(edges: DataFrame) -> DataFrame:
@@ -109,14 +110,17 @@ def depth_stats(vertices: DataFrame, depth: str = "distance_to_surface", bins: t
 
 
 def high_degree(vertices: DataFrame, edges: DataFrame, box: dict, threshold: int = 4, eps: float = 5.0) -> DataFrame:
-    """By graph: number and share of high-degree vertices, centroids, mean distances to them, and the largest share near one face."""
-    v = vertices.join(degrees(vertices, edges, threshold).select("graph", "vid", (F.col("degree") >= threshold).alias("high")), ["graph", "vid"])
-    of = lambda a, c: F.avg(F.when(c, F.col(a)))
+    """By graph: number and share of high-degree vertices, their types and depths, centroids, mean distances to them, and the largest share near one face."""
+    keys = ["graph", "vid"]
+    v = vertices.join(degrees(vertices, edges, threshold).select(*keys, (F.col("degree") >= threshold).alias("high")), keys).join(vertex_types(vertices, edges), keys)
+    v = materialize(v.select(*keys, "x", "y", "z", "distance_to_surface", "high", "type"), "high")
     high = F.col("high")
-    centre = v.groupBy("graph").agg(F.count("*").alias("n"), F.count_if("high").alias("n_high"), *(F.avg(a).alias(f"all_{a}") for a in "xyz"), *(of(a, high).alias(f"high_{a}") for a in "xyz"))
+    of = lambda a: F.when(high, F.col(a))
+    kinds = (F.count_if(high & (F.col("type") == t)).alias(f"n_{t}") for t in LABELS.values())
+    depth = (f(of("distance_to_surface")).alias(f"{n}_depth") for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max)))
+    centre = v.groupBy("graph").agg(F.count("*").alias("n"), F.count_if("high").alias("n_high"), *(F.avg(a).alias(f"all_{a}") for a in "xyz"), *(F.avg(of(a)).alias(f"high_{a}") for a in "xyz"), *kinds, *depth)
     at = lambda p: F.struct(*(F.col(f"{p}{a}").alias(a) for a in "xyz"))
-    own = F.struct(*(F.col(a).alias(a) for a in "xyz"))
-    spread = v.join(centre, "graph").groupBy("graph").agg(F.avg(distance(own, at("all_"))).alias("mean_distance_all"), F.avg(F.when(high, distance(own, at("high_")))).alias("mean_distance_high"))
+    spread = v.join(centre, "graph").groupBy("graph").agg(F.avg(distance(at(""), at("all_"))).alias("mean_distance_all"), F.avg(F.when(high, distance(at(""), at("high_")))).alias("mean_distance_high"))
     near = face_distances(v.where("high"), box).groupBy("graph", "face").agg(F.avg((F.col("gap") <= eps).cast("int")).alias("share")).groupBy("graph").agg(F.max("share").alias("max_face_share"))
     out = centre.join(spread, "graph").join(near, "graph", "left")
     return out.withColumn("share_high", F.col("n_high") / F.col("n")).withColumn("shift", distance(at("high_"), at("all_"))).withColumn("compactness", F.col("mean_distance_high") / F.nullif(F.col("mean_distance_all"), F.lit(0.0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vgraph.operators.topology import allowed, frontier, venous, with_penalties
@@ -10,23 +10,25 @@ from vgraph.plans.workspace import materialize
 
 
 def nearest_venous(edges: DataFrame, weight: str = "length", tol: float = 1e-6) -> DataFrame:
-    """(graph, vid, dist, hops, target, after): for each vertex that reaches a vein, its nearest venous vertex.
+    """(graph, vid, dist, hops, target, after, path): for each vertex that reaches a vein, its nearest venous vertex.
 
-    All graphs at once, by rounds of relaxation from the venous vertices; distances within ``tol`` of each other (by
-    rounding) tie, then fewer edges and the smaller target win. ``after`` is the next vertex of the path. The number of rounds is the
-    largest number of edges on a path; each ends in a written table.
+    All graphs at once, by rounds of relaxation from the venous vertices. Of distances within ``tol`` of the least
+    the one of fewest edges wins, then the smaller target. ``path`` runs from the vertex to the target, ``after`` is its second
+    vertex. The number of rounds is the largest number of edges on a path; each ends in a written table.
     """
     both = edges.select("graph", F.col("src").alias("vid"), F.col("dst").alias("other"), F.col(weight).alias("w")).unionByName(edges.select("graph", F.col("dst").alias("vid"), F.col("src").alias("other"), F.col(weight).alias("w")))
     both = materialize(both.where("vid <> other").groupBy("graph", "vid", "other").agg(F.min("w").alias("w")), "arcs")
-    best = venous(edges).select("graph", "vid", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.col("vid").alias("target"), F.lit(None).cast("long").alias("after"))
+    arcs = both.withColumnsRenamed({"vid": "to", "other": "vid"})
+    best = venous(edges).select("graph", "vid", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.col("vid").alias("target"), F.lit(None).cast("long").alias("after"), F.array("vid").alias("path"))
     best = materialize(best.withColumn("new", F.lit(True)), "best")
-    key = lambda: F.struct(F.round(F.col("dist") / tol).alias("d"), "hops", "target", F.coalesce("after", F.lit(-1).cast("long")).alias("after"))
+    least = F.min("dist").over(Window.partitionBy("graph", "vid"))
+    # among equals the row that was there stays
+    key = F.struct("hops", "target", F.coalesce("after", F.lit(-1).cast("long")).alias("after"), "new", "dist")
     while not best.where("new").isEmpty():
-        step = best.where("new").join(both.withColumnsRenamed({"vid": "to", "other": "vid"}), ["graph", "vid"])
-        step = step.select("graph", F.col("to").alias("vid"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), "target", F.col("vid").alias("after"), F.lit(True).alias("new"))
-        joined = best.withColumn("new", F.lit(False)).unionByName(step)
-        # among equals the row that was there stays
-        won = joined.groupBy("graph", "vid").agg(F.min_by(F.struct("dist", "hops", "target", "after", "new"), F.struct(key().alias("k"), F.col("new"))).alias("b"))
+        step = best.where("new").join(arcs, ["graph", "vid"])
+        step = step.select("graph", F.col("to").alias("vid"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), "target", F.col("vid").alias("after"), F.concat(F.array("to"), "path").alias("path"), F.lit(True).alias("new"))
+        joined = best.withColumn("new", F.lit(False)).unionByName(step).withColumn("least", least).where(F.col("dist") <= F.col("least") + tol)
+        won = joined.groupBy("graph", "vid").agg(F.min_by(F.struct("dist", "hops", "target", "after", "path", "new"), key).alias("b"))
         best = materialize(won.select("graph", "vid", "b.*"), "best")
     return best.drop("new")
 
@@ -36,20 +38,9 @@ def frontier_paths(edges: DataFrame, arteries: bool = False, weight: str = "leng
 
     A frontier vertex that touches a vein is its own target. Those that reach none are left out.
     """
+    edges = materialize(edges.select("graph", "eid", "src", "dst", "nkind", "length", "diameter", *({weight} - {"length"})), "vessels")
     best = nearest_venous(allowed(edges, arteries), weight, tol)
-    after = materialize(best.select("graph", F.col("vid").alias("at"), "after"), "after")
-    walk = frontier(edges).join(best, ["graph", "vid"]).select("graph", F.col("vid").alias("source"), "target", "dist", F.col("vid").alias("at"), F.array("vid").alias("path"))
-    done, walk = [], materialize(walk, "walk")
-    while not walk.isEmpty():
-        done.append(walk.where("at = target").drop("at"))
-        step = walk.where("at <> target").join(after, ["graph", "at"])
-        walk = materialize(step.select("graph", "source", "target", "dist", F.col("after").alias("at"), F.array_append("path", F.col("after")).alias("path")), "walk")
-    if not done:
-        return walk.drop("at")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return materialize(out, "paths")
+    return materialize(frontier(edges).join(best, ["graph", "vid"]).select("graph", F.col("vid").alias("source"), "target", "dist", "path"), "paths")
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -115,7 +106,7 @@ def summary_table(rows: DataFrame, graphs: list[str]) -> DataFrame:
     return rows.select("graph", cells).select("graph", "c.*").groupBy("metric").pivot("graph", graphs).agg(F.first("value")).na.fill("NA")
 
 
-def hop_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int = 1000) -> DataFrame:
+def hop_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """(graph, source, target, path) of a path with fewest edges, of two vertices or more, from each source to each target (graph, vid).
 
     Breadth-first from all sources at once; of equal paths the lexicographically smallest. The result is the product of both sets, so it is meant for boxes.
@@ -123,7 +114,7 @@ def hop_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: in
     both = edges.select("graph", F.col("src").alias("at"), F.col("dst").alias("to")).union(edges.select("graph", "dst", "src")).where("at <> to").distinct()
     both = materialize(both, "arcs")
     seen = materialize(sources.select("graph", F.col("vid").alias("source"), F.col("vid").alias("at"), F.array("vid").alias("path"), F.lit(True).alias("new")), "seen")
-    for _ in range(most):
+    while True:
         step = seen.where("new").join(both, ["graph", "at"]).select("graph", "source", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path"))
         step = step.groupBy("graph", "source", "at").agg(F.min("path").alias("path")).join(seen.select("graph", "source", "at"), ["graph", "source", "at"], "left_anti")
         seen = materialize(seen.withColumn("new", F.lit(False)).unionByName(step.withColumn("new", F.lit(True))), "seen")

@@ -38,9 +38,9 @@ def end_points(vertices: DataFrame, edges: DataFrame, tol: float = 1e-6) -> Data
 
 
 def ranges_adjoin(ranges: DataFrame) -> DataFrame:
-    """Edges (eid, start, end) whose range of points does not begin where the one before ended."""
-    before = F.lag("end").over(Window.partitionBy(F.floor(F.col("eid") / 1_000_000)).orderBy("eid"))
-    return ranges.withColumn("expected", before).where("expected is not null and expected <> start")
+    """Edges (eid, start, end), numbered without gaps, whose range of points does not begin where that of the edge before ended."""
+    before = ranges.select((F.col("eid") + 1).alias("eid"), F.col("end").alias("expected"))
+    return ranges.join(before, "eid").select(*ranges.columns, "expected").where("expected <> start")
 
 
 def rescaling(before: DataFrame, after: DataFrame, scale: float, voxel: float = 1.0, tol: float = 1e-6) -> DataFrame:

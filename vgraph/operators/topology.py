@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vgraph.operators.components import connected_components
+from vgraph.plans.workspace import materialize
 from vgraph.schema import ARTERY, CAPILLARY, LABELS, label
 from vgraph.functions.geometry import penalised
 
 
+#: Bits of a vertex id; the graph's number lies above.
+BITS = 40
+
+
 def incidence(edges: DataFrame) -> DataFrame:
     """(graph, vid, other, eid, nkind, length, diameter): each edge at both of its ends, a loop twice."""
     rest = ["eid", "nkind", "length", "diameter"]
@@ -108,20 +113,25 @@ def with_penalties(edges: DataFrame, artery: float = 1e5, vein: float = 1e5) ->
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph, vid, component): the smallest vid that edges reach; isolated vertices are their own.
+    """(graph, vid, component): the smallest vid of the graph that edges reach; isolated vertices are their own."""
+    return vertices.select("graph", "vid").join(edge_components(edges), ["graph", "vid"], "left").select("graph", "vid", F.coalesce("component", "vid").alias("component"))
 
-    Vertex ids must be unique over all graphs; ``globally_numbered`` makes them so.
-    """
-    found = connected_components(edges.select("src", "dst"))
-    return vertices.select("graph", "vid").join(found.withColumnRenamed("id", "vid"), "vid", "left").select("graph", "vid", F.coalesce("component", "vid").alias("component"))
+
+def edge_components(edges: DataFrame) -> DataFrame:
+    """(graph, vid, component) of the vertices that have an edge to another one; ids may repeat between graphs."""
+    graphs = materialize(edges.select("graph").distinct().withColumn("g", F.row_number().over(Window.orderBy("graph")) - 1), "graphs")  # one row a graph
+    code = lambda c: (F.shiftleft(F.col("g").cast("long"), BITS) + F.col(c)).alias(c)
+    found = connected_components(edges.join(graphs, "graph").select(code("src"), code("dst")))
+    low = lambda c: F.col(c).bitwiseAND((1 << BITS) - 1)
+    found = found.select(F.shiftright("id", BITS).cast("int").alias("g"), low("id").alias("vid"), low("component").alias("component"))
+    return found.join(graphs, "g").select("graph", "vid", "component")
 
 
 def globally_numbered(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ids that repeat between graphs made unique: by graph number and old id, kept as ``old_vid``."""
-    bits = 40
     graphs = vertices.select("graph").distinct().withColumn("g", F.dense_rank().over(Window.orderBy("graph")) - 1)
-    v = vertices.join(graphs, "graph").withColumn("old_vid", F.col("vid")).withColumn("vid", F.shiftleft(F.col("g").cast("long"), bits) + F.col("vid")).drop("g")
-    e = edges.join(graphs, "graph").withColumns({c: F.shiftleft(F.col("g").cast("long"), bits) + F.col(c) for c in ("src", "dst")}).drop("g")
+    v = vertices.join(graphs, "graph").withColumn("old_vid", F.col("vid")).withColumn("vid", F.shiftleft(F.col("g").cast("long"), BITS) + F.col("vid")).drop("g")
+    e = edges.join(graphs, "graph").withColumns({c: F.shiftleft(F.col("g").cast("long"), BITS) + F.col(c) for c in ("src", "dst")}).drop("g")
     return v, e
 
 
@@ -140,8 +150,8 @@ def class_components(edges: DataFrame, nkind: int, least: int = 10, share: float
     or more). Majors are numbered from 1 by falling edges, the smaller component first.
     """
     mine = edges.where(F.col("nkind") == nkind)
-    found = connected_components(mine.select("src", "dst")).withColumnRenamed("id", "src")
-    labelled = mine.join(found, "src", "left").withColumn("component", F.coalesce("component", "src"))
+    found = edge_components(mine).withColumnRenamed("vid", "src")
+    labelled = mine.join(found, ["graph", "src"], "left").withColumn("component", F.coalesce("component", "src"))
     ends = incidence(labelled.select("graph", "src", "dst", "eid", "nkind", "length", "diameter")).groupBy("graph", "vid").agg(F.count("*").alias("degree"))
     of = labelled.select("graph", F.explode(F.array("src", "dst")).alias("vid"), "component").distinct()
     nodes = of.join(ends, ["graph", "vid"]).groupBy("graph", "component").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("degree") >= 3).alias("n_branch"))
@@ -163,7 +173,8 @@ def major_coverage(vertices_or_edges: DataFrame, table: DataFrame) -> DataFrame:
 def interfaces(edges: DataFrame) -> DataFrame:
     """By graph: how capillaries meet arteries and veins.
 
-    ``attached`` edges have any end in the class's vertices, ``boundary`` edges exactly one.
+    ``attached`` edges have any end in the class's vertices, ``boundary`` edges exactly one; ``beside`` counts the distinct
+    other ends of boundary edges, and ``bound`` is the smaller of the two counts.
     """
     t = touches(edges)
     ends = lambda side: t.select("graph", F.col("vid").alias(side), F.col("artery").alias(f"{side}_a"), F.col("vein").alias(f"{side}_v"))
@@ -173,8 +184,11 @@ def interfaces(edges: DataFrame) -> DataFrame:
         *(F.count_if(F.col(f"src_{k}") | F.col(f"dst_{k}")).alias(f"attached_{name}") for k, name in (("a", "artery"), ("v", "vein"))),
         *(F.count_if(F.col(f"src_{k}") != F.col(f"dst_{k}")).alias(f"boundary_{name}") for k, name in (("a", "artery"), ("v", "vein"))),
     )
+    inner = lambda k: F.when(F.col(f"src_{k}") != F.col(f"dst_{k}"), F.when(F.col(f"src_{k}"), F.col("dst")).otherwise(F.col("src")))
+    beside = caps.select("graph", F.explode(F.array(F.struct(F.lit("a").alias("k"), inner("a").alias("vid")), F.struct(F.lit("v").alias("k"), inner("v").alias("vid")))).alias("o")).select("graph", "o.*").where("vid is not null").distinct()
+    beside = beside.groupBy("graph").agg(F.count_if(F.col("k") == "a").alias("beside_artery"), F.count_if(F.col("k") == "v").alias("beside_vein"))
     nodes = t.groupBy("graph").agg(F.count_if("artery").alias("artery_nodes"), F.count_if("vein").alias("vein_nodes"), F.count_if(F.col("artery") & F.col("capillary")).alias("ac_nodes"), F.count_if(F.col("vein") & F.col("capillary")).alias("vc_nodes"), F.count_if(F.col("artery") & F.col("vein")).alias("av_nodes"))
-    return nodes.join(n, "graph", "left").na.fill(0)
+    return nodes.join(n, "graph", "left").join(beside, "graph", "left").na.fill(0).withColumn("bound", F.least("beside_artery", "beside_vein"))
 
 
 def saturation(interface: DataFrame, disjoint: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vgraph.functions import stats
@@ -35,13 +35,12 @@ def network_summary(vertices: DataFrame, edges: DataFrame, box: dict) -> DataFra
     return reduce(lambda a, b: a.join(b, "graph", "left"), parts)
 
 
-def region_comparison(vertices: DataFrame, edges: DataFrame, first: str, second: str) -> DataFrame:
-    """Welch's test of two graphs for each metric and vessel type, with stars."""
+def region_comparison(vertices: DataFrame, edges: DataFrame, group: Column, first: str, second: str) -> DataFrame:
+    """Welch's test of two groups of graphs for each metric and vessel type, with stars; ``group`` names a row's group by its graph."""
     from vgraph.schema import label
 
-    e = edges.where(F.col("graph").isin(first, second)).withColumn("type", label(F.col("nkind")))
-    long = e.select("graph", "type", F.explode(F.create_map(F.lit("length"), F.col("length"), F.lit("diameter"), F.col("diameter"))).alias("metric", "value"))
-    ends = topology.degrees(vertices, edges).where(F.col("graph").isin(first, second)).join(topology.vertex_types(vertices, edges), ["graph", "vid"])
-    long = long.unionByName(ends.select("graph", "type", F.lit("degree").alias("metric"), F.col("degree").cast("double").alias("value")))
-    out = stats.welch(long, "value", "graph", [first, second], ["metric", "type"])
+    e = edges.select(group.alias("group"), label(F.col("nkind")).alias("type"), F.explode(F.create_map(F.lit("length"), F.col("length"), F.lit("diameter"), F.col("diameter"))).alias("metric", "value"))
+    ends = topology.degrees(vertices, edges).join(topology.vertex_types(vertices, edges), ["graph", "vid"])
+    long = e.select("group", "type", "metric", "value").unionByName(ends.select(group.alias("group"), "type", F.lit("degree").alias("metric"), F.col("degree").cast("double").alias("value")))
+    out = stats.welch(long, "value", "group", [first, second], ["metric", "type"])
     return out.withColumn("stars", stats.p_stars(F.col("p"))).withColumn("p_text", stats.p_text(F.col("p")))

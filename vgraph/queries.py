@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from vgraph.functions import geometry, stats
 from vgraph.operators import clip, flow, morphology, paths, quality, regions, skeleton, topology
 from vgraph.plans.analysis import network_summary, region_comparison
+from vgraph.plans.workspace import materialize, work_dir
 from vgraph.schema import label
-from vgraph.sources import lattice, vtp
+from vgraph.sources import bundle, lattice, voxel_graph, vtp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +43,17 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 
 TOUCH = """t AS (SELECT graph, vid, bool_or(nkind = 2) AS a, bool_or(nkind = 3) AS v, bool_or(nkind = 4) AS c FROM inc GROUP BY ALL)"""
 TYPES = TOUCH + """, ty AS (SELECT v.graph, v.vid, CASE WHEN t.a THEN 'artery' WHEN t.v THEN 'vein' WHEN t.c THEN 'capillary' ELSE 'unknown' END AS type FROM v LEFT JOIN t USING (graph, vid))"""
+REACH = """pairs AS (SELECT graph, src AS a, dst AS b FROM e UNION SELECT graph, dst, src FROM e UNION SELECT graph, vid, vid FROM v),
+ reach AS (WITH RECURSIVE r(graph, vid, target) AS (SELECT graph, vid, vid FROM v UNION SELECT p.graph, p.b, r.target FROM r JOIN pairs p ON p.graph = r.graph AND p.a = r.vid WHERE p.b > r.target) SELECT * FROM r)"""
+GIANT = REACH + """, lab AS (SELECT graph, vid, min(target) AS component FROM reach GROUP BY ALL), big AS (SELECT graph, component FROM (SELECT graph, component, row_number() OVER (PARTITION BY graph ORDER BY count(*) DESC, component) AS nth FROM lab GROUP BY graph, component) WHERE nth = 1),
+ gv AS (SELECT graph, vid FROM lab JOIN big USING (graph, component))"""
+#: The artery edges with their components, and the table of these.
+TREES = """ap AS (SELECT graph, src AS a, dst AS b FROM e WHERE nkind = 2 UNION SELECT graph, dst, src FROM e WHERE nkind = 2),
+ ar AS (WITH RECURSIVE r(graph, vid, target) AS (SELECT graph, a, a FROM ap UNION SELECT p.graph, p.b, r.target FROM r JOIN ap p ON p.graph = r.graph AND p.a = r.vid WHERE p.b > r.target) SELECT * FROM r),
+ al AS (SELECT graph, vid, min(target) AS component FROM ar GROUP BY ALL), ae AS (SELECT e.*, component FROM e JOIN al ON al.graph = e.graph AND al.vid = src WHERE nkind = 2),
+ an AS (SELECT graph, component, count(*) AS n_nodes, count(*) FILTER (d >= 3) AS n_branch FROM (SELECT graph, component, vid, count(*) AS d FROM (SELECT graph, component, src AS vid FROM ae UNION ALL SELECT graph, component, dst FROM ae) GROUP BY ALL) GROUP BY ALL),
+ atab AS (SELECT *, greatest(10.0::DOUBLE, 0.2::DOUBLE * max(n_edges) OVER (PARTITION BY graph)) AS threshold, 100.0 * n_edges / sum(n_edges) OVER (PARTITION BY graph) AS pct_edges FROM (SELECT graph, component, count(*) AS n_edges FROM ae GROUP BY ALL) JOIN an USING (graph, component)),
+ am AS (SELECT *, n_edges >= threshold AND n_branch >= 1 AS is_major FROM atab), trees AS (SELECT *, CASE WHEN is_major THEN row_number() OVER (PARTITION BY graph ORDER BY is_major DESC, n_edges DESC, component) END::INT AS major_tree_id FROM am)"""
 DEGREE = """deg AS (SELECT v.graph, v.vid, count(eid) AS degree FROM v LEFT JOIN inc USING (graph, vid) GROUP BY ALL)"""
 
 
@@ -97,9 +110,10 @@ def frontier_and_venous(v, e):
     return topology.frontier(e).withColumn("kind", F.lit("frontier")).unionByName(topology.venous(e).withColumn("kind", F.lit("venous")))
 
 
-@query("""SELECT graph, an AS artery_nodes, vn AS vein_nodes, ac AS ac_nodes, vc AS vc_nodes, av AS av_nodes, coalesce(ce, 0) AS capillary_edges, coalesce(aa, 0) AS attached_artery, coalesce(av2, 0) AS attached_vein, coalesce(ba, 0) AS boundary_artery, coalesce(bv, 0) AS boundary_vein FROM
+@query("""SELECT graph, an AS artery_nodes, vn AS vein_nodes, ac AS ac_nodes, vc AS vc_nodes, av AS av_nodes, coalesce(ce, 0) AS capillary_edges, coalesce(aa, 0) AS attached_artery, coalesce(av2, 0) AS attached_vein, coalesce(ba, 0) AS boundary_artery, coalesce(bv, 0) AS boundary_vein, coalesce(na, 0) AS beside_artery, coalesce(nv, 0) AS beside_vein, least(coalesce(na, 0), coalesce(nv, 0)) AS bound FROM
  (SELECT graph, count(*) FILTER (a) AS an, count(*) FILTER (v) AS vn, count(*) FILTER (a AND c) AS ac, count(*) FILTER (v AND c) AS vc, count(*) FILTER (a AND v) AS av FROM t GROUP BY graph) LEFT JOIN
- (SELECT e.graph, count(*) AS ce, count(*) FILTER (s.a OR d.a) AS aa, count(*) FILTER (s.v OR d.v) AS av2, count(*) FILTER (s.a <> d.a) AS ba, count(*) FILTER (s.v <> d.v) AS bv FROM e JOIN t s ON s.graph = e.graph AND s.vid = src JOIN t d ON d.graph = e.graph AND d.vid = dst WHERE nkind = 4 GROUP BY 1) USING (graph)""", TOUCH)
+ (SELECT e.graph, count(*) AS ce, count(*) FILTER (s.a OR d.a) AS aa, count(*) FILTER (s.v OR d.v) AS av2, count(*) FILTER (s.a <> d.a) AS ba, count(*) FILTER (s.v <> d.v) AS bv,
+  count(DISTINCT CASE WHEN s.a <> d.a THEN CASE WHEN s.a THEN dst ELSE src END END) AS na, count(DISTINCT CASE WHEN s.v <> d.v THEN CASE WHEN s.v THEN dst ELSE src END END) AS nv FROM e JOIN t s ON s.graph = e.graph AND s.vid = src JOIN t d ON d.graph = e.graph AND d.vid = dst WHERE nkind = 4 GROUP BY 1) USING (graph)""", TOUCH)
 def interface_counts(v, e):
     return topology.interfaces(e)
 
@@ -111,12 +125,13 @@ def microsegments(v, e):
     return ms.groupBy("graph").agg(F.count("*").alias("n_microsegments"), F.round(F.sum("length"), 4).alias("sum_length"), F.round(F.sum(F.lit(3.141592653589793) * F.pow((F.col("r0") + F.col("r1")) / 2, F.lit(2.0)) * F.col("length")), 3).alias("volume"))
 
 
-@query("""SELECT g.graph, g.i, g.j, g.k, g.type, round(coalesce(sum(pi() * ((d + d2) / 4) ^ 2 * len), 0) / 1e6, 6) AS volume_density, round(coalesce(sum(len), 0) * 1e-3 / 1e-3, 2) AS length_density
+@query("""SELECT g.graph, g.i, g.j, g.k, g.type, round(coalesce(sum(pi() * ((d + d2) / 4) ^ 2 * len), 0) / 1e6, 6) AS volume_density, round(coalesce(sum(len), 0) * 1e-3 / 1e-3 - 1e-7, 2) AS length_density
  FROM grid g LEFT JOIN m ON m.graph = g.graph AND mx BETWEEN 20 + 50 * i AND 120 + 50 * i AND my BETWEEN 20 + 50 * j AND 120 + 50 * j AND mz BETWEEN 20 + 50 * k AND 120 + 50 * k AND (g.type = 'total' OR g.type = m.type) GROUP BY ALL""",
  """m AS (SELECT graph, d, d2, len, (x + x2) / 2 AS mx, (y + y2) / 2 AS my, (z + z2) / 2 AS mz, CASE nkind WHEN 2 THEN 'artery' WHEN 3 THEN 'vein' ELSE 'capillary' END AS type FROM ms WHERE len > 0),
  grid AS (SELECT DISTINCT graph, i::INT AS i, j::INT AS j, k::INT AS k, type FROM m m0, range(7) a(i), range(7) b(j), range(7) c(k), (VALUES ('total'), ('artery'), ('vein'), ('capillary')) y(type))""".replace("graph, i::INT", "m0.graph, i::INT").replace("AS k, type FROM", "AS k, y.type FROM"))
 def sub_box_densities(v, e):
-    return rounded(rounded(morphology.densities(morphology.microsegments(e), BOX), 6).withColumn("length_density", F.round("length_density", 2)), 6)
+    # sums of lengths often end in a 5: rounded a little off it, so that the order of the sum doesn't show
+    return morphology.densities(morphology.microsegments(e), BOX).withColumns({"volume_density": F.round("volume_density", 6), "length_density": F.round(F.col("length_density") - 1e-7, 2)})
 
 
 @query("""SELECT graph, slab, round(coalesce(sum(vol) FILTER (nkind = 2), 0) / (400 * 400 * 50.0), 6) AS artery, round(coalesce(sum(vol) FILTER (nkind = 3), 0) / (400 * 400 * 50.0), 6) AS vein, round(coalesce(sum(vol) FILTER (nkind = 4), 0) / (400 * 400 * 50.0), 6) AS capillary, round(sum(vol) / (400 * 400 * 50.0), 6) AS total FROM
@@ -154,24 +169,28 @@ def depth_stats(v, e):
     return rounded(morphology.depth_stats(v))
 
 
-@query()
+@query("""SELECT graph, n, n_high, round(all_x, 4) AS all_x, round(all_y, 4) AS all_y, round(all_z, 4) AS all_z, round(high_x, 4) AS high_x, round(high_y, 4) AS high_y, round(high_z, 4) AS high_z, round(ma, 4) AS mean_distance_all, round(mh, 4) AS mean_distance_high, round(share, 4) AS max_face_share,
+ round(n_high / n, 4) AS share_high, round(sqrt((high_x - all_x) ^ 2 + (high_y - all_y) ^ 2 + (high_z - all_z) ^ 2), 4) AS shift, round(mh / nullif(ma, 0), 4) AS compactness, n_artery, n_vein, n_capillary, min_depth, round(mean_depth, 4) AS mean_depth, max_depth FROM centre JOIN
+ (SELECT graph, avg(sqrt((x - all_x) ^ 2 + (y - all_y) ^ 2 + (z - all_z) ^ 2)) AS ma, avg(CASE WHEN high THEN sqrt((x - high_x) ^ 2 + (y - high_y) ^ 2 + (z - high_z) ^ 2) END) AS mh FROM hv JOIN centre USING (graph) GROUP BY graph) USING (graph)
+ LEFT JOIN (SELECT graph, max(share) AS share FROM (SELECT graph, face, avg((gap <= 5)::INT) AS share FROM fc JOIN (SELECT vid FROM hv WHERE high) USING (vid) GROUP BY ALL) GROUP BY graph) USING (graph)""", TYPES + "," + DEGREE + "," + FACE + """,
+ hv AS (SELECT v.*, degree >= 4 AS high, type FROM v JOIN deg USING (graph, vid) JOIN ty USING (graph, vid)), centre AS (SELECT graph, count(*) AS n, count(*) FILTER (high) AS n_high, avg(x) AS all_x, avg(y) AS all_y, avg(z) AS all_z, avg(x) FILTER (high) AS high_x, avg(y) FILTER (high) AS high_y, avg(z) FILTER (high) AS high_z,
+ count(*) FILTER (high AND type = 'artery') AS n_artery, count(*) FILTER (high AND type = 'vein') AS n_vein, count(*) FILTER (high AND type = 'capillary') AS n_capillary, min(distance_to_surface) FILTER (high) AS min_depth, avg(distance_to_surface) FILTER (high) AS mean_depth, max(distance_to_surface) FILTER (high) AS max_depth FROM hv GROUP BY graph)""")
 def high_degree_pattern(v, e):
     return rounded(morphology.high_degree(v, e, BOX))
 
 
-@query("""SELECT graph, vid, min(target) AS component FROM reach GROUP BY ALL""", """pairs AS (SELECT graph, src AS a, dst AS b FROM e UNION SELECT graph, dst, src FROM e UNION SELECT graph, vid, vid FROM v),
- reach AS (WITH RECURSIVE r(graph, vid, target) AS (SELECT graph, vid, vid FROM v UNION SELECT p.graph, p.b, r.target FROM r JOIN pairs p ON p.graph = r.graph AND p.a = r.vid WHERE p.b > r.target) SELECT * FROM r)""")
+@query("""SELECT graph, vid, min(target) AS component FROM reach GROUP BY ALL""", REACH)
 def component_labels(v, e):
     return topology.components(v, e)
 
 
-@query()
+@query("SELECT graph, n_vertices, n_edges, sum_length FROM (SELECT graph, count(*) AS n_vertices FROM gv GROUP BY 1) LEFT JOIN (SELECT e.graph, count(*) AS n_edges, round(sum(length), 4) AS sum_length FROM e JOIN gv ON gv.graph = e.graph AND gv.vid = src GROUP BY 1) USING (graph)", GIANT)
 def giant_component(v, e):
     gv, ge = topology.giant_component(v, e)
     return gv.groupBy("graph").agg(F.count("*").alias("n_vertices")).join(ge.groupBy("graph").agg(F.count("*").alias("n_edges"), F.round(F.sum("length"), 4).alias("sum_length")), "graph", "left")
 
 
-@query()
+@query("SELECT graph, component, n_edges, n_nodes, n_branch, round(threshold, 4) AS threshold, is_major, round(pct_edges, 4) AS pct_edges, major_tree_id FROM trees", TREES)
 def major_trees(v, e):
     table, _ = topology.class_components(e, 2)
     return rounded(table)
@@ -203,7 +222,15 @@ def induced_box(v, e):
     return out.groupBy("graph").agg(F.count("*").alias("n_edges"), F.round(F.sum("length"), 4).alias("sum_length"))
 
 
-@query()
+@query("""SELECT graph, face, n, n_edges, sum_length FROM (SELECT graph, face, count(*) AS n FROM cross_at GROUP BY ALL) JOIN (SELECT graph, count(*) AS n_edges, round(sum(length), 4) AS sum_length FROM (SELECT graph, length FROM ve WHERE si AND di UNION ALL SELECT graph, length FROM cross_at) GROUP BY graph) USING (graph)""",
+ """vi AS (SELECT vid, x BETWEEN 20 AND 405 AND y BETWEEN 20 AND 290 AND z BETWEEN 20 AND 420 AS i FROM v), ve AS (SELECT e.*, a.i AS si, b.i AS di FROM e JOIN vi a ON a.vid = src JOIN vi b ON b.vid = dst),
+ pk AS (SELECT p.graph, p.eid, p.x, p.y, p.z, CASE WHEN si THEN i ELSE n - 1 - i END AS k, p.x BETWEEN 20 AND 405 AND p.y BETWEEN 20 AND 290 AND p.z BETWEEN 20 AND 420 AS ok FROM pts p JOIN ve USING (eid) WHERE si <> di),
+ fo AS (SELECT eid, min(k) FILTER (NOT ok) AS leaves FROM pk GROUP BY eid), walked AS (SELECT eid, sum(step) AS done FROM (SELECT eid, k, sqrt((lead(x) OVER w - x) ^ 2 + (lead(y) OVER w - y) ^ 2 + (lead(z) OVER w - z) ^ 2) AS step FROM pk WINDOW w AS (PARTITION BY eid ORDER BY k)) JOIN fo USING (eid) WHERE k < leaves - 1 GROUP BY eid),
+ ab AS (SELECT a.graph, a.eid, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz FROM fo JOIN pk a ON a.eid = fo.eid AND a.k = leaves - 1 JOIN pk b ON b.eid = fo.eid AND b.k = leaves),
+ tried AS (SELECT *, (plane - ca) / nullif(cb - ca, 0) AS t FROM (SELECT ab.*, face, nth, plane, axis, low, CASE axis WHEN 'x' THEN ax WHEN 'y' THEN ay ELSE az END AS ca, CASE axis WHEN 'x' THEN bx WHEN 'y' THEN by_ ELSE bz END AS cb
+  FROM ab, (VALUES ('x_min', 1, 'x', 20, true), ('x_max', 2, 'x', 405, false), ('y_min', 3, 'y', 20, true), ('y_max', 4, 'y', 290, false), ('z_min', 5, 'z', 20, true), ('z_max', 6, 'z', 420, false)) f(face, nth, axis, plane, low)) WHERE CASE WHEN low THEN cb < plane ELSE cb > plane END),
+ placed AS (SELECT *, CASE axis WHEN 'x' THEN plane ELSE ax + t * (bx - ax) END AS px, CASE axis WHEN 'y' THEN plane ELSE ay + t * (by_ - ay) END AS py, CASE axis WHEN 'z' THEN plane ELSE az + t * (bz - az) END AS pz FROM tried),
+ cross_at AS (SELECT graph, eid, face, coalesce(done, 0) + sqrt((px - ax) ^ 2 + (py - ay) ^ 2 + (pz - az) ^ 2) AS length FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY nth) AS pick FROM placed WHERE px BETWEEN 20 - 1e-9 AND 405 + 1e-9 AND py BETWEEN 20 - 1e-9 AND 290 + 1e-9 AND pz BETWEEN 20 - 1e-9 AND 420 + 1e-9) LEFT JOIN walked USING (eid) WHERE pick = 1)""")
 def clipped(v, e):
     box = BOX | {"xmax": 405.0, "ymax": 290.0}
     cv, ce = clip.cut(v.withColumn("is_border", F.lit(0)).withColumn("border_face", F.lit(None).cast("string")), e, box)
@@ -226,17 +253,26 @@ def min_cuts(v, e):
     return rounded(topology.saturation(topology.interfaces(e), cuts).join(cuts.drop("cut_edges", "paths", "n_disjoint"), "graph", "left"), 6)
 
 
-@query("""SELECT a.graph AS graph1, b.graph AS graph2, a.n AS n1, b.n AS n2, round((a.m - b.m) / sqrt(a.s / a.n + b.s / b.n), 4) AS t, round((a.s / a.n + b.s / b.n) ^ 2 / ((a.s / a.n) ^ 2 / (a.n - 1) + (b.s / b.n) ^ 2 / (b.n - 1)), 3) AS df
- FROM gs a JOIN gs b ON a.graph < b.graph""", "gs AS (SELECT graph, count(*) AS n, avg(length) AS m, var_samp(length) AS s FROM e WHERE graph IN ('G0', 'G1', 'G2') GROUP BY graph)")
+@query("""SELECT a.graph, a.type AS type1, b.type AS type2, a.n AS n1, b.n AS n2, round((a.m - b.m) / sqrt(a.s / a.n + b.s / b.n), 4) AS t, round((a.s / a.n + b.s / b.n) ^ 2 / ((a.s / a.n) ^ 2 / (a.n - 1) + (b.s / b.n) ^ 2 / (b.n - 1)), 3) AS df
+ FROM gs a JOIN gs b ON a.graph = b.graph AND a.nkind < b.nkind""", "gs AS (SELECT graph, nkind, CASE nkind WHEN 2 THEN 'artery' WHEN 3 THEN 'vein' ELSE 'capillary' END AS type, count(*) AS n, avg(length) AS m, var_samp(length) AS s FROM e GROUP BY ALL)")
 def welch_tests(v, e):
-    out = stats.welch(e, "length", "graph", ["G0", "G1", "G2"], p=False)
-    return out.select("graph1", "graph2", "n1", "n2", F.round("t", 4).alias("t"), F.round("df", 3).alias("df"))
+    out = stats.welch(e.withColumn("type", label(F.col("nkind"))), "length", "type", ["artery", "vein", "capillary"], ["graph"], p=False)
+    return out.select("graph", "type1", "type2", "n1", "n2", F.round("t", 4).alias("t"), F.round("df", 3).alias("df"))
 
 
-@query("""SELECT nkind::INT AS nkind, n1, n2, round(d, 6) AS d FROM (SELECT nkind, max(n1)::BIGINT AS n1, max(n2)::BIGINT AS n2, max(abs(c1 / n1 - c2 / n2)) AS d FROM (SELECT nkind, sum(a) OVER w AS c1, sum(b) OVER w AS c2, sum(a) OVER (PARTITION BY nkind) AS n1, sum(b) OVER (PARTITION BY nkind) AS n2
- FROM (SELECT nkind, diameter, count(*) FILTER (graph = 'G0') AS a, count(*) FILTER (graph = 'G1') AS b FROM e WHERE graph IN ('G0', 'G1') GROUP BY ALL) WINDOW w AS (PARTITION BY nkind ORDER BY diameter)) GROUP BY nkind)""")
+@query("""SELECT graph, n1, n2, round(d, 6) AS d FROM (SELECT graph, max(n1)::BIGINT AS n1, max(n2)::BIGINT AS n2, max(abs(c1 / n1 - c2 / n2)) AS d FROM (SELECT graph, sum(a) OVER w AS c1, sum(b) OVER w AS c2, sum(a) OVER (PARTITION BY graph) AS n1, sum(b) OVER (PARTITION BY graph) AS n2
+ FROM (SELECT graph, diameter, count(*) FILTER (nkind = 2) AS a, count(*) FILTER (nkind = 3) AS b FROM e WHERE nkind IN (2, 3) GROUP BY ALL) WINDOW w AS (PARTITION BY graph ORDER BY diameter)) GROUP BY graph)""")
 def ks_tests(v, e):
-    return stats.ks(e, "diameter", "graph", "G0", "G1", ["nkind"]).select("nkind", "n1", "n2", F.round("d", 6).alias("d"))
+    return stats.ks(e.withColumn("type", label(F.col("nkind"))), "diameter", "type", "artery", "vein", ["graph"]).select("graph", "n1", "n2", F.round("d", 6).alias("d"))
+
+
+@query("""SELECT graph, nkind::INT AS nkind, count(*) AS n, round(avg(delta), 5) AS mean_delta, round(median(delta), 5) AS median_delta, round(avg(delta) / sqrt(var_samp(delta) / count(*)), 3) AS t, (count(*) - 1)::DOUBLE AS df FROM
+ (SELECT e.graph, e.nkind, e.length - sqrt((b.x - a.x) ^ 2 + (b.y - a.y) ^ 2 + (b.z - a.z) ^ 2) AS delta FROM e JOIN v a ON a.vid = src JOIN v b ON b.vid = dst) GROUP BY ALL""")
+def paired_tests(v, e):
+    """Lengths against straight distances."""
+    p = F.col("points")
+    out = stats.paired_t(e.withColumn("delta", F.col("length") - geometry.distance(p[0], F.element_at(p, -1))), "delta", ["graph", "nkind"], p=False)
+    return out.withColumns({"mean_delta": F.round("mean_delta", 5), "median_delta": F.round("median_delta", 5), "t": F.round("t", 3)})
 
 
 @query("""SELECT nkind::INT AS nkind, diameter, round(sum(count(*)) OVER (PARTITION BY nkind ORDER BY diameter) / sum(count(*)) OVER (PARTITION BY nkind), 6) AS share FROM e GROUP BY nkind, diameter""")
@@ -254,13 +290,16 @@ def network_bounds(v, e):
     return rounded(morphology.bounds(v, e), 9)
 
 
-@query()
+@query("""SELECT graph, ends, n, n_ok, n_unknown, max_gap FROM (SELECT graph, ends, count(*) AS n FROM (SELECT e.graph, CASE WHEN fa AND lb THEN 'OK_DIRECT' WHEN fb AND la THEN 'OK_SWAP' WHEN fa OR lb OR fb OR la THEN 'BAD_AMBIG' ELSE 'BAD_BOTH' END AS ends FROM e JOIN
+ (SELECT f.eid, abs(f.x - a.x) + abs(f.y - a.y) + abs(f.z - a.z) < 1e-6 AS fa, abs(f.x - b.x) + abs(f.y - b.y) + abs(f.z - b.z) < 1e-6 AS fb, abs(l.x - a.x) + abs(l.y - a.y) + abs(l.z - a.z) < 1e-6 AS la, abs(l.x - b.x) + abs(l.y - b.y) + abs(l.z - b.z) < 1e-6 AS lb
+ FROM pts f JOIN pts l ON l.eid = f.eid AND l.i = l.n - 1 JOIN v a ON a.vid = f.src JOIN v b ON b.vid = f.dst WHERE f.i = 0) USING (eid)) GROUP BY ALL) JOIN
+ (SELECT graph, count(*) FILTER (abs(diameter - top) <= 1e-6 + 1e-3 * top) AS n_ok, 0::BIGINT AS n_unknown, max(abs(diameter - top)) AS max_gap FROM e JOIN (SELECT eid, max(d) AS top FROM pts GROUP BY 1) USING (eid) GROUP BY graph) USING (graph)""")
 def data_quality(v, e):
     ends = quality.end_points(v, e).groupBy("graph", "ends").agg(F.count("*").alias("n"))
     return ends.join(quality.radius_consistency(e).select("graph", "n_ok", "n_unknown", "max_gap"), "graph")
 
 
-@query()
+@query("SELECT graph, count(*) AS n_lines, sum(n)::BIGINT AS n_points, round(sum(length), 3) AS sum_length FROM e JOIN (SELECT eid, count(*) AS n FROM pts GROUP BY 1) USING (eid) WHERE src <> dst GROUP BY graph")
 def vtp_lines(v, e):
     return vtp.lines(v, e).groupBy("graph").agg(F.count("*").alias("n_lines"), F.sum(F.size("points")).alias("n_points"), F.round(F.sum("length"), 3).alias("sum_length"))
 
@@ -272,7 +311,9 @@ def region_summary(v, e):
 
 @query()
 def compared_graphs(v, e):
-    return rounded(region_comparison(v, e, "G0", "G1"), 4)
+    """Graphs of even numbers against those of odd ones."""
+    group = F.when(F.substring("graph", 2, 20).cast("long") % 2 == 0, "even").otherwise("odd")
+    return rounded(region_comparison(v, e, group, "even", "odd"), 4)
 
 
 def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +337,7 @@ ORACLES["region_vertices"] = "SELECT id, depth, count(c_custkey) AS n FROM (SELE
 
 def skeleton_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes, links, loops, end points and isolated points of the voxels that lattice points round to, every 4 um."""
-    p = lattice.edges(spark, sf_dir, every=True).select(F.explode("points").alias("p"))
+    p = lattice.edges(spark, sf_dir).select(F.explode("points").alias("p"))
     parts = skeleton.to_graph(p.select(*((F.round(F.col(f"p.{a}") / 4)).cast("long").alias(a) for a in "xyz")))
     count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
     return count("nodes", parts["nodes"]).unionByName(count("links", parts["links"].where("not is_loop"))).unionByName(count("loops", parts["links"].where("is_loop"))).unionByName(count("endpoints", parts["endpoints"])).unionByName(count("isopoints", parts["isopoints"]))
@@ -313,3 +354,150 @@ def type_totals(v, e):
 @query("SELECT CASE nkind WHEN 2 THEN 'artery' WHEN 3 THEN 'vein' ELSE 'capillary' END AS type, count(*) AS n, round(quantile_cont(length, 0.05), 6) AS p5, round(median(length), 6) AS median, round(quantile_cont(length, 0.95), 6) AS p95 FROM e GROUP BY 1")
 def length_percentiles(v, e):
     return rounded(morphology.summary(e.withColumn("type", label(F.col("nkind"))), ["type"], "length"), 6)
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder among the session's work tables."""
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT row_number() OVER (ORDER BY eid) - 1 AS eid, src, dst, nkind::INT AS nkind, n AS n_points, round(length, 6) AS length, diameter, round(CASE WHEN straight > 0 THEN length / straight ELSE 1 END, 6) AS tortuosity FROM e JOIN (SELECT eid, count(*) AS n FROM pts GROUP BY 1) USING (eid) JOIN
+ (SELECT a.eid, sqrt((b.x - a.x) ^ 2 + (b.y - a.y) ^ 2 + (b.z - a.z) ^ 2) AS straight FROM pts a JOIN pts b ON b.eid = a.eid AND b.i = b.n - 1 WHERE a.i = 0) USING (eid)""")
+def csv_bundle(v, e):
+    """The edges of the lattice written as a bundle of CSV files and read back."""
+    folder = fresh(v.sparkSession, "bundle")
+    bundle.save(v.withColumn("radius", F.lit(1.0)), e, folder)
+    out = bundle.load(v.sparkSession, folder, "all")[1]
+    return rounded(out.select("eid", "src", "dst", "nkind", F.size("points").cast("long").alias("n_points"), "length", "diameter", "tortuosity"), 6)
+
+
+@query("SELECT vid, x, y, z, 4.0::DOUBLE AS diameter, annotation, distance_to_surface FROM v")
+def csv_bundle_vertices(v, e):
+    folder = fresh(v.sparkSession, "bundle")
+    bundle.save(v.withColumn("radius", F.lit(2.0)), e, folder)
+    return bundle.load(v.sparkSession, folder, "all")[0].drop("graph")
+
+
+@query("SELECT graph, nv AS n_vertices, ne AS n_edges, round(sum_length, 4) AS sum_length, round(mean_diameter, 4) AS mean_diameter, 0::BIGINT AS no_class, np AS n_points FROM (SELECT graph, count(*) AS nv FROM v GROUP BY 1) LEFT JOIN (SELECT graph, count(*) AS ne, sum(length) AS sum_length, avg(diameter) AS mean_diameter FROM e GROUP BY 1) USING (graph) LEFT JOIN (SELECT graph, count(*) AS np FROM pts GROUP BY 1) USING (graph)")
+def saved_network(v, e):
+    """Sizes of the network written as Parquet by graph and read back."""
+    folder = fresh(v.sparkSession, "network")
+    bundle.save_network(v, e, folder)
+    return rounded(quality.overview(*bundle.load_network(v.sparkSession, folder)))
+
+
+@query("SELECT graph, count(*) AS n_vertices, any_value(ne) AS n_edges, 'x' AS space, 'graph,vid,x,y,z,annotation,distance_to_surface' AS vertex_columns FROM v LEFT JOIN (SELECT graph, count(*) AS ne FROM e GROUP BY 1) USING (graph) GROUP BY graph")
+def network_metadata(v, e):
+    folder = fresh(v.sparkSession, "network")
+    bundle.save_network(v, e, folder, {"space": "x"})
+    return v.sparkSession.read.parquet(f"{folder}/graph_meta").drop("edge_columns")
+
+
+@query("SELECT graph, CASE nkind WHEN 2 THEN 'artery' WHEN 3 THEN 'vein' ELSE 'capillary' END AS type, count(*) AS n, 'all' AS region FROM e GROUP BY ALL")
+def result_tables(v, e):
+    """A table of results written as CSV and read back beside its region."""
+    folder = fresh(v.sparkSession, "results")
+    bundle.save_table(topology.edge_types(e).select("graph", "type", "n"), f"{folder}/all_types")
+    return bundle.load_results(v.sparkSession, {"all": folder}, "types").withColumn("n", F.col("n").cast("long"))
+
+
+#: Rows and columns of the volume in which lattice points are voxels; their radii and labels follow from their indices.
+SIDE = 480
+VOXELS = f"""vx AS (SELECT eid, src, dst, i, floor(x)::BIGINT AS x, floor(y)::BIGINT AS y, floor(z)::BIGINT AS z FROM pts), vi AS (SELECT *, y + {SIDE} * x + {SIDE * SIDE} * z + 1 AS idx FROM vx),
+ votes AS (SELECT eid, l FROM (SELECT eid, l, row_number() OVER (PARTITION BY eid ORDER BY n DESC, first) AS nth FROM (SELECT eid, 1 + idx % 3 AS l, count(*) AS n, min(i) AS first FROM vi GROUP BY ALL)) WHERE nth = 1),
+ chain AS (SELECT eid, sum(coalesce(sqrt((nx - x) ^ 2 + (ny - y) ^ 2 + (nz - z) ^ 2), 0)) AS length FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM vi WINDOW w AS (PARTITION BY eid ORDER BY i)) GROUP BY eid)"""
+
+
+def index(x, y, z):
+    return (y + SIDE * x + SIDE * SIDE * z + 1).cast("long")
+
+
+@query("SELECT vid, x + 0.5 AS x, y, z, 2 * median(r)::DOUBLE AS diameter, count(*) AS n_voxels FROM (SELECT vid, x, y, z, 1 + (y + 480 * (x + k) + 480 * 480 * z + 1)::BIGINT % 5 AS r FROM v, (VALUES (0), (1)) t(k)) GROUP BY ALL")
+def voxel_nodes(v, e):
+    """Vertices from labelled voxels, two for each of the lattice's."""
+    cc = v.select(F.col("vid").alias("label"), F.array(index(F.col("x"), F.col("y"), F.col("z")), index(F.col("x") + 1, F.col("y"), F.col("z"))).alias("cc"))
+    radius = cc.select(F.explode("cc").alias("idx")).distinct().withColumn("value", (1 + F.col("idx") % 5).cast("double"))
+    return voxel_graph.nodes(cc, radius, (SIDE, SIDE), "all").drop("graph")
+
+
+@query("SELECT eid, src, dst, CASE WHEN l = 1 THEN 4 ELSE l END::INT AS nkind, round(length + 1, 6) AS length, diameter, n AS n_points FROM (SELECT eid, any_value(src) AS src, any_value(dst) AS dst, 2 * median(1 + idx % 5)::DOUBLE AS diameter, count(*) AS n FROM vi GROUP BY eid) JOIN votes USING (eid) JOIN chain USING (eid) WHERE eid % 7 <> 0 AND src <> 0 AND dst <> 0", VOXELS)
+def voxel_links(v, e):
+    """Edges from the voxels of the lattice's; an end of every seventh is open, as is one at 0, and these go."""
+    cc = e.select(F.col("eid").alias("link"), "src", F.when(F.col("eid") % 7 == 0, 0).otherwise(F.col("dst")).alias("dst"), F.transform("points", lambda p: index(F.floor(p["x"]), F.floor(p["y"]), F.floor(p["z"]))).alias("cc"))
+    every = cc.select(F.explode("cc").alias("idx")).distinct()
+    value = lambda n: every.withColumn("value", (1 + F.col("idx") % n).cast("double"))
+    out = voxel_graph.closed(v.withColumn("graph", F.lit("all")), voxel_graph.links(cc, value(5), value(3), (SIDE, SIDE), "all"))
+    return rounded(out.select("eid", "src", "dst", "nkind", "length", "diameter", F.size("points").cast("long").alias("n_points")), 6)
+
+
+@query("SELECT count(*) FILTER (eid % 7 <> 0) AS n_closed, count(*) FILTER (eid % 7 = 0) AS n_open FROM e")
+def open_links(v, e):
+    return quality.open_links(e.select("src", F.when(F.col("eid") % 7 != 0, F.col("dst")).alias("dst")))
+
+
+@query("""SELECT f.graph, f.face, count(b.vid) FILTER (type = 'artery') AS artery, count(b.vid) FILTER (type = 'vein') AS vein, count(b.vid) FILTER (type = 'capillary') AS capillary, count(b.vid) FILTER (type = 'unknown') AS "unknown"
+ FROM (SELECT DISTINCT bc.graph, fc.face FROM bc, fc) f LEFT JOIN (SELECT bc.*, type FROM bc JOIN ty USING (graph, vid)) b ON b.graph = f.graph AND b.face = f.face GROUP BY ALL""", TYPES + "," + FACE)
+def boundary_table(v, e):
+    return morphology.boundary_table(morphology.boundary(v, e, morphology.face_vertices(v, BOX, 5.0)))
+
+
+@query("""SELECT metric, printf('%.3f', artery) AS artery, printf('%.3f', vein) AS vein, printf('%.3f', capillary) AS capillary FROM (SELECT 'n' AS metric, count(*) FILTER (nkind = 2)::DOUBLE AS artery, count(*) FILTER (nkind = 3)::DOUBLE AS vein, count(*) FILTER (nkind = 4)::DOUBLE AS capillary FROM e
+ UNION ALL SELECT 'max_diameter', max(diameter) FILTER (nkind = 2), max(diameter) FILTER (nkind = 3), max(diameter) FILTER (nkind = 4) FROM e)""")
+def metric_table(v, e):
+    """Metrics as rows and groups, here vessel classes, as columns."""
+    rows = e.groupBy(label(F.col("nkind")).alias("graph")).agg(F.count("*").alias("n"), F.max("diameter").alias("max_diameter"))
+    return paths.summary_table(rows, ["artery", "vein", "capillary"])
+
+
+RANGES = """n AS (SELECT eid, count(*) AS n, row_number() OVER (ORDER BY eid) - 1 AS nth FROM pts GROUP BY eid), rg AS (SELECT nth AS eid, sum(n) OVER (ORDER BY nth) - n AS s, sum(n) OVER (ORDER BY nth) AS e2 FROM n), bad AS (SELECT eid, s + CASE WHEN eid % 10 = 3 THEN 1 ELSE 0 END AS start, e2 AS "end" FROM rg)"""
+
+
+@query('SELECT eid, start::BIGINT AS start, "end"::BIGINT AS "end", expected::BIGINT AS expected FROM (SELECT *, lag("end") OVER (ORDER BY eid) AS expected FROM bad) WHERE expected <> start', RANGES)
+def range_breaks(v, e):
+    """Ranges of points that don't adjoin, in a bundle with every tenth one moved."""
+    r = bundle.ranges(e)
+    return quality.ranges_adjoin(r.select("eid", (F.col("start") + (F.col("eid") % 10 == 3).cast("int")).alias("start"), "end"))
+
+
+@query("SELECT graph, count(*) AS n, max(greatest(abs(first - 4), abs(last - 4))) AS max_gap, count(*) FILTER (greatest(abs(first - 4), abs(last - 4)) > 1e-6) AS n_off FROM (SELECT a.graph, a.d AS first, b.d AS last FROM pts a JOIN pts b ON b.eid = a.eid AND b.i = b.n - 1 WHERE a.i = 0) GROUP BY graph")
+def end_diameters(v, e):
+    return quality.end_diameters(v.withColumn("diameter", F.lit(4.0)), e).drop("examples")
+
+
+@query("SELECT graph, count(*) AS n, 0::BIGINT AS bad_length, 0::BIGINT AS bad_sum, 0::BIGINT AS bad_segments, 0::BIGINT AS bad_diameter, 0::BIGINT AS bad_points FROM e GROUP BY graph")
+def rescaling_check(v, e):
+    return quality.rescaling(e, geometry.rescaled(v, e, 1.051)[1], 1.051)
+
+
+@query("SELECT graph, max(abs(z - 25 * x)) AS max_gap, median(abs(z - 25 * x)) AS median_gap FROM v GROUP BY graph")
+def diameter_scale(v, e):
+    return quality.diameter_scale(v, "x", "z")
+
+
+@query("SELECT sum(1)::BIGINT AS n_lines, sum(n)::BIGINT AS n_points FROM e JOIN (SELECT eid, count(*) AS n FROM pts GROUP BY 1) USING (eid) WHERE src <> dst")
+def vtp_documents(v, e):
+    """Lines and points that the written VTP documents declare."""
+    folder = fresh(v.sparkSession, "vtp")
+    vtp.write(vtp.lines(v, e), folder)
+    text = v.sparkSession.read.text(folder)
+    number = lambda name: F.sum(F.regexp_extract("value", f'<Piece .*{name}="(\\d+)"', 1).try_cast("long"))
+    return text.agg(number("NumberOfLines").alias("n_lines"), number("NumberOfPoints").alias("n_points"))
+
+
+@query("SELECT ae.graph, eid, nkind::INT AS nkind, component, 1 AS is_major, major_tree_id, round(length, 6) AS length, diameter, 2::BIGINT AS n_points FROM ae JOIN trees USING (graph, component) WHERE is_major", TREES)
+def labelled_edges(v, e):
+    """The edges of major artery trees as straight segments with their labels."""
+    e = materialize(e, "vessels")
+    out = vtp.labelled_lines(v, e, topology.class_components(e, 2)[1], major=True)
+    return rounded(out.withColumn("n_points", F.size("points").cast("long")).drop("points"), 6)
+
+
+@query("SELECT graph, count(DISTINCT vid) FILTER (a AND c) AS n_frontier, count(DISTINCT vid) FILTER (v) AS n_venous, count(*) FILTER (a AND v) AS n_both FROM t GROUP BY graph", TOUCH)
+def end_counts(v, e):
+    t = topology.touches(e)
+    return t.groupBy("graph").agg(F.count_if(F.col("artery") & F.col("capillary")).alias("n_frontier"), F.count_if("vein").alias("n_venous"), F.count_if(F.col("artery") & F.col("vein")).alias("n_both"))
+
+
+@query("SELECT graph, vid, nkind_name || '_' || degree AS type FROM (SELECT graph, vid, CASE arg WHEN 2 THEN 'artery' WHEN 3 THEN 'vein' ELSE 'capillary' END AS nkind_name, degree FROM (SELECT graph, vid, sum(n) OVER (PARTITION BY graph, vid)::BIGINT AS degree, nkind AS arg, row_number() OVER (PARTITION BY graph, vid ORDER BY n DESC, nkind) AS nth FROM (SELECT graph, vid, nkind, count(*) AS n FROM inc GROUP BY ALL)) WHERE nth = 1)")
+def majority_types(v, e):
+    return topology.majority_types(e)

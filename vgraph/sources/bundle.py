@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vgraph.functions.geometry import finite_max, oriented, per_point, segments, tortuosity, total
+from vgraph.plans.workspace import materialize
 from vgraph.schema import finite, require_columns
 
 #: Name, columns: by vertex, by edge, by point.
@@ -21,8 +22,14 @@ def rows(spark: SparkSession, folder: str, name: str) -> DataFrame:
     columns = FILES[name]
     kinds = ", ".join(f"{c} double" for c in columns)
     lines = spark.read.csv(f"{folder}/{name}.csv", schema=kinds, header=False)
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    return spark.createDataFrame(numbered, f"row long, {kinds}")
+    split = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
+    # one written copy, as the numbers that Spark gives hold within one run only
+    held = materialize(lines.select(*columns, *split, F.monotonically_increasing_id().alias("__at")), "rows")
+    splits = held.groupBy("__file", "__start").agg(F.min("__at").alias("first"), F.count("*").alias("n"))
+    # one row for each split of a file, in the order of the files
+    base = F.coalesce(F.sum("n").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("__file", "__start", (base - F.col("first")).alias("shift"))
+    return held.join(F.broadcast(splits), ["__file", "__start"]).select((F.col("__at") + F.col("shift")).alias("row"), *columns)
 
 
 def load(spark: SparkSession, folder: str, graph: str) -> tuple[DataFrame, DataFrame]:
@@ -48,6 +55,31 @@ def load(spark: SparkSession, folder: str, graph: str) -> tuple[DataFrame, DataF
     return v, e.select(F.lit(graph).alias("graph"), "eid", "src", "dst", "nkind", total(F.col("lengths2")).alias("length"), finite_max(F.col("diameters")).alias("diameter"), "points", "diameters", "lengths2", per_point(F.col("lengths2")).alias("lengths"), tortuosity(F.col("points")).alias("tortuosity"))
 
 
+def ranges(edges: DataFrame, width: int = 100_000) -> DataFrame:
+    """(eid, start, end): edges numbered from 0 in the order of their ids, and the range of their points among all.
+
+    Running sums are taken within buckets of ids and over the buckets, so that no task sorts all edges.
+    """
+    e = materialize(edges.select("eid", F.size("points").cast("long").alias("n"), F.floor(F.col("eid") / width).alias("bucket")), "sizes")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = e.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select("bucket", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in "ms"))
+    inside = Window.partitionBy("bucket").orderBy("eid")
+    e = e.withColumn("at", F.row_number().over(inside) - 1).withColumn("upto", F.sum("n").over(inside)).join(base, "bucket")
+    return e.select(F.col("eid").alias("old_eid"), (F.col("m") + F.col("at")).alias("eid"), (F.col("s") + F.col("upto") - F.col("n")).alias("start"), (F.col("s") + F.col("upto")).alias("end"))
+
+
+def save(vertices: DataFrame, edges: DataFrame, folder: str) -> None:
+    """A network of one graph as the files that ``load`` reads; vertices have a ``radius``."""
+    by_vertex = {"vertices": ["vid"], "coordinates": ["x", "y", "z"], "radii": ["radius"], "annotation": ["annotation"], "distance_to_surface": ["distance_to_surface"]}
+    save_columns(vertices, folder, {f"{n}.csv": c for n, c in by_vertex.items()}, "vid")
+    numbered = materialize(ranges(edges), "ranges")
+    e = edges.withColumnRenamed("eid", "old_eid").join(numbered, "old_eid").withColumns({n: (F.col("nkind") == k).cast("int") for k, n in ((2, "artery"), (3, "vein"))})
+    e = materialize(e.select("eid", "src", "dst", "artery", "vein", "start", "end", "points", "diameters"), "bundle")
+    save_columns(e, folder, {"edges.csv": ["src", "dst"], "artery.csv": ["artery"], "vein.csv": ["vein"], "edge_geometry_indices.csv": ["start", "end"]}, "eid")
+    points = e.select("start", F.posexplode("points").alias("i", "p"), "diameters").select((F.col("start") + F.col("i")).alias("at"), "p.*", (F.get("diameters", F.col("i")) / 2).alias("r"))
+    save_columns(materialize(points, "points"), folder, {"edge_geometry_coordinates.csv": ["x", "y", "z"], "edge_geometry_radii.csv": ["r"]}, "at")
+
+
 def save_columns(df: DataFrame, folder: str, files: dict[str, list[str]], order: str) -> None:
     """Each group of columns in a folder of headerless CSV files, by the order of a column over its part files."""
     require_columns(df, [order, *(c for cs in files.values() for c in cs)])

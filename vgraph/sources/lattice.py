@@ -1,4 +1,4 @@
-"""A vessel lattice over the order tables: customers are vertices on a grid, some orders are vessels.
+"""A vessel lattice over the order tables: customers are vertices on a grid, orders with both ends in one graph are vessels.
 
 Whole-number arithmetic only, so that any engine builds the same network. Layers of
 vertices are grouped into graphs of bounded size; the number of graphs grows with the tables.
@@ -24,11 +24,9 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("distance_to_surface", F.col("z") - 20)
 
 
-def edges(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """The orders whose two ends are in one graph; unless ``every``, only one group of three keys in five, as ``SQL`` has them."""
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order whose two ends are in one graph."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("eid"), F.col("o_custkey").cast("long").alias("src"))
-    if not every:
-        o = o.where("(eid div 3) % 5 = 0")
     step = F.when(F.col("eid") % 97 == 0, 0).when(F.col("eid") % 3 == 0, 1).when(F.col("eid") % 3 == 1, ROW).otherwise(LAYER)
     o = o.withColumn("dst", F.col("src") + step).where(f"src = dst or eid % 3 = 2 or (eid % 3 = 0 and src % {ROW} < {ROW - 1}) or (eid % 3 = 1 and (src div {ROW}) % {ROW} < {ROW - 1})")
     o = o.where(f"src div {LAYER * LAYERS} = dst div {LAYER * LAYERS}")
@@ -53,7 +51,7 @@ def edges(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
 SQL = f"""
 v AS (SELECT 'G' || (c_custkey // {LAYER * LAYERS}) AS graph, c_custkey::BIGINT AS vid, ((c_custkey % 12) * 40 + 20)::DOUBLE AS x, (((c_custkey // 12) % 12) * 40 + 20)::DOUBLE AS y,
   ((c_custkey // 144) * 40 + 20)::DOUBLE AS z, c_nationkey::BIGINT AS annotation, ((c_custkey // 144) * 40)::DOUBLE AS distance_to_surface FROM customer),
-e0 AS (SELECT o_orderkey::BIGINT AS eid, o_custkey::BIGINT AS src, o_custkey + CASE WHEN o_orderkey % 97 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 3 = 1 THEN 12 ELSE 144 END AS dst FROM orders WHERE (o_orderkey // 3) % 5 = 0),
+e0 AS (SELECT o_orderkey::BIGINT AS eid, o_custkey::BIGINT AS src, o_custkey + CASE WHEN o_orderkey % 97 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 3 = 1 THEN 12 ELSE 144 END AS dst FROM orders),
 e1 AS (SELECT 'G' || (src // {LAYER * LAYERS}) AS graph, eid, src, dst, CASE WHEN (src // 12) % 12 < 2 THEN 2 WHEN (src // 12) % 12 >= 10 THEN 3 ELSE 4 END AS nkind, 2 + eid % 4 AS n FROM e0
   WHERE (src = dst OR eid % 3 = 2 OR (eid % 3 = 0 AND src % 12 < 11) OR (eid % 3 = 1 AND (src // 12) % 12 < 11)) AND src // {LAYER * LAYERS} = dst // {LAYER * LAYERS} AND dst IN (SELECT c_custkey FROM customer)),
 pts AS (SELECT g.*, i, ((src % 12) * 40 + 20) + ((dst % 12) * 40 - (src % 12) * 40) * i / (n - 1)::DOUBLE AS x, (((src // 12) % 12) * 40 + 20) + (((dst // 12) % 12) * 40 - ((src // 12) % 12) * 40) * i / (n - 1)::DOUBLE AS y,

@@ -1,4 +1,4 @@
-"""Polylines as VTK PolyData in XML, one file part for each partition."""
+"""Polylines as VTK PolyData in XML: one document for each partition, with a piece for each batch of lines."""
 
 from __future__ import annotations
 
@@ -30,6 +30,17 @@ def path_lines(paths: DataFrame, vertices: DataFrame) -> DataFrame:
     return p.groupBy("graph", "eid").agg(pts.alias("points"), F.lit(CAPILLARY).alias("nkind"), F.lit(0.0).alias("length"), F.lit(0.0).alias("diameter"))
 
 
+def labelled_lines(vertices: DataFrame, edges: DataFrame, trees: DataFrame, major: bool = False) -> DataFrame:
+    """Straight segments of labelled edges (graph, eid, component, is_major, major_tree_id) with their class, labels, length and diameter.
+
+    ``major`` keeps the edges of major trees only; a missing number is -1.
+    """
+    t = trees.where("is_major") if major else trees
+    drawn = chosen_lines(vertices, edges, t)
+    t = t.select("graph", "eid", "component", F.col("is_major").cast("int").alias("is_major"), F.coalesce("major_tree_id", F.lit(-1)).alias("major_tree_id"))
+    return drawn.join(t, ["graph", "eid"]).select("graph", "eid", "nkind", "component", "is_major", "major_tree_id", "length", "diameter", "points")
+
+
 def chosen_lines(vertices: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Straight segments of the chosen edges (graph, eid)."""
     at = lambda side: vertices.select("graph", F.col("vid").alias(side), F.struct("x", "y", "z").alias(f"{side}_p"))
@@ -37,7 +48,7 @@ def chosen_lines(vertices: DataFrame, edges: DataFrame, ids: DataFrame) -> DataF
     return e.select("graph", "eid", "nkind", "length", "diameter", F.array("src_p", "dst_p").alias("points"))
 
 
-def _xml(points: list, cells: dict[str, list], sizes: list[int]) -> str:
+def _piece(points: list, cells: dict[str, list], sizes: list[int]) -> str:
     flat = "\n".join(f"{p['x']:.9g} {p['y']:.9g} {p['z']:.9g}" for p in points)
     ends, at = [], 0
     for n in sizes:
@@ -45,25 +56,31 @@ def _xml(points: list, cells: dict[str, list], sizes: list[int]) -> str:
         ends.append(at)
     data = "".join(f'<DataArray type="Float64" Name="{k}" format="ascii">\n{" ".join(f"{x:.9g}" for x in v)}\n</DataArray>\n' for k, v in cells.items())
     return (
-        '<?xml version="1.0"?>\n<VTKFile type="PolyData" version="0.1" byte_order="LittleEndian">\n<PolyData>\n'
         f'<Piece NumberOfPoints="{len(points)}" NumberOfVerts="0" NumberOfLines="{len(sizes)}" NumberOfStrips="0" NumberOfPolys="0">\n<CellData>\n{data}</CellData>\n'
         f'<Points>\n<DataArray type="Float64" NumberOfComponents="3" format="ascii">\n{flat}\n</DataArray>\n</Points>\n'
-        f'<Lines>\n<DataArray type="Int64" Name="connectivity" format="ascii">\n{" ".join(map(str, range(len(points))))}\n</DataArray>\n<DataArray type="Int64" Name="offsets" format="ascii">\n{" ".join(map(str, ends))}\n</DataArray>\n</Lines>\n</Piece>\n</PolyData>\n</VTKFile>\n'
+        f'<Lines>\n<DataArray type="Int64" Name="connectivity" format="ascii">\n{" ".join(map(str, range(len(points))))}\n</DataArray>\n<DataArray type="Int64" Name="offsets" format="ascii">\n{" ".join(map(str, ends))}\n</DataArray>\n</Lines>\n</Piece>'
     )
 
 
 def pieces(drawn: DataFrame) -> DataFrame:
-    """(value): one XML document for each Arrow batch of lines, so that none holds more than a batch."""
+    """(value): for each partition the parts of an XML document, a piece for each Arrow batch; numeric columns become cell data."""
+    cells = [c for c, t in drawn.dtypes if c not in ("graph", "points")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda text: pa.RecordBatch.from_pydict({"value": [text]})
+        begun = False
         for batch in batches:
-            rows = batch.to_pylist()
-            if rows:
-                points = [p for r in rows for p in r["points"]]
-                cells = {k: [r[k] for r in rows] for k in ("eid", "nkind", "length", "diameter")}
-                yield pa.RecordBatch.from_pydict({"value": [_xml(points, cells, [len(r["points"]) for r in rows])]})
-
-    return drawn.select("eid", "nkind", "length", "diameter", "points").mapInArrow(run, "value string")
+            if batch.num_rows and not begun:
+                begun = True
+                yield out('<?xml version="1.0"?>\n<VTKFile type="PolyData" version="0.1" byte_order="LittleEndian">\n<PolyData>')
+            if batch.num_rows:
+                rows = batch.to_pylist()
+                yield out(_piece([p for r in rows for p in r["points"]], {k: [r[k] for r in rows] for k in cells}, [len(r["points"]) for r in rows]))
+        if begun:
+            yield out("</PolyData>\n</VTKFile>")
+
+    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in cells]
+    return drawn.select(*numbers, "points").mapInArrow(run, "value string")
 
 
 def write(drawn: DataFrame, folder: str) -> None:
