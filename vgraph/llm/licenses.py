@@ -23,7 +23,8 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2."],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License."],
+    "BSD-2-Clause OR BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -35,6 +36,9 @@ TEMPLATES = {
 CUES = r"(?i)licen[sc]|copyright|rights reserved|permission is hereby|redistribut|free software|public domain"
 #: A winner's block must shrink by this share and its wording may differ in this share of the template's words.
 REDUCTION, DIFFERENCE = 0.3, 0.15
+#: Parts of words that tell one license from another, beside those with digits, and words that deny what follows.
+DEFINING = frozenset("lesser library affero noderivatives noderivs noncommercial sharealike by nc nd sa not never no except exception".split())
+DENIAL = frozenset("not never no isn't aren't wasn't cannot longer nor".split())
 #: Characters of a block whose verdict a task remembers; longer ones are judged each time.
 REMEMBERED = 4000
 _MARKS_BEFORE, _MARKS_AFTER = re.compile(r"[^\w\s]*$"), re.compile(r"[^\w\s]*")
@@ -45,6 +49,11 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def defining(words: list[str]) -> list[str]:
+    """The parts of words that define a license, in sorted order: versions, qualifiers and denials."""
+    return sorted(p for w in words for p in w.split("-") if p in DEFINING or any(map(str.isdigit, p)))
+
+
 def differences(template: list[str], block: list[str]) -> int:
     """The least number of words to change, add or drop to turn the template into a stretch of the block."""
     row = [0] * (len(block) + 1)
@@ -107,15 +116,14 @@ class Scanner:
         raw, said = block.encode(), words_of(block)
         alone = len(self.plain.compress(raw))
         ranked = sorted(((1 - len(c.compress(raw)) / alone, name, words) for name, _, words, c in self.known), key=lambda x: -x[0])
-        best = None
+        # the template that shrinks the block most of those whose wording is confirmed; what defines a license may not differ
         for reduction, name, words in ranked:
             if reduction < REDUCTION:
-                break
+                return None
             wrong = differences(words, said)
-            # of the templates that shrink the block enough, the one whose wording differs least
-            if wrong <= DIFFERENCE * len(words) and (best is None or (wrong, -len(words)) < best[0]):
-                best = (wrong, -len(words)), (name, reduction, wrong)
-        return best and best[1]
+            if wrong <= DIFFERENCE * len(words) and defining(words) == defining(said):
+                return name, reduction, wrong
+        return None
 
     def scan(self, text: str) -> Iterator[tuple[int, str, str, float, int]]:
         """(line, block, license, reduction, differences) of each notice of a text, in order.
@@ -147,7 +155,8 @@ class Scanner:
         taken: set[int] = set()
         found = []
         for *_, start, end in sorted(near):
-            if not taken.isdisjoint(range(start, end)):
+            # a word or two before may deny it
+            if not taken.isdisjoint(range(start, end)) or not DENIAL.isdisjoint(words[max(start - 2, 0) : start]):
                 continue
             a, b = spans[start][0], spans[end - 1][1]
             a -= len(_MARKS_BEFORE.search(text, max(a - 3, 0), a)[0])
