@@ -133,12 +133,14 @@ def microsegments(edges: DataFrame) -> DataFrame:
     the edge has no microsegments. Neither have pairs of equal points.
     """
     good = F.coalesce((F.size("diameters") == F.size("points")) & F.forall("diameters", lambda d: F.coalesce((d > 0) & (d < math.inf), F.lit(False))), F.lit(False))
-    one = F.when(F.col("diameter") > 0, F.transform("points", lambda p: F.col("diameter")))
-    e = edges.withColumn("ds", F.when(good, F.col("diameters")).otherwise(one)).where(F.col("ds").isNotNull() & (F.size("points") > 1))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("points") - 2), lambda i: F.struct(i.alias("i"), F.get("points", i).alias("a"), F.get("points", i + 1).alias("b"), (F.get("ds", i) / 2).alias("r0"), (F.get("ds", i + 1) / 2).alias("r1")))
-    m = e.select("graph", "eid", "nkind", F.explode(pairs).alias("m")).select("graph", "eid", "nkind", "m.*")
-    m = m.withColumn("length", distance(F.col("a"), F.col("b"))).where("length > 0")
-    return m.select("graph", "eid", "i", "nkind", "length", "r0", "r1", *(((F.col(f"a.{a}") + F.col(f"b.{a}")) / 2).alias(f"m{a}") for a in "xyz"))
+    e = edges.select("graph", "eid", "nkind", "points", F.when(good, F.col("diameters")).alias("ds"), F.when(F.col("diameter") > 0, F.col("diameter")).alias("one"))
+    # pairs are taken apart after the explosion, in compiled code
+    last = F.size("points") - 2
+    m = e.select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
+    r = lambda k: F.coalesce(F.get("ds", F.col("i") + k), F.col("one")) / 2
+    m = m.select("graph", "eid", "nkind", "i", F.get("points", "i").alias("a"), F.get("points", F.col("i") + 1).alias("b"), r(0).alias("r0"), r(1).alias("r1"))
+    m = m.select("graph", "eid", "i", "nkind", distance(F.col("a"), F.col("b")).alias("length"), "r0", "r1", *(((F.col(f"a.{a}") + F.col(f"b.{a}")) / 2).alias(f"m{a}") for a in "xyz"))
+    return m.where("length > 0 and r0 is not null")
 
 
 def microsegment_counts(ms: DataFrame) -> DataFrame:
@@ -168,17 +170,18 @@ def densities(ms: DataFrame, box: dict, size: float = 100.0, stride: float = 50.
     """
     spark = ms.sparkSession
     boxes = sub_boxes(spark, box, size, stride)
-    spread = ms
+    graphs = ms.select("graph").distinct()
+    spread = ms.where(" and ".join(f"m{a} between {box[f'{a}min']!r} and {box[f'{a}max']!r}" for a in "xyz")).select("graph", "nkind", "length", "mx", "my", "mz", _volume().alias("volume"))
     for a, n in zip("xyz", "ijk", strict=True):
         at = F.col(f"m{a}") - box[f"{a}min"]
         last = math.floor((box[f"{a}max"] - box[f"{a}min"] - size) / stride + 1e-9)
         low = F.greatest(F.ceil((at - size) / stride), F.lit(0))
         high = F.least(F.floor(at / stride), F.lit(last))
         spread = spread.withColumn(n, F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))).withColumn(n, F.explode(n))
-    sums = spread.groupBy("graph", "i", "j", "k", label(F.col("nkind")).alias("type")).agg(F.sum(_volume()).alias("volume"), F.sum("length").alias("sum_length"))
+    sums = spread.groupBy("graph", "i", "j", "k", label(F.col("nkind")).alias("type")).agg(F.sum("volume").alias("volume"), F.sum("length").alias("sum_length"))
     total = sums.groupBy("graph", "i", "j", "k").agg(F.sum("volume").alias("volume"), F.sum("sum_length").alias("sum_length")).withColumn("type", F.lit("total"))
     kinds = spark.createDataFrame([(t,) for t in ("total", "artery", "vein", "capillary")], "type string")
-    grid = ms.select("graph").distinct().crossJoin(F.broadcast(boxes.select("i", "j", "k").crossJoin(kinds)))
+    grid = graphs.crossJoin(F.broadcast(boxes.select("i", "j", "k").crossJoin(kinds)))
     out = grid.join(sums.unionByName(total), ["graph", "i", "j", "k", "type"], "left").na.fill(0.0)
     v = size**3
     return out.select("graph", "i", "j", "k", "type", (F.col("volume") / v).alias("volume_density"), (F.col("sum_length") * 1e-3 / (v * 1e-9)).alias("length_density"))

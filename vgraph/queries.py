@@ -21,12 +21,16 @@ ORACLES: dict[str, str] = {}
 BOX = {"xmin": 20.0, "xmax": 420.0, "ymin": 20.0, "ymax": 420.0, "zmin": 20.0, "zmax": 420.0}
 
 
-def query(sql: str | None = None, ctes: str = ""):
-    """Registers a function of (vertices, edges); ``sql`` follows the lattice's tables and ``ctes``."""
+def query(sql: str | None = None, ctes: str = "", written: bool = False):
+    """Registers a function of (vertices, edges); ``sql`` follows the lattice's tables and ``ctes``.
+
+    ``written`` edges are computed once and read back, for queries that name points or lengths many times.
+    """
 
     def register(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lattice.vertices(spark, sf_dir), lattice.edges(spark, sf_dir))
+            e = lattice.edges(spark, sf_dir)
+            return f(lattice.vertices(spark, sf_dir), materialize(e, "lattice") if written else e)
 
         QUERIES[f.__name__] = run
         if sql:
@@ -119,7 +123,7 @@ def interface_counts(v, e):
 
 
 
-@query("""SELECT graph, count(*) AS n_microsegments, round(sum(len), 4) AS sum_length, round(sum(pi() * ((d + d2) / 4) ^ 2 * len), 3) AS volume FROM ms WHERE len > 0 GROUP BY graph""")
+@query("""SELECT graph, count(*) AS n_microsegments, round(sum(len), 4) AS sum_length, round(sum(pi() * ((d + d2) / 4) ^ 2 * len), 3) AS volume FROM ms WHERE len > 0 GROUP BY graph""", written=True)
 def microsegments(v, e):
     ms = morphology.microsegments(e)
     return ms.groupBy("graph").agg(F.count("*").alias("n_microsegments"), F.round(F.sum("length"), 4).alias("sum_length"), F.round(F.sum(F.lit(3.141592653589793) * F.pow((F.col("r0") + F.col("r1")) / 2, F.lit(2.0)) * F.col("length")), 3).alias("volume"))
@@ -128,7 +132,7 @@ def microsegments(v, e):
 @query("""SELECT g.graph, g.i, g.j, g.k, g.type, round(coalesce(sum(pi() * ((d + d2) / 4) ^ 2 * len), 0) / 1e6, 6) AS volume_density, round(coalesce(sum(len), 0) * 1e-3 / 1e-3 - 1e-7, 2) AS length_density
  FROM grid g LEFT JOIN m ON m.graph = g.graph AND mx BETWEEN 20 + 50 * i AND 120 + 50 * i AND my BETWEEN 20 + 50 * j AND 120 + 50 * j AND mz BETWEEN 20 + 50 * k AND 120 + 50 * k AND (g.type = 'total' OR g.type = m.type) GROUP BY ALL""",
  """m AS (SELECT graph, d, d2, len, (x + x2) / 2 AS mx, (y + y2) / 2 AS my, (z + z2) / 2 AS mz, CASE nkind WHEN 2 THEN 'artery' WHEN 3 THEN 'vein' ELSE 'capillary' END AS type FROM ms WHERE len > 0),
- grid AS (SELECT DISTINCT graph, i::INT AS i, j::INT AS j, k::INT AS k, type FROM m m0, range(7) a(i), range(7) b(j), range(7) c(k), (VALUES ('total'), ('artery'), ('vein'), ('capillary')) y(type))""".replace("graph, i::INT", "m0.graph, i::INT").replace("AS k, type FROM", "AS k, y.type FROM"))
+ grid AS (SELECT DISTINCT graph, i::INT AS i, j::INT AS j, k::INT AS k, type FROM m m0, range(7) a(i), range(7) b(j), range(7) c(k), (VALUES ('total'), ('artery'), ('vein'), ('capillary')) y(type))""".replace("graph, i::INT", "m0.graph, i::INT").replace("AS k, type FROM", "AS k, y.type FROM"), written=True)
 def sub_box_densities(v, e):
     # sums of lengths often end in a 5: rounded a little off it, so that the order of the sum doesn't show
     return morphology.densities(morphology.microsegments(e), BOX).withColumns({"volume_density": F.round("volume_density", 6), "length_density": F.round(F.col("length_density") - 1e-7, 2)})
@@ -304,7 +308,7 @@ def vtp_lines(v, e):
     return vtp.lines(v, e).groupBy("graph").agg(F.count("*").alias("n_lines"), F.sum(F.size("points")).alias("n_points"), F.round(F.sum("length"), 3).alias("sum_length"))
 
 
-@query()
+@query(written=True)
 def region_summary(v, e):
     return rounded(network_summary(v, e, BOX), 4)
 
