@@ -47,7 +47,7 @@ def test_whole_table(spark):
     rows = duckdb.sql("select vec_id, embedding, label from '/root/testdata/sf0.01/embeddings.parquet'").fetchall()
     check(spark, [(i, list(e), x) for i, e, x in rows])
     largest = max(n for n in Counter(x for _, _, x in rows).values())
-    assert largest > rp_forest.LEAF  # so that its trees split
+    assert largest > rp_forest.leaf_size(largest)  # so that its trees split
 
 
 def test_splits_leave_a_close_cluster_whole_and_the_rest_in_leaves():
@@ -56,7 +56,7 @@ def test_splits_leave_a_close_cluster_whole_and_the_rest_in_leaves():
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     margin, depth = math.sqrt(0.04 / 64), 8
     directions = rp_forest._directions(64, 0, depth)
-    splits = rp_forest._fit(unit, directions, depth, margin, 1.0)
+    splits = rp_forest._fit(unit, directions, depth, margin, 48)
     row, leaf = rp_forest._walk(unit, directions, splits, depth, margin)
     close = row >= 2000
     assert close.sum() <= 3 * 2000 and (~close).sum() <= 4 * 2000

@@ -28,10 +28,12 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of ``embeddings`` within their labels, at a cosine of 0.98."""
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in ``documents``."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
@@ -43,37 +45,45 @@ def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every URL of ``pages`` by fixed rules and rules mined from the labels."""
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labelled_urls(spark, sf_dir), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` stored as lossless WebP, read back, and its digests."""
     media = materialize(webp.store(table(spark, sf_dir, "documents")), "media")
     return webp.read(media, pixels=False)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into sequences of 4096 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op6_vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all ``documents`` written in the file format and read back."""
     folder = vbyte.write_ids(table(spark, sf_dir, "documents"), vbyte.new_folder(spark))
     return vbyte.read_ids(spark, folder, ids=False)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` repeated so that all sources have the same share of characters."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("rate")
 
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexities of all ``documents`` and which are kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality(docs, trusted(spark, sf_dir), quantile=0.995).drop("text")
 
 
 def op9_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate ``documents`` on two-word shingles at a similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
 def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each text in ``documents`` a text of a smaller id has in 50 bytes or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, least=50, texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

@@ -21,9 +21,9 @@ from vgraph.llm.arrays import groups, lean, runs
 from vgraph.operators.components import connected_components
 from vgraph.plans.workspace import materialize
 
-#: Trees, rows of a leaf aimed at, rows of a block in which a larger leaf is compared, and about how many
+#: Trees, rows of a leaf aimed at (fewer for small sets, see ``leaf_size``), rows of a block in which a larger leaf is compared, and about how many
 #: vectors of each length (by a hash of their ids) the splits are fitted on.
-TREES, LEAF, BLOCK, FIT = 4, 48, 1500, 20_000
+TREES, LEAF, BLOCK, FIT = 4, 400, 1500, 20_000
 #: Vectors of a node that a split is fitted on at least, the share of a node that may go to both sides, and levels at most.
 NODE, SPILL, LEVELS = 16, 0.5, 24
 #: Large leaves up to which their sizes are sent to all tasks.
@@ -37,8 +37,13 @@ def _directions(dim: int, tree: int, depth: int) -> np.ndarray:
     return r / np.linalg.norm(r, axis=1, keepdims=True)
 
 
-def _fit(unit: np.ndarray, directions: np.ndarray, depth: int, margin: float, most: float) -> np.ndarray:
-    """The split of each inner node, NaN where a node stays whole; ``most`` is how many rows of one label a row of the sample stands for."""
+def leaf_size(most: int) -> float:
+    """The rows of a leaf aimed at, where the largest set of equal labels has ``most``: six times the root, up to ``LEAF``."""
+    return min(LEAF, 6 * math.sqrt(most))
+
+
+def _fit(unit: np.ndarray, directions: np.ndarray, depth: int, margin: float, least: float) -> np.ndarray:
+    """The split of each inner node, NaN where a node stays whole, as one of up to ``least`` vectors does."""
     node, splits = np.zeros(len(unit), np.int64), np.full(len(directions), np.nan)
     for level in range(depth):
         at = np.einsum("ij,ij->i", unit, directions[node])
@@ -47,8 +52,7 @@ def _fit(unit: np.ndarray, directions: np.ndarray, depth: int, margin: float, mo
         for a, b in zip(begin, np.append(begin[1:], len(order)), strict=True):
             n = node[order[a]]
             x = at[order[a:b]]
-            # a node is worth a split if its labels' rows fill more than a leaf
-            if n < 2**level - 1 or len(x) < NODE or len(x) * most <= LEAF:
+            if n < 2**level - 1 or len(x) <= max(NODE, least):
                 continue
             tried = x[np.linspace(len(x) // 4, 3 * len(x) // 4, 33).astype(int)]
             spill = (np.searchsorted(x, tried + margin, "right") - np.searchsorted(x, tried - margin)) / len(x)
@@ -86,9 +90,9 @@ def _fitted(cosine: float):
         unit = np.stack(_vectors(table.column("embedding").combine_chunks()))
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         # a level more than even splits would take
-        depth = max(0, min(LEVELS, math.ceil(math.log2(most / LEAF)) + 1, int(math.log2(len(unit) / NODE + 1)) + 1))
+        depth = max(0, min(LEVELS, math.ceil(math.log2(most / leaf_size(most))) + 1, int(math.log2(len(unit) / NODE + 1)) + 1))
         margin = math.sqrt(max(0.0, 2 - 2 * cosine) / dim)
-        splits = [_fit(unit, _directions(dim, t, depth), depth, margin, most / len(unit)).tobytes() for t in range(TREES)]
+        splits = [_fit(unit, _directions(dim, t, depth), depth, margin, leaf_size(most) * len(unit) / most).tobytes() for t in range(TREES)]
         return pa.table({"dim": pa.array([dim], pa.int32()), "depth": pa.array([depth], pa.int32()), "splits": pa.array([splits], pa.list_(pa.binary()))})
 
     return run
@@ -205,8 +209,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     one = materialize(one.select("vec_id", "x.*").withColumn("good", good), "vectors")
     sets = one.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding"))
     sets = materialize(sets, "sets")
-    # a row for each length of vectors that fills more than a leaf
-    sizes = sets.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n")).where(F.col("most") > LEAF)
+    # a row for each length of vectors
+    sizes = sets.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n")).where("most > 1")
     share = F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < F.lit(1e6 * FIT) / F.col("n")
     sample = sets.join(F.broadcast(sizes), "dim").where(share).select("dim", "most", "n", "embedding").repartition("dim")
     fitted = sample.groupBy("dim").applyInArrow(_fitted(cosine), "dim int, depth int, splits array<binary>").collect()

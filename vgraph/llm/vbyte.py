@@ -86,7 +86,7 @@ def _histogram(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Reco
 
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> str:
-    """Write the ids of all texts to ``folder``, in ascending doc_id order (nulls first; rows of one doc_id by their ids).
+    """Write the ids of all texts to ``folder``, in ascending doc_id order (nulls first; rows of one doc_id by a hash of their ids).
 
     Subfolders: blocks (part, block, n_docs, n_tokens, payload) and ranks (rank, id).
     """
@@ -126,7 +126,9 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> str:
         if held:
             yield out()
 
-    ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows that share a doc_id are told apart by a hash, so that many of them aren't one range
+    hashed = tokens.withColumn("hash", F.xxhash64("ids"))
+    ordered = hashed.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").drop("hash")
     blocks = ordered.mapInArrow(run, "part long, block long, n_docs long, n_tokens long, payload binary")
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
     return folder
@@ -136,15 +138,13 @@ def read_ids(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32 and, with ``ids``, ids) of each document of a written folder."""
     blocks = spark.read.parquet(f"{folder}/blocks")
     sent = spark.sparkContext.broadcast(np.array([r[0] for r in spark.read.parquet(f"{folder}/ranks").orderBy("rank").select("id").collect()], "<u4"))
-    # one row a part, in order; then each block's place in its part
-    sums = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    bases, at = [], 0
-    for part, n in sums:
-        bases.append((part, at))
-        at += n
-    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # running sums within parts, and over the one row of each part (some 16 MB of ids)
+    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.unboundedPreceding, -1
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("block").rowsBetween(*before)
     places = blocks.select("part", "block", "n_tokens").withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    places = places.join(spark.createDataFrame(bases, "part long, base long"), "part").select("part", "block", (F.col("base") + F.col("inside")).alias("first"))
+    places = places.join(parts, "part").select("part", "block", (F.col("base") + F.col("inside")).alias("first"))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
