@@ -46,7 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", good_text), ("MinHash near-dedup", one_of_each), ("suffix-array dedup", no_repeats), ("mixing sources to target weights", mixed), ("packing", packed)]
 
-#: SQL cannot express the model, the index or the plan; tests hold the operators, not yet the whole run, against plain versions.
+#: SQL cannot express the model, the index or the plan; a test holds the whole run against plain versions of all stages.
 ORACLE_SQL = None
 
 
