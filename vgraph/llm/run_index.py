@@ -245,7 +245,7 @@ class RunIndex:
     ``data`` holds the texts behind each other and ``length`` their lengths. Each
     text ends in a terminator of its own, smaller than all bytes and ordered as
     the texts are. Kept are the runs, a sample (text, offset) at each run's end,
-    and the boundaries between classes of suffixes that share ``least`` bytes.
+    and where each class of suffixes begins that share ``least`` bytes; all else is found from these.
     """
 
     def __init__(self, data: np.ndarray, length: np.ndarray, least: int):
@@ -277,14 +277,14 @@ class RunIndex:
         change = np.ones(n, bool)
         change[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
         self.starts = np.flatnonzero(change)
-        self.run = np.cumsum(change, dtype=np.int32) - 1
+        self.ends = np.append(self.starts[1:], n) - 1
         self.chars = before[self.starts]
         sizes = np.diff(np.append(self.starts, n))
         by_char = np.argsort(self.chars, kind="stable")
         target = np.empty(len(by_char), np.int64)
         target[by_char] = np.cumsum(sizes[by_char]) - sizes[by_char]
         self.target = target
-        ends = place[np.append(self.starts[1:], n) - 1]
+        ends = place[self.ends]
         self.sample_text, self.sample_at = owner[ends], ends - begin[owner[ends]]
         # classes: neighbours in order that share `least` bytes
         half = max((w for w in kept if w <= least), default=0)
@@ -299,25 +299,27 @@ class RunIndex:
                 same[1:] &= x[1:] == x[:-1]
         elif whole.any():
             raise ValueError("least must be 7 bytes or more")
-        self.classes = np.flatnonzero(~same)
-        self.of_class = np.cumsum(~same, dtype=np.int32) - 1
-
-    def back(self, rank: np.ndarray) -> np.ndarray:
-        """The rank of the suffix that is one byte longer."""
-        run = self.run[rank]
-        return self.target[run] + rank - self.starts[run]
+        self.classes = np.flatnonzero(whole & ~same)
 
     def stream(self, texts: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Walk the given texts from their ends in step: (offset, texts, class) for each whole window."""
+        """Walk the given texts from their ends in step: (bytes read, texts, class) for each whole window.
+
+        Where a walk meets the end of a run it must be at the place that the run's sample names.
+        """
         left = self.length[texts].astype(np.int64)
         order = np.argsort(-left, kind="stable")
         texts, left = texts[order], left[order]
         rank = texts.astype(np.int64)  # the terminators come first, in the order of the texts
         for done in range(1, int(left.max(initial=0)) + 1):
             live = int(np.searchsorted(-left, -done, "right"))
-            rank = self.back(rank[:live])
+            run = np.searchsorted(self.starts, rank, "right") - 1
+            at = np.flatnonzero(rank == self.ends[run])
+            if (self.sample_text[run[at]] != texts[: len(rank)][at]).any() or (self.sample_at[run[at]] != left[: len(rank)][at] - done + 1).any():
+                raise AssertionError("the index doesn't fit its texts")
+            # the rank of the suffix that is one byte longer
+            rank = (self.target[run] + rank - self.starts[run])[:live]
             if done >= least:
-                yield done, texts[:live], self.of_class[rank]
+                yield done, texts[:live], np.searchsorted(self.classes, rank, "right") - 1
 
 
 def _answers(least: int):
