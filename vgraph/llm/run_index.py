@@ -80,7 +80,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     new = np.append(True, h[1:] != h[:-1])
     first, h = first[new].astype(np.int64), h[new]
     # runs end with their row, and every ``span`` windows
-    heads = np.setdiff1d(offsets[:-1][(np.diff(offsets) >= least) & (offsets[:-1] < many)], first)
+    heads = offsets[:-1][(np.diff(offsets) >= least) & (offsets[:-1] < many)]
+    heads = heads[first[np.minimum(np.searchsorted(first, heads), len(first) - 1)] != heads]
     order = np.argsort(np.concatenate([first, heads]), kind="stable")
     h = np.concatenate([h, h[np.searchsorted(first, heads, "right") - 1]])[order]
     first = np.concatenate([first, heads])[order]
@@ -228,13 +229,20 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint32) if len(x) and x.min() >= 0 and x.max() < 1 << 32 else x
 
 
-def _dense(key: np.ndarray) -> np.ndarray:
-    """The rank of each key among the distinct keys."""
-    order = np.argsort(key)
-    ordered = key[order]
-    new = np.zeros(len(key), np.int64)
-    new[1:] = ordered[1:] != ordered[:-1]
-    rank = np.empty(len(key), np.int64)
+def _dense(high: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    """The rank of each pair among the distinct pairs; ``low`` has so many bits."""
+    n = len(high)
+    place = max(n - 1, 1).bit_length()
+    if int(high.max(initial=0)).bit_length() + bits + place <= 63:
+        # one word for pair and place: sorting words is faster than finding their order
+        word = np.sort(high << bits + place | low << place | np.arange(n))
+        order, ordered = word & (1 << place) - 1, word >> place
+    else:
+        order = np.lexsort((low, high))
+        ordered = None
+    new = np.zeros(n, np.int64)
+    new[1:] = ordered[1:] != ordered[:-1] if ordered is not None else (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+    rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(new)
     return rank
 
@@ -257,18 +265,18 @@ class RunIndex:
         owner = np.repeat(np.arange(m), length + 1)
         stop = begin + length
         left = stop[owner] - np.arange(n)
-        # seven bytes fit one word; what ends within them is told apart by its text
+        # four bytes fit a word with their place; what ends within them is told apart by its text
         key = np.zeros(n, np.int64)
-        for j in range(7):
-            ahead = text[np.minimum(np.arange(n) + j, n - 1)]
-            key = (key << 9) | np.where(left >= j, ahead, 0)
-        rank = _dense(key)
-        rank = _dense((rank << 32) | np.where(left < 7, owner + 1, 0))
-        width, kept = 7, {}
+        for j in range(4):
+            key = key << 9 | np.where(left >= j, text[np.minimum(np.arange(n) + j, n - 1)], 0)
+        bits = n.bit_length()
+        rank = _dense(key >> 9, key & 511, 9)
+        rank = _dense(rank, np.where(left < 4, owner + 1, 0), bits)
+        width, kept = 4, {}
         while width < int(length.max(initial=0)) + 1:
             kept[width] = rank
             ahead = np.where(left >= width, rank[np.minimum(np.arange(n) + width, n - 1)] + 1, 0)
-            rank = _dense((rank << 32) | ahead)
+            rank = _dense(rank, ahead, bits)
             width *= 2
         place = np.empty(n, np.int64)
         place[rank] = np.arange(n)
@@ -276,12 +284,12 @@ class RunIndex:
         # a text's first suffix is preceded by its own terminator
         change = np.ones(n, bool)
         change[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
-        self.starts = np.flatnonzero(change)
+        self.starts = np.flatnonzero(change).astype(np.int32)
         self.ends = np.append(self.starts[1:], n) - 1
         self.chars = before[self.starts]
         sizes = np.diff(np.append(self.starts, n))
         by_char = np.argsort(self.chars, kind="stable")
-        target = np.empty(len(by_char), np.int64)
+        target = np.empty(len(by_char), np.int32)
         target[by_char] = np.cumsum(sizes[by_char]) - sizes[by_char]
         self.target = target
         ends = place[self.ends]
@@ -299,7 +307,7 @@ class RunIndex:
                 same[1:] &= x[1:] == x[:-1]
         elif whole.any():
             raise ValueError("least must be 7 bytes or more")
-        self.classes = np.flatnonzero(whole & ~same)
+        self.classes = np.flatnonzero(whole & ~same).astype(np.int32)
 
     def stream(self, texts: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Walk the given texts from their ends in step: (bytes read, texts, class) for each whole window.
@@ -309,7 +317,7 @@ class RunIndex:
         left = self.length[texts].astype(np.int64)
         order = np.argsort(-left, kind="stable")
         texts, left = texts[order], left[order]
-        rank = texts.astype(np.int64)  # the terminators come first, in the order of the texts
+        rank = texts.astype(np.int32)  # the terminators come first, in the order of the texts
         for done in range(1, int(left.max(initial=0)) + 1):
             live = int(np.searchsorted(-left, -done, "right"))
             run = np.searchsorted(self.starts, rank, "right") - 1
