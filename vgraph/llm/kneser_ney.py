@@ -9,7 +9,7 @@ which a single bad word shows. Each language's thresholds are quantiles of its t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -184,8 +184,8 @@ def model(counts: DataFrame) -> DataFrame:
     return asked.select("lang", "gram", F.log("p").alias("score"))
 
 
-def with_perplexity(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang, more) with ``trusted``, ``perplexity`` and ``worst_perplexity`` added."""
+def scorer(docs: DataFrame, trusted_ids: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows of ``docs`` (doc_id, text, lang, more) with ``trusted``, and what adds ``perplexity`` and ``worst_perplexity`` to any of them."""
     spark = docs.sparkSession
     docs = docs.select([docs[c] for c in docs.columns if c not in _ADDED])
     ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
@@ -208,11 +208,12 @@ def with_perplexity(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
             mine = mine[np.argsort(gram[mine])]
             table[str(x)] = gram[mine], score[mine]
         sent = spark.sparkContext.broadcast(table)
-        scored = docs.mapInArrow(lambda batches: _score(sent.value)(batches), StructType([*docs.schema, *(StructField(c, DoubleType()) for c in _SCORES)]))
+        kinds = StructType([*docs.schema, *(StructField(c, DoubleType()) for c in _SCORES)])
+        scored = lambda df: df.mapInArrow(lambda batches: _score(sent.value)(batches), kinds)
     else:
-        scored = _by_join(docs, scores)
+        scored = lambda df: _by_join(df, scores)
     text = F.length("text") > 0
-    return scored.select(*names, F.when(text, F.exp(-F.col(_SCORES[0]))).alias("perplexity"), F.when(text, F.exp(-F.col(_SCORES[1]))).alias("worst_perplexity"))
+    return docs, lambda df: scored(df).select(*names, F.when(text, F.exp(-F.col(_SCORES[0]))).alias("perplexity"), F.when(text, F.exp(-F.col(_SCORES[1]))).alias("worst_perplexity"))
 
 
 def _by_join(docs: DataFrame, scores: DataFrame) -> DataFrame:
@@ -262,11 +263,12 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, wor
     a language without trusted text has no threshold, and its documents are kept. A null
     language is one of its own. Repeated rows are judged alike. Columns of ``docs`` with the added names are replaced.
     """
-    scored = with_perplexity(docs, trusted_ids)
+    docs, score = scorer(docs, trusted_ids)
     lang = F.coalesce("lang", F.lit("")).alias("__kn_lang")
     cut = lambda c, q: F.percentile_approx(c, q, 10000)
-    limits = scored.where("trusted").select(lang, "perplexity", "worst_perplexity").groupBy("__kn_lang").agg(cut("perplexity", quantile).alias("threshold"), cut("worst_perplexity", worst_quantile or quantile).alias("worst_threshold"))
+    limits = score(docs.where("trusted")).select(lang, "perplexity", "worst_perplexity").groupBy("__kn_lang").agg(cut("perplexity", quantile).alias("threshold"), cut("worst_perplexity", worst_quantile or quantile).alias("worst_threshold"))
     limits = materialize(limits, "limits")
+    scored = score(docs)
     names = [*scored.columns, "threshold", "worst_threshold"]
     limits = F.broadcast(limits) if limits.count() <= LANGUAGES else limits
     out = scored.withColumn("__kn_lang", lang).join(limits, "__kn_lang", "left").select(names)
