@@ -51,6 +51,8 @@ def test_other_licenses_and_denials_are_no_notices(spark):
     none = ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "This work is licensed under a Creative Commons Attribution 3.0 International License.", "This work is licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under the GNU Affero General Public License, version 3.", "This work is licensed under the GNU General Public License, version 1.", "This work is not licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 1.1.", "It is not released under the MIT License.", "Never licensed under CC BY 4.0."]
     got = scan_licenses(spark.createDataFrame(list(enumerate(none)), "doc_id long, text string")).collect()
     assert got == []
+    fine = ["que no\nReleased under the MIT License.", "I think not. Released under the MIT License."]
+    assert [r["license"] for r in scan_licenses(spark.createDataFrame(list(enumerate(fine)), "doc_id long, text string")).collect()] == ["MIT"] * 2
     shared = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
     assert [r["license"] for r in scan_licenses(spark.createDataFrame([(1, shared)], "doc_id long, text string")).collect()] == ["BSD-2-Clause OR BSD-3-Clause"]
 

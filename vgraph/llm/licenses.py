@@ -42,6 +42,7 @@ DENIAL = frozenset("not never no isn't aren't wasn't cannot longer nor".split())
 #: Characters of a block whose verdict a task remembers; longer ones are judged each time.
 REMEMBERED = 4000
 _MARKS_BEFORE, _MARKS_AFTER = re.compile(r"[^\w\s]*$"), re.compile(r"[^\w\s]*")
+_SENTENCE_END = re.compile(r"[.!?;:\n\r]")
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -155,8 +156,9 @@ class Scanner:
         taken: set[int] = set()
         found = []
         for *_, start, end in sorted(near):
-            # a word or two before may deny it
-            if not taken.isdisjoint(range(start, end)) or not DENIAL.isdisjoint(words[max(start - 2, 0) : start]):
+            # a word or two before it in its sentence may deny it
+            before = _SENTENCE_END.split(text[spans[max(start - 2, 0)][0] : spans[start][0]])[-1]
+            if not taken.isdisjoint(range(start, end)) or not DENIAL.isdisjoint(before.lower().split()):
                 continue
             a, b = spans[start][0], spans[end - 1][1]
             a -= len(_MARKS_BEFORE.search(text, max(a - 3, 0), a)[0])
