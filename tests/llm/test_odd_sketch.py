@@ -39,7 +39,10 @@ def test_near_copies(spark):
 def test_large_clusters_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(odd_sketch, "BLOCK", 6)
     monkeypatch.setattr(odd_sketch, "HOT", 20)
-    check(spark, copies(random.Random(4), 5, 60), 2)
+    rows = copies(random.Random(4), 5, 60)
+    check(spark, rows, 2)
+    monkeypatch.setattr(odd_sketch, "SENT", 0)
+    check(spark, rows + [(1000 + i, "the same few words") for i in range(50)], 2)
 
 
 def test_whole_table(spark):

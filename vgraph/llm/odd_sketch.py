@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vgraph.llm.arrays import LOWER, U64, chunks, groups, lean, mix, seeds, shingle_hashes, utf8, word_hashes, words
@@ -28,6 +28,8 @@ BANDS, ROWS, BITS = 32, 5, 256
 FAR = 88
 #: A band with more documents makes a cluster without a look at their sketches; documents in a block.
 HOT, BLOCK = 4096, 512
+#: Rows of a table up to which it is sent to all tasks, and the share of all copies above which a set is one of the few large ones.
+SENT, SHARE = 100_000, 10_000
 #: Bits of a shingle's hash, below those for its row in a chunk.
 _HASH_BITS, _ROWS = 52, 4000
 
@@ -200,40 +202,65 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(docs.mapInArrow(_sign(n), "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, sketch binary"), "signed")
     known = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = known.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"))
-    # one row for each set: a doc_id with several rows may stand for several sets
-    lead = known.join(reps, ["key_a", "key_b"]).where("doc_id = rep").groupBy("rep", "key_a", "key_b").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # one row for each set, however many documents hold it: tasks aggregate before they shuffle
+    lead = known.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     lead = materialize(lead, "lead")
     spread = lead.select("rep", F.explode("bands").alias("band"))
-    by_band = Window.partitionBy("band")
-    shared = spread.withColumn("n", F.count("*").over(by_band)).where("n > 1")
-    shared = materialize(shared.withColumn("low", F.min("rep").over(by_band)), "shared")
-    hot = shared.where(F.col("n") > HOT).select(F.col("low").alias("src"), F.col("rep").alias("dst"))
+    sizes = materialize(spread.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1"), "sizes")
+    big = _sent(sizes.where(F.col("n") > HOT))
+    hot = spread.join(big, "band").select(F.col("low").alias("src"), F.col("rep").alias("dst"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cool = shared.where(F.col("n") <= HOT).select("rep", "band").join(lead.select("rep", "sketch"), "rep")
+    cool = materialize(spread.join(big, "band", "left_anti").join(sizes.where(F.col("n") <= HOT).select("band"), "band"), "cool").join(lead.select("rep", "sketch"), "rep")
     close = cool.repartition(parts, "band").sortWithinPartitions("band", "rep").mapInArrow(_close, "src long, dst long")
     clusters = connected_components(close.unionByName(hot).distinct())
     links = materialize(_verified(docs, clusters, n, percent, parts), "links")
-    same = known.join(reps, ["key_a", "key_b"]).where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
+    same = _copies(known.select("key_a", "key_b", "doc_id"), lead.where("copies > 1").select("key_a", "key_b", "rep", "copies"))
     groups = connected_components(links.unionByName(same))
     out = signed.select("doc_id", "n_shingles").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """``table``, for all tasks if it is small; a larger one is joined by key, where Spark splits keys of many rows."""
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
+def _blocks(size: Column) -> Column:
+    return F.ceil(size / BLOCK).cast("long")
+
+
+def _dealt(doc_id: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), blocks)
+
+
+def _copies(known: DataFrame, reps: DataFrame) -> DataFrame:
+    """(src, dst): the first document of each set with all other documents of that set.
+
+    Sets held by more than one in SHARE documents, fewer than SHARE of them by count, are sent
+    to all tasks, so that no task gets all copies; the others are joined by key.
+    """
+    copies = reps.agg(F.sum("copies")).first()[0] or 0
+    many = F.col("copies") > max(HOT, copies // SHARE)
+    keys = ["key_a", "key_b"]
+    sent = F.broadcast(reps.where(many).select(*keys, "rep"))
+    found = known.join(sent, keys).unionByName(known.join(sent, keys, "left_anti").join(reps.where(~many).select(*keys, "rep"), keys))
+    return found.where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
+
+
 def _verified(docs: DataFrame, clusters: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
     """Exact links that connect all similar documents of each cluster.
 
-    A cluster is dealt into blocks; its first document goes to each of them. Where
+    A cluster is dealt into blocks by a hash; its first document goes to each of them. Where
     that leaves a large cluster in several components, the documents outside of the first one's are
     compared with all of the cluster, block by block.
     """
-    order = Window.partitionBy("component").orderBy("id")
-    numbered = clusters.withColumn("at", F.row_number().over(order) - 1)
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    numbered = numbered.join(sizes, "component").withColumn("blocks", F.floor((F.col("size") - 1) / BLOCK) + 1)
-    home = F.when(F.col("at") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.floor(F.col("at") / BLOCK)))
-    members = materialize(numbered.select(F.col("id").alias("doc_id"), "component", "blocks", "at", F.explode(home).alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("side")), "members")
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    sizes = _sent(materialize(sizes.select("component", _blocks(F.col("size")).alias("blocks")), "sizes"))
+    numbered = clusters.join(sizes, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    first = F.col("id") == F.col("component")
+    home = F.when(first, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(_dealt(F.col("id"), F.col("blocks"))))
+    members = materialize(numbered.select(F.col("id").alias("doc_id"), "component", "blocks", F.explode(home).alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("side")), "members")
     keys = ["component", "a", "b"]
     # all texts are dealt once; from here on those of the clusters are enough
     docs = materialize(docs.join(clusters.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
@@ -243,17 +270,15 @@ def _verified(docs: DataFrame, clusters: DataFrame, n: int, percent: int, parts:
         return texts.repartition(parts, *keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(_confirm(n, percent, keys), "src long, dst long")
 
     links = materialize(run(members), "links")
-    large = members.where("blocks > 1").select("doc_id", "component", "at").distinct()
+    large = members.where("blocks > 1").select("doc_id", "component", "blocks").distinct()
     if large.isEmpty():
         return links
     now = connected_components(links.join(large.select(F.col("doc_id").alias("src")), "src", "left_semi"))
     held = large.join(now.select(F.col("id").alias("doc_id"), F.col("component").alias("now")), "doc_id", "left")
-    held = held.withColumn("outside", F.coalesce("now", "doc_id") != F.col("component"))
-    rest = held.where("outside").withColumn("b", F.floor((F.row_number().over(Window.partitionBy("component").orderBy("doc_id")) - 1) / BLOCK))
-    rest = materialize(rest, "rest")
-    counts = rest.groupBy("component").agg((F.max("b") + 1).alias("outer"))
-    every = held.join(counts, "component").withColumn("a", F.floor(F.col("at") / BLOCK))
-    blocks = every.groupBy("component").agg((F.max("a") + 1).alias("inner"))
-    left = rest.join(blocks, "component").select("doc_id", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("inner") - 1)).alias("a"), "b", F.lit(1).alias("side"))
+    held = materialize(held.withColumn("outside", F.coalesce("now", "doc_id") != F.col("component")), "held")
+    outer = held.where("outside").groupBy("component").agg(F.count("*").alias("n")).select("component", _blocks(F.col("n")).alias("outer"))
+    every = held.join(_sent(materialize(outer, "outer")), "component").withColumn("a", _dealt(F.col("doc_id"), F.col("blocks")))
+    rest = every.where("outside").withColumn("b", _dealt(F.col("doc_id"), F.col("outer")))
+    left = rest.select("doc_id", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("a"), "b", F.lit(1).alias("side"))
     right = every.select("doc_id", "component", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).alias("b"), F.lit(2).alias("side"))
     return links.unionByName(run(left.unionByName(right)))
