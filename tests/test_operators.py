@@ -104,6 +104,25 @@ def plain_paths(edges, arteries, weight):
     return out
 
 
+def test_cuts_of_large_graphs_by_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(f"g{g}", k, rng.randrange(14), rng.randrange(14), rng.choice((2, 3, 4, 4, 4, 4, 4, 4))) for g in range(7) for k in range(26)]
+    rows += [("arteries", 0, 1, 2, 2), ("apart", 0, 1, 2, 2), ("apart", 1, 3, 4, 3), ("loop", 0, 1, 1, 4)]
+    e = spark.createDataFrame(rows, "graph string, eid long, src long, dst long, nkind int")
+    want = {r["graph"]: r.asDict() for r in flow.min_cut(e).collect()}
+    monkeypatch.setattr(flow, "ONE_TASK", 0)
+    got = {r["graph"]: r.asDict() for r in flow.min_cut(e).collect()}
+    assert {g: {**r, "paths": len(r["paths"])} for g, r in got.items()} == {g: {**r, "paths": len(r["paths"])} for g, r in want.items()}
+    assert max(r["n_disjoint"] for r in got.values()) > 1
+    for g, r in got.items():
+        links = [(a, b) for x, _, a, b, _ in rows if x == g]
+        touch = {k: {v for x, _, a, b, c in rows if x == g and c == k for v in (a, b)} for k in (2, 3)}
+        for path in r["paths"]:
+            assert path[0] in touch[2] and path[-1] in touch[3] - touch[2]
+            for a, b in zip(path, path[1:]):
+                links.remove((a, b) if (a, b) in links else (b, a))
+
+
 def test_paths_to_the_nearest_vein(spark):
     rng = random.Random(6)
     places = [(x, y, 0) for y in range(5) for x in range(6)]

@@ -1,16 +1,23 @@
 """Minimum cuts and edge-disjoint paths between arteries and veins, graph by graph.
 
-Each graph is a box of bounded size, so one task holds it; graphs are spread over tasks.
+Graphs of boxes are small: one task holds each. Graphs of more than ``ONE_TASK`` edges, such as a whole brain,
+are worked on by all tasks, in rounds of joins over tables of vertices and edges.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vgraph.plans.workspace import materialize, work_dir
+
+#: Edges up to which one task takes a whole graph.
+ONE_TASK = 200_000
+
 CUT = "graph string, cut_value double, n_cut long, n_artery long, n_vein long, n_capillary long, cut_edges array<long>, n_disjoint long, paths array<array<long>>"
 
 
@@ -78,12 +85,119 @@ def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row])
 
 
+class Rounds:
+    """A table that grows by the rows of one round at a time, each written once."""
+
+    def __init__(self, spark: SparkSession, tag: str, columns: str):
+        self.spark, self.columns, self.folder, self.level = spark, columns, f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}", -1
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        self.level += 1
+        place = f"{self.folder}/level={self.level}"
+        rows.write.parquet(place)
+        return self.spark.read.schema(self.columns).parquet(place)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.columns}, level int").parquet(self.folder)
+
+
+def _ranked(rows: DataFrame, vertex: str, order: str) -> DataFrame:
+    """Rows numbered at each vertex, whose degree bounds their number."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("graph", vertex).orderBy(order)))
+
+
+def _levels(starts: DataFrame, free: DataFrame) -> Rounds:
+    """(graph, vid, level): how many free arcs lead to each vertex from the nearest start."""
+    seen = Rounds(starts.sparkSession, "level", "graph string, vid long")
+    new = seen.add(starts.select("graph", "vid"))
+    while not new.isEmpty():
+        found = new.withColumnRenamed("vid", "u").join(free, ["graph", "u"]).select("graph", F.col("w").alias("vid")).distinct()
+        new = seen.add(found.join(seen.all(), ["graph", "vid"], "left_anti"))
+    return seen
+
+
+def _full_flow(edges: DataFrame, starts: DataFrame, sinks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A greatest unit flow as (k, f), f = 1 from src to dst and -1 back, and the (graph, vid) that the starts still reach.
+
+    ``edges`` has (graph, k, src, dst). In each phase one token for each arc that enters a sink walks back through the
+    levels; those that meet at a vertex take different arcs, those that find none left give up. One at least
+    comes to a start, and all that do are augmenting paths without a common edge.
+    """
+    spark = edges.sparkSession
+    both = edges.select("graph", "k", F.lit(1).alias("way"), F.col("src").alias("u"), F.col("dst").alias("w")).unionByName(edges.select("graph", "k", F.lit(-1).alias("way"), F.col("dst").alias("u"), F.col("src").alias("w")))
+    starts, sinks = materialize(starts.select("graph", "vid"), "starts"), materialize(sinks.select("graph", "vid"), "sinks")
+    both = both.join(starts.withColumnRenamed("vid", "w"), ["graph", "w"], "left_anti").join(sinks.withColumnRenamed("vid", "u"), ["graph", "u"], "left_anti")
+    arcs = materialize(both, "arcs")
+    flow = materialize(spark.createDataFrame([], "k long, f int"), "flow")
+    while True:
+        free = materialize(arcs.join(flow, "k", "left").where(F.coalesce("f", F.lit(0)) * F.col("way") < 1).select("graph", "k", "way", "u", "w"), "free")
+        seen = _levels(starts, free).all()
+        if seen.join(sinks, ["graph", "vid"], "left_semi").isEmpty():
+            return flow, seen.select("graph", "vid")
+        at = lambda v, name: seen.select("graph", F.col("vid").alias(v), F.col("level").alias(name))
+        onward = free.join(at("u", "before"), ["graph", "u"]).join(at("w", "at"), ["graph", "w"]).where("at = before + 1")
+        onward = onward.join(sinks.select("graph", F.col("vid").alias("w"), F.lit(True).alias("last")), ["graph", "w"], "left")
+        onward = materialize(onward.select("graph", "k", "way", "u", "w", "at", F.coalesce("last", F.lit(False)).alias("last")), "onward")
+        steps = Rounds(spark, "step", "graph string, token long, k long, way int, u long")
+        tokens = None
+        for depth in range(onward.agg(F.max("at")).first()[0], 0, -1):
+            here = onward.where(F.col("at") == depth)
+            chosen = here.where("last").select("graph", F.col("k").alias("token"), "k", "way", "u")
+            if tokens is not None:
+                chosen = chosen.unionByName(_ranked(here.where("not last"), "w", "k").join(_ranked(tokens.select("graph", F.col("u").alias("w"), "token"), "w", "token"), ["graph", "w", "nth"]).select("graph", "token", "k", "way", "u"))
+            tokens = steps.add(chosen)
+        gained = steps.all().join(tokens.select("token"), "token", "left_semi").select("k", F.col("way").alias("f"))
+        flow = materialize(flow.unionByName(gained).groupBy("k").agg(F.sum("f").cast("int").alias("f")).where("f <> 0"), "flow")
+
+
+def _walked(edges: DataFrame, flow: DataFrame, starts: DataFrame) -> DataFrame:
+    """(graph, path): the flow taken apart, by pairing the arcs that enter a vertex with those that leave it."""
+    ahead = F.col("f") > 0
+    arcs = edges.join(flow, "k").select("graph", "k", F.when(ahead, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(ahead, F.col("dst")).otherwise(F.col("src")).alias("w"))
+    arcs = materialize(arcs, "arcs")
+    pairs = _ranked(arcs.select("graph", F.col("w").alias("vid"), "k"), "vid", "k").join(_ranked(arcs.select("graph", F.col("u").alias("vid"), F.col("k").alias("next"), F.col("w").alias("to")), "vid", "next"), ["graph", "vid", "nth"])
+    pairs = materialize(pairs.select("k", "next", "to"), "pairs")
+    steps = Rounds(edges.sparkSession, "walk", "graph string, token long, k long, w long")
+    new = steps.add(arcs.join(starts.withColumnRenamed("vid", "u"), ["graph", "u"], "left_semi").select("graph", F.col("k").alias("token"), "k", "w"))
+    while not new.isEmpty():
+        new = steps.add(new.join(pairs, "k").select("graph", "token", F.col("next").alias("k"), F.col("to").alias("w")))
+    ways = steps.all().groupBy("graph", "token").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "w"))), lambda s: s["w"]).alias("rest"))
+    return ways.join(arcs.select(F.col("k").alias("token"), "u"), "token").select("graph", F.concat(F.array("u"), "rest").alias("path"))
+
+
+def _by_rounds(slim: DataFrame) -> DataFrame:
+    """The rows of ``_cut`` for graphs of any size."""
+    slim = materialize(slim.withColumn("k", F.monotonically_increasing_id()), "slim")
+    edges = slim.where("src <> dst")
+    ends = slim.select("graph", F.explode(F.array("src", "dst")).alias("vid"), "nkind")
+    touch = materialize(ends.groupBy("graph", "vid").agg(F.max(F.col("nkind") == 2).alias("a"), F.max(F.col("nkind") == 3).alias("v")).where("a or v"), "touch")
+    veins = touch.where("v and not a")
+    flow, _ = _full_flow(edges, touch.where("a"), veins)
+    paths = _walked(edges, flow, touch.where("a").select("graph", "vid")).groupBy("graph").agg(F.count("*").alias("n_disjoint"), F.sort_array(F.collect_list("path")).alias("paths"))
+    _, side = _full_flow(edges, touch.where("a and not v"), veins)
+    on = lambda v: side.select("graph", F.col("vid").alias(v), F.lit(True).alias(f"{v}_in"))
+    cut = edges.join(on("src"), ["graph", "src"], "left").join(on("dst"), ["graph", "dst"], "left").where("coalesce(src_in, false) <> coalesce(dst_in, false)")
+    of = lambda k, name: F.count_if(F.col("nkind") == k).alias(f"n_{name}")
+    cut = cut.groupBy("graph").agg(F.count("*").alias("n_cut"), of(2, "artery"), of(3, "vein"), of(4, "capillary"), F.sort_array(F.collect_list("eid")).alias("cut_edges"))
+    kinds = touch.groupBy("graph").agg((F.max("a") & F.max("v")).alias("cuttable"), F.count_if(F.col("a") & F.col("v")).alias("n_both"))
+    out = slim.groupBy("graph").agg(F.count("*").alias("n_edges")).join(kinds, "graph", "left").join(cut, "graph", "left").join(paths, "graph", "left")
+    shown = lambda c, kind: F.when(F.col("cuttable"), F.coalesce(c, F.lit(0).cast("long") if kind == "long" else F.array().cast(kind)))
+    counts = {c: shown(c, "long") for c in ("n_cut", "n_artery", "n_vein", "n_capillary")}
+    value = shown("n_cut", "long") + F.col("n_both") * (F.col("n_edges") + 1)
+    return out.select("graph", value.cast("double").alias("cut_value"), *(x.alias(c) for c, x in counts.items()), shown("cut_edges", "array<long>").alias("cut_edges"), F.coalesce("n_disjoint", F.lit(0).cast("long")).alias("n_disjoint"), F.coalesce("paths", F.array().cast("array<array<long>>")).alias("paths"))
+
+
 def min_cut(edges: DataFrame) -> DataFrame:
     """By graph: the minimum cut between artery-touching and vein-touching vertices, its edges by class, and edge-disjoint paths.
 
     All edges have capacity one. A graph without arteries or veins has no cut (NULL) and no paths (0). A vertex that touches both
     classes adds the terminals' capacity, the number of edges and one, to ``cut_value``, and may lie on either side;
     of paths it is a beginning, not an end. Of several minimum cuts the one nearest to the arteries is given.
+    Graphs of more than ``ONE_TASK`` edges have the same cuts and as many paths, found by rounds over all tasks.
     """
     slim = edges.select("graph", "eid", "src", "dst", F.coalesce("nkind", F.lit(-1)).alias("nkind"))
-    return slim.groupBy("graph").applyInPandas(_cut, CUT)
+    slim = materialize(slim, "slim")
+    # fewer than one in ONE_TASK of the edges' number, so that they may be sent to all tasks
+    large = F.broadcast(materialize(slim.groupBy("graph").agg(F.count("*").alias("n")).where(F.col("n") > ONE_TASK).select("graph"), "large"))
+    held = slim.join(large, "graph", "left_anti").groupBy("graph").applyInPandas(_cut, CUT)
+    return held if large.isEmpty() else held.unionByName(_by_rounds(slim.join(large, "graph", "left_semi")))
