@@ -139,6 +139,27 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(value, first) ^ length.astype(U64))
 
 
+def word_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
+    """(a number from 0 for each word, equal for equal words alone; how many numbers there are)."""
+    length = end - start
+    offsets = np.append(0, np.cumsum(length))
+    column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[spans(start, length)])])
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+
+
+def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, n_rows: int) -> pa.Array:
+    """By row its words (given in order of rows) joined by one space, as text; empty without words."""
+    length = end - start + 1
+    out = np.full(int(length.sum()), 0x20, np.uint8)
+    out[spans(np.cumsum(length) - length, length - 1)] = data[spans(start, length - 1)]
+    size = np.bincount(row, weights=length, minlength=n_rows).astype(np.int64)
+    last = np.ones(len(out), bool)
+    last[np.cumsum(size)[size > 0] - 1] = False
+    offsets = np.append(0, np.cumsum(np.maximum(size - 1, 0)))
+    return pa.Array.from_buffers(pa.large_string(), n_rows, [None, pa.py_buffer(offsets), pa.py_buffer(out[last])])
+
+
 def shingle_hashes(word: np.ndarray, row: np.ndarray, n_rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every n-word shingle; a row of fewer words gives its whole sequence as one."""
     count = np.bincount(row, minlength=n_rows)
