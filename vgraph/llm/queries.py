@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vgraph.llm import mixing, packing, spelling, vbyte, webp
+from vgraph.llm import mixing, packing, spelling, sql, vbyte, webp
 from vgraph.llm.kneser_ney import quality
 from vgraph.llm.licenses import scan_licenses
 from vgraph.llm.odd_sketch import near_duplicates
@@ -131,4 +131,4 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_licenses, op3_url_rules, op4_webp, op5_packing, op6_vbyte, op7_mixing, op8_kneser_ney, op9_odd_sketch, op10_run_index, op11_automaton_runs, op12_super_kmers, op13_spelling)}
 
-ORACLES = {"op7_mixing": mixing.ORACLE}
+ORACLES = {"op7_mixing": mixing.ORACLE, "op11_automaton_runs": sql.OP11, "op12_super_kmers": sql.OP12, "op13_spelling": sql.OP13}
