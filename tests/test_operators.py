@@ -1,7 +1,9 @@
 import heapq
 import random
+from itertools import product
 from xml.etree import ElementTree
 
+import pytest
 from pyspark.sql import functions as F
 
 from vgraph.functions import stats
@@ -123,7 +125,9 @@ def test_cuts_of_large_graphs_by_rounds(spark, monkeypatch):
                 links.remove((a, b) if (a, b) in links else (b, a))
 
 
-def test_paths_to_the_nearest_vein(spark):
+@pytest.mark.parametrize("one_task", [200_000, 0])
+def test_paths_to_the_nearest_vein(spark, monkeypatch, one_task):
+    monkeypatch.setattr(paths, "ONE_TASK", one_task)
     rng = random.Random(6)
     places = [(x, y, 0) for y in range(5) for x in range(6)]
     at = lambda x, y: y * 6 + x
@@ -146,6 +150,47 @@ def test_paths_to_the_nearest_vein(spark):
                 assert abs(sum(length[frozenset(p)] for p in zip(r["path"], r["path"][1:])) - r["dist"]) < 1e-6
 
 
+def test_nearest_veins_by_buckets_and_in_one_task(spark, monkeypatch):
+    """Ties within the tolerance count at the end alone, so they don't add up over edges."""
+    rng = random.Random(4)
+    rows = [(f"g{g}", k, rng.randrange(30), rng.randrange(30), rng.choice((2, 3, 4, 4, 4, 4, 4, 4)), rng.choice((1.0, 2.0, 3.0)) + rng.choice((0, 0, 4e-7))) for g in range(5) for k in range(45)]
+    # each of ten steps has a way of one edge that is 0.6 of the tolerance longer than that of two
+    rows += [("sum", k, k, k + 1, 4, 2.0 + 6e-7) for k in range(10)] + [("sum", 20 + 2 * k + i, (k, 100 + k)[i], (100 + k, k + 1)[i], 4, 1.0) for k in range(10) for i in (0, 1)]
+    rows += [("sum", 60, 10, 11, 3, 1.0), ("sum", 61, 0, 12, 2, 1.0), ("alone", 0, 1, 2, 3, 1.0), ("loop", 0, 1, 1, 4, 1.0), ("null", 0, 1, 2, 3, 1.0), ("null", 1, 2, 3, 4, None)]
+    e = spark.createDataFrame(rows, "graph string, eid long, src long, dst long, nkind int, length double").withColumn("diameter", F.lit(1.0))
+    wanted = e.select("graph", F.col("src").alias("vid")).distinct()
+    found = []
+    for small in (paths.ONE_TASK, 0):
+        monkeypatch.setattr(paths, "ONE_TASK", small)
+        found.append({(r["graph"], r["vid"]): r.asDict() for r in paths.nearest_venous(e, tol=1e-6, wanted=wanted).collect()})
+    assert found[0] == found[1]
+    assert ("null", 3) not in found[0] and ("loop", 1) not in found[0]
+    for (g, v), r in found[0].items():
+        near = {}
+        for x, _, a, b, _, w in rows:
+            if x == g and w is not None:
+                near.setdefault(a, []).append((b, w))
+                near.setdefault(b, []).append((a, w))
+        veins = {y for x, _, a, b, k, _ in rows if x == g and k == 3 for y in (a, b)}
+        # the least length by number of edges
+        best, least = {v: 0.0}, []
+        for hops in range(40):
+            least += [(best[t], hops, t) for t in veins if t in best]
+            nxt = {}
+            for a, d in best.items():
+                for b, w in near.get(a, ()):
+                    nxt[b] = min(nxt.get(b, 1e9), d + w)
+            best = nxt
+        want = min(d for d, _, _ in least)
+        assert abs(r["dist"] - want) < 1e-9
+        assert (r["hops"], r["target"]) == min((h, t) for d, h, t in least if d <= want + 1e-6)
+        if r["path"]:
+            assert r["path"][0] == v and r["path"][-1] == r["target"] and len(r["path"]) == r["hops"] + 1
+            assert r["after"] == (r["path"][1] if r["hops"] else None)
+            length = sum(min(w for b2, w in near[a] if b2 == b) for a, b in zip(r["path"], r["path"][1:]))
+            assert length <= want + 1e-6 + 1e-9
+
+
 def test_ids_that_repeat_between_graphs(spark):
     v = spark.createDataFrame([(g, i) for g in "ab" for i in range(4)], "graph string, vid long")
     e = spark.createDataFrame([("a", 0, 0, 1), ("b", 0, 1, 2), ("b", 1, 2, 3)], "graph string, eid long, src long, dst long").withColumns({"nkind": F.lit(2), "length": F.lit(1.0), "diameter": F.lit(1.0)})
@@ -221,3 +266,44 @@ def test_stars_and_text(spark):
     df = spark.createDataFrame([(0.00001,), (0.004,), (0.2,), (None,)], "p double")
     got = df.select(stats.p_stars(F.col("p")), stats.p_text(F.col("p"))).collect()
     assert [tuple(r) for r in got] == [("****", "p<0.001"), ("**", "p=0.004"), ("ns", "p=0.200"), ("", "n/a")]
+
+
+def plain_chains(voxels):
+    """The link voxels' chains in order: from the smaller end, or round a loop from its smallest voxel to the smaller beside it."""
+    number = {v: k for k, v in enumerate(sorted(voxels))}
+    near = {number[v]: [number[w] for o in product((-1, 0, 1), repeat=3) if any(o) and (w := tuple(a + b for a, b in zip(v, o))) in number] for v in voxels}
+    link = {v for v, n in near.items() if len(n) == 2}
+    inner = {v: sorted(w for w in near[v] if w in link) for v in link}
+    out, done = [], set()
+    for ends in (sorted(v for v in link if len(inner[v]) < 2), sorted(link)):
+        for v in ends:
+            if v not in done:
+                chain = [v]
+                done.add(v)
+                while step := [w for w in inner[chain[-1]] if w not in done]:
+                    chain.append(step[0])
+                    done.add(step[0])
+                out.append(chain)
+    return sorted(out)
+
+
+def test_chains_in_order(spark):
+    rng = random.Random(2)
+    voxels = set()
+    for k in range(60):
+        x, y, z = 40 * (k % 8), 40 * (k // 8), 0
+        for _ in range(rng.randint(1, 30)):
+            voxels.add((x, y, z))
+            d = rng.choice(((1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, -1)))
+            x, y, z = x + d[0], y + d[1], z + d[2]
+    for k in range(5):  # rings of growing size
+        n = 3 + 2 * k
+        voxels |= {(400 + 40 * k + i, j, 0) for i in range(n + 1) for j in (0, n)} - {(400 + 40 * k, 0, 0), (400 + 40 * k + n, 0, 0), (400 + 40 * k, n, 0), (400 + 40 * k + n, n, 0)}
+        voxels |= {(400 + 40 * k + i, j, 0) for i in (0, n) for j in range(1, n)}
+    voxels |= {(x, 500, 0) for x in range(3000)}
+    parts = skeleton.to_graph(spark.createDataFrame(sorted(voxels), "x long, y long, z long"))
+    got = sorted(r["voxels"] for r in parts["links"].where("link is not null").collect())
+    assert got == plain_chains(voxels)
+    assert sum(r["is_loop"] for r in parts["links"].collect()) >= 5
+    ordered = parts["link_voxels"].groupBy("link").agg(F.count("*").alias("n"), F.max("at").alias("last"), F.count_distinct("at").alias("d")).collect()
+    assert all(r["n"] == r["last"] + 1 == r["d"] for r in ordered)

@@ -6,14 +6,13 @@ are worked on by all tasks, in rounds of joins over tables of vertices and edges
 
 from __future__ import annotations
 
-import uuid
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vgraph.plans.workspace import materialize, work_dir
+from vgraph.plans.workspace import Rounds, materialize
 
 #: Edges up to which one task takes a whole graph.
 ONE_TASK = 200_000
@@ -85,22 +84,6 @@ def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row])
 
 
-class Rounds:
-    """A table that grows by the rows of one round at a time, each written once."""
-
-    def __init__(self, spark: SparkSession, tag: str, columns: str):
-        self.spark, self.columns, self.folder, self.level = spark, columns, f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}", -1
-
-    def add(self, rows: DataFrame) -> DataFrame:
-        self.level += 1
-        place = f"{self.folder}/level={self.level}"
-        rows.write.parquet(place)
-        return self.spark.read.schema(self.columns).parquet(place)
-
-    def all(self) -> DataFrame:
-        return self.spark.read.schema(f"{self.columns}, level int").parquet(self.folder)
-
-
 def _ranked(rows: DataFrame, vertex: str, order: str) -> DataFrame:
     """Rows numbered at each vertex, whose degree bounds their number."""
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("graph", vertex).orderBy(order)))

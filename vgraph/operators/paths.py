@@ -2,35 +2,145 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from vgraph.operators.topology import allowed, frontier, venous, with_penalties
-from vgraph.plans.workspace import materialize
+import heapq
 
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def nearest_venous(edges: DataFrame, weight: str = "length", tol: float = 1e-6) -> DataFrame:
+from vgraph.operators.topology import allowed, frontier, touches, venous, with_penalties
+from vgraph.plans.workspace import Rounds, materialize
+
+#: Edges up to which one task takes a whole graph.
+ONE_TASK = 200_000
+LABEL = "dist double, hops int, target long, after long"
+ROW = "struct<dist: double, hops: int, target: long, after: long, new: boolean>"
+NEAREST = f"graph string, vid long, {LABEL}, path array<long>"
+
+
+def _pareto(rows: Column, tol: float) -> Column:
+    """Of rows (dist, hops, target, after, new) those within ``tol`` of the least distance that no row is before in distance, and in edges and target."""
+    last = lambda kept: F.element_at(kept, -1)
+    fewer = lambda kept, x: F.struct(x["hops"], x["target"]) < F.struct(last(kept)["hops"], last(kept)["target"])
+    good = lambda kept, x: (F.size(kept) == 0) | ((x["dist"] <= F.get(kept, F.lit(0))["dist"] + tol) & fewer(kept, x))
+    return F.aggregate(F.array_sort(rows), F.lit([]).cast(f"array<{ROW}>"), lambda kept, x: F.when(good(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+
+
+def _near(tol: float):
+    def run(arcs: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        """The labels of one graph, nearest first, and the paths of the vertices that are asked for."""
+        near: dict[int, list] = {}
+        for u, v, w in arcs[["vid", "to", "w"]].itertuples(index=False):
+            near.setdefault(u, []).append((v, w))
+        heap = [(0.0, 0, v, -1, v) for v in ends.vid[ends.venous]]
+        heapq.heapify(heap)
+        labels: dict[int, list] = {}
+        while heap:
+            label = heapq.heappop(heap)
+            dist, hops, target, _, v = label
+            have = labels.setdefault(v, [])
+            if not have or (dist <= have[0][0] + tol and (hops, target) < have[-1][1:3]):
+                have.append(label)
+                for to, w in near.get(v, ()):
+                    heapq.heappush(heap, (dist + w, hops + 1, target, v, to))
+        step = {(v, x[1], x[2]): x[3] for v, have in labels.items() for x in have}
+        wanted = set(ends.vid[ends.wanted])
+        graph, rows = (arcs if len(arcs) else ends).graph.iloc[0], []
+        for v, have in labels.items():
+            _, hops, target, after, _ = have[-1]
+            path = [v] if v in wanted else None
+            while path and len(path) <= hops:
+                path.append(step[path[-1], hops + 1 - len(path), target])
+            rows.append((graph, v, have[0][0], hops, target, after if hops else None, path))
+        return pd.DataFrame(rows, columns=["graph", "vid", "dist", "hops", "target", "after", "path"]).astype({"after": "Int64"})
+
+    return run
+
+
+def _by_buckets(arcs: DataFrame, starts: DataFrame, tol: float) -> DataFrame:
+    """(graph, vid, dist, hops, target, after): the labels of ``_near`` for graphs of any size, several to a vertex.
+
+    Labels wait until their distance's bucket is the least one; then those that no known one is before are known and
+    go on over all arcs. What is known is written once, a part a round; only waiting labels are written anew.
+    """
+    spark = arcs.sparkSession
+    width = 4 * (arcs.agg(F.percentile_approx("w", 0.5)).first()[0] or 1.0)
+    known = Rounds(spark, "label", f"graph string, vid long, {LABEL}")
+    empty = known.add(spark.createDataFrame([], known.columns))
+    waiting = materialize(starts.select("graph", "vid", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.col("vid").alias("target"), F.lit(-1).cast("long").alias("after")), "waiting")
+    row = lambda new: F.struct("dist", "hops", "target", "after", F.lit(new).alias("new")).alias("row")
+    best = lambda rows: rows.groupBy("graph", "vid").agg(_pareto(F.collect_list("row"), tol).alias("rows"))
+    while (least := waiting.agg(F.min("dist")).first()[0]) is not None:
+        limit = (least // width + 1) * width
+        now = waiting.where(F.col("dist") < limit)
+        before = known.all().drop("level").join(now.select("graph", "vid").distinct(), ["graph", "vid"], "left_semi") if known.level else empty
+        pool = before.select("graph", "vid", row(False)).unionByName(now.select("graph", "vid", row(True)))
+        fresh = best(pool).select("graph", "vid", F.explode(F.filter("rows", lambda r: r["new"])).alias("r")).select("graph", "vid", "r.*").drop("new")
+        fresh = known.add(fresh)
+        onward = fresh.join(arcs, ["graph", "vid"]).select("graph", F.col("to").alias("vid"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), "target", F.col("vid").alias("after"))
+        # of the labels that come in at a vertex in this round all but the first ones are left at once
+        onward = best(onward.select("graph", "vid", row(True))).select("graph", "vid", F.explode("rows").alias("r")).select("graph", "vid", "r.*").drop("new")
+        waiting = materialize(waiting.where(F.col("dist") >= limit).unionByName(onward), "waiting")
+    every = best(known.all().select("graph", "vid", row(False)))
+    return materialize(every.select("graph", "vid", F.explode("rows").alias("r")).select("graph", "vid", "r.*").drop("new"), "labels")
+
+
+def _chosen(labels: DataFrame) -> DataFrame:
+    """Of each vertex's labels the one of fewest edges, with the least distance of all."""
+    pick = labels.groupBy("graph", "vid").agg(F.min("dist").alias("dist"), F.min(F.struct("hops", "target", "after")).alias("c"))
+    return pick.select("graph", "vid", "dist", "c.hops", "c.target", F.when(F.col("c.hops") > 0, F.col("c.after")).alias("after"))
+
+
+def _paths(labels: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(graph, vid, path): the vertices from each chosen one to its target, by pointers that reach twice as far in each round."""
+    key = ["graph", "vid", "hops", "target"]
+    steps = materialize(labels.where("hops > 0").select(*key, F.col("after").alias("to")), "steps")
+    found = Rounds(labels.sparkSession, "place", "graph string, source long, target long, at int, vid long, hops int")
+    found.add(chosen.select("graph", F.col("vid").alias("source"), "target", F.lit(0).alias("at"), "vid", "hops"))
+    reach = 1
+    while not steps.isEmpty():
+        here = found.all().where(F.col("hops") >= reach).join(steps, key)
+        found.add(here.select("graph", "source", "target", (F.col("at") + reach).alias("at"), F.col("to").alias("vid"), (F.col("hops") - reach).alias("hops")))
+        far = steps.select("graph", F.col("vid").alias("to"), (F.col("hops") + reach).alias("hops"), "target", F.col("to").alias("next"))
+        steps = materialize(steps.join(far, ["graph", "to", "hops", "target"]).select(*key, F.col("next").alias("to")), "steps")
+        reach *= 2
+    paths = found.all().groupBy("graph", F.col("source").alias("vid")).agg(F.array_sort(F.collect_list(F.struct("at", "vid"))).alias("places"))
+    return paths.select("graph", "vid", F.col("places.vid").alias("path"))
+
+
+def nearest_venous(edges: DataFrame, weight: str = "length", tol: float = 1e-6, wanted: DataFrame | None = None) -> DataFrame:
     """(graph, vid, dist, hops, target, after, path): for each vertex that reaches a vein, its nearest venous vertex.
 
-    All graphs at once, by rounds of relaxation from the venous vertices. Of distances within ``tol`` of the least
-    the one of fewest edges wins, then the smaller target. ``path`` runs from the vertex to the target, ``after`` is its second
-    vertex. The number of rounds is the largest number of edges on a path; each ends in a written table.
+    ``dist`` is the least distance; of all paths within ``tol`` of it the one of fewest edges is taken, then that of the smaller target.
+    ``after`` is the path's second vertex; ``path`` runs from the vertex to the target and is given for the (graph, vid) in
+    ``wanted``. Weights must not be negative; edges without a weight are left out. One task finds the paths of a graph of up to ``ONE_TASK``
+    edges; larger ones go through rounds over all tasks, by buckets of distances, with the same rows.
     """
-    both = edges.select("graph", F.col("src").alias("vid"), F.col("dst").alias("other"), F.col(weight).alias("w")).unionByName(edges.select("graph", F.col("dst").alias("vid"), F.col("src").alias("other"), F.col(weight).alias("w")))
-    both = materialize(both.where("vid <> other").groupBy("graph", "vid", "other").agg(F.min("w").alias("w")), "arcs")
-    arcs = both.withColumnsRenamed({"vid": "to", "other": "vid"})
-    best = venous(edges).select("graph", "vid", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.col("vid").alias("target"), F.lit(None).cast("long").alias("after"), F.array("vid").alias("path"))
-    best = materialize(best.withColumn("new", F.lit(True)), "best")
-    least = F.min("dist").over(Window.partitionBy("graph", "vid"))
-    # among equals the row that was there stays
-    key = F.struct("hops", "target", F.coalesce("after", F.lit(-1).cast("long")).alias("after"), "new", "dist")
-    while not best.where("new").isEmpty():
-        step = best.where("new").join(arcs, ["graph", "vid"])
-        step = step.select("graph", F.col("to").alias("vid"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), "target", F.col("vid").alias("after"), F.concat(F.array("to"), "path").alias("path"), F.lit(True).alias("new"))
-        joined = best.withColumn("new", F.lit(False)).unionByName(step).withColumn("least", least).where(F.col("dist") <= F.col("least") + tol)
-        won = joined.groupBy("graph", "vid").agg(F.min_by(F.struct("dist", "hops", "target", "after", "path", "new"), key).alias("b"))
-        best = materialize(won.select("graph", "vid", "b.*"), "best")
-    return best.drop("new")
+    ends = touches(edges).select("graph", "vid", F.col("vein").alias("venous"))
+    if wanted is not None:
+        ends = ends.join(wanted.select("graph", "vid", F.lit(True).alias("wanted")).distinct(), ["graph", "vid"], "full_outer").na.fill(False)
+    else:
+        ends = ends.withColumn("wanted", F.lit(False))
+    return _nearest(edges, ends, weight, tol)
+
+
+def _nearest(edges: DataFrame, ends: DataFrame, weight: str, tol: float) -> DataFrame:
+    """``nearest_venous`` of vertices (graph, vid, venous, wanted)."""
+    keep = edges.where(F.col(weight).isNotNull() & (F.col("src") != F.col("dst"))).select("graph", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col(weight).cast("double").alias("w"))
+    pairs = keep.groupBy("graph", "a", "b").agg(F.min("w").alias("w"))
+    arcs = materialize(pairs.select("graph", F.col("a").alias("vid"), F.col("b").alias("to"), "w").unionByName(pairs.select("graph", F.col("b").alias("vid"), F.col("a").alias("to"), "w")), "arcs")
+    ends = materialize(ends.where("venous or wanted"), "ends")
+    # fewer than one in ONE_TASK of the arcs' number, so that they may be sent to all tasks
+    large = F.broadcast(materialize(arcs.groupBy("graph").agg(F.count("*").alias("n")).where(F.col("n") > 2 * ONE_TASK).select("graph"), "large"))
+    part = lambda t, how: t.join(large, "graph", how)
+    held = part(arcs, "left_anti").groupBy("graph").cogroup(part(ends, "left_anti").groupBy("graph")).applyInPandas(_near(tol), NEAREST)
+    if large.isEmpty():
+        return held
+    ends = part(ends, "left_semi")
+    labels = _by_buckets(part(arcs, "left_semi"), ends.where("venous").select("graph", "vid"), tol)
+    chosen = _chosen(labels)
+    asked = chosen.join(ends.where("wanted").select("graph", "vid"), ["graph", "vid"], "left_semi")
+    return held.unionByName(chosen.join(_paths(labels, asked), ["graph", "vid"], "left"))
 
 
 def frontier_paths(edges: DataFrame, arteries: bool = False, weight: str = "length", tol: float = 1e-6) -> DataFrame:
@@ -38,9 +148,9 @@ def frontier_paths(edges: DataFrame, arteries: bool = False, weight: str = "leng
 
     A frontier vertex that touches a vein is its own target. Those that reach none are left out.
     """
-    edges = materialize(edges.select("graph", "eid", "src", "dst", "nkind", "length", "diameter", *({weight} - {"length"})), "vessels")
-    best = nearest_venous(allowed(edges, arteries), weight, tol)
-    return materialize(frontier(edges).join(best, ["graph", "vid"]).select("graph", F.col("vid").alias("source"), "target", "dist", "path"), "paths")
+    ends = touches(edges).select("graph", "vid", F.col("vein").alias("venous"), (F.col("artery") & F.col("capillary")).alias("wanted"))
+    best = _nearest(allowed(edges, arteries), ends, weight, tol)
+    return materialize(best.where("path is not null").select("graph", F.col("vid").alias("source"), "target", "dist", "path"), "paths")
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:

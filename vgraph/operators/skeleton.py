@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vgraph.operators.components import connected_components
-from vgraph.plans.workspace import materialize
+from vgraph.plans.workspace import Rounds, materialize
 
 
 def numbered(voxels: DataFrame) -> DataFrame:
@@ -92,21 +92,38 @@ def to_graph(voxels: DataFrame) -> dict[str, DataFrame]:
 
 
 def _ordered(chain: DataFrame, pairs: DataFrame, meets: DataFrame) -> DataFrame:
-    """(link, id, at): voxels by their distance from the first one, the smallest that meets something, or of a loop the smallest.
+    """(link, id, at): voxels by their distance from the first one, the smaller of the chain's two ends.
 
-    Distances grow by one a round for all chains at once; a loop's second half follows its first.
+    A loop begins at its smallest voxel and goes on to the smaller of the two beside it. Distances come from list ranking: each
+    step from voxel a to b knows the step that it leads to; in each round it learns what that one knows, so
+    steps reach twice as far, and both ends of a chain are found at once. Steps that came to an end are written once, the
+    others again in each round; there are as many rounds as the longest chain's length has binary digits.
     """
-    first = chain.join(meets.groupBy("link").agg(F.min("voxel").alias("start")), "link", "left").groupBy("link").agg(F.coalesce(F.min("start"), F.min("id")).alias("id"))
-    inner = pairs.join(chain.select(F.col("id").alias("a"), "link"), "a").join(chain.select(F.col("id").alias("b"), F.col("link").alias("other")), "b").where("link = other").select("link", "a", "b")
+    own = chain.select(F.col("id").alias("a"), "link")
+    inner = pairs.join(own, "a").join(chain.select(F.col("id").alias("b")), "b").select("link", "a", "b")
     inner = materialize(inner, "inner")
-    every = step = materialize(first.select("link", "id", F.lit(0).alias("at")), "order")
-    while True:
-        nxt = step.withColumnRenamed("id", "a").join(inner, ["link", "a"]).select("link", F.col("b").alias("id"), F.col("at") + 1)
-        nxt = nxt.toDF("link", "id", "at").join(every.select("link", "id"), ["link", "id"], "left_anti").groupBy("link").agg(F.min("id").alias("id"), F.first("at").alias("at"))
-        step = materialize(nxt, "order")
-        if step.isEmpty():
-            return every
-        every = every.unionByName(step)
+    # a loop is cut between its smallest voxel and the larger one beside it
+    loops = chain.join(meets.select("link").distinct(), "link", "left_anti").groupBy("link").agg(F.min("id").alias("a"))
+    cut = inner.join(loops, ["link", "a"]).groupBy("a").agg(F.max("b").alias("b"))
+    cut = materialize(cut.unionByName(cut.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cut")
+    inner = materialize(inner.join(cut, ["a", "b"], "left_anti").select("a", "b"), "inner")
+    ended = Rounds(chain.sparkSession, "ended", "a long, b long, end long, far long")
+    # the step after a -> b is b -> c; a voxel has two beside it at most
+    after = inner.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    steps = inner.join(after, (inner["b"] == after["b"]) & (inner["a"] != after["c"]), "left").select("a", inner["b"], "c", F.lit(1).cast("long").alias("far"))
+    steps = materialize(steps, "steps")
+    ended.add(steps.where("c is null").select("a", "b", F.col("b").alias("end"), "far"))
+    live = materialize(steps.where("c is not null").select("a", "b", F.col("b").alias("a2"), F.col("c").alias("b2"), "far"), "steps")
+    while not live.isEmpty():
+        other = live.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("a2").alias("a3"), F.col("b2").alias("b3"), F.col("far").alias("more"), F.lit(None).cast("long").alias("end"))
+        done = ended.all().select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.lit(None).cast("long").alias("a3"), F.lit(None).cast("long").alias("b3"), F.col("far").alias("more"), "end")
+        moved = live.join(other.unionByName(done), ["a2", "b2"]).select("a", "b", F.col("a3").alias("a2"), F.col("b3").alias("b2"), (F.col("far") + F.col("more")).alias("far"), "end")
+        moved = materialize(moved, "steps")
+        ended.add(moved.where("end is not null").select("a", "b", "end", "far"))
+        live = moved.where("end is null").drop("end")
+    ends = ended.all().groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"), F.min(F.struct("end", "far")).alias("e"))
+    at = F.when(F.col("n") == 2, F.col("e.far")).when(F.col("id") > F.col("e.end"), F.col("e.far")).otherwise(0)
+    return chain.join(ends, "id", "left").select("link", "id", at.cast("int").alias("at"))
 
 
 def link_lengths(ordered: DataFrame, voxels: DataFrame) -> DataFrame:

@@ -241,13 +241,40 @@ def clipped(v, e):
     return rounded(clip.border_report(cv, ce).groupBy("graph", "face").agg(F.sum("n").alias("n")).join(ce.groupBy("graph").agg(F.count("*").alias("n_edges"), F.sum("length").alias("sum_length")), "graph"))
 
 
-@query()
+def vessels(e: DataFrame) -> DataFrame:
+    """The edges without their points, written once."""
+    return materialize(e.select("graph", "eid", "src", "dst", "nkind", "length", "diameter"), "vessels")
+
+
+def path_sql(name: str, where: str, weight: str) -> str:
+    """CTEs: ``name``_p (graph, source, target, dist, path) by walks of every number of edges, and ``name``_s with sums along the paths.
+
+    ``l`` has the least distance to a vein by number of edges, ``t`` the walks that stay within the tolerance of the least.
+    """
+    return f"""
+ {name}_arc AS (SELECT graph, u, v, min(w) AS w FROM (SELECT graph, src AS u, dst AS v, {weight} AS w FROM e WHERE {where} AND src <> dst UNION ALL SELECT graph, dst, src, {weight} FROM e WHERE {where} AND src <> dst) GROUP BY ALL),
+ {name}_l AS (WITH RECURSIVE r AS (SELECT graph, vid, 0.0::DOUBLE AS d, 0 AS h FROM t WHERE v UNION ALL SELECT r.graph, a.v, min(d + w), h + 1 FROM r JOIN {name}_arc a ON a.graph = r.graph AND a.u = vid WHERE h < 80 GROUP BY ALL) SELECT graph, vid, min(d) AS least FROM r GROUP BY ALL),
+ {name}_t AS (WITH RECURSIVE r AS (SELECT graph, vid, vid AS target, 0.0::DOUBLE AS d, 0 AS h, [vid] AS path FROM t WHERE v
+  UNION ALL SELECT graph, vid, target, min(d), h, min_by(path, {{'d': d, 'u': u}}) FROM (SELECT r.graph, a.v AS vid, target, d + w AS d, h + 1 AS h, u, list_prepend(a.v, path) AS path FROM r JOIN {name}_arc a ON a.graph = r.graph AND a.u = r.vid JOIN {name}_l l ON l.graph = r.graph AND l.vid = a.v WHERE d + w <= least + 1e-6) GROUP BY ALL) SELECT * FROM r),
+ {name}_p AS (SELECT graph, vid AS source, least AS dist, b.target AS target, b.path AS path FROM (SELECT graph, vid, min_by({{'target': target, 'path': path}}, {{'h': h, 'target': target}}) AS b FROM {name}_t GROUP BY ALL) JOIN {name}_l USING (graph, vid) JOIN t USING (graph, vid) WHERE t.a AND t.c),
+ {name}_e AS (SELECT p.graph, p.source, min_by({{'length': length, 'nkind': nkind}}, eid) AS x, i FROM (SELECT graph, source, unnest(path[:-2]) AS u, unnest(path[2:]) AS v, unnest(range(1, len(path))) AS i FROM {name}_p WHERE len(path) > 1) p JOIN e ON e.graph = p.graph AND least(src, dst) = least(u, v) AND greatest(src, dst) = greatest(u, v) GROUP BY ALL),
+ {name}_s AS (SELECT p.graph, p.source, any_value(target) AS target, any_value(dist) AS dist, any_value(len(path)) AS n_nodes, any_value(len(path)) - 1 AS n_edges, sum(x.length) AS path_length, CASE WHEN count(i) > 0 THEN coalesce(sum(x.length) FILTER (x.nkind = 2), 0) END AS artery_length, CASE WHEN count(i) > 0 THEN coalesce(sum(x.length) FILTER (x.nkind = 3), 0) END AS vein_length,
+  CASE WHEN count(i) > 0 THEN coalesce(sum(x.length) FILTER (x.nkind = 4), 0) END AS capillary_length, count(i) FILTER (x.nkind = 2) AS artery_edges, coalesce(min_by(x.nkind, i) = 2, false) AS starts_with_artery FROM {name}_p p LEFT JOIN {name}_e USING (graph, source) GROUP BY p.graph, p.source)"""
+
+
+PENALISED = "length + CASE WHEN nkind = 4 THEN 0 ELSE 1e5 END"
+
+
+@query("SELECT graph, source, target, round(dist, 4) AS dist, n_nodes::INT AS n_nodes, n_edges::INT AS n_edges, round(path_length, 4) AS path_length, round(artery_length, 4) AS artery_length, round(vein_length, 4) AS vein_length, round(capillary_length, 4) AS capillary_length, artery_edges, starts_with_artery, artery_edges > 0 AS contains_artery FROM s_s", TOUCH + "," + path_sql("s", "nkind <> 2", "length"))
 def nearest_vein_paths(v, e):
+    e = vessels(e)
     return rounded(paths.path_summary(paths.frontier_paths(e), e).drop("kinds"), 4)
 
 
-@query()
+@query("""SELECT graph, count(*) AS n, count(*) FILTER (x.target <> y.target) AS n_target_changed, round(100 * avg((x.target <> y.target)::INT), 4) AS pct_target_changed, count(*) FILTER (y.dist - x.dist <> 0) AS n_nonzero, count(*) FILTER (y.dist - x.dist > 0) AS n_longer, count(*) FILTER (y.dist - x.dist < 0) AS n_shorter,
+ round(median(y.dist - x.dist), 4) AS median_delta, round(avg(y.dist - x.dist), 4) AS mean_delta, count(*) FILTER (y.artery_edges > 0) AS n_uses_artery FROM s_s x FULL JOIN w_s y USING (graph, source) GROUP BY graph""", TOUCH + "," + path_sql("s", "nkind <> 2", "length") + "," + path_sql("w", "true", PENALISED))
 def restricted_weighted(v, e):
+    e = vessels(e)
     return rounded(paths.comparison_summary(paths.compare_restricted_weighted(e), "weighted"), 4)
 
 
