@@ -89,22 +89,61 @@ def _ranked(rows: DataFrame, vertex: str, order: str) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("graph", vertex).orderBy(order)))
 
 
-def _levels(starts: DataFrame, free: DataFrame) -> Rounds:
-    """(graph, vid, level): how many free arcs lead to each vertex from the nearest start."""
+def _levels(starts: DataFrame, free: DataFrame, sinks: DataFrame) -> tuple[DataFrame, bool]:
+    """(graph, vid, level): how many free arcs lead to each vertex from the nearest start; and whether a sink is among them, with which they end."""
     seen = Rounds(starts.sparkSession, "level", "graph string, vid long")
     new = seen.add(starts.select("graph", "vid"))
     while not new.isEmpty():
         found = new.withColumnRenamed("vid", "u").join(free, ["graph", "u"]).select("graph", F.col("w").alias("vid")).distinct()
         new = seen.add(found.join(seen.all(), ["graph", "vid"], "left_anti"))
-    return seen
+        if not new.join(sinks, ["graph", "vid"], "left_semi").isEmpty():
+            return seen.all(), True
+    return seen.all(), False
+
+
+def _blocking(onward: DataFrame) -> DataFrame:
+    """(k, f): a blocking flow over arcs (graph, k, way, u, w, at, last) that lead from level at - 1 to level at, those with ``last`` to a sink.
+
+    A token for each arc into a sink walks back to a start. Those that meet at a vertex take different arcs. One that finds none
+    goes back over its last arc, which is dead from then on, as all arcs into that vertex are dead or lead a token on; so when no token
+    moves, each way from a start to a sink has a full arc. Tokens that arrived are written once.
+    """
+    spark = onward.sparkSession
+    columns = "graph string, token long, u long, depth int, path array<struct<k: long, way: int, w: long>>"
+    arrived, dead = Rounds(spark, "arrived", columns), Rounds(spark, "dead", "k long")
+    arc = F.struct("k", "way", "w")
+    first = onward.where("last").select("graph", F.col("k").alias("token"), "u", (F.col("at") - 1).cast("int").alias("depth"), F.array(arc).alias("path"))
+    inner = onward.where("not last").select("graph", "k", "way", "u", "w")
+    arrived.add(first.where("depth = 0"))
+    dead.add(spark.createDataFrame([], "k long"))
+    live = materialize(first.where("depth > 0"), "tokens")
+    while not live.isEmpty():
+        used = live.select(F.explode("path.k").alias("k")).unionByName(arrived.all().select(F.explode("path.k").alias("k"))).unionByName(dead.all().select("k"))
+        here = live.select("graph", F.col("u").alias("w")).distinct()
+        options = inner.join(here, ["graph", "w"], "left_semi").join(used, "k", "left_anti").select("graph", F.col("w").alias("u"), F.struct("k", "way", "w").alias("step"), F.col("u").alias("to"), "k")
+        moved = _ranked(live, "u", "token").join(_ranked(options, "u", "k").drop("k"), ["graph", "u", "nth"], "left")
+        back = F.element_at("path", -1)
+        stuck = F.col("step").isNull()
+        moved = moved.select(
+            "graph",
+            "token",
+            F.when(stuck, back["w"]).otherwise(F.col("to")).alias("u"),
+            F.when(stuck, F.col("depth") + 1).otherwise(F.col("depth") - 1).alias("depth"),
+            F.when(stuck, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.concat("path", F.array("step"))).alias("path"),
+            F.when(stuck, back["k"]).alias("dead"),
+        )
+        moved = materialize(moved, "tokens")
+        dead.add(moved.where("dead is not null").select(F.col("dead").alias("k")))
+        arrived.add(moved.where("depth = 0 and dead is null").drop("dead"))
+        live = moved.where("depth > 0 and size(path) > 0").drop("dead")
+    return arrived.all().select(F.explode("path").alias("a")).select("a.k", F.col("a.way").alias("f"))
 
 
 def _full_flow(edges: DataFrame, starts: DataFrame, sinks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A greatest unit flow as (k, f), f = 1 from src to dst and -1 back, and the (graph, vid) that the starts still reach.
 
-    ``edges`` has (graph, k, src, dst). In each phase one token for each arc that enters a sink walks back through the
-    levels; those that meet at a vertex take different arcs, those that find none left give up. One at least
-    comes to a start, and all that do are augmenting paths without a common edge.
+    ``edges`` has (graph, k, src, dst). Each phase adds a blocking flow over the levels of the free arcs, so the shortest way left gets
+    longer with each: with capacities of one there are some 2 sqrt(edges) phases at most, and in practice a few.
     """
     spark = edges.sparkSession
     both = edges.select("graph", "k", F.lit(1).alias("way"), F.col("src").alias("u"), F.col("dst").alias("w")).unionByName(edges.select("graph", "k", F.lit(-1).alias("way"), F.col("dst").alias("u"), F.col("src").alias("w")))
@@ -114,23 +153,14 @@ def _full_flow(edges: DataFrame, starts: DataFrame, sinks: DataFrame) -> tuple[D
     flow = materialize(spark.createDataFrame([], "k long, f int"), "flow")
     while True:
         free = materialize(arcs.join(flow, "k", "left").where(F.coalesce("f", F.lit(0)) * F.col("way") < 1).select("graph", "k", "way", "u", "w"), "free")
-        seen = _levels(starts, free).all()
-        if seen.join(sinks, ["graph", "vid"], "left_semi").isEmpty():
+        seen, reached = _levels(starts, free, sinks)
+        if not reached:
             return flow, seen.select("graph", "vid")
         at = lambda v, name: seen.select("graph", F.col("vid").alias(v), F.col("level").alias(name))
         onward = free.join(at("u", "before"), ["graph", "u"]).join(at("w", "at"), ["graph", "w"]).where("at = before + 1")
         onward = onward.join(sinks.select("graph", F.col("vid").alias("w"), F.lit(True).alias("last")), ["graph", "w"], "left")
         onward = materialize(onward.select("graph", "k", "way", "u", "w", "at", F.coalesce("last", F.lit(False)).alias("last")), "onward")
-        steps = Rounds(spark, "step", "graph string, token long, k long, way int, u long")
-        tokens = None
-        for depth in range(onward.agg(F.max("at")).first()[0], 0, -1):
-            here = onward.where(F.col("at") == depth)
-            chosen = here.where("last").select("graph", F.col("k").alias("token"), "k", "way", "u")
-            if tokens is not None:
-                chosen = chosen.unionByName(_ranked(here.where("not last"), "w", "k").join(_ranked(tokens.select("graph", F.col("u").alias("w"), "token"), "w", "token"), ["graph", "w", "nth"]).select("graph", "token", "k", "way", "u"))
-            tokens = steps.add(chosen)
-        gained = steps.all().join(tokens.select("token"), "token", "left_semi").select("k", F.col("way").alias("f"))
-        flow = materialize(flow.unionByName(gained).groupBy("k").agg(F.sum("f").cast("int").alias("f")).where("f <> 0"), "flow")
+        flow = materialize(flow.unionByName(_blocking(onward)).groupBy("k").agg(F.sum("f").cast("int").alias("f")).where("f <> 0"), "flow")
 
 
 def _walked(edges: DataFrame, flow: DataFrame, starts: DataFrame) -> DataFrame:
