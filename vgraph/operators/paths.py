@@ -5,10 +5,11 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vgraph.operators.topology import allowed, frontier, touches, venous, with_penalties
+from vgraph.operators.clip import induced
+from vgraph.operators.topology import allowed, av_sets, frontier, touches, venous, with_penalties
 from vgraph.plans.workspace import Rounds, materialize
 
 #: Edges up to which one task takes a whole graph.
@@ -216,18 +217,80 @@ def summary_table(rows: DataFrame, graphs: list[str]) -> DataFrame:
     return rows.select("graph", cells).select("graph", "c.*").groupBy("metric").pivot("graph", graphs).agg(F.first("value")).na.fill("NA")
 
 
-def hop_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """(graph, source, target, path) of a path with fewest edges, of two vertices or more, from each source to each target (graph, vid).
+def _hops(both: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(graph, pack, vid, mask, level) and (graph, pack, bit, target): which targets are so many edges away, 64 of them to a mask.
 
-    Breadth-first from all sources at once; of equal paths the lexicographically smallest. The result is the product of both sets, so it is meant for boxes.
+    Breadth-first from all targets at once: a round sends a vertex's mask over its arcs and keeps the bits that are new there. A round's
+    rows are written once.
     """
-    both = edges.select("graph", F.col("src").alias("at"), F.col("dst").alias("to")).union(edges.select("graph", "dst", "src")).where("at <> to").distinct()
-    both = materialize(both, "arcs")
-    seen = materialize(sources.select("graph", F.col("vid").alias("source"), F.col("vid").alias("at"), F.array("vid").alias("path"), F.lit(True).alias("new")), "seen")
-    while True:
-        step = seen.where("new").join(both, ["graph", "at"]).select("graph", "source", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path"))
-        step = step.groupBy("graph", "source", "at").agg(F.min("path").alias("path")).join(seen.select("graph", "source", "at"), ["graph", "source", "at"], "left_anti")
-        seen = materialize(seen.withColumn("new", F.lit(False)).unionByName(step.withColumn("new", F.lit(True))), "seen")
-        if seen.where("new").isEmpty():
-            break
-    return seen.where(F.size("path") > 1).join(targets.select("graph", F.col("vid").alias("at")), ["graph", "at"]).select("graph", "source", F.col("at").alias("target"), "path")
+    place = Window.partitionBy("graph", "bucket").orderBy("vid")
+    # numbered within ranges of ids, so that no window holds a whole graph
+    numbered = targets.select("graph", "vid", F.floor(F.col("vid") / 4096).alias("bucket")).distinct().withColumn("nth", F.row_number().over(place) - 1)
+    pack = (F.col("bucket") * 64 + F.floor(F.col("nth") / 64)).alias("pack")
+    packed = materialize(numbered.select("graph", pack, (F.col("nth") % 64).cast("int").alias("bit"), F.col("vid").alias("target")), "packed")
+    reached = Rounds(both.sparkSession, "reached", "graph string, pack long, vid long, mask long")
+    new = reached.add(packed.select("graph", "pack", F.col("target").alias("vid"), F.expr("shiftleft(1L, bit)").alias("mask")))
+    none = F.lit(0).cast("long")
+    while not new.isEmpty():
+        sent = new.join(both.withColumnRenamed("at", "vid"), ["graph", "vid"]).select("graph", "pack", F.col("to").alias("vid"), "mask", none.alias("old"))
+        known = reached.all().select("graph", "pack", "vid", none.alias("mask"), F.col("mask").alias("old"))
+        fresh = sent.unionByName(known).groupBy("graph", "pack", "vid").agg(F.expr("bit_or(mask) & ~bit_or(old)").alias("mask")).where("mask <> 0")
+        new = reached.add(fresh)
+    return reached.all(), packed
+
+
+def _arcs(edges: DataFrame) -> DataFrame:
+    both = edges.select("graph", F.col("src").alias("at"), F.col("dst").alias("to")).union(edges.select("graph", "dst", "src"))
+    return materialize(both.where("at <> to").distinct(), "arcs")
+
+
+def _pairs(reached: DataFrame, packed: DataFrame, sources: DataFrame) -> DataFrame:
+    """(graph, source, target, pack, bit, hops): the targets of each source."""
+    found = reached.where("level > 0").join(sources.select("graph", "vid").distinct(), ["graph", "vid"], "left_semi")
+    bits = F.explode(F.expr("filter(sequence(0, 63), b -> (mask & shiftleft(1L, b)) <> 0)")).alias("bit")
+    return found.select("graph", "pack", F.col("vid").alias("source"), F.col("level").alias("hops"), bits).join(packed, ["graph", "pack", "bit"])
+
+
+def hop_distances(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(graph, source, target, hops): the fewest edges, one at least, from each source to each target (graph, vid) that it reaches.
+
+    A source is no target of its own.
+    """
+    return _pairs(*_hops(_arcs(edges), targets), sources).select("graph", "source", "target", "hops")
+
+
+def hop_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(graph, source, target, path): a path with fewest edges, of two vertices or more, from each source to each target (graph, vid).
+
+    Of equal paths the lexicographically smallest. Only the pairs (graph, source, target) in ``asked`` are walked, all if it isn't given: each
+    round goes on to the smallest neighbour that is one edge nearer to the target, by the masks of the search.
+    """
+    both = _arcs(edges)
+    reached, packed = _hops(both, targets)
+    pairs = _pairs(reached, packed, sources)
+    if asked is not None:
+        pairs = pairs.join(asked.select("graph", "source", "target").distinct(), ["graph", "source", "target"], "left_semi")
+    key = ["graph", "source", "target"]
+    steps = Rounds(edges.sparkSession, "walked", "graph string, source long, target long, pack long, bit int, hops int, vid long")
+    new = steps.add(pairs.select(*key, "pack", "bit", "hops", F.col("source").alias("vid")))
+    while not new.isEmpty():
+        ahead = new.where("hops > 0").join(both.withColumnRenamed("at", "vid"), ["graph", "vid"]).select(*key, "pack", "bit", (F.col("hops") - 1).alias("level"), F.col("to").alias("vid"))
+        near = ahead.join(reached, ["graph", "pack", "vid", "level"]).where("(mask & shiftleft(1L, bit)) <> 0")
+        new = steps.add(near.groupBy(*key, "pack", "bit", F.col("level").alias("hops")).agg(F.min("vid").alias("vid")))
+    found = steps.all().groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("level", "vid"))).alias("places"))
+    return found.select(*key, F.col("places.vid").alias("path"))
+
+
+def box_paths(vertices: DataFrame, edges: DataFrame, box: dict) -> DataFrame:
+    """``hop_paths`` from all artery to all vein vertices of the edges that lie in the box with both ends; ids stay those of the whole graph."""
+    v, e = induced(vertices, edges, box)
+    e = materialize(e.select("graph", "eid", "src", "dst", "nkind", "length", "diameter"), "box")
+    sets = av_sets(v, e)
+    return hop_paths(e, sets.where("type = 'artery'"), sets.where("type = 'vein'"))
+
+
+def sample_paths(paths: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """n paths of each graph at most: those of the smallest sources and targets, or with a seed those of the smallest hashes."""
+    order = [F.xxhash64(F.lit(seed), "source", "target")] if seed is not None else []
+    nth = F.row_number().over(Window.partitionBy("graph").orderBy(*order, "source", "target"))
+    return paths.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")

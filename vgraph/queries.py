@@ -278,6 +278,28 @@ def restricted_weighted(v, e):
     return rounded(paths.comparison_summary(paths.compare_restricted_weighted(e), "weighted"), 4)
 
 
+#: Hops between artery and vein vertices by walks of every number of edges, over the edges of ``ge``.
+HOPS = """gt AS (SELECT graph, vid, bool_or(nkind = 2) AS a, bool_or(nkind = 3) AS v FROM (SELECT graph, src AS vid, nkind FROM ge UNION ALL SELECT graph, dst, nkind FROM ge) GROUP BY ALL), ga AS (SELECT graph, src AS u, dst AS w FROM ge WHERE src <> dst UNION SELECT graph, dst, src FROM ge WHERE src <> dst),
+ hops AS (SELECT graph, source, vid, min(h) AS h FROM (WITH RECURSIVE r AS (SELECT graph, vid AS source, vid, 0 AS h FROM gt WHERE a UNION ALL SELECT DISTINCT r.graph, r.source, w, h + 1 FROM r JOIN ga ON ga.graph = r.graph AND u = vid WHERE h < 45) SELECT * FROM r) GROUP BY ALL)"""
+
+
+@query("SELECT graph, source, vid AS target, h::INT AS hops FROM hops JOIN gt USING (graph, vid) WHERE v AND NOT a AND h > 0", "ge AS (SELECT * FROM e)," + HOPS)
+def artery_vein_hops(v, e):
+    """How many edges every artery vertex is away from every vein vertex."""
+    e = vessels(e)
+    sets = topology.av_sets(v, e)
+    return paths.hop_distances(e, sets.where("type = 'artery'"), sets.where("type = 'vein'"))
+
+
+@query("SELECT graph, source, vid AS target, array_to_string(path, '-') AS path FROM walks JOIN gt USING (graph, vid) WHERE v AND NOT a AND len(path) > 1",
+ "ge AS (SELECT e.* FROM e JOIN v x ON x.vid = src JOIN v y ON y.vid = dst WHERE x.x BETWEEN 20 AND 480 AND y.x BETWEEN 20 AND 480 AND x.y BETWEEN 20 AND 480 AND y.y BETWEEN 20 AND 480 AND x.z % 160 BETWEEN 20 AND 60 AND y.z % 160 BETWEEN 20 AND 60)," + HOPS + """,
+ walks AS (WITH RECURSIVE r AS (SELECT graph, vid AS source, vid, [vid] AS path FROM gt WHERE a UNION ALL SELECT r.graph, r.source, w, min(list_append(path, w)) FROM r JOIN ga ON ga.graph = r.graph AND u = r.vid JOIN hops ON hops.graph = r.graph AND hops.source = r.source AND hops.vid = w AND h = len(path) GROUP BY ALL) SELECT * FROM r)""".replace("min(list_append(path, w)) FROM", "min(list_append(path, w)) AS path FROM"))
+def artery_vein_box_paths(v, e):
+    """The paths of fewest edges between all artery and vein vertices of the two first layers of each graph."""
+    flat = v.withColumn("z", F.col("z") % 160)
+    return paths.box_paths(flat, e, {"xmin": 20.0, "xmax": 480.0, "ymin": 20.0, "ymax": 480.0, "zmin": 20.0, "zmax": 60.0}).withColumn("path", F.array_join("path", "-"))
+
+
 @query()
 def min_cuts(v, e):
     cuts = flow.min_cut(e)
