@@ -165,23 +165,32 @@ def sub_boxes(spark, box: dict, size: float = 100.0, stride: float = 50.0) -> Da
 def densities(ms: DataFrame, box: dict, size: float = 100.0, stride: float = 50.0) -> DataFrame:
     """By graph, sub-box and type, total among them: volume density and length density in mm per mm3, zeros filled in.
 
-    Bounds are closed and boxes overlap, so a midpoint counts in each box that holds it. Midpoints meet boxes by
-    the range of indices that can hold them, in an equi-join with no search.
+    Bounds are closed and boxes overlap, so a midpoint counts in each box that holds it. Along an axis these are boxes in a row; midpoints
+    whose rows are the same on all axes are a cell, and planes that bound boxes have cells of their own. Cells are summed
+    once, then spread over the boxes of one axis after the other, so work after the first sum follows the number of cells.
     """
-    spark = ms.sparkSession
-    boxes = sub_boxes(spark, box, size, stride)
-    graphs = ms.select("graph").distinct()
-    spread = ms.where(" and ".join(f"m{a} between {box[f'{a}min']!r} and {box[f'{a}max']!r}" for a in "xyz")).select("graph", "nkind", "length", "mx", "my", "mz", _volume().alias("volume"))
-    for a, n in zip("xyz", "ijk", strict=True):
+    check_box(box)
+    last = {a: math.floor((box[f"{a}max"] - box[f"{a}min"] - size) / stride + 1e-9) for a in "xyz"}
+    inside = F.lit(True)
+    rows = {}
+    for a in "xyz":
         at = F.col(f"m{a}") - box[f"{a}min"]
-        last = math.floor((box[f"{a}max"] - box[f"{a}min"] - size) / stride + 1e-9)
-        low = F.greatest(F.ceil((at - size) / stride), F.lit(0))
-        high = F.least(F.floor(at / stride), F.lit(last))
-        spread = spread.withColumn(n, F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))).withColumn(n, F.explode(n))
-    sums = spread.groupBy("graph", "i", "j", "k", label(F.col("nkind")).alias("type")).agg(F.sum("volume").alias("volume"), F.sum("length").alias("sum_length"))
+        inside &= F.col(f"m{a}").between(box[f"{a}min"], box[f"{a}max"])
+        rows[f"{a}_low"] = F.greatest(F.ceil((at - size) / stride), F.lit(0))
+        rows[f"{a}_high"] = F.least(F.floor(at / stride), F.lit(last[a]))
+    # midpoints outside keep their graph in the result
+    held = ms.withColumns({n: F.when(inside, c) for n, c in rows.items()})
+    cells = held.groupBy("graph", label(F.col("nkind")).alias("type"), *rows).agg(F.sum(_volume()).alias("volume"), F.sum("length").alias("sum_length"))
+    sums = cells = materialize(cells, "cells")
+    for k, (a, n) in enumerate(zip("xyz", "ijk", strict=True)):
+        low, high = F.col(f"{a}_low"), F.col(f"{a}_high")
+        sums = sums.where(low <= high).withColumn(n, F.explode(F.sequence(low, high)))
+        sums = sums.groupBy("graph", "type", *"ijk"[: k + 1], *(f"{b}_{end}" for b in "xyz"[k + 1 :] for end in ("low", "high"))).agg(F.sum("volume").alias("volume"), F.sum("sum_length").alias("sum_length"))
     total = sums.groupBy("graph", "i", "j", "k").agg(F.sum("volume").alias("volume"), F.sum("sum_length").alias("sum_length")).withColumn("type", F.lit("total"))
-    kinds = spark.createDataFrame([(t,) for t in ("total", "artery", "vein", "capillary")], "type string")
-    grid = graphs.crossJoin(F.broadcast(boxes.select("i", "j", "k").crossJoin(kinds)))
+    grid = cells.select("graph").distinct()
+    for a, n in zip("xyz", "ijk", strict=True):
+        grid = grid.withColumn(n, F.explode(F.sequence(F.lit(0), F.lit(last[a])) if last[a] >= 0 else F.array().cast("array<int>")))
+    grid = grid.withColumn("type", F.explode(F.array(*(F.lit(t) for t in ("total", "artery", "vein", "capillary")))))
     out = grid.join(sums.unionByName(total), ["graph", "i", "j", "k", "type"], "left").na.fill(0.0)
     v = size**3
     return out.select("graph", "i", "j", "k", "type", (F.col("volume") / v).alias("volume_density"), (F.col("sum_length") * 1e-3 / (v * 1e-9)).alias("length_density"))
