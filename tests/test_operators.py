@@ -307,3 +307,36 @@ def test_chains_in_order(spark):
     assert sum(r["is_loop"] for r in parts["links"].collect()) >= 5
     ordered = parts["link_voxels"].groupBy("link").agg(F.count("*").alias("n"), F.max("at").alias("last"), F.count_distinct("at").alias("d")).collect()
     assert all(r["n"] == r["last"] + 1 == r["d"] for r in ordered)
+
+
+@pytest.mark.parametrize(("bins", "few"), [(4096, 4096), (64, 3)])
+def test_percentiles_by_refined_histograms(spark, monkeypatch, bins, few):
+    monkeypatch.setattr(stats, "BINS", bins)
+    monkeypatch.setattr(stats, "FEW", few)
+    rng = random.Random(13)
+    groups = {"normal": [rng.gauss(0, 1) for _ in range(300)], "ties": [float(rng.randrange(4)) for _ in range(200)], "one": [5.0], "two": [1.0, 2.0], "same": [3.0] * 50, "wide": [10.0 ** rng.uniform(-300, 300) * rng.choice((-1, 1)) for _ in range(100)], "ends": [-1.7e308, 1.7e308, 0.0, 5e-324, 1e-323] * 4, None: [rng.random() for _ in range(40)]}
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("one", None), ("one", float("nan")), ("one", float("inf")), ("none", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    at = {"p0": 0.0, "p5": 0.05, "median": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["g"]: r for r in stats.percentiles(df, "x", ["g"], at).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        xs = sorted(xs)
+        for name, p in at.items():
+            k = int(p * (len(xs) - 1))
+            part = p * (len(xs) - 1) - k
+            want = xs[k] if not part else (1 - part) * xs[k] + part * xs[k + 1]
+            assert got[g][name] == pytest.approx(want, rel=1e-12, abs=1e-320)
+    assert stats.percentiles(df.limit(0), "x", ["g"], at).count() == 0
+
+
+@pytest.mark.parametrize("rows", [200_000, 7])
+def test_running_sums_by_ranges(spark, monkeypatch, rows):
+    monkeypatch.setattr(stats, "RANGE", rows)
+    rng = random.Random(14)
+    counts = {(g, float(x)): rng.randint(1, 9) for g in ("a", "b", None) for x in rng.sample(range(100), 40)}
+    df = spark.createDataFrame([(g, x, n) for (g, x), n in counts.items()], "g string, x double, n long")
+    got = {(r["g"], r["x"]): (r["n"], r["sum_n"], r["all_n"]) for r in stats.running(df, ["g"], "x", ["n"]).collect()}
+    assert got == {(g, x): (n, sum(m for (h, y), m in counts.items() if h == g and y <= x), sum(m for (h, _), m in counts.items() if h == g)) for (g, x), n in counts.items()}
+    assert stats.running(df.limit(0), ["g"], "x", ["n"]).count() == 0

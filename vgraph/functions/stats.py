@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from vgraph.plans.workspace import materialize
 from vgraph.schema import finite
 
+#: Parts that a range is counted in, rows of a range that are looked at themselves, rows of a range of running sums.
+BINS, FEW, RANGE = 4096, 4096, 200_000
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """The continued fraction of the incomplete beta function, by Lentz's method."""
@@ -48,16 +52,90 @@ def t_probability(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else student_p(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-def _moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys that may be null."""
+    return left.join(right.withColumnsRenamed({k: f"__{k}" for k in keys}), reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.lit(True)), how).drop(*(f"__{k}" for k in keys))
+
+
+def percentiles(df: DataFrame, value: str, by: list[str], at: dict[str, float]) -> DataFrame:
+    """By keys: the exact percentiles of a value, in columns of the given names, interpolated between neighbours.
+
+    Nulls and non-finite values are left out, as are groups without others. Ranks are found by refining histograms: in each pass a range
+    that holds a rank is counted in ``BINS`` equal parts, of which the one with the rank is the next range, until it has ``FEW`` rows or one
+    value. Those are looked at themselves, so no task holds more than counts and so many values, and there are two or
+    three passes over a group of any usual size. ``df`` should be a table, as each pass reads it.
+    """
+    x = df.select(*by, finite(F.col(value).cast("double")).alias("__x")).where("__x is not null")
+    start = x.groupBy(*by).agg(F.count("*").alias("n"), F.min("__x").alias("low"), F.max("__x").alias("high"))
+    places = F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("n") - 1)).alias("place")) for name, p in at.items()))
+    ranks = start.select(*by, "n", "low", "high", F.explode(places).alias("p")).select(*by, "n", "low", "high", "p.*").withColumn("rank", F.floor("place"))
+    # as the ranks are read again, the first state need not be written
+    ranks = materialize(ranks.withColumn("part", F.col("place") - F.col("rank")), "ranks")
+    need = ranks.select(*by, "low", "high", F.col("n").alias("size"), F.explode(F.array("rank", F.least(F.col("rank") + 1, F.col("n") - 1))).alias("rank")).distinct()
+    state = need.withColumn("before", F.lit(0).cast("long"))
+    keys = [*by, "low", "high"]
+    wide = (F.col("size") > FEW) & (F.col("low") < F.col("high"))
+
+    def within(ranges: DataFrame) -> DataFrame:
+        r = ranges.withColumnsRenamed({k: f"__{k}" for k in by})
+        on = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"__{k}")), by, F.col("__x").between(F.col("low"), F.col("high")))
+        return x.join(r, on).drop(*(f"__{k}" for k in by))
+
+    while not (open_ := state.where(wide)).isEmpty():
+        # monotone in the value, whatever is lost in rounding
+        low, high, v = F.col("low"), F.col("high"), F.col("__x")
+        share = F.when(high - low < math.inf, (v - low) / (high - low)).otherwise((v / 2 - low / 2) / (high / 2 - low / 2))
+        part = F.least(F.floor(share * BINS), F.lit(BINS - 1))
+        bins = within(open_.select(*keys).distinct()).groupBy(*keys, part.alias("bin")).agg(F.count("*").alias("n"), F.min("__x").alias("low2"), F.max("__x").alias("high2"))
+        # a range has BINS rows here
+        bins = bins.withColumn("past", F.sum("n").over(Window.partitionBy(*keys).orderBy("bin")) - F.col("n"))
+        found = joined(open_.drop("size"), bins, keys).where((F.col("rank") - F.col("before") >= F.col("past")) & (F.col("rank") - F.col("before") < F.col("past") + F.col("n")))
+        found = found.select(*by, F.col("low2").alias("low"), F.col("high2").alias("high"), F.col("n").alias("size"), "rank", (F.col("before") + F.col("past")).alias("before"))
+        state = materialize(state.where(~wide).unionByName(found), "state")
+    several = state.where("low < high")
+    held = within(several.select(*keys).distinct()).groupBy(*keys).agg(F.sort_array(F.collect_list("__x")).alias("xs"))
+    got = joined(several, held, keys).select(*by, "rank", F.get("xs", (F.col("rank") - F.col("before")).cast("int")).alias("v"))
+    got = got.unionByName(state.where("low >= high").select(*by, "rank", F.col("low").alias("v")))
+    # a percentile lies at or between two of the ranks
+    near = joined(ranks, got.withColumnRenamed("rank", "r"), by).where((F.col("r") == F.col("rank")) | ((F.col("r") == F.col("rank") + 1) & (F.col("part") > 0)))
+    pair = near.groupBy(*by, "name").agg(F.sum(F.when(F.col("r") == F.col("rank"), (1 - F.col("part")) * F.col("v")).otherwise(F.col("part") * F.col("v"))).alias("v"))
+    return pair.groupBy(*by).agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in at))
+
+
+def running(df: DataFrame, by: list[str], value: str, columns: list[str]) -> DataFrame:
+    """``df`` with sum_<c> of each column over the rows of its group up to the value, and all_<c> over all of them.
+
+    Rows are dealt by ranges of keys and values. Sums run within a range and over the totals of the ranges before, so a group of any
+    size is worked on by many tasks. Values should stand once in a group.
+    """
+    rows = materialize(df, "rows")
+    ranges = rows.count() // RANGE + 1
+    dealt = materialize(rows.repartitionByRange(ranges, *by, value).withColumn("__range", F.spark_partition_id()), "dealt")
+    run = Window.partitionBy(*by, "__range").orderBy(value)
+    # one row for each range that a group is in
+    over = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*by, "__range").agg(*(F.sum(c).alias(c) for c in columns))
+    totals = totals.select(*by, "__range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before_{c}") for c in columns), *(F.sum(c).over(over).alias(f"all_{c}") for c in columns))
+    out = joined(dealt, totals, [*by, "__range"])
+    return out.select(*df.columns, *((F.sum(c).over(run) + F.col(f"__before_{c}")).alias(f"sum_{c}") for c in columns), *(f"all_{c}" for c in columns))
+
+
+def _moments(df: DataFrame, keys: list[str], value: str, medians: bool = True) -> DataFrame:
     # nulls are left to the aggregates: a filter would be pushed down and repeat whatever the value is computed by
     x = df.select(*keys, finite(F.col(value)).alias("__x"))
-    return x.groupBy(*keys).agg(F.count("__x").alias("n"), F.avg("__x").alias("mean"), F.var_samp("__x").alias("var"), F.median("__x").alias("median")).where("n > 0")
+    x = materialize(x, "values") if medians else x
+    out = x.groupBy(*keys).agg(F.count("__x").alias("n"), F.avg("__x").alias("mean"), F.var_samp("__x").alias("var")).where("n > 0")
+    return joined(out, percentiles(x, "__x", keys, {"median": 0.5}), keys) if medians else out.withColumn("median", F.lit(None).cast("double"))
 
 
-def welch(df: DataFrame, value: str, group: str, order: list[str], by: list[str] | None = None, p: bool = True) -> DataFrame:
-    """Welch's t test of every pair of groups, in the given order, by further keys; NULL where a group has under two values."""
+def welch(df: DataFrame, value: str, group: str, order: list[str], by: list[str] | None = None, p: bool = True, medians: bool = True) -> DataFrame:
+    """Welch's t test of every pair of groups, in the given order, by further keys; NULL where a group has under two values.
+
+    Without ``medians`` those are null and their passes are saved.
+    """
     by = by or []
-    m = _moments(df.where(F.col(group).isin(order)), [*by, group], value)
+    m = _moments(df.where(F.col(group).isin(order)), [*by, group], value, medians)
     place = F.array_position(F.array(*(F.lit(g) for g in order)), F.col(group))
     names = [group, "n", "mean", "var", "median"]
     # at most one row for each named group meets here
@@ -82,14 +160,14 @@ def paired_t(df: DataFrame, delta: str, by: list[str], p: bool = True) -> DataFr
 def ks(df: DataFrame, value: str, group: str, first: str, second: str, by: list[str] | None = None) -> DataFrame:
     """The two-sample Kolmogorov-Smirnov distance and its asymptotic probability, by further keys.
 
-    Equal values are counted first, so what is ordered in one place is distinct values.
+    Equal values are counted first and their running shares found by ranges of values.
     """
     by = by or []
     c = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b"))
-    c = c.withColumns({k: F.col(k) for k in by}) if by else c.withColumn("all", F.lit(1))
+    c = c if by else c.withColumn("all", F.lit(1))
     keys = by or ["all"]
-    run, whole = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
-    gap = F.abs(F.try_divide(F.sum("a").over(run), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(run), F.sum("b").over(whole)))
+    c = running(c, keys, value, ["a", "b"])
+    gap = F.abs(F.try_divide("sum_a", "all_a") - F.try_divide("sum_b", "all_b"))
     d = c.withColumn("gap", gap).groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.max("gap").alias("d"))
     n = F.sqrt(F.try_divide(F.col("n1") * F.col("n2"), F.col("n1") + F.col("n2")).cast("double"))
     x = n * F.col("d")
@@ -100,8 +178,7 @@ def ks(df: DataFrame, value: str, group: str, first: str, second: str, by: list[
 def ecdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Distinct values with the share of rows up to them."""
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    run, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
-    return c.select(*by, value, (F.sum("n").over(run) / F.sum("n").over(whole)).alias("share"))
+    return running(c, by, value, ["n"]).select(*by, value, (F.col("sum_n") / F.col("all_n")).alias("share"))
 
 
 def histogram(df: DataFrame, value: str, by: list[str], low: float, high: float, bins: int) -> DataFrame:
@@ -114,7 +191,9 @@ def histogram(df: DataFrame, value: str, by: list[str], low: float, high: float,
 
 def box_numbers(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """What a box plot shows: quartiles, whiskers at most 1.5 ranges away, mean and n."""
-    q = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *(F.percentile(value, F.lit(p)).alias(name) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    df = materialize(df.select(*by, value), "values")
+    q = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    q = joined(q, percentiles(df, value, by, {"q1": 0.25, "median": 0.5, "q3": 0.75}), by)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     w = df.join(q, by).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)).groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     return q.join(w, by)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vgraph.functions.geometry import distance
+from vgraph.functions.stats import joined, percentiles
 from vgraph.operators.topology import degrees, incidence, vertex_types
 from vgraph.plans.workspace import materialize
 from vgraph.schema import DEPTH_BINS, FACES, LABELS, check_box, label
@@ -15,7 +16,10 @@ from vgraph.schema import DEPTH_BINS, FACES, LABELS, check_box, label
 
 def length_by_class(edges: DataFrame) -> DataFrame:
     """By graph and class: n, sum, mean, median and standard deviation of the length and the class's share of all length."""
-    out = edges.groupBy("graph", "nkind").agg(F.count("*").alias("n"), F.sum("length").alias("sum_length"), F.avg("length").alias("mean_length"), F.median("length").alias("median_length"), F.stddev_samp("length").alias("std_length"))
+    keys = ["graph", "nkind"]
+    edges = materialize(edges.select(*keys, "length"), "lengths")
+    out = edges.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("length").alias("sum_length"), F.avg("length").alias("mean_length"), F.stddev_samp("length").alias("std_length"))
+    out = joined(out, percentiles(edges, "length", keys, {"median_length": 0.5}), keys, "left").select(*keys, "n", "sum_length", "mean_length", "median_length", "std_length")
     return out.withColumn("pct_length", 100 * F.col("sum_length") / F.sum("sum_length").over(Window.partitionBy("graph")))
 
 
@@ -25,12 +29,17 @@ def diameter_by_class(edges: DataFrame, ranges: dict[int, tuple[float, float]] |
     inside = F.lit(None).cast("boolean")
     for k, (a, b) in (ranges or {}).items():
         inside = F.when(F.col("nkind") == k, d.between(a, b)).otherwise(inside)
-    return edges.where(d.isNotNull()).groupBy("graph", "nkind").agg(F.count("*").alias("n"), F.avg(d).alias("mean_diameter"), F.median(d).alias("median_diameter"), F.percentile(d, F.lit(0.05)).alias("p5_diameter"), F.percentile(d, F.lit(0.95)).alias("p95_diameter"), (100 * F.avg(inside.cast("int"))).alias("pct_in_range"))
+    keys = ["graph", "nkind"]
+    edges = materialize(edges.select(*keys, "diameter"), "diameters").where(d.isNotNull())
+    out = edges.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(d).alias("mean_diameter"), (100 * F.avg(inside.cast("int"))).alias("pct_in_range"))
+    found = percentiles(edges, "diameter", keys, {"median_diameter": 0.5, "p5_diameter": 0.05, "p95_diameter": 0.95})
+    return joined(out, found, keys, "left").select(*keys, "n", "mean_diameter", "median_diameter", "p5_diameter", "p95_diameter", "pct_in_range")
 
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, 5th percentile, median and 95th percentile of a value by keys."""
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.05)).alias("p5"), F.median(value).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    rows = materialize(df.select(*keys, value), "values").where(F.col(value).isNotNull())
+    return joined(rows.groupBy(*keys).agg(F.count("*").alias("n")), percentiles(rows, value, keys, {"p5": 0.05, "median": 0.5, "p95": 0.95}), keys, "left")
 
 
 def share_at_least(df: DataFrame, keys: list[str], value: str, least: float) -> DataFrame:
@@ -102,11 +111,12 @@ def boundary_pooled(rows: DataFrame) -> DataFrame:
 def depth_stats(vertices: DataFrame, depth: str = "distance_to_surface", bins: tuple = DEPTH_BINS) -> DataFrame:
     """By graph: n, min, mean, median and max depth, and counts and shares in half-open bins."""
     d = F.col(depth)
-    aggs = [F.count(d).alias("n"), F.min(d).alias("min_depth"), F.avg(d).alias("mean_depth"), F.median(d).alias("median_depth"), F.max(d).alias("max_depth")]
+    aggs = [F.count(d).alias("n"), F.min(d).alias("min_depth"), F.avg(d).alias("mean_depth"), F.max(d).alias("max_depth")]
     for i, (_, a, b) in enumerate(bins):
         inside = (d >= a) & (d < b) if b < math.inf else d >= a
         aggs += [F.count_if(inside).alias(f"n_bin{i}"), F.avg(inside.cast("int")).alias(f"share_bin{i}")]
-    return vertices.where(d.isNotNull()).groupBy("graph").agg(*aggs)
+    known = materialize(vertices.select("graph", depth), "depths").where(d.isNotNull())
+    return joined(known.groupBy("graph").agg(*aggs), percentiles(known, depth, ["graph"], {"median_depth": 0.5}), ["graph"], "left")
 
 
 def high_degree(vertices: DataFrame, edges: DataFrame, box: dict, threshold: int = 4, eps: float = 5.0) -> DataFrame:
