@@ -537,6 +537,41 @@ def vtp_documents(v, e):
     return text.agg(number("NumberOfLines").alias("n_lines"), number("NumberOfPoints").alias("n_points"))
 
 
+#: Every edge that is drawn, numbered in order by graph, and its points; the pressure is that of the vertices' heights.
+DRAWN = """dr AS (SELECT graph, eid, src, dst, nkind, length, diameter, row_number() OVER (PARTITION BY graph ORDER BY eid) - 1 AS edge FROM e WHERE src <> dst),
+ dv AS (SELECT graph, vid, row_number() OVER (PARTITION BY graph ORDER BY vid) - 1 AS nth FROM (SELECT DISTINCT graph, unnest([src, dst]) AS vid FROM dr))"""
+
+
+def with_pressure(v: DataFrame) -> DataFrame:
+    return v.withColumn("pressure", F.col("z") / 7).withColumn("pBC", F.when(F.col("vid") % 5 == 0, F.col("vid")))
+
+
+@query("""SELECT round((edge + i * 0.1)::DOUBLE, 6) AS "index", round(diameter / 2, 6) AS radius, diameter AS vessel_diameter, round(length, 6) AS vessel_length, nkind::DOUBLE AS vessel_nkind, round(len, 6) AS lengths2, (d + d2) / 2 AS diameters, round(x, 6) AS x1, round(y, 6) AS y1, round(z, 6) AS z1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(z2, 6) AS z2, 2::BIGINT AS n_points
+ FROM dr JOIN (SELECT eid, i, x, y, z, x2, y2, z2, d, d2, len FROM ms) USING (eid)""", DRAWN)
+def vtp_cells(v, e):
+    """The cells of the tortuous network as written to VTP documents and read back, with their values and ends."""
+    folder = fresh(v.sparkSession, "vtp")
+    vtp.write(vtp.network_lines(v, e), folder)
+    return rounded(vtp.read(v.sparkSession, folder).drop("document", "piece", "nth"), 6)
+
+
+@query("""SELECT "index", round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(pressure, 6) AS pressure, "pBC" FROM (SELECT graph, dv.nth::DOUBLE AS "index", x, y, z, z / 7 AS pressure, CASE WHEN vid % 5 = 0 THEN vid ELSE -1000 END::DOUBLE AS "pBC" FROM dv JOIN v USING (graph, vid)
+ UNION ALL SELECT dr.graph, round((edge + i * 0.1)::DOUBLE, 6), p.x, p.y, p.z, a.z / 7 + i * ((b.z / 7 - a.z / 7) / (n - 1)), -1000 FROM dr JOIN (SELECT eid, i, n, x, y, z FROM pts WHERE i > 0 AND i < n - 1) p USING (eid) JOIN v a ON a.vid = dr.src JOIN v b ON b.vid = dr.dst)""", DRAWN)
+def vtp_points(v, e):
+    """The points of the tortuous network as written and read back; a vertex stands in the document once for each of its edges and is given once."""
+    folder = fresh(v.sparkSession, "vtp")
+    vtp.write(vtp.network_lines(with_pressure(v), e), folder)
+    return rounded(vtp.read(v.sparkSession, folder, "points").drop("document", "piece", "nth"), 6).distinct()
+
+
+@query("SELECT diameter, round(length, 6) AS length, nkind::DOUBLE AS nkind, a.x AS x1, a.y AS y1, a.z AS z1, b.x AS x2, b.y AS y2, b.z AS z2, 2::BIGINT AS n_points FROM dr JOIN v a ON a.vid = src JOIN v b ON b.vid = dst", DRAWN)
+def vtp_straight(v, e):
+    """The cells of the straight network as written and read back."""
+    folder = fresh(v.sparkSession, "vtp")
+    vtp.write(vtp.network_lines(v, e, tortuous=False), folder)
+    return rounded(vtp.read(v.sparkSession, folder).drop("document", "piece", "nth"), 6)
+
+
 @query("SELECT ae.graph, eid, nkind::INT AS nkind, component, 1 AS is_major, major_tree_id, round(length, 6) AS length, diameter, 2::BIGINT AS n_points FROM ae JOIN trees USING (graph, component) WHERE is_major", TREES)
 def labelled_edges(v, e):
     """The edges of major artery trees as straight segments with their labels."""

@@ -1,23 +1,37 @@
-"""Polylines as VTK PolyData in XML: one document for each partition, with a piece for each batch of lines."""
+"""Polylines as VTK PolyData in XML: one document for each task, with a piece for each batch of lines, and a parallel index over them."""
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 
+from vgraph.functions.geometry import distance
+from vgraph.functions.stats import running
+from vgraph.plans.workspace import materialize
 from vgraph.schema import CAPILLARY
 
+#: The index's name, and how far apart two points are that are not one.
+INDEX, APART = "index.pvtp", 1e-8
 
-def lines(vertices: DataFrame, edges: DataFrame, apart: float = 1e-8) -> DataFrame:
+
+def lines(vertices: DataFrame, edges: DataFrame, apart: float = APART) -> DataFrame:
     """(graph, eid, nkind, length, diameter, points): drawable edges.
 
     Loops and edges whose ends coincide go, consecutive equal points are merged, missing values become -1000, -1 and 0.
     """
-    from vgraph.functions.geometry import distance
-
     e = edges.where("src <> dst and size(points) > 1").where(distance(F.element_at("points", 1), F.element_at("points", -1)) >= apart)
     keep = F.filter("points", lambda p, i: (i == 0) | (distance(p, F.get("points", F.greatest(i - 1, F.lit(0)))) > 0))
     return e.select("graph", "eid", F.coalesce("nkind", F.lit(-1)).alias("nkind"), F.coalesce("length", F.lit(-1000.0)).alias("length"), F.coalesce("diameter", F.lit(0.0)).alias("diameter"), keep.alias("points"))
@@ -48,41 +62,227 @@ def chosen_lines(vertices: DataFrame, edges: DataFrame, ids: DataFrame) -> DataF
     return e.select("graph", "eid", "nkind", "length", "diameter", F.array("src_p", "dst_p").alias("points"))
 
 
-def _piece(points: list, cells: dict[str, list], sizes: list[int]) -> str:
-    flat = "\n".join(f"{p['x']:.9g} {p['y']:.9g} {p['z']:.9g}" for p in points)
-    ends, at = [], 0
-    for n in sizes:
-        at += n
-        ends.append(at)
-    data = "".join(f'<DataArray type="Float64" Name="{k}" format="ascii">\n{" ".join(f"{x:.9g}" for x in v)}\n</DataArray>\n' for k, v in cells.items())
-    return (
-        f'<Piece NumberOfPoints="{len(points)}" NumberOfVerts="0" NumberOfLines="{len(sizes)}" NumberOfStrips="0" NumberOfPolys="0">\n<CellData>\n{data}</CellData>\n'
-        f'<Points>\n<DataArray type="Float64" NumberOfComponents="3" format="ascii">\n{flat}\n</DataArray>\n</Points>\n'
-        f'<Lines>\n<DataArray type="Int64" Name="connectivity" format="ascii">\n{" ".join(map(str, range(len(points))))}\n</DataArray>\n<DataArray type="Int64" Name="offsets" format="ascii">\n{" ".join(map(str, ends))}\n</DataArray>\n</Lines>\n</Piece>'
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """(graph, key, nth): places from 0 in the order of the key, by ranges of keys."""
+    counted = rows.select("graph", key).distinct().withColumn("n", F.lit(1).cast("long"))
+    return running(counted, ["graph"], key, ["n"]).select("graph", key, (F.col("sum_n") - 1).alias("nth"))
+
+
+def network_lines(vertices: DataFrame, edges: DataFrame, tortuous: bool = True) -> DataFrame:
+    """(graph, eid, points, cells): each drawable edge with the values of its points and of the cells between them.
+
+    Loops go, as do edges whose vertices coincide; vertices are numbered from 0 among those that are left with an edge, and so are edges. Points
+    have ``index`` and, where the vertices have these columns, ``pBC`` (missing: -1000) and ``pressure`` (missing: 0). Straight edges
+    have one cell with diameter, length (missing: 0) and nkind (missing: -1). Tortuous ones have a cell for every two points in a row, and
+    inner points with fractional indices, no pBC and a pressure between the vertices'. Equal points in a row are merged, and
+    points run from ``src`` to ``dst``; diameters and lengths2 keep their order, and are 0 where their number doesn't fit.
+    """
+    named = [c for c in ("pBC", "pressure") if c in vertices.columns]
+    v = vertices.select("graph", "vid", F.struct("x", "y", "z").alias("at"), *named)
+    ends = lambda side: v.select("graph", F.col("vid").alias(side), F.col("at").alias(f"{side}_at"), *(F.col(c).alias(f"{side}_{c}") for c in named))
+    e = edges.where("src <> dst").join(ends("src"), ["graph", "src"]).join(ends("dst"), ["graph", "dst"]).where(distance(F.col("src_at"), F.col("dst_at")) >= APART)
+    e = materialize(e, "drawn")
+    nth = numbered(e.select("graph", F.explode(F.array("src", "dst")).alias("vid")), "vid")
+    e = e.join(numbered(e, "eid").withColumnRenamed("nth", "edge"), ["graph", "eid"])
+    for side in ("src", "dst"):
+        e = e.join(nth.select("graph", F.col("vid").alias(side), F.col("nth").cast("double").alias(f"{side}_nth")), ["graph", side])
+    number = lambda c, missing: F.coalesce(F.col(c).cast("double"), F.lit(float(missing)))
+    point = lambda at, index, pbc, pressure: F.struct(*(at[a].alias(a) for a in "xyz"), index.alias("index"), *(x.alias(c) for c, x in (("pBC", pbc), ("pressure", pressure)) if c in named))
+    end = lambda side: point(F.col(f"{side}_at"), F.col(f"{side}_nth"), number(f"{side}_pBC", -1000) if "pBC" in named else F.lit(0.0), number(f"{side}_pressure", 0) if "pressure" in named else F.lit(0.0))
+    if not tortuous:
+        cell = F.struct(number("diameter", 0).alias("diameter"), number("length", 0).alias("length"), number("nkind", -1).alias("nkind"))
+        return e.select("graph", "eid", F.array(end("src"), end("dst")).alias("points"), F.array(cell).alias("cells"))
+    p = F.col("points")
+    e = e.withColumn("points", F.filter(p, lambda x, i: (i == 0) | (distance(x, F.get(p, F.greatest(i - 1, F.lit(0)))) > APART)))
+    e = e.withColumn("points", F.when(F.size(p) < 2, F.array("src_at", "dst_at")).otherwise(p))
+    e = e.withColumn("points", F.when(distance(F.col("src_at"), p[0]) > distance(F.col("src_at"), F.element_at(p, -1)), F.reverse(p)).otherwise(p))
+    n = F.size(p)
+    e = e.withColumn("step", F.when(n >= 10, 0.001).otherwise(0.1))
+    between = lambda i: number("src_pressure", 0) + i * ((number("dst_pressure", 0) - number("src_pressure", 0)) / (n - 1.0)) if "pressure" in named else F.lit(0.0)
+    # the first and the last point are the vertices themselves
+    inner = F.transform(F.slice(p, F.lit(2), n - 2), lambda x, i: point(x, F.col("edge") + (i + 1) * F.col("step"), F.lit(-1000.0), between(i + 1)))
+    fit = lambda c, least: F.size(c) == n - least
+    value = lambda c, i: F.coalesce(F.get(F.col(c), i), F.lit(0.0))
+    cells = F.transform(
+        F.sequence(F.lit(0), n - 2),
+        lambda i: F.struct(
+            (F.col("edge") + i * F.col("step")).alias("index"),
+            (number("diameter", 0) / 2).alias("radius"),
+            number("diameter", 0).alias("vessel_diameter"),
+            number("length", 0).alias("vessel_length"),
+            number("nkind", -1).alias("vessel_nkind"),
+            F.when(fit("lengths2", 1), value("lengths2", i)).otherwise(0.0).alias("lengths2"),
+            F.when(fit("diameters", 0), (value("diameters", i) + value("diameters", i + 1)) / 2).otherwise(0.0).alias("diameters"),
+        ),
     )
+    return e.select("graph", "eid", F.concat(F.array(end("src")), inner, F.array(end("dst"))).alias("points"), cells.alias("cells"))
+
 
+def _array(name: str, values: np.ndarray, components: int = 1) -> str:
+    kind, text = ("Int64", map(str, values.tolist())) if values.dtype == np.int64 else ("Float64", (f"{x:.15e}" for x in values.tolist()))
+    return f'<DataArray type="{kind}" Name="{name}" NumberOfComponents="{components}" format="ascii">\n{" ".join(text)}\n</DataArray>\n'
 
-def pieces(drawn: DataFrame) -> DataFrame:
-    """(value): for each partition the parts of an XML document, a piece for each Arrow batch; numeric columns become cell data."""
-    cells = [c for c, t in drawn.dtypes if c not in ("graph", "points")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda text: pa.RecordBatch.from_pydict({"value": [text]})
-        begun = False
-        for batch in batches:
-            if batch.num_rows and not begun:
-                begun = True
-                yield out('<?xml version="1.0"?>\n<VTKFile type="PolyData" version="0.1" byte_order="LittleEndian">\n<PolyData>')
+def _piece(batch: pa.RecordBatch) -> tuple[str, int, int]:
+    """The text of a batch of lines, and its numbers of points and cells."""
+    points, cells = batch.column("points"), batch.column("cells")
+    n_points, n_cells = (pc.list_value_length(x).to_numpy() for x in (points, cells))
+    p, c = points.flatten(), cells.flatten()
+    field = lambda x, name: pc.struct_field(x, name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    first = np.cumsum(n_points) - n_points
+    # one cell runs through all points of its line, several have two points each
+    size = np.where(n_cells == 1, n_points, 2)
+    if ((n_cells != 1) & (n_cells != n_points - 1)).any():
+        raise ValueError("a line has one cell, or one between every two points in a row")
+    sizes = np.repeat(size, n_cells)
+    start = np.repeat(first, n_cells) + np.arange(n_cells.sum()) - np.repeat(np.cumsum(n_cells) - n_cells, n_cells)
+    ends = np.cumsum(sizes)
+    ids = np.repeat(start - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    names = lambda x: [f.name for f in x.type if f.name not in ("x", "y", "z")]
+    xyz = np.stack([field(p, a) for a in "xyz"], 1).ravel()
+    text = (
+        f'<Piece NumberOfPoints="{len(p)}" NumberOfVerts="0" NumberOfLines="{len(c)}" NumberOfStrips="0" NumberOfPolys="0">\n'
+        f"<PointData>\n{''.join(_array(k, field(p, k)) for k in names(p))}</PointData>\n<CellData>\n{''.join(_array(k, field(c, k)) for k in names(c))}</CellData>\n"
+        f"<Points>\n{_array('Points', xyz, 3)}</Points>\n<Lines>\n{_array('connectivity', ids.astype(np.int64))}{_array('offsets', ends.astype(np.int64))}</Lines>\n</Piece>\n"
+    )
+    return text, len(p), len(c)
+
+
+@dataclass
+class _Part(WriterCommitMessage):
+    name: str | None
+    points: int = 0
+    cells: int = 0
+
+
+def _place(folder: str) -> tuple[fs.FileSystem, str]:
+    found, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+    return found, path.rstrip("/")
+
+
+class _Writer(DataSourceArrowWriter):
+    """Each task writes a document of its own; the driver writes the parallel index of those that were committed."""
+
+    def __init__(self, folder: str, schema: StructType, overwrite: bool):
+        self.folder, self.overwrite = folder, overwrite
+        self.fields = [[f.name for f in schema[c].dataType.elementType.fields if f.name not in ("x", "y", "z")] for c in ("points", "cells")]
+        if overwrite:
+            store, path = _place(folder)
+            for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+                if f.base_name == INDEX or (f.base_name.startswith("part-") and f.extension == "vtp"):
+                    store.delete_file(f.path)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
+        store, path = _place(self.folder)
+        name, points, cells, out = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.vtp", 0, 0, None
+        for batch in iterator:
             if batch.num_rows:
-                rows = batch.to_pylist()
-                yield out(_piece([p for r in rows for p in r["points"]], {k: [r[k] for r in rows] for k in cells}, [len(r["points"]) for r in rows]))
-        if begun:
-            yield out("</PolyData>\n</VTKFile>")
+                if out is None:
+                    store.create_dir(path, recursive=True)
+                    out = store.open_output_stream(f"{path}/{name}")
+                    out.write(b'<?xml version="1.0"?>\n<VTKFile type="PolyData" version="0.1" byte_order="LittleEndian">\n<PolyData>\n')
+                text, n, m = _piece(batch)
+                out.write(text.encode())
+                points, cells = points + n, cells + m
+        if out is None:
+            return _Part(None)
+        out.write(b"</PolyData>\n</VTKFile>\n")
+        out.close()
+        return _Part(name, points, cells)
+
+    def commit(self, messages: list) -> None:
+        store, path = _place(self.folder)
+        store.create_dir(path, recursive=True)
+        parts = sorted(m.name for m in messages if m is not None and m.name)
+        arrays = lambda kind, names: f"<{kind}>\n{''.join(f'<PDataArray type=\"Float64\" Name=\"{k}\"/>\n' for k in names)}</{kind}>\n"
+        text = (
+            '<?xml version="1.0"?>\n<VTKFile type="PPolyData" version="0.1" byte_order="LittleEndian">\n<PPolyData GhostLevel="0">\n'
+            + arrays("PPointData", self.fields[0])
+            + arrays("PCellData", self.fields[1])
+            + '<PPoints>\n<PDataArray type="Float64" NumberOfComponents="3"/>\n</PPoints>\n'
+            + "".join(f'<Piece Source="{name}"/>\n' for name in parts)
+            + "</PPolyData>\n</VTKFile>\n"
+        )
+        with store.open_output_stream(f"{path}/{INDEX}") as out:
+            out.write(text.encode())
 
-    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in cells]
-    return drawn.select(*numbers, "points").mapInArrow(run, "value string")
+    def abort(self, messages: list) -> None:
+        store, path = _place(self.folder)
+        for m in messages:
+            if m is not None and m.name:
+                store.delete_file(f"{path}/{m.name}")
+
+
+@dataclass
+class _Document(InputPartition):
+    name: str
+
+
+class _Reader(DataSourceReader):
+    """One task for each document of the index."""
+
+    def __init__(self, folder: str, what: str, schema: StructType):
+        self.folder, self.what = folder, what
+        self.names = [f.name for f in schema.fields]
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Document(p.get("Source")) for p in _index(self.folder).iter("Piece")]
+
+    def read(self, partition: _Document) -> Iterator[pa.RecordBatch]:
+        store, path = _place(self.folder)
+        with store.open_input_file(f"{path}/{partition.name}") as f:
+            for k, (_, piece) in enumerate(x for x in ElementTree.iterparse(f, events=("end",)) if x[1].tag == "Piece"):
+                numbers = lambda where, name, kind=float: np.array((piece.find(f"{where}/DataArray[@Name='{name}']").text or "").split(), kind)  # noqa: E731, B023
+                xyz = numbers("Points", "Points").reshape(-1, 3)
+                if self.what == "points":
+                    own = dict(zip("xyz", xyz.T, strict=True)) | {"nth": np.arange(len(xyz))}
+                else:
+                    ids, ends = numbers("Lines", "connectivity", int), numbers("Lines", "offsets", int)
+                    starts = np.append(0, ends[:-1]).astype(int)
+                    own = {"nth": np.arange(len(ends)), "n_points": ends - starts} | {f"{a}{end}": xyz[ids[at], j] for end, at in (("1", starts), ("2", ends - 1)) for j, a in enumerate("xyz")}
+                own |= {"document": [partition.name] * len(own["nth"]), "piece": np.full(len(own["nth"]), k)}
+                data = "PointData" if self.what == "points" else "CellData"
+                yield pa.RecordBatch.from_pydict({n: own[n] if n in own else numbers(data, n) for n in self.names})
+                piece.clear()
+
+
+def _index(folder: str) -> ElementTree.Element:
+    store, path = _place(folder)
+    with store.open_input_file(f"{path}/{INDEX}") as f:
+        return ElementTree.parse(f).getroot()
+
+
+class VtpSource(DataSource):
+    """Lines (points, cells) as VTK PolyData: a document a task and a parallel index; read back as points or cells (option ``part``)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "vtp"
+
+    def schema(self) -> str:
+        what = self.options.get("part", "cells")
+        own = "x double, y double, z double" if what == "points" else "n_points long, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double"
+        tag = "PPointData" if what == "points" else "PCellData"
+        values = "".join(f", `{a.get('Name')}` double" for a in _index(self.options["path"]).findall(f".//{tag}/PDataArray"))
+        return f"document string, piece long, nth long, {own}{values}"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Reader(self.options["path"], self.options.get("part", "cells"), schema)
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(self.options["path"], schema, overwrite)
 
 
 def write(drawn: DataFrame, folder: str) -> None:
-    """A folder of VTP documents as text files."""
-    pieces(drawn).write.mode("overwrite").text(folder, lineSep="\n")
+    """A folder of VTP documents and their index. Numeric columns beside ``points`` become values of one cell a line, unless there are ``cells``."""
+    drawn.sparkSession.dataSource.register(VtpSource)
+    if "cells" not in drawn.columns:
+        numbers = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in drawn.columns if c not in ("graph", "points")]
+        drawn = drawn.withColumn("cells", F.array(F.struct(*numbers)))
+    drawn.select("points", "cells").write.format("vtp").mode("overwrite").save(folder)
+
+
+def read(spark: SparkSession, folder: str, part: str = "cells") -> DataFrame:
+    """The points or the cells of a folder of VTP documents with their values; cells with the coordinates of their ends."""
+    spark.dataSource.register(VtpSource)
+    return spark.read.format("vtp").option("part", part).load(folder)
