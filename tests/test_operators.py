@@ -10,7 +10,7 @@ from vgraph.functions import stats
 from vgraph.operators import clip, components, flow, paths, quality, skeleton, topology
 from vgraph.operators.components import connected_components
 from vgraph.schema import EDGES, VERTICES
-from vgraph.sources import bundle, vtp
+from vgraph.sources import bundle, columns, vtp
 
 
 def plain_components(pairs):
@@ -340,3 +340,35 @@ def test_running_sums_by_ranges(spark, monkeypatch, rows):
     got = {(r["g"], r["x"]): (r["n"], r["sum_n"], r["all_n"]) for r in stats.running(df, ["g"], "x", ["n"]).collect()}
     assert got == {(g, x): (n, sum(m for (h, y), m in counts.items() if h == g and y <= x), sum(m for (h, _), m in counts.items() if h == g)) for (g, x), n in counts.items()}
     assert stats.running(df.limit(0), ["g"], "x", ["n"]).count() == 0
+
+
+@pytest.mark.parametrize("size", [1 << 20, 7])
+def test_files_read_side_by_side(spark, tmp_path, monkeypatch, size):
+    """Ranges that end amid lines, files of several parts, a last line without an end."""
+    monkeypatch.setattr(columns, "COUNTED", size)
+    monkeypatch.setattr(columns, "READ", 5 * size)
+    rng = random.Random(3)
+    xs = [(rng.choice((0.5, 123456.75, -1.0)), float(k)) for k in range(60)]
+    ys = [rng.choice((1.0, 22222.0)) for _ in xs]
+    (tmp_path / "xs.csv").write_text("\n".join(f"{a},{b}" for a, b in xs))
+    (tmp_path / "ys.csv").mkdir()
+    for part, (a, b) in enumerate(((0, 7), (7, 7), (7, 41), (41, 60))):
+        (tmp_path / "ys.csv" / f"part-{part}.csv").write_text("".join(f"{y}\n" for y in ys[a:b]))
+    (tmp_path / "ys.csv" / "_SUCCESS").write_text("")
+    got = sorted(tuple(r) for r in columns.read(spark, str(tmp_path), {"xs": ["a", "b"], "ys": ["y"]}).collect())
+    assert got == [(k, *x, y) for k, (x, y) in enumerate(zip(xs, ys))]
+    (tmp_path / "short.csv").write_text("1\n2\n")
+    with pytest.raises(ValueError):
+        columns.read(spark, str(tmp_path), {"xs": ["a", "b"], "short": ["c"]})
+    with pytest.raises(FileNotFoundError):
+        columns.read(spark, str(tmp_path), {"none": ["c"]})
+
+
+def test_files_written_side_by_side(spark, tmp_path):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 k", "id * 1.5 x", "cast(id as int) n").repartition(5)
+    columns.write(df, str(tmp_path), {"x.csv": ["x"], "kn.csv": ["k", "n"]}, "k")
+    columns.write(df, str(tmp_path), {"x.csv": ["x"], "kn.csv": ["k", "n"]}, "k")
+    got = columns.read(spark, str(tmp_path), {"x": ["x"], "kn": ["k", "n"]}).orderBy("row").collect()
+    want = {r["k"]: r for r in df.collect()}
+    assert [(r["k"], r["x"], r["n"]) for r in got] == [(k, float(want[k]["x"]), want[k]["n"]) for k in range(1000)]
+    assert not list(tmp_path.glob("_temporary*"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vgraph.functions.geometry import finite_max, oriented, per_point, segments, tortuosity, total
 from vgraph.plans.workspace import materialize
 from vgraph.schema import finite, require_columns
+from vgraph.sources import columns
 
 #: Name, columns: by vertex, by edge, by point.
 FILES = {
@@ -17,34 +18,20 @@ FILES = {
 }
 
 
-def rows(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """(row, columns as doubles) of one file; ``row`` counts from 0 in the file's order."""
-    columns = FILES[name]
-    kinds = ", ".join(f"{c} double" for c in columns)
-    lines = spark.read.csv(f"{folder}/{name}.csv", schema=kinds, header=False)
-    split = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
-    # one written copy, as the numbers that Spark gives hold within one run only
-    held = materialize(lines.select(*columns, *split, F.monotonically_increasing_id().alias("__at")), "rows")
-    splits = held.groupBy("__file", "__start").agg(F.min("__at").alias("first"), F.count("*").alias("n"))
-    # one row for each split of a file, in the order of the files
-    base = F.coalesce(F.sum("n").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    splits = splits.select("__file", "__start", (base - F.col("first")).alias("shift"))
-    return held.join(F.broadcast(splits), ["__file", "__start"]).select((F.col("__at") + F.col("shift")).alias("row"), *columns)
+def rows(spark: SparkSession, folder: str, *names: str) -> DataFrame:
+    """(row, columns as doubles) of one file or of several side by side; ``row`` counts from 0 in the files' order."""
+    return columns.read(spark, folder, {name: FILES[name] for name in names})
 
 
 def load(spark: SparkSession, folder: str, graph: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges): classes from the artery and vein flags, artery first; polylines turned to their source; the largest
     finite diameter for an edge, twice the radius for a vertex."""
-    v = rows(spark, folder, "coordinates")
-    for name in ("vertices", "radii", "annotation", "distance_to_surface"):
-        v = v.join(rows(spark, folder, name), "row")
+    v = rows(spark, folder, "coordinates", "vertices", "radii", "annotation", "distance_to_surface")
     v = v.select(F.lit(graph).alias("graph"), F.col("id").cast("long").alias("vid"), "x", "y", "z", (2 * finite(F.col("radius"))).alias("diameter"), F.col("annotation").cast("long").alias("annotation"), finite(F.col("distance_to_surface")).alias("distance_to_surface"))
-    e = rows(spark, folder, "edges")
-    for name in ("artery", "vein", "edge_geometry_indices"):
-        e = e.join(rows(spark, folder, name), "row")
+    e = rows(spark, folder, "edges", "artery", "vein", "edge_geometry_indices")
     nkind = F.when(F.col("artery") == 1, 2).when(F.col("vein") == 1, 3).otherwise(4)
     e = e.select(F.col("row").alias("eid"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), nkind.alias("nkind"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    points = rows(spark, folder, "edge_geometry_coordinates").join(rows(spark, folder, "edge_geometry_radii"), "row")
+    points = rows(spark, folder, "edge_geometry_coordinates", "edge_geometry_radii")
     held = e.where("start < end").select("eid", F.explode(F.sequence("start", F.col("end") - 1)).alias("row")).join(points, "row")
     lines = held.groupBy("eid").agg(F.array_sort(F.collect_list(F.struct("row", "x", "y", "z", "r"))).alias("ps"))
     e = e.join(lines, "eid").join(v.select(F.col("vid").alias("src"), F.struct("x", "y", "z").alias("source")), "src")
@@ -77,14 +64,13 @@ def save(vertices: DataFrame, edges: DataFrame, folder: str) -> None:
     e = materialize(e.select("eid", "src", "dst", "artery", "vein", "start", "end", "points", "diameters"), "bundle")
     save_columns(e, folder, {"edges.csv": ["src", "dst"], "artery.csv": ["artery"], "vein.csv": ["vein"], "edge_geometry_indices.csv": ["start", "end"]}, "eid")
     points = e.select("start", F.posexplode("points").alias("i", "p"), "diameters").select((F.col("start") + F.col("i")).alias("at"), "p.*", (F.get("diameters", F.col("i")) / 2).alias("r"))
-    save_columns(materialize(points, "points"), folder, {"edge_geometry_coordinates.csv": ["x", "y", "z"], "edge_geometry_radii.csv": ["r"]}, "at")
+    save_columns(points, folder, {"edge_geometry_coordinates.csv": ["x", "y", "z"], "edge_geometry_radii.csv": ["r"]}, "at")
 
 
 def save_columns(df: DataFrame, folder: str, files: dict[str, list[str]], order: str) -> None:
     """Each group of columns in a folder of headerless CSV files, by the order of a column over its part files."""
     require_columns(df, [order, *(c for cs in files.values() for c in cs)])
-    for name, columns in files.items():
-        df.orderBy(order).select(columns).write.csv(f"{folder}/{name}", header=False)
+    columns.write(df, folder, files, order)
 
 
 def save_table(df: DataFrame, path: str) -> bool:

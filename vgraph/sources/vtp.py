@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +21,7 @@ from vgraph.functions.geometry import distance
 from vgraph.functions.stats import running
 from vgraph.plans.workspace import materialize
 from vgraph.schema import CAPILLARY
+from vgraph.sources.columns import place
 
 #: The index's name, and how far apart two points are that are not one.
 INDEX, APART = "index.pvtp", 1e-8
@@ -155,11 +155,6 @@ class _Part(WriterCommitMessage):
     cells: int = 0
 
 
-def _place(folder: str) -> tuple[fs.FileSystem, str]:
-    found, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
-    return found, path.rstrip("/")
-
-
 class _Writer(DataSourceArrowWriter):
     """Each task writes a document of its own; the driver writes the parallel index of those that were committed."""
 
@@ -167,13 +162,13 @@ class _Writer(DataSourceArrowWriter):
         self.folder, self.overwrite = folder, overwrite
         self.fields = [[f.name for f in schema[c].dataType.elementType.fields if f.name not in ("x", "y", "z")] for c in ("points", "cells")]
         if overwrite:
-            store, path = _place(folder)
+            store, path = place(folder)
             for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
                 if f.base_name == INDEX or (f.base_name.startswith("part-") and f.extension == "vtp"):
                     store.delete_file(f.path)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
-        store, path = _place(self.folder)
+        store, path = place(self.folder)
         name, points, cells, out = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.vtp", 0, 0, None
         for batch in iterator:
             if batch.num_rows:
@@ -191,7 +186,7 @@ class _Writer(DataSourceArrowWriter):
         return _Part(name, points, cells)
 
     def commit(self, messages: list) -> None:
-        store, path = _place(self.folder)
+        store, path = place(self.folder)
         store.create_dir(path, recursive=True)
         parts = sorted(m.name for m in messages if m is not None and m.name)
         arrays = lambda kind, names: f"<{kind}>\n{''.join(f'<PDataArray type=\"Float64\" Name=\"{k}\"/>\n' for k in names)}</{kind}>\n"
@@ -207,7 +202,7 @@ class _Writer(DataSourceArrowWriter):
             out.write(text.encode())
 
     def abort(self, messages: list) -> None:
-        store, path = _place(self.folder)
+        store, path = place(self.folder)
         for m in messages:
             if m is not None and m.name:
                 store.delete_file(f"{path}/{m.name}")
@@ -229,7 +224,7 @@ class _Reader(DataSourceReader):
         return [_Document(p.get("Source")) for p in _index(self.folder).iter("Piece")]
 
     def read(self, partition: _Document) -> Iterator[pa.RecordBatch]:
-        store, path = _place(self.folder)
+        store, path = place(self.folder)
         with store.open_input_file(f"{path}/{partition.name}") as f:
             for k, (_, piece) in enumerate(x for x in ElementTree.iterparse(f, events=("end",)) if x[1].tag == "Piece"):
                 numbers = lambda where, name, kind=float: np.array((piece.find(f"{where}/DataArray[@Name='{name}']").text or "").split(), kind)  # noqa: E731, B023
@@ -247,7 +242,7 @@ class _Reader(DataSourceReader):
 
 
 def _index(folder: str) -> ElementTree.Element:
-    store, path = _place(folder)
+    store, path = place(folder)
     with store.open_input_file(f"{path}/{INDEX}") as f:
         return ElementTree.parse(f).getroot()
 
