@@ -372,3 +372,15 @@ def test_files_written_side_by_side(spark, tmp_path):
     want = {r["k"]: r for r in df.collect()}
     assert [(r["k"], r["x"], r["n"]) for r in got] == [(k, float(want[k]["x"]), want[k]["n"]) for k in range(1000)]
     assert not list(tmp_path.glob("_temporary*"))
+
+
+def test_neighbours_across_bricks(spark, monkeypatch):
+    rng = random.Random(21)
+    voxels = {(rng.randint(-70, -58), rng.randint(-3, 3), rng.randint(60, 68)) for _ in range(500)}
+    df = spark.createDataFrame([(k, *v) for k, v in enumerate(sorted(voxels))], "id long, x long, y long, z long")
+    number = {v: k for k, v in enumerate(sorted(voxels))}
+    want = sorted((k, number[w]) for v, k in number.items() for o in product((-1, 0, 1), repeat=3) if any(o) and (w := tuple(a + b for a, b in zip(v, o))) in number)
+    for bucket in (skeleton.BUCKET, 40):
+        monkeypatch.setattr(skeleton, "BUCKET", bucket)
+        assert sorted(tuple(r) for r in skeleton.adjacency(df).collect()) == want
+    assert skeleton.adjacency(df.limit(0)).count() == 0

@@ -1,6 +1,6 @@
 """From a skeleton's voxels to nodes, links, end points, isolated points and loops.
 
-Neighbours come from an equi-join over the 26 offsets; nodes are components of voxels of
+Neighbours are found within bricks of space; nodes are components of voxels of
 degree over two; links are components of link voxels, ordered by distance from an end.
 """
 
@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vgraph.operators.components import connected_components
 from vgraph.plans.workspace import Rounds, materialize
 
+#: Voxels along a brick's side, and voxels to a bucket of bricks.
+BRICK, BUCKET = 64, 200_000
+
 
 def numbered(voxels: DataFrame) -> DataFrame:
     """(id, x, y, z) of the distinct active voxels, numbered from 0 in the order of x, y, z."""
@@ -24,13 +29,40 @@ def numbered(voxels: DataFrame) -> DataFrame:
     return materialize(v.withColumn("at", at).join(planes, "x").select((F.col("base") + F.col("at")).cast("long").alias("id"), "x", "y", "z"), "numbered")
 
 
+def _beside(table: pa.Table) -> pa.Table:
+    """(a, b): each voxel of a bucket's bricks, those of their halos left out, and the neighbours that come after it in x, y, z."""
+    side = BRICK + 2
+    x = {c: table.column(c).to_numpy() for c in ("id", "x", "y", "z", "bx", "by", "bz")}
+    local = [x[c] - x[f"b{c}"] * BRICK + 1 for c in "xyz"]
+    _, brick = np.unique(np.stack([x["bx"], x["by"], x["bz"]]), axis=1, return_inverse=True)
+    place = ((brick.ravel() * side + local[0]) * side + local[1]) * side + local[2]
+    order = np.argsort(place)
+    place, ids = place[order], x["id"][order]
+    core = np.logical_and.reduce([(c >= 1) & (c <= BRICK) for c in local])[order]
+    one, two = [], []
+    for dx, dy, dz in product((-1, 0, 1), repeat=3):
+        if (dx, dy, dz) > (0, 0, 0):
+            wanted = place[core] + (dx * side + dy) * side + dz
+            at = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+            hit = place[at] == wanted
+            one.append(ids[core][hit])
+            two.append(ids[at[hit]])
+    return pa.table({"a": np.concatenate(one), "b": np.concatenate(two)})
+
+
 def adjacency(voxels: DataFrame) -> DataFrame:
-    """(a, b) of neighbouring voxels, each pair in both directions."""
-    half = [o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0)]
-    offsets = F.explode(F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip("xyz", o, strict=True))) for o in half))).alias("o")
-    near = voxels.select(F.col("id").alias("a"), "x", "y", "z", offsets).select("a", *((F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "xyz"))
-    pairs = near.join(voxels.select(F.col("id").alias("b"), "x", "y", "z"), ["x", "y", "z"]).select("a", "b")
-    return pairs.union(pairs.select("b", "a"))
+    """(a, b) of neighbouring voxels (id, x, y, z), each pair in both directions.
+
+    Space is cut into bricks; a voxel at a brick's side also goes to the brick beside it, so each brick finds the neighbours of its own
+    voxels. A task takes many bricks; what is shuffled is the voxels and these copies.
+    """
+    bricks = voxels.select("id", "x", "y", "z")
+    for a in "xyz":
+        bricks = bricks.withColumn(f"b{a}", F.explode(F.sequence(F.floor((F.col(a) - 1) / BRICK), F.floor((F.col(a) + 1) / BRICK))))
+    buckets = voxels.count() // BUCKET + 1
+    dealt = bricks.withColumn("bucket", F.pmod(F.xxhash64("bx", "by", "bz"), F.lit(buckets)))
+    pairs = dealt.groupBy("bucket").applyInArrow(_beside, "a long, b long")
+    return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
 
 
 def classified(voxels: DataFrame, pairs: DataFrame) -> DataFrame:
