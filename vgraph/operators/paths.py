@@ -185,6 +185,13 @@ def path_counts(edges: DataFrame, paths: DataFrame) -> DataFrame:
     return out.withColumn("n_pairs", F.col("n_frontier") * F.col("n_venous"))
 
 
+def interface_use(interface: DataFrame, paths: DataFrame) -> DataFrame:
+    """Interface counts by graph with the frontier vertices that paths begin at or not and the venous ones that they reach or not."""
+    used = paths.groupBy("graph").agg(F.count_distinct("source").alias("frontier_used"), F.count_distinct("target").alias("venous_reached"))
+    out = interface.join(used, "graph", "left").na.fill(0, ["frontier_used", "venous_reached"])
+    return out.withColumn("frontier_unused", F.col("ac_nodes") - F.col("frontier_used")).withColumn("venous_unreached", F.col("vein_nodes") - F.col("venous_reached"))
+
+
 def compare(edges: DataFrame, first: DataFrame, second: DataFrame, names: tuple[str, str]) -> DataFrame:
     """A full outer join of two ways to find paths, by source: targets, distances, true lengths and their differences."""
     a, b = (path_summary(p, edges).select("graph", "source", F.col("target").alias(f"target_{n}"), F.col("dist").alias(f"path_len_{n}"), F.col("path_length").alias(f"true_len_{n}"), F.col("n_edges").alias(f"edges_{n}"), F.col("artery_edges").alias(f"artery_edges_{n}")) for p, n in zip((first, second), names, strict=True))

@@ -84,3 +84,20 @@ def overview(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     v = vertices.groupBy("graph").agg(F.count("*").alias("n_vertices"))
     e = edges.groupBy("graph").agg(F.count("*").alias("n_edges"), F.sum("length").alias("sum_length"), F.avg("diameter").alias("mean_diameter"), F.count_if(F.col("nkind").isNull()).alias("no_class"), F.sum(F.size("points")).alias("n_points"))
     return v.join(e, "graph", "left")
+
+
+def synced(vertices: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns of ``values`` (graph, vid, more) put on the vertices of the graphs where both have as many; null elsewhere."""
+    n = lambda t, name: t.groupBy("graph").agg(F.count("*").alias(name))
+    same = n(vertices, "n").join(n(values, "m"), "graph").where("n = m").select("graph")
+    keep = values.join(same, "graph", "left_semi").select("graph", "vid", *columns)
+    return vertices.drop(*columns).join(keep, ["graph", "vid"], "left")
+
+
+def inside_volume(vertices: DataFrame, edges: DataFrame, size: tuple[float, float, float]) -> DataFrame:
+    """By graph: whether the smallest coordinates of vertices and of points are 0 or more, and the largest within a volume's size."""
+    v = vertices.select("graph", F.lit("nodes").alias("of"), "x", "y", "z")
+    p = edges.select("graph", F.lit("points").alias("of"), F.explode("points").alias("p")).select("graph", "of", *(f"p.{a}" for a in "xyz"))
+    kinds = [(of, end) for of in ("nodes", "points") for end in ("min", "max")]
+    ok = {"min": F.least("x", "y", "z") >= 0, "max": (F.col("x") <= size[0]) & (F.col("y") <= size[1]) & (F.col("z") <= size[2])}
+    return v.unionByName(p).groupBy("graph").agg(*(F.bool_and(F.when(F.col("of") == of, ok[end])).alias(f"{of}_{end}_ok") for of, end in kinds))

@@ -39,3 +39,21 @@ def children(regions: DataFrame) -> DataFrame:
     """(id, n_children) of every region."""
     n = regions.groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n_children"))
     return regions.select("id").join(n, "id", "left").na.fill(0)
+
+
+def subtree_sizes(regions: DataFrame) -> DataFrame:
+    """(id, n_below): how many regions lie below each one in a tree (id, parent_id).
+
+    Each region counts for all its ancestors; pairs with ancestors reach twice as far in each round.
+    """
+    up = materialize(regions.where("parent_id is not null").select("id", F.col("parent_id").alias("above")), "above")
+    pairs, step = up, up
+    while True:
+        far = step.select(F.col("id").alias("above"), F.col("above").alias("next")).join(pairs, "above").select("id", F.col("next").alias("above"))
+        far = materialize(far, "above")
+        if far.isEmpty():
+            break
+        pairs = pairs.unionByName(far)
+        step = materialize(step.select(F.col("id").alias("above"), F.col("above").alias("next")).join(step, "above").select("id", F.col("next").alias("above")), "above")
+    n = pairs.groupBy(F.col("above").alias("id")).agg(F.count("*").alias("n_below"))
+    return regions.select("id").join(n, "id", "left").na.fill(0)

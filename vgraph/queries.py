@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vgraph.functions import geometry, stats
 from vgraph.operators import clip, flow, morphology, paths, quality, regions, skeleton, topology
-from vgraph.plans.analysis import network_summary, region_comparison
+from vgraph.plans.analysis import boundary_tests, network_summary, region_comparison
 from vgraph.plans.workspace import materialize, work_dir
 from vgraph.schema import label
 from vgraph.sources import bundle, lattice, voxel_graph, vtp
@@ -517,9 +517,15 @@ def end_diameters(v, e):
     return quality.end_diameters(v.withColumn("diameter", F.lit(4.0)), e).drop("examples")
 
 
-@query("SELECT graph, count(*) AS n, 0::BIGINT AS bad_length, 0::BIGINT AS bad_sum, 0::BIGINT AS bad_segments, 0::BIGINT AS bad_diameter, 0::BIGINT AS bad_points FROM e GROUP BY graph")
+@query("""SELECT graph, count(*) AS n, count(*) FILTER (eid % 11 = 0) AS bad_length, count(*) FILTER ((eid % 17 = 0 AND len > 0) OR eid % 19 = 0) AS bad_sum, count(*) FILTER (eid % 17 = 0) AS bad_segments, count(*) FILTER (eid % 13 = 0) AS bad_diameter, count(*) FILTER (eid % 19 = 0) AS bad_points FROM ms WHERE i = 0 GROUP BY graph""")
 def rescaling_check(v, e):
-    return quality.rescaling(e, geometry.rescaled(v, e, 1.051)[1], 1.051)
+    """A rescaled network in which some edges break an invariant: a length, a segment, a diameter or a first point is wrong."""
+    after = geometry.rescaled(v, e, 1.051)[1]
+    some = lambda n: F.col("eid") % n == 0
+    moved = F.transform("points", lambda p, i: F.struct(F.when(i == 0, p["x"] + 5).otherwise(p["x"]).alias("x"), p["y"].alias("y"), p["z"].alias("z")))
+    after = after.withColumn("length", F.when(some(11), F.col("length") + 1).otherwise(F.col("length"))).withColumn("diameter", F.when(some(13), 2 * F.col("diameter")).otherwise(F.col("diameter")))
+    after = after.withColumn("lengths2", F.when(some(17), F.slice("lengths2", F.lit(2), F.greatest(F.size("lengths2") - 1, F.lit(0)))).otherwise(F.col("lengths2"))).withColumn("points", F.when(some(19), moved).otherwise(F.col("points")))
+    return quality.rescaling(e, after, 1.051)
 
 
 @query("SELECT graph, max(abs(z - 25 * x)) AS max_gap, median(abs(z - 25 * x)) AS median_gap FROM v GROUP BY graph")
@@ -589,3 +595,95 @@ def end_counts(v, e):
 @query("SELECT graph, vid, nkind_name || '_' || degree AS type FROM (SELECT graph, vid, CASE arg WHEN 2 THEN 'artery' WHEN 3 THEN 'vein' ELSE 'capillary' END AS nkind_name, degree FROM (SELECT graph, vid, sum(n) OVER (PARTITION BY graph, vid)::BIGINT AS degree, nkind AS arg, row_number() OVER (PARTITION BY graph, vid ORDER BY n DESC, nkind) AS nth FROM (SELECT graph, vid, nkind, count(*) AS n FROM inc GROUP BY ALL)) WHERE nth = 1)")
 def majority_types(v, e):
     return topology.majority_types(e)
+
+
+@query("""SELECT graph, artery_nodes, vein_nodes, ac_nodes, coalesce(u, 0) AS frontier_used, ac_nodes - coalesce(u, 0) AS frontier_unused, coalesce(r, 0) AS venous_reached, vein_nodes - coalesce(r, 0) AS venous_unreached FROM (SELECT graph, count(*) FILTER (a) AS artery_nodes, count(*) FILTER (v) AS vein_nodes, count(*) FILTER (a AND c) AS ac_nodes FROM t GROUP BY graph)
+ LEFT JOIN (SELECT graph, count(DISTINCT source) AS u, count(DISTINCT target) AS r FROM s_p GROUP BY graph) USING (graph)""", TOUCH + "," + path_sql("s", "nkind <> 2", "length"))
+def interface_use(v, e):
+    """What the paths to the nearest veins use of the frontier and of the venous vertices."""
+    e = vessels(e)
+    out = paths.interface_use(topology.interfaces(e), paths.frontier_paths(e))
+    return out.select("graph", "artery_nodes", "vein_nodes", "ac_nodes", "frontier_used", "frontier_unused", "venous_reached", "venous_unreached")
+
+
+@query("""SELECT a.type, a.n AS n1, b.n AS n2, round(a.m, 4) AS mean1, round(b.m, 4) AS mean2, round((a.m - b.m) / nullif(sqrt(a.s / a.n + b.s / b.n), 0), 3) AS t, round((a.s / a.n + b.s / b.n) ^ 2 / nullif((a.s / a.n) ^ 2 / (a.n - 1) + (b.s / b.n) ^ 2 / (b.n - 1), 0), 3) AS df FROM bp a JOIN bp b USING (type) WHERE a.g = 'side' AND b.g = 'end'""", TYPES + "," + FACE + """,
+ bn AS (SELECT graph, face, type, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY graph, face) AS pct FROM bc JOIN ty USING (graph, vid) GROUP BY graph, face, type), bp AS (SELECT type, CASE WHEN face LIKE 'z%' THEN 'end' ELSE 'side' END AS g, count(*) AS n, avg(pct) AS m, var_samp(pct) AS s FROM bn WHERE type <> 'unknown' GROUP BY ALL)""")
+def boundary_percentages(v, e):
+    """The vessel types at faces across z against those at the other faces."""
+    shares = morphology.boundary_stats(morphology.boundary(v, e, morphology.face_vertices(v, BOX, 5.0)))
+    out = boundary_tests(shares, F.when(F.col("face").startswith("z"), "end").otherwise("side"), "side", "end")
+    return out.select("type", "n1", "n2", F.round("mean1", 4).alias("mean1"), F.round("mean2", 4).alias("mean2"), F.round("t", 3).alias("t"), F.round("df", 3).alias("df"))
+
+
+@query("""SELECT eid, round(0.5 * (128 * sum(len) / (pi() * nullif(sum(128 * 1.63 * len / (pi() * (2 * 1.63 * (d + d2) / 4) ^ 4)), 0))) ^ 0.25 / 1.63, 6) AS radius FROM ms GROUP BY eid""")
+def effective_radii(v, e):
+    return e.select("eid", F.round(geometry.effective_radius(F.col("lengths2"), F.transform("diameters", lambda d: d / 2)), 6).alias("radius"))
+
+
+@query("SELECT round(100 * (max(m) - min(m)) / median(m), 4) AS delta_pct FROM (SELECT graph, median(length) AS m FROM e GROUP BY graph)")
+def median_spread(v, e):
+    medians = stats.percentiles(materialize(e.select("graph", "length"), "lengths"), "length", ["graph"], {"median": 0.5})
+    return rounded(stats.median_spread(medians, "median"))
+
+
+@query("SELECT face, count(*) FILTER (graph = 'G0') AS \"G0\", count(*) FILTER (graph = 'G1') AS \"G1\", count(*) FILTER (graph = 'G2') AS \"G2\" FROM bc GROUP BY face", TYPES + "," + FACE)
+def boundary_by_graph(v, e):
+    """Vertices at each face in the first three graphs."""
+    return morphology.boundary_by_graph(morphology.boundary(v, e, morphology.face_vertices(v, BOX, 5.0)), ["G0", "G1", "G2"])
+
+
+@query("SELECT CASE nkind WHEN 2 THEN 'artery' WHEN 3 THEN 'vein' ELSE 'capillary' END AS type, count(*) AS n, round(avg(length), 6) AS mean, round(any_value(q1), 6) AS q1, round(any_value(q2), 6) AS median, round(any_value(q3), 6) AS q3, round(min(length) FILTER (length >= q1 - 1.5 * (q3 - q1)), 6) AS low, round(max(length) FILTER (length <= q3 + 1.5 * (q3 - q1)), 6) AS high FROM e JOIN (SELECT nkind, quantile_cont(length, 0.25) AS q1, median(length) AS q2, quantile_cont(length, 0.75) AS q3 FROM e GROUP BY nkind) USING (nkind) GROUP BY nkind")
+def box_plot_numbers(v, e):
+    return rounded(stats.box_numbers(e.withColumn("type", label(F.col("nkind"))), "length", ["type"]), 6)
+
+
+@query("SELECT graph, bool_and(least(x, y, z) >= 0) AS nodes_min_ok, bool_and(x <= 470 AND y <= 500 AND z <= 500) AS nodes_max_ok, any_value(lo) AS points_min_ok, any_value(hi) AS points_max_ok FROM v JOIN (SELECT graph, bool_and(least(x, y, z) >= 0) AS lo, bool_and(x <= 470 AND y <= 500 AND z <= 500) AS hi FROM pts GROUP BY graph) USING (graph) GROUP BY graph")
+def inside_volume(v, e):
+    return quality.inside_volume(v, e, (470.0, 500.0, 500.0))
+
+
+@query("SELECT eid, round(sum(sqrt(((x2 - x) * 2) ^ 2 + ((y2 - y) * 2) ^ 2 + ((z2 - z) * 3) ^ 2)), 6) AS length, round(max(greatest(d, d2)) * 2, 6) AS diameter, 'um' AS space, 'network_um' AS folder FROM ms GROUP BY eid")
+def converted_network(v, e):
+    """A saved network in voxels converted to micrometres beside it, twice, and read."""
+    spark = v.sparkSession
+    folder = fresh(spark, "bundle") + "/network"
+    bundle.save_network(v, e, folder, {"space": "voxels"})
+    out = bundle.convert_network(spark, bundle.convert_network(spark, folder, (2.0, 2.0, 3.0)), (1.0, 1.0, 1.0))
+    space = F.lit(spark.read.parquet(f"{out}/graph_meta").first()["space"])
+    return rounded(bundle.load_network(spark, out)[1].select("eid", "length", "diameter", space.alias("space"), F.lit(out.rsplit("/", 1)[1]).alias("folder")), 6)
+
+
+@query("SELECT p.source::DOUBLE AS eid, 4.0::DOUBLE AS nkind, 0.0::DOUBLE AS length, 0.0::DOUBLE AS diameter, len(path) AS n_points, a.x AS x1, a.y AS y1, a.z AS z1, b.x AS x2, b.y AS y2, b.z AS z2 FROM s_p p JOIN v a ON a.graph = p.graph AND a.vid = source JOIN v b ON b.graph = p.graph AND b.vid = target", TOUCH + "," + path_sql("s", "nkind <> 2", "length"))
+def vtp_paths(v, e):
+    """The paths to the nearest veins as written to VTP documents and read back."""
+    folder = fresh(v.sparkSession, "vtp")
+    vtp.write(vtp.path_lines(paths.frontier_paths(vessels(e)), v), folder)
+    return vtp.read(v.sparkSession, folder).drop("document", "piece", "nth")
+
+
+@query("SELECT eid::DOUBLE AS eid, nkind::DOUBLE AS nkind, round(length, 6) AS length, diameter, 2::BIGINT AS n_points, a.x AS x1, a.y AS y1, a.z AS z1, b.x AS x2, b.y AS y2, b.z AS z2 FROM e JOIN v a ON a.vid = src JOIN v b ON b.vid = dst WHERE nkind = 2")
+def vtp_chosen_edges(v, e):
+    """The edges of the artery class, chosen by id, as written and read back."""
+    folder = fresh(v.sparkSession, "vtp")
+    vtp.write(vtp.chosen_lines(v, e, e.where("nkind = 2").select("graph", "eid")), folder)
+    return rounded(vtp.read(v.sparkSession, folder).drop("document", "piece", "nth"), 6)
+
+
+def ontology_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ontology written as a JSON tree and as a CSV file, both read back, with the number of regions below each."""
+    o = ontology(spark, sf_dir)
+    folder = fresh(spark, "ontology")
+    named = F.struct("id", "name", F.left("name", F.lit(3)).alias("acronym"))
+    leaves = o.where("id < 1000").groupBy(F.col("parent_id").alias("id")).agg(F.collect_list(F.struct(named["id"].alias("id"), named["name"].alias("name"), named["acronym"].alias("acronym"))).alias("children"))
+    middle = o.where("id between 1000 and 9998").join(leaves, "id", "left").groupBy(F.col("parent_id").alias("id")).agg(F.collect_list(F.struct("id", "name", F.left("name", F.lit(3)).alias("acronym"), "children")).alias("children"))
+    root = o.where("id = 9999").join(middle, "id").agg(F.collect_list(F.struct("id", "name", F.left("name", F.lit(3)).alias("acronym"), "children")).alias("msg"))
+    root.coalesce(1).write.json(f"{folder}/tree")
+    o.coalesce(1).write.csv(f"{folder}/table", header=True)
+    tree = materialize(bundle.load_region_tree(spark, f"{folder}/tree"), "tree")
+    table = bundle.load_regions(spark, f"{folder}/table").select("id", F.col("parent_id").alias("csv_parent"), F.col("name").alias("csv_name"))
+    return tree.join(table, "id", "full_outer").join(regions.subtree_sizes(tree), "id", "left")
+
+
+QUERIES["ontology_files"] = ontology_files
+ORACLES["ontology_files"] = """WITH o AS (SELECT r_regionkey::BIGINT + 1000 AS id, 9999::BIGINT AS parent_id, r_name AS name FROM region UNION ALL SELECT n_nationkey, n_regionkey + 1000, n_name FROM nation UNION ALL SELECT 9999, NULL, 'root')
+ SELECT id, parent_id, name, name[:3] AS acronym, parent_id AS csv_parent, name AS csv_name, CASE WHEN id = 9999 THEN (SELECT count(*) - 1 FROM o) ELSE (SELECT count(*) FROM o x WHERE x.parent_id = o.id) END::BIGINT AS n_below FROM o"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vgraph.functions.geometry import finite_max, oriented, per_point, segments, tortuosity, total
+from vgraph.functions.geometry import finite_max, oriented, per_point, segments, to_um, tortuosity, total
 from vgraph.plans.workspace import materialize
 from vgraph.schema import finite, require_columns
 from vgraph.sources import columns
@@ -95,6 +95,16 @@ def load_network(spark: SparkSession, folder: str, graph: str | None = None) ->
     return (v, e) if graph is None else (v.where(F.col("graph") == graph), e.where(F.col("graph") == graph))
 
 
+def convert_network(spark: SparkSession, folder: str, factors: tuple[float, float, float]) -> str:
+    """A saved network in micrometres beside it: the folder's name with _um, which is not put there twice."""
+    out = folder.rstrip("/") if folder.rstrip("/").endswith("_um") else f"{folder.rstrip('/')}_um"
+    v, e = to_um(*load_network(spark, folder), factors)
+    if out == folder.rstrip("/"):  # what is read can't be written over
+        v, e = materialize(v, "converted"), materialize(e, "converted")
+    save_network(v, e, out, {"space": "um"})
+    return out
+
+
 def load_regions(spark: SparkSession, path: str) -> DataFrame:
     """(id, parent_id, name) of an ontology's CSV file with a header."""
     return spark.read.csv(path, header=True).select(F.col("id").cast("long").alias("id"), F.col("parent_id").try_cast("long").alias("parent_id"), "name")
