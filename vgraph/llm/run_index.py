@@ -7,17 +7,20 @@ written table:
 1. Documents are packed into blocks. In each window of ``least`` bytes the
    smallest hash of a k-gram marks an anchor, so equal windows have equal
    anchors. Each block sends its distinct anchor hashes, dealt by hash.
-2. Hashes seen in two documents or more go back to the blocks that sent them.
+2. Hashes seen in two documents or more go back to the blocks that sent them,
+   with a mark on those that are hot: that have more than ``HOT`` contexts.
 3. For those, a block sends each distinct context - the bytes of all windows
-   with that anchor - once, with its smallest document, dealt by anchor.
+   with that anchor - once, with its smallest document, dealt by anchor. Contexts of
+   hot anchors are taken apart into windows, which are dealt by their own hash, so a
+   phrase amid different text in most documents fills no shard.
 4. Each shard sorts the suffixes of its contexts, keeps the run-length
    encoded Burrows-Wheeler transform with samples at the run ends, and streams
    all contexts through it by backward steps. The statistic it reads off at each
    window is whether the match with a smaller document is ``least`` long.
    Blocks turn the answers into removed bytes.
 
-All of a shard's data is bounded by the number of shards, which follows the
-size of the input; a passage in a third of all documents is sent once a block.
+The number of shards follows the size of the input; an anchor has a bounded number of
+contexts in its shard, and a passage in a third of all documents is sent once a block.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ from vgraph.llm.arrays import BYTE_VALUE, U64, blob, chunks, give_back, ids, lea
 from vgraph.plans.workspace import materialize
 
 #: Text bytes in a block; bytes of packed documents to a bucket of hashes and to a shard; bytes in
-#: an index and in a piece of text that is hashed at a time; contexts that are hashed at a time.
-BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES, INDEX_BYTES, STEP, SLICE = 4 << 20, 8 << 20, 3 << 20, 300_000, 1 << 17, 1 << 14
+#: an index and in a piece of text that is hashed at a time; contexts that are hashed at a time, and those that make an anchor hot.
+BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES, INDEX_BYTES, STEP, SLICE, HOT = 4 << 20, 8 << 20, 3 << 20, 300_000, 1 << 17, 1 << 14, 4096
 _NONE = np.iinfo(np.int64).max
 
 
@@ -136,8 +139,17 @@ def _deal(h: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted((h >> U64(16)).astype(np.int64) * n >> 30, np.arange(n + 1))
 
 
+def _ends(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A number for each context by its length, first and last eight bytes, where contexts of an anchor differ most."""
+    out = length.astype(U64)
+    for j in range(8):
+        out = out * U64(0x9E3779B97F4A7C15) + data[first + np.minimum(j, length - 1)]
+        out = out * U64(0xBF58476D1CE4E5B9) + data[first + np.maximum(length - 1 - j, 0)]
+    return out
+
+
 def _requests(least: int, buckets: int):
-    """The distinct anchor hashes of each block, twice if the block has one in two documents."""
+    """The distinct anchor hashes of each block, twice if the block has one in two documents, and their numbers of contexts in the block."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,47 +157,74 @@ def _requests(least: int, buckets: int):
             for block, packed in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
                 docs = _unpack(packed)
                 data, offsets = utf8(docs.column("text"))
-                h, first, _ = anchors(data, offsets, least)
+                h, first, count = anchors(data, offsets, least)
                 doc = ids(docs.column("doc_id"))[np.searchsorted(offsets, first, "right") - 1]
+                ends = _ends(data, first, count + least - 1)
                 order = np.argsort(h)
-                h, doc = h[order], doc[order]
+                h, doc, ends = h[order], doc[order], ends[order]
                 starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
                 if not len(starts):
                     continue
                 several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-                h = np.repeat(h[starts], 1 + several)
-                cut = _deal(h, buckets)
+                contexts = np.diff(np.append(starts, len(h)))
+                # where an anchor comes more than once its contexts are told apart
+                of = np.repeat(np.arange(len(starts)), contexts)
+                many = np.flatnonzero(contexts[of] > 1)
+                pair = np.lexsort((ends[many], of[many]))
+                a, e = of[many][pair], ends[many][pair]
+                again = np.append(False, (a[1:] == a[:-1]) & (e[1:] == e[:-1])) if len(a) else np.zeros(0, bool)
+                contexts -= np.bincount(a[again], minlength=len(starts))
+                cut = _deal(h[starts], buckets)
                 full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int64()), "block": pa.array(np.full(len(full), block), pa.int64()), "hashes": pa.array([_pack_hashes(h[cut[b] : cut[b + 1]]) for b in full], pa.binary())})
+                parts = [slice(cut[b], cut[b + 1]) for b in full]
+                hashes = [_pack_hashes(np.repeat(h[starts[p]], 1 + several[p])) for p in parts]
+                weights = [zstandard.ZstdCompressor(level=1).compress(np.minimum(contexts[p], 65535).astype(np.uint16).tobytes()) for p in parts]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int64()), "block": pa.array(np.full(len(full), block), pa.int64()), "hashes": pa.array(hashes, pa.binary()), "weights": pa.array(weights, pa.binary())})
 
     return run
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """For each block of a bucket those of its hashes that two documents have."""
+    """For each block of a bucket those of its hashes that two documents have, and of these the hot ones."""
     parts = [_unpack_hashes(x) for x in table.column("hashes").to_pylist()]
+    weights = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint16) for x in table.column("weights").to_pylist()]
     every = np.sort(np.concatenate(parts))
     wanted = np.unique(every[1:][every[1:] == every[:-1]])
-    out_block, out = [], []
-    for block, part in zip(table.column("block").to_pylist(), parts, strict=True):
+    total = np.zeros(len(wanted), np.int64)
+    hits = []
+    for part, weight in zip(parts, weights, strict=True):
         part = np.unique(part)
         at = np.minimum(np.searchsorted(wanted, part), max(len(wanted) - 1, 0))
-        if len(wanted) and len(hit := part[wanted[at] == part]):
+        hit = wanted[at] == part if len(wanted) else np.zeros(len(part), bool)
+        total[at[hit]] += weight[hit]
+        hits.append(at[hit])
+    out_block, out, hot = [], [], []
+    for block, at in zip(table.column("block").to_pylist(), hits, strict=True):
+        if len(at):
             out_block.append(block)
-            out.append(_pack_hashes(hit))
-    return pa.table({"block": pa.array(out_block, pa.int64()), "hashes": pa.array(out, pa.binary())})
+            out.append(_pack_hashes(wanted[at]))
+            hot.append(wanted[at[total[at] > HOT]].tobytes())
+    return pa.table({"block": pa.array(out_block, pa.int64()), "hashes": pa.array(out, pa.binary()), "hot": pa.array(hot, pa.binary())})
 
 
 class Contexts:
-    """The contexts of a block's repeated anchors: where each occurs, and the distinct ones by anchor."""
+    """The contexts of a block's repeated anchors: where each occurs, and the distinct ones by what they are dealt by.
+
+    That is the anchor, or for the windows of a hot one the window.
+    """
 
-    def __init__(self, docs: pa.RecordBatch, wanted: list[bytes], least: int):
+    def __init__(self, docs: pa.RecordBatch, wanted: list[dict], least: int):
         self.data, self.offsets = utf8(docs.column("text"))
         self.doc = ids(docs.column("doc_id"))
         h, first, count = anchors(self.data, self.offsets, least)
-        want = np.sort(np.concatenate([_unpack_hashes(x) for x in wanted]))
+        want = np.sort(np.concatenate([_unpack_hashes(x["hashes"]) for x in wanted]))
+        hot = np.sort(np.frombuffer(b"".join(x["hot"] for x in wanted), U64))
         hit = want[np.minimum(np.searchsorted(want, h), len(want) - 1)] == h
-        h, self.first, self.count = h[hit], first[hit], count[hit]
+        h, first, count = h[hit], first[hit], count[hit]
+        apart = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+        windows = spans(first[apart], count[apart])
+        self.first = np.concatenate([first[~apart], windows])
+        self.count = np.concatenate([count[~apart], np.ones(len(windows), np.int64)])
         length = self.count + least - 1
         key = np.zeros(len(length), U64)
         for a in range(0, len(length), SLICE):
@@ -193,6 +232,7 @@ class Contexts:
             begin = np.cumsum(length[mine]) - length[mine]
             value = BYTE_VALUE[self.data[spans(self.first[mine], length[mine])]] * powers(2 * least)[spans(np.zeros(len(begin), np.int64), length[mine])]
             key[mine] = mix(np.add.reduceat(value, begin) ^ length[mine].astype(U64))
+        h = np.concatenate([h[~apart], mix(key[len(key) - len(windows) :]) >> U64(18)])
         self.row = np.searchsorted(self.offsets, self.first, "right") - 1
         doc = self.doc[self.row]
         order = np.lexsort((doc, key, h))
@@ -395,7 +435,7 @@ def _cut(least: int, schema: pa.Schema, texts: bool):
     return run
 
 
-def removed(docs: pa.RecordBatch, wanted: list[bytes], answers: list[dict], least: int) -> np.ndarray:
+def removed(docs: pa.RecordBatch, wanted: list[dict], answers: list[dict], least: int) -> np.ndarray:
     """Which bytes of a block go."""
     c = Contexts(docs, wanted, least)
     undo = zstandard.ZstdDecompressor()
@@ -468,9 +508,9 @@ def remove_repeats(docs: DataFrame, least: int = 50, texts: bool = True) -> Data
     blocks = materialize(docs.mapInArrow(_blocks(), "block long, docs binary"), "blocks")
     size = int(blocks.agg(F.coalesce(F.sum(F.length("docs")), F.lit(0))).first()[0])
     buckets, shards = size // BUCKET_BYTES + 1, size // SHARD_BYTES + 1
-    requests = blocks.mapInArrow(_requests(least, buckets), "bucket long, block long, hashes binary")
-    found = requests.groupBy("bucket").applyInArrow(_repeated, "block long, hashes binary")
-    wanted = materialize(found.groupBy("block").agg(F.collect_list("hashes").alias("wanted")), "wanted")
+    requests = blocks.mapInArrow(_requests(least, buckets), "bucket long, block long, hashes binary, weights binary")
+    found = requests.groupBy("bucket").applyInArrow(_repeated, "block long, hashes binary, hot binary")
+    wanted = materialize(found.groupBy("block").agg(F.collect_list(F.struct("hashes", "hot")).alias("wanted")), "wanted")
     asked = blocks.join(wanted, "block")
     contexts = asked.mapInArrow(_contexts(least, shards), "shard long, block long, data binary")
     answers = contexts.groupBy("shard").applyInArrow(_answers(least), "block long, shard long, data binary")
