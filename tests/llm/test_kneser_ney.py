@@ -94,3 +94,9 @@ def test_toxic_words_in_good_prose_show(spark):
     out = op8_kneser_ney(spark, d).join(labels, "doc_id").where("lang = 'en' and quality = 1").selectExpr("toxic", "int(kept) kept").groupBy("toxic").avg("kept").collect()
     share = {r[0]: r[1] for r in out}
     assert share[1] < 0.1 and share[0] > 0.98
+
+
+def test_null_is_not_the_language_of_an_empty_name(spark):
+    rows = [(i, "aab abb " * 4, "") for i in range(30)] + [(100, "zq xj", None), (101, "zq xj", ""), (102, "zq xj", "=")]
+    got = {r["doc_id"]: (r["kept"], r["threshold"] is None) for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.range(30).withColumnRenamed("id", "doc_id"), 0.9).collect()}
+    assert (got[100], got[101], got[102]) == ((True, True), (False, False), (True, True))

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -97,8 +97,13 @@ def _by_table(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (letters[found // n] << 16) | letters[found % n], place[pair]
 
 
+def _language() -> Column:
+    """A language's name in tables: none for null, which is not the language of an empty name."""
+    return F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
+
+
 def _languages(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
-    names = np.array(["" if x is None else x for x in batch.column("lang").to_pylist()], object)
+    names = np.array(["" if x is None else f"={x}" for x in batch.column("lang").to_pylist()], object)
     return np.unique(names.astype(str), return_inverse=True) if len(names) else ([], np.zeros(0, int))
 
 
@@ -219,7 +224,7 @@ def scorer(docs: DataFrame, trusted_ids: DataFrame) -> tuple[DataFrame, Callable
 def _by_join(docs: DataFrame, scores: DataFrame) -> DataFrame:
     """The scores of each row by a join of its text's distinct grams with the table; rows of equal texts share one."""
     keys = ["__kn_lang", "__kn_text"]
-    docs = docs.withColumn(keys[0], F.coalesce("lang", F.lit(""))).withColumn(keys[1], F.sha2(F.coalesce("text", F.lit("")), 256))
+    docs = docs.withColumn(keys[0], _language()).withColumn(keys[1], F.sha2(F.coalesce("text", F.lit("")), 256))
 
     @lean
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +269,7 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, wor
     language is one of its own. Repeated rows are judged alike. Columns of ``docs`` with the added names are replaced.
     """
     docs, score = scorer(docs, trusted_ids)
-    lang = F.coalesce("lang", F.lit("")).alias("__kn_lang")
+    lang = _language().alias("__kn_lang")
     cut = lambda c, q: F.percentile_approx(c, q, 10000)
     limits = score(docs.where("trusted")).select(lang, "perplexity", "worst_perplexity").groupBy("__kn_lang").agg(cut("perplexity", quantile).alias("threshold"), cut("worst_perplexity", worst_quantile or quantile).alias("worst_threshold"))
     limits = materialize(limits, "limits")
