@@ -266,6 +266,25 @@ def test_stars_and_text(spark):
     df = spark.createDataFrame([(0.00001,), (0.004,), (0.2,), (None,)], "p double")
     got = df.select(stats.p_stars(F.col("p")), stats.p_text(F.col("p"))).collect()
     assert [tuple(r) for r in got] == [("****", "p<0.001"), ("**", "p=0.004"), ("ns", "p=0.200"), ("", "n/a")]
+    got = df.select(stats.p_stars(F.col("p"), 3), stats.p_class(F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [("***", "p<1e-4"), ("**", "p<0.01"), ("ns", "ns (p=0.20)"), ("NA", "p=NA")]
+
+
+def test_a_path_that_lacks_an_edge_has_none(spark):
+    _, e = network(spark, [(i, 0, 0) for i in range(5)], [(0, 1, 4), (1, 2, 4), (1, 0, 3), (3, 4, 4)])
+    found = spark.createDataFrame([("g", 0, [0, 1, 2]), ("g", 1, [1, 2, 3]), ("g", 2, [2])], "graph string, source long, path array<long>")
+    assert sorted(tuple(r)[1:4] for r in paths.path_edges(found, e).collect()) == [(0, 0, 0), (0, 1, 1)]
+
+
+def test_seeded_samples_and_synced_columns(spark):
+    found = spark.createDataFrame([(g, k, k + 1) for g in "ab" for k in range(20)], "graph string, source long, target long")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(paths.sample_paths(found, 3)) == [(g, k, k + 1) for g in "ab" for k in range(3)]
+    one = rows(paths.sample_paths(found, 5, seed=1))
+    assert len(one) == 10 and one == rows(paths.sample_paths(found.repartition(7), 5, seed=1)) != rows(paths.sample_paths(found, 5, seed=2))
+    v = spark.createDataFrame([("a", 0, 9.0), ("a", 1, 9.0), ("b", 0, 9.0)], "graph string, vid long, r double")
+    new = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 3.0), ("b", 1, 4.0)], "graph string, vid long, r double")
+    assert sorted(map(str, quality.synced(v, new, ["r"]).collect())) == ["Row(graph='a', vid=0, r=1.0)", "Row(graph='a', vid=1, r=2.0)", "Row(graph='b', vid=0, r=None)"]
 
 
 def plain_chains(voxels):

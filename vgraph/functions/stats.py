@@ -209,5 +209,15 @@ def p_text(p: Column) -> Column:
     return F.when(p.isNull(), "n/a").when(p < 0.001, "p<0.001").otherwise(F.format_string("p=%.3f", p))
 
 
-def p_stars(p: Column) -> Column:
-    return F.when(p.isNull(), "").when(p < 0.0001, "****").when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+def p_class(p: Column) -> Column:
+    """The class of a probability as comparisons of regions name it."""
+    classes = F.when(p < 1e-4, "p<1e-4").when(p < 1e-3, "p<0.001").when(p < 1e-2, "p<0.01").when(p < 0.05, "p<0.05")
+    return F.when(p.isNull() | F.isnan(p), "p=NA").otherwise(F.coalesce(classes, F.format_string("ns (p=%.2f)", p)))
+
+
+def p_stars(p: Column, most: int = 4) -> Column:
+    """Four stars at most, and nothing where p is missing; or three, and NA there."""
+    stars = F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+    if most == 3:
+        return F.when(p.isNull() | F.isnan(p), "NA").otherwise(stars)
+    return F.when(p.isNull(), "").when(p < 0.0001, "****").otherwise(stars)

@@ -88,6 +88,14 @@ def boundary_stats(rows: DataFrame, threshold: int = 4) -> DataFrame:
     return out.withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy("graph", "face")))
 
 
+def boundary_depths(rows: DataFrame) -> DataFrame:
+    """By graph and face: n, min, mean, median and max depth of the face's vertices."""
+    known = materialize(rows.select("graph", "face", "distance_to_surface"), "depths").where("distance_to_surface is not null")
+    d, keys = F.col("distance_to_surface"), ["graph", "face"]
+    out = known.groupBy(*keys).agg(F.count(d).alias("n"), F.min(d).alias("min_depth"), F.avg(d).alias("mean_depth"), F.max(d).alias("max_depth"))
+    return joined(out, percentiles(known, "distance_to_surface", keys, {"median_depth": 0.5}), keys, "left")
+
+
 def boundary_table(rows: DataFrame) -> DataFrame:
     """By graph and face, all six of them: vertices of each type, zeros filled in."""
     faces = rows.sparkSession.createDataFrame([(f[0],) for f in FACES], "face string")

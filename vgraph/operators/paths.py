@@ -155,10 +155,13 @@ def frontier_paths(edges: DataFrame, arteries: bool = False, weight: str = "leng
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph, source, at, eid, nkind, length): the edges along paths, the smallest id of parallel ones."""
+    """(graph, source, at, eid, nkind, length): the edges along paths, the smallest id of parallel ones; none of a path that lacks an edge."""
     pick = edges.groupBy("graph", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min_by(F.struct("eid", "nkind", "length"), "eid").alias("e"))
     pairs = paths.where(F.size("path") > 1).select("graph", "source", F.posexplode(F.zip_with(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("path", F.lit(2), F.size("path") - 1), lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))).alias("at", "p"))
-    return pairs.select("graph", "source", "at", "p.*").join(pick, ["graph", "a", "b"]).select("graph", "source", "at", "e.*")
+    found = pairs.select("graph", "source", "at", "p.*").join(pick, ["graph", "a", "b"], "left")
+    # a window holds one path
+    whole = F.bool_and(F.col("e").isNotNull()).over(Window.partitionBy("graph", "source"))
+    return found.withColumn("whole", whole).where("whole").select("graph", "source", "at", "e.*")
 
 
 def path_summary(paths: DataFrame, edges: DataFrame) -> DataFrame:

@@ -59,6 +59,18 @@ def tree_summary(edges: DataFrame, nkind: int, name: str) -> DataFrame:
     return table.groupBy("graph").agg(*(c.alias(f"{name}_{k}") for k, c in named.items()))
 
 
+def tree_table(sizes: DataFrame, edges: DataFrame) -> DataFrame:
+    """By graph, as text: major and all components of arteries and veins ("major/all"), and the first major trees' edges and vertices ("n (pct%)")."""
+    out = sizes
+    for k, name in ((2, "artery"), (3, "vein")):
+        t = tree_summary(edges, k, name)
+        count = F.format_string("%d/%d", F.col(f"{name}_major"), F.col(f"{name}_components")).alias(f"{name}_trees")
+        part = lambda c, name=name: F.when(F.col(f"{name}_first_pct_{c}").isNotNull(), F.format_string("%d (%.1f%%)", F.col(f"{name}_first_{c}"), F.col(f"{name}_first_pct_{c}"))).otherwise("N/A").alias(f"{name}_first_{c}")
+        out = out.join(t.select("graph", count, part("edges"), part("nodes")), "graph", "left")
+        out = out.na.fill("0/0", [f"{name}_trees"]).na.fill("N/A", [f"{name}_first_edges", f"{name}_first_nodes"])
+    return out
+
+
 def by_class(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (graph, nkind, columns) as one row a graph, a column for each class."""
     return rows.groupBy("graph").agg(*(F.max(F.when(F.col("nkind") == k, F.col(c))).alias(f"{c}_{name}") for c in columns for k, name in LABELS.items()))
@@ -68,7 +80,7 @@ def boundary_tests(rows: DataFrame, group: Column, first: str, second: str) -> D
     """Welch's test of the percentages of vessel types at boundaries (type, pct) between two groups of rows, by type, with stars and text."""
     known = rows.where("type <> 'unknown'").select("type", "pct", group.alias("group"))
     out = stats.welch(known, "pct", "group", [first, second], ["type"])
-    return out.withColumn("stars", stats.p_stars(F.col("p"))).withColumn("p_text", stats.p_text(F.col("p")))
+    return out.withColumn("stars", stats.p_stars(F.col("p"), 3)).withColumn("p_text", stats.p_class(F.col("p")))
 
 
 def region_comparison(vertices: DataFrame, edges: DataFrame, group: Column, first: str, second: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vgraph.functions import geometry, stats
 from vgraph.operators import clip, flow, morphology, paths, quality, regions, skeleton, topology
+from vgraph.plans import analysis
 from vgraph.plans.analysis import boundary_tests, network_summary, region_comparison
 from vgraph.plans.workspace import materialize, work_dir
 from vgraph.schema import label
@@ -687,3 +688,16 @@ def ontology_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["ontology_files"] = ontology_files
 ORACLES["ontology_files"] = """WITH o AS (SELECT r_regionkey::BIGINT + 1000 AS id, 9999::BIGINT AS parent_id, r_name AS name FROM region UNION ALL SELECT n_nationkey, n_regionkey + 1000, n_name FROM nation UNION ALL SELECT 9999, NULL, 'root')
  SELECT id, parent_id, name, name[:3] AS acronym, parent_id AS csv_parent, name AS csv_name, CASE WHEN id = 9999 THEN (SELECT count(*) - 1 FROM o) ELSE (SELECT count(*) FROM o x WHERE x.parent_id = o.id) END::BIGINT AS n_below FROM o"""
+
+
+@query("SELECT graph, face, count(*) AS n, min(distance_to_surface) AS min_depth, round(avg(distance_to_surface), 4) AS mean_depth, median(distance_to_surface) AS median_depth, max(distance_to_surface) AS max_depth FROM bc JOIN v USING (graph, vid) GROUP BY graph, face", TYPES + "," + FACE)
+def boundary_depths(v, e):
+    return rounded(morphology.boundary_depths(morphology.boundary(v, e, morphology.face_vertices(v, BOX, 5.0))))
+
+
+@query("""SELECT graph, nv AS n_vertices, count(*) FILTER (is_major) || '/' || count(*) AS artery_trees, coalesce(max(printf('%d (%.1f%%)', n_edges, 100.0 * n_edges / te)) FILTER (major_tree_id = 1), 'N/A') AS artery_first_edges, coalesce(max(printf('%d (%.1f%%)', n_nodes, 100.0 * n_nodes / tn)) FILTER (major_tree_id = 1), 'N/A') AS artery_first_nodes
+ FROM (SELECT *, sum(n_edges) OVER (PARTITION BY graph) AS te, sum(n_nodes) OVER (PARTITION BY graph) AS tn FROM trees) JOIN (SELECT graph, count(*) AS nv FROM v GROUP BY graph) USING (graph) GROUP BY graph, nv""", TREES)
+def tree_table(v, e):
+    """The artery trees of each graph as text for a table."""
+    out = analysis.tree_table(v.groupBy("graph").agg(F.count("*").alias("n_vertices")), vessels(e))
+    return out.select("graph", "n_vertices", "artery_trees", "artery_first_edges", "artery_first_nodes")
