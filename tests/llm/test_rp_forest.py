@@ -66,3 +66,11 @@ def test_splits_leave_a_close_cluster_whole_and_the_rest_in_leaves():
 
 def test_empty(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_very_large_and_small_components(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(8)
+    rows = [(k, [float(x) for x in base * scale], 1) for k, scale in enumerate((1.0, 1e200, 1e-200, -1e300, 1e-300))] + [(9, [1e308] * 8, 1), (10, [5e-324] + [0.0] * 7, 1), (11, [1.0] + [0.0] * 7, 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 4: (3, 0), 3: (0, 3), 9: (0, 9), 10: (1, 10), 11: (1, 10)}

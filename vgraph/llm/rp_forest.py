@@ -55,9 +55,10 @@ def _fit(unit: np.ndarray, directions: np.ndarray, depth: int, margin: float, le
             if n < 2**level - 1 or len(x) <= max(NODE, least):
                 continue
             tried = x[np.linspace(len(x) // 4, 3 * len(x) // 4, 33).astype(int)]
-            spill = (np.searchsorted(x, tried + margin, "right") - np.searchsorted(x, tried - margin)) / len(x)
-            best = np.lexsort((np.abs(np.arange(33) - 16), spill))[0]
-            if spill[best] <= SPILL:
+            left, right = np.searchsorted(x, tried + margin, "right"), len(x) - np.searchsorted(x, tried - margin)
+            # the products that are left on both sides weigh what goes to both against even halves
+            best = np.lexsort((np.abs(np.arange(33) - 16), left * left + right * right))[0]
+            if left[best] + right[best] - len(x) <= SPILL * len(x):
                 splits[n] = tried[best]
         split = splits[node]
         go = ~np.isnan(split)
@@ -89,8 +90,8 @@ def _fitted(cosine: float):
         dim, most, n = (table.column(c)[0].as_py() for c in ("dim", "most", "n"))
         unit = np.stack(_vectors(table.column("embedding").combine_chunks()))
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        # a level more than even splits would take
-        depth = max(0, min(LEVELS, math.ceil(math.log2(most / leaf_size(most))) + 1, int(math.log2(len(unit) / NODE + 1)) + 1))
+        # half as many levels more than even splits would take, as some vectors go to both sides; a node in its aim stays whole
+        depth = max(0, min(LEVELS, math.ceil(1.5 * math.log2(most / leaf_size(most))) + 1, int(math.log2(len(unit) / NODE + 1)) + 1))
         margin = math.sqrt(max(0.0, 2 - 2 * cosine) / dim)
         splits = [_fit(unit, _directions(dim, t, depth), depth, margin, leaf_size(most) * len(unit) / most).tobytes() for t in range(TREES)]
         return pa.table({"dim": pa.array([dim], pa.int32()), "depth": pa.array([depth], pa.int32()), "splits": pa.array([splits], pa.list_(pa.binary()))})
@@ -99,7 +100,13 @@ def _fitted(cosine: float):
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray]:
-    return [np.asarray(x, np.float64) for x in column.to_numpy(zero_copy_only=False)]
+    return [_scaled(np.asarray(x, np.float64)) for x in column.to_numpy(zero_copy_only=False)]
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """A vector whose squares fit double precision: a very large or small one is scaled by a power of two, which leaves cosines as they are."""
+    top = np.abs(x).max(initial=0.0)
+    return x if 2.0**-400 < top < 2.0**400 or not top else np.ldexp(x, -np.frexp(top)[1])
 
 
 def _assign(model: dict, cosine: float, kind: str):
