@@ -328,7 +328,7 @@ def test_chains_in_order(spark):
     assert all(r["n"] == r["last"] + 1 == r["d"] for r in ordered)
 
 
-@pytest.mark.parametrize(("bins", "few"), [(4096, 4096), (64, 3)])
+@pytest.mark.parametrize(("bins", "few"), [(4096, 4096), (64, 20)])
 def test_percentiles_by_refined_histograms(spark, monkeypatch, bins, few):
     monkeypatch.setattr(stats, "BINS", bins)
     monkeypatch.setattr(stats, "FEW", few)
