@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vgraph.llm.mixing import mix_sources
-from vgraph.llm.packing import LENGTH, pack, plan
+from vgraph.llm.packing import LENGTH, SLACK, fill, pack, plan, slots
 from vgraph.llm.tokens import Encoder, default_vocabulary
 from vgraph.llm.vbyte import decode, encode, new_folder, read_ids, write_ids
 
@@ -110,6 +110,53 @@ def test_plan_places_every_piece():
         assert placed == histogram
 
 
+def test_filled_plans_pad_little_for_any_lengths():
+    rng = random.Random(4)
+    hostile = [{n: rng.randint(1, 3000) for n in range(2100, 2701)}, {1365: 1_000_000, 1366: 1_000_000}, {2049: 1_000_003}, {4000: 17, 2500: 10, 1: 12}, {1500: 7, 3: 1}, {4096: 5}, {1: 10_000}, {3000: 1, 2000: 1}, {}]
+    hostile += [{rng.randint(1, 4096): rng.randint(1, 50_000) for _ in range(rng.randint(1, 40))} for _ in range(60)]
+    for most, histogram in [(4096, h) for h in hostile] + [(16, {rng.randint(1, 16): rng.randint(1, 90) for _ in range(5)}) for _ in range(200)]:
+        filled = fill(plan(histogram, most), most)
+        total, packs = sum(k * n for k, n in histogram.items()), sum(p for p, _, _ in filled)
+        assert all(p > 0 and sum(k * n for k, n in pattern) + sum(b - a for _, _, a, b in parts) <= most for p, pattern, parts in filled)
+        assert packs * most - total < most + (most // SLACK) * packs
+        # each id of each piece has one place
+        for length, rows in slots(filled).items():
+            edges = sorted({*rows[:, 0].tolist(), *rows[:, 1].tolist()})
+            assert edges[0] == 0 and edges[-1] == histogram[length]
+            for low in edges[:-1]:
+                mine = sorted((a, b) for first, end, a, b, *_ in rows.tolist() if first <= low < end)
+                assert mine[0][0] == 0 and mine[-1][1] == length and all(x[1] == y[0] for x, y in zip(mine, mine[1:], strict=False))
+
+
+def test_pieces_are_cut_to_fill_sequences(spark):
+    rows = [(i, "word " * (32 + i % 9)) for i in range(500)] + [(7, "word " * 33)] * 2 + [(None, "word " * 150), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = pack(df, most=64).collect()
+    want = sorted(real(t) for _, t in rows)
+    sequences, docs = defaultdict(list), defaultdict(list)
+    for r in got:
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        docs[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist(), r["doc_tokens"]))
+    for parts in sequences.values():
+        ends = [0, *(a + n for a, n in sorted(parts))]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 64
+    total = sum(map(len, want))
+    assert sorted(sequences) == list(range(len(sequences))) and len(sequences) * 64 - total < 64 + len(sequences)
+    assert len(got) > len(rows) + 50
+    for doc, text in rows:
+        if doc not in (7, None):
+            parts = sorted(docs[doc])
+            assert [x for _, ids, _ in parts for x in ids] == real(text) and {n for *_, n in parts} == {len(real(text))}
+            assert [a for a, *_ in parts] == [sum(len(x) for _, x, _ in parts[:k]) for k in range(len(parts))]
+    for doc in (7, None):
+        assert sum(len(x) for _, x, _ in docs[doc]) == sum(len(real(t)) for d, t in rows if d == doc)
+    plain = pack(df, most=64, with_ids=False)
+    assert "ids" not in plain.columns
+    key = lambda r: (r["sequence_id"], r["offset"], r["doc_id"] or -1, r["start"], r["length"], r["ids_crc32"], r["doc_tokens"])
+    assert sorted(map(key, plain.collect())) == sorted(map(key, got))
+
+
 def test_mixing_reaches_its_targets(spark):
     rows = [(i, "x" * 10, "big" if i % 4 else "small") for i in range(8000)] + [(9000, "y", None), (9001, None, "none"), (9002, "", "small")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
