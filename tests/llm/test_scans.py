@@ -57,6 +57,14 @@ def test_other_licenses_and_denials_are_no_notices(spark):
     assert [r["license"] for r in scan_licenses(spark.createDataFrame([(1, shared)], "doc_id long, text string")).collect()] == ["BSD-2-Clause OR BSD-3-Clause"]
 
 
+def test_short_forms_other_spellings_and_denials_far_off(spark):
+    said = [("Released under the MIT Licence.", "MIT"), ("It is available under the MIT License, as is the rest.", "MIT"), ("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ("Licensed under the GNU GPL v3", "GPL-3.0"), ("x\n  The MIT License\n\nCopyright", "MIT"), ("(MIT License)", "MIT"), ("It is not new, but it is licensed under CC BY 4.0.", "CC-BY-4.0"), ("Distributed under the Apache Licence 2.0", "Apache-2.0")]
+    none = ["It is not in any way licensed under CC BY 4.0.", "Nothing here is licensed under the MIT License.", "It was formerly released under the MIT License.", "Released under the MIT License, which no longer holds.", "We like the MIT License for what it says", "SPDX-License-Identifier: AGPL-3.0-only", "Licensed under the GNU GPL v1", "Released under the ISC License."]
+    rows = list(enumerate([t for t, _ in said] + none))
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got) == [(k, name) for k, (_, name) in enumerate(said)]
+
+
 def plain_rule(url):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
