@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vgraph.functions import stats
 from vgraph.operators import clip, components, flow, paths, quality, skeleton, topology
 from vgraph.operators.components import connected_components
+from vgraph.plans.workspace import materialize
 from vgraph.schema import EDGES, VERTICES
 from vgraph.sources import bundle, columns, vtp
 
@@ -403,3 +404,22 @@ def test_neighbours_across_bricks(spark, monkeypatch):
         monkeypatch.setattr(skeleton, "BUCKET", bucket)
         assert sorted(tuple(r) for r in skeleton.adjacency(df).collect()) == want
     assert skeleton.adjacency(df.limit(0)).count() == 0
+
+
+def test_rows_of_files_are_not_joined_through_the_driver(spark, tmp_path):
+    for name in ("radii", "annotation"):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 5000)
+    try:
+        both = bundle.rows(spark, str(tmp_path), "radii").join(bundle.rows(spark, str(tmp_path), "annotation"), "row").where("radius = annotation and radius = row")
+        assert len(both.collect()) == 5000
+        # the plan as it ran
+        assert "BroadcastHashJoin" not in both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_files_of_many_rows_are_not_joined_through_the_driver(spark):
+    rows = materialize(spark.range(3_000_000).select(F.lit("G").alias("graph"), F.col("id")), "rows")
+    both = rows.join(rows.withColumnRenamed("graph", "other"), "id")
+    assert "BroadcastHashJoin" not in both._jdf.queryExecution().executedPlan().toString()

@@ -1,7 +1,7 @@
 """Headerless CSV files whose row order is the key: several files read side by side by ranges of rows, and written so in one sort.
 
 Reading counts the rows of byte ranges first, all ranges at once; then a task for each range of rows takes its lines out of every
-file. Nothing is written or shuffled, and the row number comes with the rows. Writing sorts once; each task writes its part of all
+file. Nothing is written or shuffled, the row number comes with the rows, and no size is claimed that would send them to the driver. Writing sorts once; each task writes its part of all
 files into a folder of its own, and the driver moves the parts of the tasks that were committed.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyarrow import csv, fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 #: Bytes of a range that is counted, and of the longest file that a task reads.
@@ -77,23 +77,34 @@ def _lines(store: fs.FileSystem, ranges: list[dict], first: int, last: int) -> b
     return b"".join(out)
 
 
-def _read(folder: str, files: dict[str, list[str]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = place(folder)
-        for batch in batches:
-            for r in batch.to_pylist():
-                ranges, columns = json.loads(r["ranges"]), {}
-                for name, names in files.items():
-                    data = _lines(store, ranges[name], r["first"], r["last"])
-                    kinds = dict.fromkeys(names, pa.float64())
-                    options = csv.ConvertOptions(column_types=kinds, strings_can_be_null=True)
-                    table = csv.read_csv(io.BytesIO(data), csv.ReadOptions(column_names=names, use_threads=False), csv.ParseOptions(ignore_empty_lines=False), options)
-                    if table.num_rows != r["last"] - r["first"]:
-                        raise ValueError(f"{folder}/{name}.csv: {table.num_rows} rows read from {r['first']} to {r['last']}")
-                    columns |= {c: table.column(c).combine_chunks() for c in names}
-                yield pa.RecordBatch.from_pydict({"row": pa.array(np.arange(r["first"], r["last"])), **columns})
+@dataclass
+class _Rows(InputPartition):
+    first: int
+    last: int
+    ranges: dict[str, list[dict]]
 
-    return run
+
+class _Reader(DataSourceReader):
+    """One task for each range of rows."""
+
+    def __init__(self, folder: str, files: dict[str, list[str]], tasks: list[list]):
+        self.folder, self.files, self.tasks = folder, files, tasks
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Rows(*t) for t in self.tasks]
+
+    def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
+        store, _ = place(self.folder)
+        first, last, columns = partition.first, partition.last, {}
+        for name, names in self.files.items():
+            data = _lines(store, partition.ranges[name], first, last)
+            kinds = dict.fromkeys(names, pa.float64())
+            options = csv.ConvertOptions(column_types=kinds, strings_can_be_null=True)
+            table = csv.read_csv(io.BytesIO(data), csv.ReadOptions(column_names=names, use_threads=False), csv.ParseOptions(ignore_empty_lines=False), options)
+            if table.num_rows != last - first:
+                raise ValueError(f"{self.folder}/{name}.csv: {table.num_rows} rows read from {first} to {last}")
+            columns |= {c: table.column(c).combine_chunks() for c in names}
+        yield pa.RecordBatch.from_pydict({"row": pa.array(np.arange(first, last)), **columns})
 
 
 def read(spark: SparkSession, folder: str, files: dict[str, list[str]]) -> DataFrame:
@@ -127,12 +138,13 @@ def read(spark: SparkSession, folder: str, files: dict[str, list[str]]) -> DataF
     longest = max(sum(r["length"] for r in rows) for rows in of.values())
     step = max(1, -(-total // (longest // READ + 1)))
     tasks = []
-    for k, first in enumerate(range(0, total, step)):
+    for first in range(0, total, step):
         last = min(first + step, total)
         # a line may run over the end of a range, so the range behind is read for its first line's beginning
         need = {name: [{c: r[c] for c in ("path", "start", "length", "row", "n")} for r in rows if r["row"] <= last and r["row"] + r["n"] >= first] for name, rows in of.items()}
-        tasks.append((k, first, last, json.dumps(need)))
-    return _each(spark, tasks, "k long, first long, last long, ranges string").mapInArrow(_read(folder, files), schema)
+        tasks.append((first, last, need))
+    spark.dataSource.register(ColumnFiles)
+    return spark.read.format("column_files").schema(schema).option("files", json.dumps(files)).option("tasks", json.dumps(tasks)).load(folder)
 
 
 @dataclass
@@ -179,12 +191,15 @@ class _Writer(DataSourceArrowWriter):
 
 
 class ColumnFiles(DataSource):
-    """A sink that writes groups of columns (option ``files``, as JSON) to CSV files side by side."""
+    """Groups of columns (option ``files``, as JSON) in CSV files side by side: written, or read by ranges of rows (option ``tasks``)."""
 
     @classmethod
     def name(cls) -> str:
         return "column_files"
 
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Reader(self.options["path"], json.loads(self.options["files"]), json.loads(self.options["tasks"]))
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"], json.loads(self.options["files"]))
 
