@@ -423,3 +423,42 @@ def test_small_files_of_many_rows_are_not_joined_through_the_driver(spark):
     rows = materialize(spark.range(3_000_000).select(F.lit("G").alias("graph"), F.col("id")), "rows")
     both = rows.join(rows.withColumnRenamed("graph", "other"), "id")
     assert "BroadcastHashJoin" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hops_of_small_graphs_in_parts_and_of_large_ones_in_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = {g: [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] for g, n, m in (("a", 40, 60), ("b", 25, 20), ("c", 30, 90))}
+    e = spark.createDataFrame([(g, a, b) for g, ps in pairs.items() for a, b in ps], "graph string, src long, dst long")
+    sources, targets = (spark.createDataFrame([(g, v) for g in "abc" for v in range(k, 42, 3)], "graph string, vid long") for k in (0, 1))
+    sources = sources.unionByName(targets.where("vid < 8"))
+    want = {}
+    for g, ps in pairs.items():
+        near = {}
+        for a, b in ps:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        for s in {r["vid"] for r in sources.where(F.col("graph") == g).collect()}:
+            best, front = {s: (s,)}, [s]
+            while front:
+                new = {}
+                for v in front:
+                    for w in near.get(v, ()):
+                        if w not in best:
+                            new[w] = min(new.get(w, (1 << 30,)), (*best[v], w))
+                best |= new
+                front = list(new)
+            want |= {(g, s, t): list(p) for t, p in best.items() if t % 3 == 1 and t != s}
+    asked = spark.createDataFrame([k for k in want if k[1] % 2], "graph string, source long, target long")
+    writes = []
+    add = paths.Rounds.add
+    monkeypatch.setattr(paths.Rounds, "add", lambda self, rows: writes.append(1) or add(self, rows))
+    for task, cells in ((20_000, 300), (150, 500)):
+        monkeypatch.setattr(paths, "HOP_TASK", task)
+        monkeypatch.setattr(paths, "CELLS", cells)
+        writes.clear()
+        assert {(r["graph"], r["source"], r["target"]): r["path"] for r in paths.hop_paths(e, sources, targets).collect()} == want
+        assert {(r["graph"], r["source"], r["target"]): r["hops"] for r in paths.hop_distances(e, sources, targets).collect()} == {k: len(p) - 1 for k, p in want.items()}
+        # small graphs write no table a round
+        assert bool(writes) == (task < 20_000)
+    monkeypatch.undo()
+    assert {tuple(r)[:3] for r in paths.hop_paths(e, sources, targets, asked).collect()} == {k for k in want if k[1] % 2}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from vgraph.plans.workspace import Rounds, materialize
 
 #: Edges up to which one task takes a whole graph.
 ONE_TASK = 200_000
+#: Arcs between different pairs up to which one task finds all hops of a graph to a part of its targets, and the most arcs times targets of a part.
+HOP_TASK, CELLS = 20_000, 500_000
 LABEL = "dist double, hops int, target long, after long"
 ROW = "struct<dist: double, hops: int, target: long, after: long, new: boolean>"
 NEAREST = f"graph string, vid long, {LABEL}, path array<long>"
@@ -261,34 +265,110 @@ def _pairs(reached: DataFrame, packed: DataFrame, sources: DataFrame) -> DataFra
     return found.select("graph", "pack", F.col("vid").alias("source"), F.col("level").alias("hops"), bits).join(packed, ["graph", "pack", "bit"])
 
 
+def _walk(walked: bool):
+    def run(arcs: pa.Table, ends: pa.Table) -> pa.Table:
+        """The pairs of a small graph's sources and targets with their hops and, if asked for, paths: all targets are searched from at once."""
+        at, to, vid = arcs["at"].to_numpy(), arcs["to"].to_numpy(), ends["vid"].to_numpy()
+        ids = np.unique(at)
+        order = np.lexsort((to, at))
+        at, to = np.searchsorted(ids, at[order]), np.searchsorted(ids, to[order])
+        # both directions of an arc are there, so each vertex has its arcs in a row, by rising ends
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        is_target = ends["target"].to_numpy(zero_copy_only=False)
+        place = lambda of: np.searchsorted(ids, np.unique(vid[of & np.isin(vid, ids)]))
+        sources, targets = place(~is_target), place(is_target)
+        left = np.full((len(ids), len(targets)), -1, np.int32)
+        left[targets, np.arange(len(targets))] = 0
+        new, level = left == 0, 0
+        while new.any():
+            level += 1
+            new = np.logical_or.reduceat(new[to], first, 0) & (left < 0)
+            left[new] = level
+        s, t = np.nonzero(left[sources] > 0)
+        s = sources[s]
+        hops = left[s, t]
+        rows = {"source": ids[s], "target": ids[targets[t]], "hops": hops}
+        if walked and len(s):
+            onward = np.minimum.reduceat(np.where(left[to] == left[at] - 1, to[:, None], len(ids)), first, 0)
+            starts = np.append(0, np.cumsum(hops + 1))
+            path, here, begin = np.zeros(starts[-1], np.int64), s, starts[:-1]
+            for k in range(hops.max() + 1):
+                path[begin + k] = ids[here]
+                more = hops > k
+                here, t, begin, hops = onward[here[more], t[more]], t[more], begin[more], hops[more]
+            rows["path"] = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(path))
+        elif walked:
+            rows["path"] = pa.array([], pa.list_(pa.int64()))
+        graph = (arcs if arcs.num_rows else ends)["graph"][0].as_py()
+        return pa.table({"graph": pa.array([graph] * len(rows["source"]), pa.string()), **rows})
+
+    return run
+
+
+def _split(edges: DataFrame, sources: DataFrame, targets: DataFrame, walked: bool) -> tuple[DataFrame, tuple | None]:
+    """(graph, source, target, hops, path) of the graphs that a task can hold; and arcs, sources and targets of larger ones, if there are any.
+
+    A graph's targets are dealt in parts, each with all arcs and sources.
+    """
+    both = _arcs(edges)
+    sources, targets = sources.select("graph", "vid").distinct(), targets.select("graph", "vid").distinct()
+    arcs = both.groupBy("graph").agg(F.count("*").alias("n"))
+    most = F.greatest(F.lit(1), F.floor(F.lit(CELLS) / F.col("n")))
+    size = arcs.join(targets.groupBy("graph").agg(F.count("*").alias("n_targets")), "graph")
+    size = materialize(size.select("graph", (F.col("n") <= HOP_TASK).alias("held"), most.alias("most"), F.floor((F.col("n_targets") - 1) / most).alias("last")), "sizes")
+    every = lambda rows: rows.join(size.where("held"), "graph").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    nth = F.row_number().over(Window.partitionBy("graph").orderBy("vid")) - 1
+    ends = targets.join(size.where("held"), "graph").select("graph", F.floor(nth / F.col("most")).alias("part"), "vid", F.lit(True).alias("target"))
+    ends = ends.unionByName(every(sources).select("graph", "part", "vid", F.lit(False).alias("target")))
+    grouped = (t.groupBy("graph", "part") for t in (every(both).select("graph", "part", "at", "to"), ends))
+    found = next(grouped).cogroup(next(grouped)).applyInArrow(_walk(walked), "graph string, source long, target long, hops int" + ", path array<long>" * walked)
+    large = size.where("not held")
+    if large.isEmpty():
+        return found, None
+    return found, tuple(t.join(large.select("graph"), "graph", "left_semi") for t in (both, sources, targets))
+
+
 def hop_distances(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """(graph, source, target, hops): the fewest edges, one at least, from each source to each target (graph, vid) that it reaches.
 
-    A source is no target of its own.
+    A source is no target of its own. One task takes a graph of up to ``HOP_TASK`` arcs, larger ones go through rounds.
     """
-    return _pairs(*_hops(_arcs(edges), targets), sources).select("graph", "source", "target", "hops")
+    found, large = _split(edges, sources, targets, False)
+    if large is None:
+        return found
+    both, sources, targets = large
+    return found.unionByName(_pairs(*_hops(both, targets), sources).select("graph", "source", "target", "hops"))
 
 
 def hop_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(graph, source, target, path): a path with fewest edges, of two vertices or more, from each source to each target (graph, vid).
 
-    Of equal paths the lexicographically smallest. Only the pairs (graph, source, target) in ``asked`` are walked, all if it isn't given: each
-    round goes on to the smallest neighbour that is one edge nearer to the target, by the masks of the search.
+    Of equal paths the lexicographically smallest. Only the pairs (graph, source, target) in ``asked`` are given, all if there is none. One
+    task takes a graph of up to ``HOP_TASK`` arcs. Larger ones go through rounds: each goes on to the smallest neighbour that is one edge
+    nearer to the target, by the masks of the search.
     """
-    both = _arcs(edges)
+    key = ["graph", "source", "target"]
+    if asked is not None:
+        asked = materialize(asked.select(*key).distinct(), "asked")
+        sources, targets = (t.join(asked.select("graph", F.col(c).alias("vid")).distinct(), ["graph", "vid"], "left_semi") for t, c in ((sources, "source"), (targets, "target")))
+    found, large = _split(edges, sources, targets, True)
+    found = found.select(*key, "path")
+    found = found if asked is None else found.join(asked, key, "left_semi")
+    if large is None:
+        return found
+    both, sources, targets = large
     reached, packed = _hops(both, targets)
     pairs = _pairs(reached, packed, sources)
     if asked is not None:
-        pairs = pairs.join(asked.select("graph", "source", "target").distinct(), ["graph", "source", "target"], "left_semi")
-    key = ["graph", "source", "target"]
+        pairs = pairs.join(asked, key, "left_semi")
     steps = Rounds(edges.sparkSession, "walked", "graph string, source long, target long, pack long, bit int, hops int, vid long")
     new = steps.add(pairs.select(*key, "pack", "bit", "hops", F.col("source").alias("vid")))
     while not new.isEmpty():
         ahead = new.where("hops > 0").join(both.withColumnRenamed("at", "vid"), ["graph", "vid"]).select(*key, "pack", "bit", (F.col("hops") - 1).alias("level"), F.col("to").alias("vid"))
         near = ahead.join(reached, ["graph", "pack", "vid", "level"]).where("(mask & shiftleft(1L, bit)) <> 0")
         new = steps.add(near.groupBy(*key, "pack", "bit", F.col("level").alias("hops")).agg(F.min("vid").alias("vid")))
-    found = steps.all().groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("level", "vid"))).alias("places"))
-    return found.select(*key, F.col("places.vid").alias("path"))
+    walks = steps.all().groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("level", "vid"))).alias("places"))
+    return found.unionByName(walks.select(*key, F.col("places.vid").alias("path")))
 
 
 def box_paths(vertices: DataFrame, edges: DataFrame, box: dict) -> DataFrame:
