@@ -462,3 +462,12 @@ def test_hops_of_small_graphs_in_parts_and_of_large_ones_in_rounds(spark, monkey
         assert bool(writes) == (task < 20_000)
     monkeypatch.undo()
     assert {tuple(r)[:3] for r in paths.hop_paths(e, sources, targets, asked).collect()} == {k for k in want if k[1] % 2}
+
+
+def test_saved_networks_have_a_file_for_a_graph_not_for_a_task(spark, tmp_path):
+    v = spark.range(400).select(F.concat(F.lit("g"), F.col("id") % 5).alias("graph"), F.col("id").alias("vid")).repartition(8)
+    e = v.select("graph", F.col("vid").alias("eid")).repartition(8)
+    bundle.save_network(v, e, str(tmp_path / "net"))
+    for table in ("vertices", "edges"):
+        assert sorted(len(list(d.glob("part-*.parquet"))) for d in (tmp_path / "net" / table).glob("graph=*")) == [1] * 5
+    assert bundle.load_network(spark, str(tmp_path / "net"), "g3")[1].count() == 80

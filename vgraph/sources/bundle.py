@@ -82,9 +82,12 @@ def save_table(df: DataFrame, path: str) -> bool:
 
 
 def save_network(vertices: DataFrame, edges: DataFrame, folder: str, meta: dict[str, str] | None = None) -> None:
-    """Parquet tables by graph, and a row of metadata with sizes and column names."""
-    vertices.write.mode("overwrite").partitionBy("graph").parquet(f"{folder}/vertices")
-    edges.write.mode("overwrite").partitionBy("graph").parquet(f"{folder}/edges")
+    """Parquet tables by graph, and a row of metadata with sizes and column names.
+
+    Rows are brought together by graph first, or each task would write a file for each of its graphs; large graphs are split over tasks.
+    """
+    vertices.hint("rebalance", "graph").write.mode("overwrite").partitionBy("graph").parquet(f"{folder}/vertices")
+    edges.hint("rebalance", "graph").write.mode("overwrite").partitionBy("graph").parquet(f"{folder}/edges")
     size = vertices.groupBy("graph").agg(F.count("*").alias("n_vertices")).join(edges.groupBy("graph").agg(F.count("*").alias("n_edges")), "graph", "left")
     extra = {k: F.lit(v) for k, v in (meta or {}).items()} | {"vertex_columns": F.lit(",".join(vertices.columns)), "edge_columns": F.lit(",".join(edges.columns))}
     size.withColumns(extra).write.mode("overwrite").parquet(f"{folder}/graph_meta")
