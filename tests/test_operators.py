@@ -471,3 +471,21 @@ def test_saved_networks_have_a_file_for_a_graph_not_for_a_task(spark, tmp_path):
     for table in ("vertices", "edges"):
         assert sorted(len(list(d.glob("part-*.parquet"))) for d in (tmp_path / "net" / table).glob("graph=*")) == [1] * 5
     assert bundle.load_network(spark, str(tmp_path / "net"), "g3")[1].count() == 80
+
+
+def test_components_of_many_small_graphs_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(40), rng.randrange(40)) for g in "abc" for _ in range(30)]
+    rows += [("a", 7, None), ("d", 5, 5), (None, 1, 2)]
+    e = spark.createDataFrame(rows, "graph string, src long, dst long")
+    want = {(g, v): c for g in "abc" for v, c in plain_components([(a, b) for h, a, b in rows if h == g and b is not None and a != b]).items()}
+    got = lambda: {(r["graph"], r["vid"]): r["component"] for r in topology.edge_components(e.where("graph is not null")).collect()}
+    e = e.where("graph <> 'a' or src % 5 > 0")
+    want = {k: c for k, c in want.items() if k[0] != "a"} | {("a", v): c for v, c in plain_components([(a, b) for h, a, b in rows if h == "a" and b is not None and a != b and a % 5]).items()}
+    rounds = []
+    one = components._round
+    monkeypatch.setattr(components, "_round", lambda stars: rounds.append(1) or one(stars))
+    monkeypatch.setattr(components, "SMALL", 30)  # all edges together are more, those of a graph are not
+    assert got() == want and not rounds
+    monkeypatch.setattr(components, "SMALL", 26)
+    assert got() == want and rounds

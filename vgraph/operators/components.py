@@ -43,15 +43,26 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The components of a bounded number of edges: roots hook onto smaller roots until none is left to."""
     parts = [np.stack([b.column(c).to_numpy() for c in ("v", "m")]) for b in batches]
     if parts:
-        ids, ends = np.unique(np.concatenate(parts, 1), return_inverse=True)
-        a, b = ends.reshape(2, -1)
-        root = np.arange(len(ids))
-        while (root[a] != root[b]).any():
-            x, y = root[a], root[b]
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while (root[root] != root).any():
-                root = root[root]
-        yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "component": pa.array(ids[root])})
+        ids, found = _labels(np.concatenate(parts, 1))
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "component": pa.array(found)})
+
+
+def joined_graph(pairs: pa.Table) -> pa.Table:
+    """(graph, vid, component) of one graph's pairs (graph, v, m), which are few enough for a task."""
+    ids, found = _labels(np.stack([pairs[c].to_numpy() for c in ("v", "m")]))
+    return pa.table({"graph": pa.array([pairs["graph"][0].as_py()] * len(ids), pa.string()), "vid": ids, "component": found})
+
+
+def _labels(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ids, ends = np.unique(pairs, return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    root = np.arange(len(ids))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return ids, ids[root]
 
 
 def _round(stars: DataFrame) -> DataFrame:

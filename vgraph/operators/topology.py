@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vgraph.operators.components import connected_components
+from vgraph.operators import components as cc
 from vgraph.plans.workspace import materialize
 from vgraph.schema import ARTERY, CAPILLARY, LABELS, label
 from vgraph.functions.geometry import penalised
@@ -118,13 +118,25 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def edge_components(edges: DataFrame) -> DataFrame:
-    """(graph, vid, component) of the vertices that have an edge to another one; ids may repeat between graphs."""
-    graphs = materialize(edges.select("graph").distinct().withColumn("g", F.row_number().over(Window.orderBy("graph")) - 1), "graphs")  # one row a graph
+    """(graph, vid, component) of the vertices that have an edge to another one; ids may repeat between graphs.
+
+    One task joins a graph of up to ``components.SMALL`` edges between different pairs; larger graphs go through rounds together.
+    """
+    a, b = F.col("src").cast("long"), F.col("dst").cast("long")
+    pairs = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select("graph", F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).distinct()
+    pairs = materialize(pairs, "pairs")
+    schema = "graph string, vid long, component long"
+    # fewer than one in SMALL of the pairs' number
+    large = materialize(pairs.groupBy("graph").agg(F.count("*").alias("n")).where(F.col("n") > cc.SMALL).select("graph"), "large")
+    if large.isEmpty():
+        return pairs.groupBy("graph").applyInArrow(cc.joined_graph, schema)
+    held = pairs.join(F.broadcast(large), "graph", "left_anti").groupBy("graph").applyInArrow(cc.joined_graph, schema)
+    graphs = materialize(large.withColumn("g", F.row_number().over(Window.orderBy("graph")) - 1), "graphs")  # one row a large graph
     code = lambda c: (F.shiftleft(F.col("g").cast("long"), BITS) + F.col(c)).alias(c)
-    found = connected_components(edges.join(graphs, "graph").select(code("src"), code("dst")))
+    found = cc.connected_components(pairs.join(graphs, "graph").select(code("v"), code("m")), "v", "m")
     low = lambda c: F.col(c).bitwiseAND((1 << BITS) - 1)
     found = found.select(F.shiftright("id", BITS).cast("int").alias("g"), low("id").alias("vid"), low("component").alias("component"))
-    return found.join(graphs, "g").select("graph", "vid", "component")
+    return held.unionByName(found.join(graphs, "g").select("graph", "vid", "component"))
 
 
 def globally_numbered(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
