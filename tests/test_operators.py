@@ -489,3 +489,8 @@ def test_components_of_many_small_graphs_take_no_rounds(spark, monkeypatch):
     assert got() == want and not rounds
     monkeypatch.setattr(components, "SMALL", 26)
     assert got() == want and rounds
+
+
+def test_ranges_are_not_joined_through_the_driver(spark):
+    ranges = materialize(spark.range(2_000_000).select(F.col("id").alias("eid"), (3 * F.col("id")).alias("start"), (3 * F.col("id") + 3).alias("end")), "ranges")
+    assert "BroadcastHashJoin" not in quality.ranges_adjoin(ranges)._jdf.queryExecution().executedPlan().toString()
