@@ -141,3 +141,42 @@ def test_runs_are_references_and_read_in_step(monkeypatch):
         webp.decode_many([bytes(broken)])
     except ValueError:
         pass
+
+
+def test_codes_are_fitted_and_references_reach_far(monkeypatch):
+    rng = np.random.default_rng(6)
+    letters = bytes(rng.choice(np.frombuffer(b"abcdefgh", np.uint8), 576 * 10))
+    noise = bytes(rng.integers(0, 256, 576 * 10, dtype=np.uint8))
+    grey = bytes(np.repeat(rng.integers(0, 256, 576 * 10 // 3, dtype=np.uint8), 3))
+    few = bytes(rng.integers(0, 256, (40, 3), dtype=np.uint8)[rng.integers(0, 40, 192 * 10)])
+    payloads = [letters, noise + noise[3 * 50 :] + b"\xff" * 150, grey, few, b"z" * 576, noise[:576]]
+    files = webp.encode_many(np.frombuffer(b"".join(payloads), np.uint8), np.cumsum([0, *map(len, payloads)]))
+    # three bits a letter; noise once; a third of the grey; under six bits a pixel of forty colours and their list
+    for f, most in zip(files, (576 * 10 * 3 / 8 + 150, 576 * 10 + 600, 576 * 10 / 3 + 400, 192 * 10 * 6 / 8 + 500), strict=False):
+        assert len(f) < most
+    for f, p in zip(files, payloads, strict=True):
+        assert decode_webp(f)[..., [1, 0, 2]].tobytes() == p
+    monkeypatch.setattr(webp, "decode_webp", None)  # the reader in step needs no other
+    assert [x.tobytes() for x in webp.decode_many(files)] == payloads
+    alone = [webp.encode_many(np.frombuffer(p, np.uint8), np.array([0, len(p)]))[0] for p in payloads]
+    assert alone == files
+
+
+def test_fitted_codes_are_complete_and_near_huffman_codes():
+    import heapq
+
+    rng = np.random.default_rng(7)
+    hist = np.stack([rng.permutation((rng.pareto(a, 200) * 20).astype(np.int64)) for a in (1.5, 2.0, 3.0, 4.0)] + [np.eye(1, 200, k, dtype=np.int64)[0] * 9 for k in (0, 7)] + [np.zeros(200, np.int64)])
+    lengths = webp._fit(hist, 11)
+    for h, lens in zip(hist, lengths, strict=True):
+        if (h > 0).sum() < 2:
+            assert lens.sum() == 1 and lens[h.argmax()] == 1
+            continue
+        assert ((lens > 0) == (h > 0)).all() and sum(2.0 ** -lens[lens > 0]) == 1
+        heap, best = [int(x) for x in h if x], 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            best += both
+            heapq.heappush(heap, both)
+        assert (h * lens).sum() <= 1.02 * best

@@ -3,8 +3,10 @@
 ``decode_webp`` reads any still lossless image: prefix codes in both forms, groups of codes
 by a meta image, back-references with distance map, colour cache, and the predictor,
 cross-colour, subtract-green and palette transforms. ``encode_many`` stores payloads, one
-image each, as pixels and back-references to runs, and ``decode_many`` reads many such images in step: one array
-operation decodes the next symbol of all of them. What it doesn't know it hands to ``decode_webp``.
+image each, with references at any distance, a colour cache and subtract-green where they shrink the image, and
+prefix codes fitted to it. ``decode_many`` reads many such images in step: one array
+operation reads the next symbol of all of them, and references and cached colours are put in for all pixels at
+once. What it doesn't know it hands to ``decode_webp``.
 """
 
 from __future__ import annotations
@@ -289,42 +291,82 @@ def decode_webp(data: bytes) -> np.ndarray:
 
 #: Bytes a payload is a multiple of, and pixels they make.
 UNIT, PIXELS, WIDEST = 576, 192, 16384
-#: By the rank of a symbol in its image and channel: complete codes of at most 12 bits for byte values, and for green values and lengths.
-RANK_LENGTHS = np.repeat([3, 4, 6, 8, 11, 12], [4, 4, 8, 16, 32, 192])
-GREEN_LENGTHS = np.repeat([3, 4, 6, 8, 11, 12], [4, 4, 8, 16, 8, 240])
-#: Equal pixels behind one that are stored as a back-reference, at least and at most.
-LEAST_RUN, MOST_RUN = 3, 4096
-#: Lengths that a header may name, and their codes of three bits each.
-HEADER = (0, 3, 4, 6, 8, 11, 12, 17)
-#: Distances: a code of one symbol, which stands for the pixel before.
-DISTANCE = "1001"
-_REVERSED = np.array([int(f"{i:012b}"[::-1], 2) for i in range(4096)])
+#: Equal pixels that are stored as a back-reference, at least and at most, and the farthest that one reaches.
+LEAST_RUN, MOST_RUN, FARTHEST = 3, 4096, (1 << 20) - 120
+#: Bits of the longest codes: of green values, lengths and cached colours; of red; of blue; of distances; of code lengths.
+MOST_BITS, MOST_LENGTH_BITS = (11, 10, 10, 8), 7
+#: Bits of the largest colour cache that is tried.
+MOST_CACHE = 9
+#: Bits that a cached colour is taken to add to the list of code lengths.
+SLOT_BITS = 6
+#: By how much code lengths are cut before they are rounded up, in 256ths of a bit; the best is taken, and the first always fits.
+CUTS = (-256, 0, 32, 64, 96, 128, 160)
+_LOGS = np.rint(256 * np.log2(np.maximum(np.arange(1 << 16), 1))).astype(np.int64)
+_REVERSED = {m: np.array([int(f"{i:0{m}b}"[::-1], 2) for i in range(1 << m)]) for m in {*MOST_BITS, MOST_LENGTH_BITS}}
 
 
-def _header_bits() -> str:
-    """Up to the list of code lengths: a normal code, and a code of three bits for each of HEADER."""
-    order = [3 if s in HEADER else 0 for s in CODE_ORDER]
-    return "0" + f"{19 - 4:04b}"[::-1] + "".join(f"{n:03b}"[::-1] for n in order) + "0"
+def _log(x: np.ndarray) -> np.ndarray:
+    """256 log2 of whole numbers, as whole numbers, so that no order of sums shows."""
+    k = np.where(x < 1 << 16, 0, np.where(x < 1 << 24, 8, 16))
+    return _LOGS[x >> k] + 256 * k
 
 
-def _length_codes() -> dict[int, str]:
-    return {n: f"{i:03b}" for i, n in enumerate(HEADER)}
+def _information(hist: np.ndarray) -> np.ndarray:
+    """By row the bits (in 256ths) that an ideal code takes for the counted symbols."""
+    total = hist.sum(1)
+    return total * _log(total) - (hist * _log(hist)).sum(1)
 
 
-class _Writer:
-    """Fixed-width fields of many images side by side, gathered to bits."""
+def _fit(hist: np.ndarray, most: int) -> np.ndarray:
+    """(n, alphabet) of code lengths for counts: complete codes near the optimal ones, of at most so many bits.
 
-    def __init__(self, n: int):
-        self.n, self.parts = n, []
+    Lengths are ideal ones rounded up, and what room is left goes to the first symbols of each length. A row with one symbol gives it length 1, one without gives that to symbol 0.
+    """
+    n, alphabet = hist.shape
+    ranked = np.sort(hist << 16 | (0xFFFF - np.arange(alphabet)), axis=1)[:, ::-1]
+    used = (hist > 0).sum(1)
+    ranked = ranked[:, : max(int(used.max(initial=0)), 1)]
+    symbol, count = 0xFFFF - (ranked & 0xFFFF), ranked >> 16
+    past = np.concatenate([np.zeros((n, 1), np.int64), np.cumsum(count, 1)], 1)
+    ideal = _log(past[:, -1:]) - _log(count)
+    sizes, rows = np.arange(1, most + 1), (most + 1) * np.arange(n)[:, None]
+    best, least = np.zeros((n, most), np.int64), np.full(n, np.iinfo(np.int64).max)
+    for cut in CUTS:
+        length = np.where(count > 0, np.clip(-((cut - ideal) // 256), 1, most), 0)
+        per = np.bincount((length + rows).ravel(), minlength=n * (most + 1)).reshape(n, most + 1)[:, 1:].copy()
+        room = (1 << most) - (per << (most - sizes)).sum(1)
+        fits = (room >= 0) & (used > 1)
+        room[~fits] = 0
+        while room.any():
+            for k in range(1, most):
+                more = np.minimum(per[:, k], room >> (most - 1 - k))
+                per[:, k] -= more
+                per[:, k - 1] += more
+                room -= more << (most - 1 - k)
+        ends = np.cumsum(per, 1)
+        cost = ((np.take_along_axis(past, ends, 1) - np.take_along_axis(past, ends - per, 1)) * sizes).sum(1)
+        better = fits & (cost < least)
+        best[better], least[better] = per[better], cost[better]
+    best[used < 2, 0] = 1
+    per = np.concatenate([best, symbol.shape[1] - best.sum(1)[:, None]], 1)
+    out = np.zeros((n, alphabet), np.int64)
+    np.put_along_axis(out, symbol, np.repeat(np.tile(np.append(sizes, 0), n), per.ravel()).reshape(symbol.shape), 1)
+    return out
 
-    def text(self, bits: str) -> None:
-        self.parts.append(np.broadcast_to(np.frombuffer(bits.encode(), np.uint8) - 48, (self.n, len(bits))))
 
-    def number(self, values: np.ndarray, width: int) -> None:
-        self.parts.append((values[:, None] >> np.arange(width) & 1).astype(np.uint8))
+def _canonical(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By row (symbols in the order of their codes, their lengths, the room of each among codes of most bits); room is 0 behind the last."""
+    order = np.argsort(np.where(lengths > 0, lengths, 99).astype(np.uint8), axis=1, kind="stable")
+    sizes = np.take_along_axis(lengths, order, 1)
+    return order, sizes, np.where(sizes > 0, 1 << np.maximum(most - sizes, 0), 0)
 
-    def bits(self) -> np.ndarray:
-        return np.concatenate(self.parts, 1)
+
+def _codes(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, bits) to write for each symbol; the only symbol of a row takes no bits."""
+    order, _, room = _canonical(lengths, most)
+    codes = np.zeros_like(lengths)
+    np.put_along_axis(codes, order, _REVERSED[most][(np.cumsum(room, 1) - room) & ((1 << most) - 1)], 1)
+    return codes, np.where(((lengths > 0).sum(1) > 1)[:, None], lengths, 0)
 
 
 def shape_of(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -336,28 +378,92 @@ def shape_of(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return width, -(-pixels // width)
 
 
-def _length_symbols(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol from 0, extra bits, their number) of lengths of back-references."""
-    v = length - 1
-    top = np.floor(np.log2(np.maximum(v, 1))).astype(np.int64)
+def _extent_symbols(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol from 0, extra bits, their number) of lengths or distances from 1."""
+    v = value - 1
+    top = np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1
     extra = np.where(v < 4, 0, top - 1)
     return np.where(v < 4, v, 2 * top + (v >> extra & 1)), v & ((1 << extra) - 1), extra
 
 
-def _runs(pixel: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first pixel, length) of the runs that repeat the pixel before them within its image."""
-    same = np.zeros(len(pixel) + 2, bool)
-    same[2:-1] = (pixel[1:] == pixel[:-1]).all(1) & (row[1:] == row[:-1])
-    first = np.flatnonzero(same[1:-1] & ~same[:-2])
-    length = np.flatnonzero(same[1:-1] & ~same[2:]) + 1 - first
-    first, length = first[length >= LEAST_RUN], length[length >= LEAST_RUN]
+def _extents(symbol: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths or distances from 1, number of extra bits) of symbols and the bits behind them."""
+    extra = np.where(symbol < 4, 0, symbol - 2 >> 1)
+    return np.where(symbol < 4, symbol, (2 + (symbol & 1) << extra) + (window & ((1 << extra) - 1))) + 1, extra
+
+
+def _near(width: int) -> np.ndarray:
+    """The distances that codes 1 to 120 stand for in an image of this width."""
+    return np.array([max(1, x + y * width) for x, y in DISTANCES])
+
+
+def _matches(pixel: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first pixel, length, distance) of stretches that stood before in their image; none overlap.
+
+    Each pixel looks for the nearest place before it at which the same three pixels begin; neighbours with one distance make a stretch.
+    """
+    at = np.flatnonzero(row[:-2] == row[2:])
+    h = pixel[at].astype(U64) * U64(0x9E3779B97F4A7C15) + pixel[at + 1].astype(U64) * U64(0xC2B2AE3D27D4EB4F) + pixel[at + 2].astype(U64) * U64(0xD6E8FEB86659FD93) + row[at].astype(U64) * U64(0xA0761D6478BD642F)
+    h = h & U64(0xFFFFFFFF00000000) | at.astype(U64)
+    h.sort()
+    place, same = (h & U64(0xFFFFFFFF)).astype(np.int64), (h[1:] ^ h[:-1]) < U64(1 << 32)
+    i, j = place[1:][same], place[:-1][same]
+    same = (row[i] == row[j]) & (i - j <= FARTHEST)
+    for k in range(3):
+        same &= pixel[i + k] == pixel[j + k]
+    far = np.zeros(len(pixel) + 2, np.int64)
+    far[i[same] + 1] = (i - j)[same]
+    here = far[1:-1]
+    first = np.flatnonzero((here > 0) & (here != far[:-2]))
+    stop = np.flatnonzero((here > 0) & (here != far[2:])) + 3
+    far = here[first]
+    first = np.maximum(first, np.append(0, stop[:-1])[: len(stop)])
+    length = stop - first
+    first, length, far = (x[length >= LEAST_RUN] for x in (first, length, far))
     parts = -(-length // MOST_RUN)
     at = MOST_RUN * spans(np.zeros(len(parts), np.int64), parts)
-    return np.repeat(first, parts) + at, np.minimum(np.repeat(length, parts) - at, MOST_RUN)
+    return np.repeat(first, parts) + at, np.minimum(np.repeat(length, parts) - at, MOST_RUN), np.repeat(far, parts)
+
+
+def _slots(argb: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The places of colours in a cache."""
+    return (0x1E35A7BD * (argb | 0xFF000000) & 0xFFFFFFFF) >> (32 - bits)
+
+
+def _hits(argb: np.ndarray, row: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether the last pixel before in the image that went to the same place of the cache has the same colour."""
+    key = (row << MOST_CACHE | slot) << 32 | np.arange(len(row))
+    key.sort()
+    place = key & 0xFFFFFFFF
+    out = np.zeros(len(row), bool)
+    out[place[1:]] = (key[1:] >> 32 == key[:-1] >> 32) & (argb[place[1:]] == argb[place[:-1]])
+    return out
+
+
+def _length_list(lengths: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, symbol, extra bits, their number) of the lists of code lengths, each as long as its alphabet, with runs of zeros as one symbol."""
+    n, widest = lengths.shape
+    row, value = np.repeat(np.arange(n), alphabet), lengths.ravel()[spans(np.arange(n) * widest, alphabet)]
+    cut = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (value[1:] > 0) | (row[1:] != row[:-1])))
+    size, row, value = np.diff(np.append(cut, len(value))), row[cut], value[cut]
+    whole, rest = size // 138, size % 138
+    times = np.where(value > 0, 1, whole + np.where(rest > 2, 1, rest))
+    nth = spans(np.zeros(len(times), np.int64), times)
+    row, value, whole, rest = (np.repeat(x, times) for x in (row, value, whole, rest))
+    size = np.where(value > 0, 1, np.where(nth < whole, 138, np.where(rest > 2, rest, 1)))
+    symbol = np.where(value > 0, value, np.where(size > 10, 18, np.where(size > 2, 17, 0)))
+    return row, symbol, np.where(symbol == 18, size - 11, np.where(symbol == 17, size - 3, 0)), np.where(symbol == 18, 7, np.where(symbol == 17, 3, 0))
+
+
+def _counts(row: np.ndarray, symbol: np.ndarray, n: int, alphabet: int) -> np.ndarray:
+    return np.bincount(row * alphabet + symbol, minlength=n * alphabet).reshape(n, alphabet)
 
 
 def encode_many(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """Each payload, a positive multiple of 576 bytes, as a lossless WebP file; a larger image's last row is filled with zeros."""
+    """Each payload, a positive multiple of 576 bytes, as a lossless WebP file; a larger image's last row is filled with zeros.
+
+    Stretches that stood before become references; green is taken from red and blue, and colours come from a cache, in the images that shrink by it; prefix codes are fitted to each image.
+    """
     n = len(offsets) - 1
     size = np.diff(offsets)
     width, height = shape_of(size // 3)
@@ -368,71 +474,101 @@ def encode_many(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         wide[spans(padded[:-1], size)] = data
         data, offsets = wide, padded
     row = np.repeat(np.arange(n), full)
-    pixel = data.reshape(-1, 3)
-    # what is written: pixels, and where pixels repeat the one before them a length
-    first, length = _runs(pixel, row)
-    keep = np.ones(len(pixel), bool)
+    green, red, blue = (data[k::3].astype(np.int64) for k in range(3))
+    first, length, far = _matches(green << 8 | red << 16 | blue, row)
+    # what is written: pixels, and a length and a distance where a stretch begins that stood before
+    keep = np.ones(len(row), bool)
     keep[spans(first, length)] = False
+    plain = np.flatnonzero(keep)
     keep[first] = True
-    ref = np.zeros(len(pixel), bool)
-    ref[first] = True
-    row, pixel, ref = row[keep], pixel[keep], ref[keep]
-    symbol, extra, n_extra = _length_symbols(length)
-    green = pixel[:, 0].astype(np.int64)
-    green[ref] = 256 + symbol
-    literal = ~ref
-    lengths, codes = [], []
-    for k in range(3):
-        alphabet = 280 if k == 0 else 256
-        used = green + 280 * row if k == 0 else (row * 256 + pixel[:, k])[literal]
-        hist = np.bincount(used, minlength=n * alphabet).reshape(n, alphabet)
-        order = np.argsort(-hist, axis=1, kind="stable")
-        lengths.append(np.zeros((n, alphabet), np.int64))
-        codes.append(np.zeros((n, alphabet), np.int64))
-        np.put_along_axis(lengths[k], order, np.broadcast_to(GREEN_LENGTHS if k == 0 else RANK_LENGTHS, (n, alphabet)), 1)
-        by_length = np.argsort(lengths[k], axis=1, kind="stable")
-        sizes = np.take_along_axis(lengths[k], by_length, 1)
-        room = 1 << (12 - sizes)
-        first = np.cumsum(room, 1) - room
-        np.put_along_axis(codes[k], by_length, _REVERSED[first], 1)
-    w = _Writer(n)
-    w.text(f"{0x2F:08b}"[::-1])
-    w.number(width - 1, 14)
-    w.number(height - 1, 14)
-    w.text("0" + "000" + "0" + "0" + "0")  # no alpha, version, no transform, no cache, one group of codes
-    names = np.array([[int(b) for b in _length_codes()[x]] if x in HEADER else [0, 0, 0] for x in range(18)], np.uint8)
-    for k in range(3):
-        w.text(_header_bits())
-        w.parts.append(names[lengths[k]].reshape(n, -1))
-    w.text("101" + f"{255:08b}"[::-1])  # alpha: one symbol
-    w.text(DISTANCE)
-    head = w.bits()
-    at = green + 280 * row
-    parts, total = codes[0].ravel()[at].astype(U64), lengths[0].ravel()[at]
-    parts[ref] |= extra.astype(U64) << total[ref].astype(U64)
-    total[ref] += n_extra
-    for k in (1, 2):
-        at = row * 256 + pixel[:, k]
-        parts |= np.where(literal, codes[k].ravel()[at], 0).astype(U64) << total.astype(U64)
-        total += np.where(literal, lengths[k].ravel()[at], 0)
-    ends = np.cumsum(total)
-    begin = np.append(0, ends[np.cumsum(np.bincount(row, minlength=n)) - 1])
-    body_bits = np.diff(begin)
-    n_bytes = (head.shape[1] + body_bits + 7) // 8
+    gain = np.zeros(n, np.int64)
+    for c in (red, blue):
+        as_is, less = (_counts(row[plain], x & 255, n, 256) for x in (c[plain], c[plain] - green[plain]))
+        gain += _information(as_is) - _information(less)
+    less_green = gain > 0
+    shift = green * less_green[row]
+    red, blue = red - shift & 255, blue - shift & 255
+    argb = red << 16 | green << 8 | blue
+    cache = np.clip(np.frexp(full.astype(np.float64))[1] - 2, 1, MOST_CACHE)
+    slot = _slots(argb, cache[row])
+    hit = _hits(argb, row, slot)
+    symbol, extra, n_extra = _extent_symbols(length)
+    what = green.copy()
+    what[first] = 256 + symbol
+    literal = np.zeros(len(row), bool)
+    literal[plain] = True
+    widest = 280 + (1 << int(cache.max(initial=1)))
+    cached = literal & hit
+    tried = []
+    for told in (what, np.where(cached, 280 + slot, what)):
+        own = plain if told is what else np.flatnonzero(literal & ~hit)
+        tried.append([_counts(row[keep], told[keep], n, widest), *(_counts(row[own], c[own], n, 256) for c in (red, blue))])
+    without, within = (sum(_information(h) for h in hists) for hists in tried)
+    use = within + 256 * SLOT_BITS * (tried[1][0][:, 280:] > 0).sum(1) < without
+    hists = [np.where(use[:, None], b, a) for a, b in zip(*tried, strict=True)]
+    cached &= use[row]
+    what = np.where(cached, 280 + slot, what)
+    literal &= ~cached
+    # distances: the short codes where they reach, the others behind them
+    code = far + 120
+    for w in np.unique(width):
+        near = _near(int(w))
+        order = np.argsort(near, kind="stable")
+        own = np.flatnonzero(width[row[first]] == w)
+        at = np.minimum(np.searchsorted(near[order], far[own]), 119)
+        code[own] = np.where(near[order][at] == far[own], order[at] + 1, code[own])
+    far_symbol, far_extra, n_far_extra = _extent_symbols(code)
+    hists.append(_counts(row[first], far_symbol, n, 40))
+    lengths = [_fit(h, m) for h, m in zip(hists, MOST_BITS, strict=True)]
+    # fields of bits in the order of the format, by image
+    parts: list[tuple] = []
+    every = np.arange(n)
+    put = lambda image, value, bits: parts.append((image, value, np.broadcast_to(bits, image.shape)))
+    put(every, 0x2F | width - 1 << 8 | height - 1 << 22, 40)  # no alpha, version 0
+    put(every, np.where(less_green, 0b0101, 0), np.where(less_green, 4, 1))
+    put(every, np.where(use, 1 | cache << 1, 0), np.where(use, 6, 2))  # then one group of codes
+    for k, lens in enumerate(lengths):
+        if k == 3:
+            put(every, np.full(n, 0b101 | 255 << 3), 11)  # alpha: one symbol
+        alphabet = np.where(use, 280 + (1 << cache), 280) if k == 0 else np.full(n, lens.shape[1])
+        image, token, more, n_more = _length_list(lens, alphabet)
+        how = _fit(_counts(image, token, n, 19), MOST_LENGTH_BITS)
+        put(every, np.full(n, 15 << 1), 5)
+        put(every, (how[:, CODE_ORDER] << 3 * np.arange(19)).sum(1), 58)  # the whole alphabet follows
+        codes, bits = _codes(how, MOST_LENGTH_BITS)
+        put(image, codes[image, token] | more << bits[image, token], bits[image, token] + n_more)
+    codes = [_codes(x, m) for x, m in zip(lengths, MOST_BITS, strict=True)]
+    told = np.flatnonzero(keep)
+    value, total = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+    value[told], total[told] = codes[0][0][row[told], what[told]], codes[0][1][row[told], what[told]]
+    for at, k, bits, n_bits in ((first, None, extra, n_extra), (first, 3, far_symbol, None), (first, None, far_extra, n_far_extra), (np.flatnonzero(literal), 1, red, None), (np.flatnonzero(literal), 2, blue, None)):
+        if k is not None:
+            of = bits if k == 3 else bits[at]
+            bits, n_bits = codes[k][0][row[at], of], codes[k][1][row[at], of]
+        value[at] |= bits << total[at]
+        total[at] += n_bits
+    put(row[told], value[told], total[told])
+    return _packed(n, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _packed(n: int, image: np.ndarray, value: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """WebP files of fields of bits, which stand in order for each image."""
+    order = np.argsort(image.astype(np.uint16) if n < 1 << 16 else image, kind="stable")
+    image, value, bits = image[order], value[order].astype(U64), bits[order]
+    ends = np.cumsum(bits)
+    begin = np.append(0, ends[np.cumsum(np.bincount(image, minlength=n)) - 1])
+    n_bytes = (np.diff(begin) + 7) // 8
     # each image's bits start at a word of their own
-    n_words = (head.shape[1] + body_bits + 63) // 64 + 1
+    n_words = (np.diff(begin) + 63) // 64 + 1
     first_word = np.cumsum(n_words) - n_words
     words = np.zeros(int(n_words.sum()) + 1, U64)
-    head_bytes = np.packbits(np.pad(head, ((0, 0), (0, -head.shape[1] % 64))), axis=1, bitorder="little")
-    head_words = np.ascontiguousarray(head_bytes).view("<u8")
-    words[spans(first_word, np.full(n, head_words.shape[1]))] = head_words.ravel()
-    at = ends - total - begin[row] + head.shape[1] + 64 * first_word[row]
+    at = ends - bits - begin[image] + 64 * first_word[image]
     word, shift = at >> 6, (at & 63).astype(U64)
-    low = parts << shift
-    high = np.where(shift > 0, parts >> ((U64(64) - shift) & U64(63)), U64(0))
-    for index, value in ((word, low), (word + 1, high)):
+    low = value << shift
+    high = np.where(shift > 0, value >> ((U64(64) - shift) & U64(63)), U64(0))
+    for index, part in ((word, low), (word + 1, high)):
         cut = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
-        words[index[cut]] |= np.bitwise_or.reduceat(value, cut)
+        words[index[cut]] |= np.bitwise_or.reduceat(part, cut)
     raw = words.astype("<u8").tobytes()
     out = []
     for a, b in zip((8 * first_word).tolist(), n_bytes.tolist(), strict=True):
@@ -446,45 +582,62 @@ class _Step:
 
     def __init__(self, raw: list[bytes]):
         size = np.array([len(x) for x in raw], np.int64)
-        self.bytes = np.frombuffer(b"".join(raw) + b"\0" * 8, np.uint8)
-        self.words = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, 0, (1,))
+        self.bytes = np.frombuffer(b"".join(raw) + b"\0" * 16, np.uint8)
+        self.words = np.ndarray((len(self.bytes) - 7,), "<i8", self.bytes, 0, (1,))
         self.at = 8 * (np.cumsum(size) - size)
 
-    def peek(self, live: slice = slice(None)) -> np.ndarray:
-        at = self.at[live]
-        return self.words[at >> 3] >> (at & 7).astype(U64)
+    def peek(self, at: np.ndarray) -> np.ndarray:
+        """At least 57 bits, with any others above them."""
+        return self.words[np.minimum(at >> 3, len(self.words) - 1)] >> (at & 7)
 
-    def read(self, n: int) -> np.ndarray:
-        got = (self.peek() & U64((1 << n) - 1)).astype(np.int64)
-        self.at += n
+    def read(self, n: int | np.ndarray) -> np.ndarray:
+        got = self.peek(self.at) & ((1 << n) - 1)
+        self.at = self.at + n
         return got
 
 
-def _tables(bits: _Step, ok: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, lengths) by the next 12 bits of each image, from a code in normal form of one length-code shape."""
-    n = len(ok)
-    head = _header_bits()
-    want = int(head[::-1], 2)
-    got = (bits.peek() & U64((1 << 57) - 1)).astype(np.int64)
-    ok &= got & ((1 << 57) - 1) == want & ((1 << 57) - 1)
-    bits.at += 57
-    ok &= bits.read(len(head) - 57) == want >> 57
-    lengths = np.zeros((n, alphabet), np.int64)
-    names = np.array(HEADER)
-    flip = np.array([0, 4, 2, 6, 1, 5, 3, 7])
-    for s in range(0, alphabet, 16):
-        step = min(16, alphabet - s)
-        got = bits.read(3 * step)
-        lengths[:, s : s + step] = names[flip[got[:, None] >> 3 * np.arange(step) & 7]]
-    ok &= (lengths <= 12).all(1) & (np.where(lengths > 0, 1 << (12 - np.minimum(lengths, 12)), 0).sum(1) == 4096)
-    lengths[~ok] = 0
-    lengths[~ok, :2] = 1
-    order = np.argsort(np.where(lengths > 0, lengths, 99), axis=1, kind="stable")
-    sizes = np.take_along_axis(lengths, order, 1)
-    room = np.where(sizes > 0, 1 << (12 - sizes), 0)
-    symbols = np.repeat(order.ravel().astype(np.int16), room.ravel()).reshape(n, 4096)[:, _REVERSED]
-    used = np.repeat(sizes.ravel().astype(np.uint8), room.ravel()).reshape(n, 4096)[:, _REVERSED]
-    return symbols, used
+def _table(lengths: np.ndarray, most: int, ok: np.ndarray) -> np.ndarray:
+    """By the next bits of each image: 16 times the symbol, and the length of its code. Images with a code that is not complete are no longer ok."""
+    one = (lengths > 0).sum(1) == 1
+    fine = (lengths <= most).all(1)
+    fine &= one | (np.where(lengths > 0, 1 << (most - np.minimum(lengths, most)), 0).sum(1) == 1 << most)
+    ok &= fine
+    lengths = np.where(fine[:, None], lengths, 0)
+    lengths[~fine, :2] = 1
+    order, sizes, room = _canonical(lengths, most)
+    room[one & fine, 0] = 1 << most
+    sizes[one & fine, 0] = 0
+    return np.repeat((order << 4 | sizes).ravel().astype(np.int32), room.ravel()).reshape(len(ok), 1 << most)[:, _REVERSED[most]]
+
+
+def _read_lengths(bits: _Step, ok: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """The code lengths of each image's alphabet from a code in normal form that names all of its symbols."""
+    n, widest = len(ok), int(alphabet.max())
+    ok &= bits.read(5) == 15 << 1
+    how = np.zeros((n, 19), np.int64)
+    how[:, CODE_ORDER] = bits.read(57)[:, None] >> 3 * np.arange(19) & 7
+    ok &= bits.read(1) == 0
+    table = _table(how, MOST_LENGTH_BITS, ok).ravel()
+    out = np.zeros((n, widest + 138), np.int64)
+    flat = out.ravel()
+    image = np.flatnonzero(ok)
+    where, to, last, base = bits.at[image], image * out.shape[1], image * out.shape[1] + alphabet[image], image << MOST_LENGTH_BITS
+    while len(image):
+        window = bits.peek(where)
+        found = table[base + (window & 127)].astype(np.int64)
+        token, used = found >> 4, found & 15
+        window >>= used
+        run = np.where(token == 18, 11 + (window & 127), np.where(token == 17, 3 + (window & 7), 1))
+        flat[to] = np.where(token < 16, token, 0)
+        where, to = where + used + np.where(token == 18, 7, np.where(token == 17, 3, 0)), to + run
+        wrong = (token == 16) | (to > last)
+        if wrong.any():
+            ok[image[wrong]] = False
+        live = (to < last) & ~wrong
+        if not live.all():
+            bits.at[image] = where
+            image, where, to, last, base = (x[live] for x in (image, where, to, last, base))
+    return out[:, :widest]
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
@@ -497,62 +650,122 @@ def decode_many(files: list[bytes]) -> list[np.ndarray]:
     end = bits.at + 8 * np.array([len(x) for x in chunk])
     ok = bits.read(8) == 0x2F
     width, height = bits.read(14) + 1, bits.read(14) + 1
-    ok &= bits.read(7) == 0
-    fixed = [_tables(bits, ok, k) for k in (280, 256, 256)]
-    ok &= bits.read(11) == int(("101" + f"{255:08b}"[::-1])[::-1], 2)
-    ok &= bits.read(4) == int(DISTANCE[::-1], 2)
+    ok &= bits.read(4) == 0
+    less_green = bits.read(1) == 1
+    ok &= ~less_green | (bits.read(np.where(less_green, 3, 0)) == 0b010)
+    use = bits.read(1) == 1
+    cache = np.where(use, bits.read(np.where(use, 4, 0)), 0)
+    ok &= (cache <= MOST_CACHE) & (use == (cache > 0)) & (bits.read(1) == 0)
+    cache = np.where(ok, cache, 0)
+    tables = [_table(_read_lengths(bits, ok, np.where(cache > 0, 280 + (1 << cache), 280) if k == 0 else np.full(n, 256)), MOST_BITS[k], ok).ravel() for k in range(3)]
+    ok &= bits.read(11) == 0b101 | 255 << 3
+    tables.append(_table(_read_lengths(bits, ok, np.full(n, 40)), MOST_BITS[3], ok).ravel())
     ok &= bits.at <= end
     pixels = np.where(ok, width * height, 0)
     begin = np.cumsum(pixels) - pixels
-    symbols, used = [t[0].ravel() for t in fixed], [t[1].ravel() for t in fixed]
-    out = np.zeros((int(pixels.sum()), 3), np.uint8)
-    # images that are not at their end: number, place of the next bit and the next pixel, the last pixel, place of the tables
+    # colours of pixels, and -1 less the place in the cache where they come from it; references are kept beside
+    out = np.zeros(int(pixels.sum()), np.int32)
+    refs = [np.zeros((4, 0), np.int64)]
+    # images that are not at their end: number, places of the next bit, the next pixel and the one behind the last
     image = np.flatnonzero(pixels)
-    where, to, last, base = bits.at[image], begin[image], (begin + pixels)[image], image * 4096
+    where, to, last = bits.at[image], begin[image], (begin + pixels)[image]
+    bases, masks = [image << m for m in MOST_BITS], [(1 << m) - 1 for m in MOST_BITS]
     bad = []
     while len(image):
-        window = bits.words[where >> 3] >> (where & 7).astype(U64)
-        at = base + (window & U64(4095)).astype(np.int64)
-        green, total = symbols[0][at], used[0][at].astype(np.int64)
-        ref = np.flatnonzero(green > 255)
-        size, rest, step = total[ref], window[ref], np.ones(len(image), np.int64)
-        window >>= total.astype(U64)
-        out[to, 0] = green
-        for k in (1, 2):
-            at = base + (window & U64(4095)).astype(np.int64)
-            m = used[k][at]
-            out[to, k] = symbols[k][at]
-            window >>= m.astype(U64)
-            total = total + m
-        if len(ref):
-            # a length's extra bits follow its symbol; its pixels are that before them
-            symbol = green[ref].astype(np.int64) - 256
-            n_extra = np.where(symbol < 4, 0, symbol - 2 >> 1)
-            extra = (rest >> size.astype(U64)).astype(np.int64) & ((1 << n_extra) - 1)
-            length = np.where(symbol < 4, symbol, (2 + (symbol & 1) << n_extra) + extra) + 1
-            total[ref], step[ref] = size + n_extra, length
-            wrong = (to[ref] + length > last[ref]) | (to[ref] == begin[image[ref]])
-            bad += image[ref[wrong]].tolist()
-            step[ref[wrong]] = (last - to)[ref[wrong]]
-            fine = ref[~wrong]
-            for a, b in zip(to[fine].tolist(), length[~wrong].tolist(), strict=True):
-                out[a : a + b] = out[a - 1]
-        where, to = where + total, to + step
-        if (to == last).any():
-            live = to < last
-            over = ~live & (where > end[image])
-            bad += image[over].tolist()
-            image, where, to, last, base = (x[live] for x in (image, where, to, last, base))
+        window = bits.peek(where)
+        found = tables[0][bases[0] + (window & masks[0])]
+        green, total = found >> 4, found & 15
+        window >>= total
+        found = tables[1][bases[1] + (window & masks[1])]
+        argb, more = (found >> 4) << 16 | green << 8, found & 15
+        found = tables[2][bases[2] + ((window >> more) & masks[2])]
+        argb |= found >> 4
+        more += found & 15
+        other = np.flatnonzero(green > 255)
+        step = 1
+        if len(other):
+            more[other] = 0
+            kind = green[other]
+            argb[other] = 279 - kind
+            ref = other[kind < 280]
+            if len(ref):
+                rest = window[ref]
+                length, used = _extents(green[ref] - 256, rest)
+                rest >>= used
+                found = tables[3][bases[3][ref] + (rest & masks[3])]
+                far, n_far = _extents(found >> 4, rest >> (found & 15))
+                more[ref] = used + (found & 15) + n_far
+                refs.append(np.stack([image[ref], to[ref], length, far]))
+                step = np.ones(len(image), np.int64)
+                step[ref] = length
+        out[to] = argb
+        where += total + more
+        to = to + step
+        live = to < last
+        if not live.all():
+            bad += image[~live & ((where > end[image]) | (to > last))].tolist()
+            image, where, to, last = (x[live] for x in (image, where, to, last))
+            bases = [image << m for m in MOST_BITS]
     ok[bad] = False
+    _resolved(out, np.concatenate(refs, 1), ok, begin, pixels, width, cache)
     result = []
     for i in range(n):
         if ok[i]:
-            result.append(out[begin[i] : begin[i] + pixels[i]].ravel())
+            x = out[begin[i] : begin[i] + pixels[i]]
+            green = x >> 8 & 255
+            shift = green if less_green[i] else 0
+            result.append(np.stack([green, (x >> 16) + shift & 255, x + shift & 255], 1).astype(np.uint8).ravel())
         else:
             result.append(decode_webp(files[i])[..., [1, 0, 2]].reshape(-1))
     return result
 
 
+def _resolved(out: np.ndarray, refs: np.ndarray, ok: np.ndarray, begin: np.ndarray, pixels: np.ndarray, width: np.ndarray, cache: np.ndarray) -> None:
+    """Puts the colours of references and of the cache into ``out``; images that have wrong ones are no longer ok.
+
+    Each pixel points at the one it is a copy of. That tells the place in the cache of every pixel, as one that comes from the cache names its own; such a pixel
+    points at the last one before it that went to its place. Pointers are followed by doubling.
+    """
+    image, to, length, far = refs
+    widths, of_width = np.unique(width, return_inverse=True)
+    near = np.stack([_near(int(w)) for w in widths])
+    short = np.flatnonzero(far <= 120)
+    low = near[of_width[image[short]], far[short] - 1]
+    far = far - 120
+    far[short] = low
+    ok[image[far > to - begin[image]]] = False
+    fine = ok[image]
+    to, length, far = to[fine], length[fine], far[fine]
+    nth = spans(np.zeros(len(length), np.int64), length)
+    copies = np.repeat(to, length) + nth
+    parent = np.arange(len(out))
+    parent[copies] = np.repeat(to - far, length) + nth % np.repeat(far, length)
+    todo = copies
+    while len(todo):
+        up = parent[parent[todo]]
+        moved = up != parent[todo]
+        parent[todo] = up
+        todo = todo[moved]
+    own = np.flatnonzero(ok & (cache > 0))
+    row, place = np.repeat(own, pixels[own]), spans(begin[own], pixels[own])
+    value = out[parent[place]].astype(np.int64)
+    slot = np.where(value < 0, -1 - value, _slots(value, cache[row]))
+    key = (row << MOST_CACHE | slot) << 32 | place
+    key.sort()
+    before = np.append(False, key[1:] >> 32 == key[:-1] >> 32)
+    place = key & 0xFFFFFFFF
+    hit = (out[place] < 0) & (parent[place] == place)
+    ok[key[hit & ~before] >> 32 + MOST_CACHE] = False
+    at = np.flatnonzero(hit & before)
+    parent[place[at]] = parent[place[at - 1]]
+    todo = np.flatnonzero(out[parent] < 0)
+    todo = todo[np.repeat(ok, pixels)[todo]]
+    while len(todo):
+        parent[todo] = parent[parent[todo]]
+        todo = todo[out[parent[todo]] < 0]
+    out[:] = out[parent]
+
+
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts with bytes 255 behind them up to a positive multiple of 576."""
     size = np.diff(offsets)
@@ -591,10 +804,10 @@ def read(media: DataFrame, pixels: bool = True) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(x) for x in batch.column("media")] if batch.num_rows == 0 else [x.as_buffer().size for x in batch.column("media")], np.int64)
+            sizes = batch.column("n_bytes").to_numpy()
             at = 0
             while at < batch.num_rows:
-                to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 2000]), 6 << 20, "right")))
+                to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 3000]), 12 << 20, "right")))
                 part = batch.slice(at, to - at)
                 at = to
                 files = part.column("media").to_pylist()
