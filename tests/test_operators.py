@@ -494,3 +494,14 @@ def test_components_of_many_small_graphs_take_no_rounds(spark, monkeypatch):
 def test_ranges_are_not_joined_through_the_driver(spark):
     ranges = materialize(spark.range(2_000_000).select(F.col("id").alias("eid"), (3 * F.col("id")).alias("start"), (3 * F.col("id") + 3).alias("end")), "ranges")
     assert "BroadcastHashJoin" not in quality.ranges_adjoin(ranges)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_graph_without_shared_terminals_takes_one_flow(monkeypatch):
+    import pandas as pd
+
+    calls, real = [], flow._flow
+    monkeypatch.setattr(flow, "_flow", lambda *a: calls.append(1) or real(*a))
+    rows = [(1, 1, 2, 2), (2, 2, 3, 4), (3, 2, 3, 4), (4, 3, 4, 3)]
+    got = flow._cut(pd.DataFrame([("G", *r) for r in rows], columns=["graph", "eid", "src", "dst", "nkind"])).iloc[0]
+    assert (got.cut_value, got.n_cut, got.cut_edges, got.n_disjoint) == (2.0, 2, [2, 3], 2)
+    assert len(calls) == 1

@@ -72,12 +72,13 @@ def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
     arcs = rows[["src", "dst"]].values.tolist()
     row = {"graph": pdf.graph.iloc[0], "cut_value": None, "n_cut": None, "n_artery": None, "n_vein": None, "n_capillary": None, "cut_edges": None}
     # edge-disjoint paths run from artery vertices to vein vertices that touch no artery
-    flow, _ = _flow(arcs, touch[2], touch[3] - both)
+    flow, side = _flow(arcs, touch[2], touch[3] - both)
     paths = _split(arcs, flow, touch[2], touch[3] - both)
     row |= {"n_disjoint": len(paths), "paths": paths}
     if touch[2] and touch[3]:
         # a vertex that touches both classes joins the terminals by itself, whose edges count as all edges and one, on either side of the cut
-        _, side = _flow(arcs, touch[2] - both, touch[3] - both)
+        if both:
+            _, side = _flow(arcs, touch[2] - both, touch[3] - both)
         cut = rows[[(a in side) != (b in side) for a, b in arcs]] if len(rows) else rows
         row |= {"cut_value": float(len(cut) + len(both) * (len(pdf) + 1)), "n_cut": len(cut), "cut_edges": sorted(cut.eid.tolist())}
         row |= {f"n_{n}": int((cut.nkind == k).sum()) for k, n in ((2, "artery"), (3, "vein"), (4, "capillary"))}

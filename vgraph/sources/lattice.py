@@ -14,6 +14,8 @@ from vgraph.schema import POINT
 
 #: Vertices in a row, in a layer, and layers in a graph.
 ROW, LAYER, LAYERS = 12, 144, 4
+#: Points of an edge at most.
+MOST = 5
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,13 +38,17 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = o.withColumn("nkind", F.when(row < 2, 2).when(row >= 10, 3).otherwise(4))
     place = lambda v, i, j: f"(({v} div {i}) % {j}) * 40 + 20"
     axes = {"x": (1, ROW), "y": (ROW, ROW), "z": (LAYER, 1 << 40)}
-    parts = []
-    for a, (i, j) in axes.items():
-        bump = " + CASE WHEN i > 0 AND i < n - 1 THEN ((eid + i) % 3 - 1) * 2 ELSE 0 END" if a == "z" else ""
-        parts.append(f"CAST({place('src', i, j)} + ({place('dst', i, j)} - ({place('src', i, j)})) * i / (n - 1){bump} AS DOUBLE) AS {a}")
+
+    def point(i: int) -> str:
+        bump = {"z": f" + CASE WHEN {i}L > 0 AND {i}L < n - 1 THEN ((eid + {i}L) % 3 - 1) * 2 ELSE 0 END"}
+        parts = (f"CAST({place('src', *s)} + ({place('dst', *s)} - ({place('src', *s)})) * {i}L / (n - 1){bump.get(a, '')} AS DOUBLE) AS {a}" for a, s in axes.items())
+        return f"struct({', '.join(parts)})"
+
+    # an edge has MOST points at most: all are named and the first n taken, which is compiled, as a transform is not
+    first = lambda xs: f"slice(array({', '.join(xs)}), 1, CAST(n AS INT))"
     o = o.withColumn("n", F.expr("CAST(2 + eid % 4 AS BIGINT)"))
-    o = o.withColumn("points", F.expr(f"transform(sequence(CAST(0 AS BIGINT), n - 1), i -> struct({', '.join(parts)}))").cast(f"array<{POINT}>"))
-    o = o.withColumn("diameters", F.expr("transform(sequence(CAST(0 AS BIGINT), n - 1), i -> CAST(IF(nkind = 4, 4, 8) + (eid + i) % 5 AS DOUBLE))"))
+    o = o.withColumn("points", F.expr(first(map(point, range(MOST)))).cast(f"array<{POINT}>"))
+    o = o.withColumn("diameters", F.expr(first(f"CAST(IF(nkind = 4, 4, 8) + (eid + {i}L) % 5 AS DOUBLE)" for i in range(MOST))))
     graph = F.concat(F.lit("G"), F.expr(f"src div {LAYER * LAYERS}").cast("string")).alias("graph")
     return measured(o.select(graph, "eid", "src", "dst", "nkind", "points", "diameters").withColumn("diameter", F.array_max("diameters")))
 
