@@ -505,3 +505,14 @@ def test_a_graph_without_shared_terminals_takes_one_flow(monkeypatch):
     got = flow._cut(pd.DataFrame([("G", *r) for r in rows], columns=["graph", "eid", "src", "dst", "nkind"])).iloc[0]
     assert (got.cut_value, got.n_cut, got.cut_edges, got.n_disjoint) == (2.0, 2, [2, 3], 2)
     assert len(calls) == 1
+
+
+def test_box_numbers_do_not_sort_a_group_in_one_task(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(400_000))
+    try:
+        out = stats.box_numbers(spark.range(60_000).selectExpr("id % 3 AS type", "sqrt(id * 7919 % 60000) AS x"), "x", ["type"])
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["n"] for r in out.collect()} == {20_000}

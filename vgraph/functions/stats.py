@@ -193,7 +193,8 @@ def box_numbers(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """What a box plot shows: quartiles, whiskers at most 1.5 ranges away, mean and n."""
     df = materialize(df.select(*by, value), "values")
     q = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    q = joined(q, percentiles(df, value, by, {"q1": 0.25, "median": 0.5, "q3": 0.75}), by)
+    # written, as a table of known size is sent to the rows; unknown, all rows of a group would be sorted in one task
+    q = materialize(joined(q, percentiles(df, value, by, {"q1": 0.25, "median": 0.5, "q3": 0.75}), by), "quartiles")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     w = df.join(q, by).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)).groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     return q.join(w, by)
