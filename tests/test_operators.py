@@ -516,3 +516,9 @@ def test_box_numbers_do_not_sort_a_group_in_one_task(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r["n"] for r in out.collect()} == {20_000}
+
+
+def test_voxel_links_make_the_lattice_once(spark):
+    from vgraph.queries import QUERIES
+
+    assert not any("orders" in f for f in QUERIES["voxel_links"](spark, "/root/testdata/sf0.001").inputFiles())

@@ -474,7 +474,7 @@ def voxel_nodes(v, e):
     return voxel_graph.nodes(cc, radius, (SIDE, SIDE), "all").drop("graph")
 
 
-@query("SELECT eid, src, dst, CASE WHEN l = 1 THEN 4 ELSE l END::INT AS nkind, round(length + 1, 6) AS length, diameter, n AS n_points FROM (SELECT eid, any_value(src) AS src, any_value(dst) AS dst, 2 * median(1 + idx % 5)::DOUBLE AS diameter, count(*) AS n FROM vi GROUP BY eid) JOIN votes USING (eid) JOIN chain USING (eid) WHERE eid % 7 <> 0 AND src <> 0 AND dst <> 0", VOXELS)
+@query("SELECT eid, src, dst, CASE WHEN l = 1 THEN 4 ELSE l END::INT AS nkind, round(length + 1, 6) AS length, diameter, n AS n_points FROM (SELECT eid, any_value(src) AS src, any_value(dst) AS dst, 2 * median(1 + idx % 5)::DOUBLE AS diameter, count(*) AS n FROM vi GROUP BY eid) JOIN votes USING (eid) JOIN chain USING (eid) WHERE eid % 7 <> 0 AND src <> 0 AND dst <> 0", VOXELS, written=True)
 def voxel_links(v, e):
     """Edges from the voxels of the lattice's; an end of every seventh is open, as is one at 0, and these go."""
     cc = e.select(F.col("eid").alias("link"), "src", F.when(F.col("eid") % 7 == 0, 0).otherwise(F.col("dst")).alias("dst"), F.transform("points", lambda p: index(F.floor(p["x"]), F.floor(p["y"]), F.floor(p["z"]))).alias("cc"))
