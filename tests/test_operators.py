@@ -1,8 +1,12 @@
+import base64
 import heapq
 import random
+import struct
+import zlib
 from itertools import product
 from xml.etree import ElementTree
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -522,3 +526,24 @@ def test_voxel_links_make_the_lattice_once(spark):
     from vgraph.queries import QUERIES
 
     assert not any("orders" in f for f in QUERIES["voxel_links"](spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def test_vtp_values_stay_exact_and_small(spark, tmp_path):
+    line = spark.range(3000).selectExpr("array(named_struct('x', id / 3, 'y', 0.1D + 0.2D, 'z', -id / 7), named_struct('x', id + 1.0D, 'y', 1e-300D, 'z', double('NaN'))) AS points", "array(named_struct('n', id / 11, 'half', 0.5D)) AS cells").repartition(2)
+    vtp.write(line, str(tmp_path / "lines"))
+    got = sorted((r["x1"], r["y1"], r["z1"], r["x2"], r["y2"], r["n"], r["half"], r["n_points"]) for r in vtp.read(spark, str(tmp_path / "lines")).where("isnan(z2)").collect())
+    assert got == [(k / 3, 0.1 + 0.2, -k / 7, k + 1.0, 1e-300, k / 11, 0.5, 2) for k in range(3000)]
+    # 11 numbers of 8 bytes a line, of which plain text takes 22 each
+    assert sum(f.stat().st_size for f in (tmp_path / "lines").glob("part-*")) < 100 * 3000
+
+
+def test_vtp_arrays_of_several_blocks_or_of_text_are_read():
+    want = [k / 3 for k in range(10)]
+    raw = struct.pack("<10d", *want)
+    blocks = [zlib.compress(raw[:64]), zlib.compress(raw[64:])]
+    head = struct.pack("<5Q", 2, 64, 16, *map(len, blocks))
+    array = lambda form, text: ElementTree.fromstring(f'<DataArray format="{form}">\n{text}\n</DataArray>')
+    assert vtp._values(array("binary", (base64.b64encode(head) + base64.b64encode(b"".join(blocks))).decode()), "<f8").tolist() == want
+    assert vtp._values(array("ascii", " ".join(map(repr, want))), "<f8").tolist() == want
+    for n in (0, 1, 7):
+        assert vtp._values(array("binary", vtp._packed(np.arange(n))), "<i8").tolist() == list(range(n))
