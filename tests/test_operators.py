@@ -1,6 +1,7 @@
 import base64
 import heapq
 import random
+import re
 import struct
 import zlib
 from itertools import product
@@ -547,3 +548,29 @@ def test_vtp_arrays_of_several_blocks_or_of_text_are_read():
     assert vtp._values(array("ascii", " ".join(map(repr, want))), "<f8").tolist() == want
     for n in (0, 1, 7):
         assert vtp._values(array("binary", vtp._packed(np.arange(n))), "<i8").tolist() == list(range(n))
+
+
+def test_places_in_graphs_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(stats, "RANGE", 7)
+    rng = random.Random(4)
+    keys = {g: rng.sample(range(-500, 500), n) for g, n in (("a", 40), ("b", 1), ("c", 23), ("", 3))}
+    rows = [(g, k, 2 * k) for g, ks in keys.items() for k in ks]
+    rng.shuffle(rows)
+    got = vtp.numbered(spark.createDataFrame(rows, "graph string, k long, more long"), "k")
+    assert sorted(map(tuple, got.collect())) == sorted((g, k, 2 * k, sorted(keys[g]).index(k)) for g, k, _ in rows)
+
+
+def test_points_of_drawn_edges_are_shuffled_once(spark):
+    v, e = network(spark, [(i, i % 3, 0) for i in range(60)] + [(59, 2, 0)], [(i, i + 1, 4) for i in range(60)] + [(5, 5, 4)])
+    e = materialize(e, "lattice")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lines = vtp.network_lines(v, e)
+        plan = spark._jvm.PythonSQLUtils.explainString(lines._jdf.queryExecution(), "formatted")
+        # vertices 59 and 60 are one place, so the last edge goes, as does the loop
+        assert sorted((r["eid"], r["points"][0]["index"], r["points"][-1]["index"], r["cells"][0]["index"]) for r in lines.collect()) == [(i, i, i + 1, i) for i in range(59)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    exchanges = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert len(exchanges) > 2 and sum("points#" in x for x in exchanges) == 1

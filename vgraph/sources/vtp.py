@@ -17,13 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from vgraph.functions import stats
 from vgraph.functions.geometry import distance
-from vgraph.functions.stats import running
 from vgraph.plans.workspace import materialize
 from vgraph.schema import CAPILLARY
 from vgraph.sources.columns import place
@@ -68,9 +68,19 @@ def chosen_lines(vertices: DataFrame, edges: DataFrame, ids: DataFrame) -> DataF
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """(graph, key, nth): places from 0 in the order of the key, by ranges of keys."""
-    counted = rows.select("graph", key).distinct().withColumn("n", F.lit(1).cast("long"))
-    return running(counted, ["graph"], key, ["n"]).select("graph", key, (F.col("sum_n") - 1).alias("nth"))
+    """``rows`` with ``nth``, their places from 0 in their graph in the order of a key that stands once there; ``rows`` should be a table.
+
+    Rows are sorted by ranges of graphs and keys and written once with their place in the range. A graph's places begin
+    at its first row of a range, behind its rows of the ranges before.
+    """
+    ranges = rows.count() // stats.RANGE + 1
+    dealt = rows.repartitionByRange(ranges, "graph", key).sortWithinPartitions("graph", key).withColumn("__at", F.monotonically_increasing_id())
+    dealt = materialize(dealt.withColumn("__range", F.shiftright("__at", 33)), "dealt")
+    before = Window.partitionBy("graph").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("graph", "__range").agg(F.min("__at").alias("first"), F.count("*").alias("n"))
+    # written, as a table of known size is sent to the rows where it is small; unknown, all rows would be shuffled for it
+    starts = materialize(starts.select("graph", "__range", (F.col("first") - F.coalesce(F.sum("n").over(before), F.lit(0))).alias("start")), "starts")
+    return dealt.join(starts, ["graph", "__range"]).select(*rows.columns, (F.col("__at") - F.col("start")).alias("nth"))
 
 
 def network_lines(vertices: DataFrame, edges: DataFrame, tortuous: bool = True) -> DataFrame:
@@ -84,13 +94,19 @@ def network_lines(vertices: DataFrame, edges: DataFrame, tortuous: bool = True)
     """
     named = [c for c in ("pBC", "pressure") if c in vertices.columns]
     v = vertices.select("graph", "vid", F.struct("x", "y", "z").alias("at"), *named)
-    ends = lambda side: v.select("graph", F.col("vid").alias(side), F.col("at").alias(f"{side}_at"), *(F.col(c).alias(f"{side}_{c}") for c in named))
-    e = edges.where("src <> dst").join(ends("src"), ["graph", "src"]).join(ends("dst"), ["graph", "dst"]).where(distance(F.col("src_at"), F.col("dst_at")) >= APART)
-    e = materialize(e, "drawn")
-    nth = numbered(e.select("graph", F.explode(F.array("src", "dst")).alias("vid")), "vid")
-    e = e.join(numbered(e, "eid").withColumnRenamed("nth", "edge"), ["graph", "eid"])
+    ends = lambda of, side, *columns: of.select("graph", F.col("vid").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+    # ids alone go through the joins by vertex and get their numbers; what an edge carries is shuffled once, to the numbered ids
+    ids = edges.where("src <> dst").select("graph", "eid", "src", "dst")
+    ids = ids.join(ends(v, "src", "at"), ["graph", "src"]).join(ends(v, "dst", "at"), ["graph", "dst"]).where(distance(F.col("src_at"), F.col("dst_at")) >= APART)
+    ids = materialize(ids.select("graph", "eid", "src", "dst").distinct(), "drawn")
+    v = v.join(numbered(materialize(ids.select("graph", F.explode(F.array("src", "dst")).alias("vid")).distinct(), "ends"), "vid"), ["graph", "vid"])
+    v = v.withColumn("nth", F.col("nth").cast("double"))
+    if tortuous:
+        ids = numbered(ids, "eid").withColumnRenamed("nth", "edge")
     for side in ("src", "dst"):
-        e = e.join(nth.select("graph", F.col("vid").alias(side), F.col("nth").cast("double").alias(f"{side}_nth")), ["graph", side])
+        ids = ids.join(ends(v, side, "at", "nth", *named), ["graph", side])
+    carried = ["nkind", "length", "diameter", *(["points", "diameters", "lengths2"] if tortuous else [])]
+    e = edges.select("graph", "eid", "src", "dst", *carried).join(ids, ["graph", "eid", "src", "dst"])
     number = lambda c, missing: F.coalesce(F.col(c).cast("double"), F.lit(float(missing)))
     point = lambda at, index, pbc, pressure: F.struct(*(at[a].alias(a) for a in "xyz"), index.alias("index"), *(x.alias(c) for c, x in (("pBC", pbc), ("pressure", pressure)) if c in named))
     end = lambda side: point(F.col(f"{side}_at"), F.col(f"{side}_nth"), number(f"{side}_pBC", -1000) if "pBC" in named else F.lit(0.0), number(f"{side}_pressure", 0) if "pressure" in named else F.lit(0.0))
