@@ -501,6 +501,21 @@ def test_ranges_are_not_joined_through_the_driver(spark):
     assert "BroadcastHashJoin" not in quality.ranges_adjoin(ranges)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ranges_are_merged_whatever_size_they_are_taken_for(spark):
+    """The plan that has run may hold no broadcast; few edges stand for many that a plan takes for few."""
+    sizes = {eid: eid % 4 + 1 for eid in (*range(5, 60, 2), 71, 300)}
+    e = spark.createDataFrame([(eid, [(0.0,)] * n) for eid, n in sizes.items()], "eid long, points array<struct<x double>>").repartition(3)
+    r = bundle.ranges(e, 7)
+    want, start = [], 0
+    for eid, (old, n) in enumerate(sorted(sizes.items())):
+        want.append((old, eid, start, start := start + n))
+    assert sorted(tuple(x) for x in r.collect()) == want
+    moved = quality.ranges_adjoin(r.select("eid", (F.col("start") + (F.col("eid") % 10 == 3).cast("int")).alias("start"), "end"))
+    assert sorted(tuple(x) for x in moved.collect()) == [(eid, a + 1, b, a) for _, eid, a, b in want if eid % 10 == 3]
+    for df in (r, moved):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_graph_without_shared_terminals_takes_one_flow(monkeypatch):
     import pandas as pd
 

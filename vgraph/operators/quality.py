@@ -38,9 +38,12 @@ def end_points(vertices: DataFrame, edges: DataFrame, tol: float = 1e-6) -> Data
 
 
 def ranges_adjoin(ranges: DataFrame) -> DataFrame:
-    """Edges (eid, start, end), numbered without gaps, whose range of points does not begin where that of the edge before ended."""
+    """Edges (eid, start, end), numbered without gaps, whose range of points does not begin where that of the edge before ended.
+
+    Both sides have a row for every edge, so they are merged, whatever size a plan takes them for.
+    """
     before = ranges.select((F.col("eid") + 1).alias("eid"), F.col("end").alias("expected"))
-    return ranges.join(before, "eid").select(*ranges.columns, "expected").where("expected <> start")
+    return ranges.hint("merge").join(before, "eid").select(*ranges.columns, "expected").where("expected <> start")
 
 
 def rescaling(before: DataFrame, after: DataFrame, scale: float, voxel: float = 1.0, tol: float = 1e-6) -> DataFrame:

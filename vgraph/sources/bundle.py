@@ -45,13 +45,14 @@ def load(spark: SparkSession, folder: str, graph: str) -> tuple[DataFrame, DataF
 def ranges(edges: DataFrame, width: int = 100_000) -> DataFrame:
     """(eid, start, end): edges numbered from 0 in the order of their ids, and the range of their points among all.
 
-    Running sums are taken within buckets of ids and over the buckets, so that no task sorts all edges.
+    Running sums are taken within buckets of ids and over the buckets, so that no task sorts all edges. Edges are shuffled by
+    bucket in any case, so they are merged with the buckets' sums: files of sorted numbers say nothing about the size of their rows.
     """
     e = materialize(edges.select("eid", F.size("points").cast("long").alias("n"), F.floor(F.col("eid") / width).alias("bucket")), "sizes")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = e.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select("bucket", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in "ms"))
     inside = Window.partitionBy("bucket").orderBy("eid")
-    e = e.withColumn("at", F.row_number().over(inside) - 1).withColumn("upto", F.sum("n").over(inside)).join(base, "bucket")
+    e = e.withColumn("at", F.row_number().over(inside) - 1).withColumn("upto", F.sum("n").over(inside)).hint("merge").join(base, "bucket")
     return e.select(F.col("eid").alias("old_eid"), (F.col("m") + F.col("at")).alias("eid"), (F.col("s") + F.col("upto") - F.col("n")).alias("start"), (F.col("s") + F.col("upto")).alias("end"))
 
 
